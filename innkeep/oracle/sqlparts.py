@@ -61,7 +61,8 @@ bkl AS (SELECT b.hotel_id, COUNT(*) AS total_bookings
 """
 
 AVG_RATING = f"COALESCE(CASE WHEN rv.rcnt > 0 THEN {round2_avg_int('rv.rsum', 'rv.rcnt')} END, 0.0)"
-AVG_PRICE = f"COALESCE(CASE WHEN rs.priced > 0 THEN {round2_avg_cents('rs.price_cents', 'rs.priced')} END, 0.0)"
+AVG_PRICE_RAW = f"CASE WHEN rs.priced > 0 THEN {round2_avg_cents('rs.price_cents', 'rs.priced')} END"
+AVG_PRICE = f"COALESCE({AVG_PRICE_RAW}, 0.0)"
 
 
 def card_select(h: str = "h", bookings: bool = True, price: bool = False, literal: bool = False,
