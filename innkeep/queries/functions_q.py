@@ -37,7 +37,7 @@ def fn_digits(fx):
 
 @register("fn_pad5", f"""
 SELECT booking_id, 'BOOK' || LPAD(CAST({digits('booking_id')} + 1 AS VARCHAR),
-       GREATEST(5, LENGTH(CAST({digits('booking_id')} + 1 AS VARCHAR))), '0') AS next_id
+       CAST(GREATEST(5, LENGTH(CAST({digits('booking_id')} + 1 AS VARCHAR))) AS INTEGER), '0') AS next_id
 FROM bookings
 """)
 def fn_pad5(fx):

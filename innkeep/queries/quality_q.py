@@ -1 +1,122 @@
-"""Registered keys."""
+"""Registered keys: validation, cleaning and audits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from innkeep.functions.rules import money_ok
+from innkeep.functions.sanitize import sanitize_sql, sanitize_text
+from innkeep.plans import validation as V
+from innkeep.plans.audit import audit, audit_sql
+from innkeep.registry import register
+
+
+def _flat(errs):
+    return errs.select(errs.columns[0], F.size("errors").cast("long").alias("n_errors"),
+                       F.array_join("errors", " | ").alias("errors"))
+
+
+def _flat_sql(inner: str, key: str = "request_seq") -> str:
+    return (f"SELECT {key}, CAST(len(errors) AS BIGINT) AS n_errors, array_to_string(errors, ' | ') AS errors "
+            f"FROM ({inner}) v")
+
+
+@register("validate_reviews", _flat_sql(V.SQL_ERRORS["review_requests"]))
+def validate_reviews(fx):
+    return _flat(V.review_errors(fx))
+
+
+@register("validate_cancellations", _flat_sql(V.SQL_ERRORS["cancel_requests"]))
+def validate_cancellations(fx):
+    return _flat(V.cancel_errors(fx))
+
+
+@register("validate_bookings", _flat_sql(V.SQL_ERRORS["booking_requests"]))
+def validate_bookings(fx):
+    return _flat(V.booking_errors(fx))
+
+
+@register("validate_hotels", _flat_sql(V.SQL_ERRORS["hotel_requests"]))
+def validate_hotels(fx):
+    return _flat(V.hotel_errors(fx))
+
+
+@register("validate_maintenance", _flat_sql(V.SQL_ERRORS["maintenance_requests"]))
+def validate_maintenance(fx):
+    return _flat(V.maintenance_errors(fx))
+
+
+@register("validate_maintenance_updates", _flat_sql(V.SQL_ERRORS["maintenance_updates"]))
+def validate_maintenance_updates(fx):
+    return _flat(V.maintenance_update_errors(fx))
+
+
+_CUSTOMER_HEADER = ("(SELECT customer_id, full_name, CAST(NULL AS VARCHAR) AS email, "
+                    "CAST(NULL AS VARCHAR) AS phone, city, country FROM customers)")
+
+
+@register("validate_customers", _flat_sql(V.sql_request_errors(_CUSTOMER_HEADER, V.CUSTOMER, [], key="customer_id"),
+                                          key="customer_id"))
+def validate_customers(fx):
+    """The (unwired) customer schema over the customers table; the table
+    carries no e-mail or phone, so those are reported missing."""
+    c = fx.customers().select("customer_id", "full_name", F.lit(None).cast("string").alias("email"),
+                              F.lit(None).cast("string").alias("phone"), "city", "country")
+    return _flat(V.request_errors(c, V.CUSTOMER, [], key="customer_id"))
+
+
+@register("rule_money", """
+SELECT request_seq, pos, room_amount,
+       COALESCE(room_amount <> '' AND regexp_matches(room_amount, '^[0-9]+(\\.[0-9]{1,2})?$'), false) AS ok,
+       CASE WHEN room_amount <> '' AND regexp_matches(room_amount, '^[0-9]+(\\.[0-9]{1,2})?$')
+            THEN CAST(room_amount AS DOUBLE) END AS amount
+FROM booking_request_rooms
+""")
+def rule_money(fx):
+    """digitsOnly: required, matches the number pattern, then Number()."""
+    c = F.col("room_amount")
+    ok = F.coalesce((c != "") & money_ok(c), F.lit(False))
+    return fx.booking_request_rooms().select("request_seq", "pos", "room_amount", ok.alias("ok"),
+                                             F.when(ok, c.cast("double")).alias("amount"))
+
+
+@register("sanitize_text", f"""
+SELECT page_id, {sanitize_sql('html')} AS clean,
+       CAST(length(html) - length({sanitize_sql('html')}) AS BIGINT) AS removed_chars
+FROM pages
+""")
+def sanitize_text_key(fx):
+    """Unsafe markup stripped from every page's HTML (whole text)."""
+    clean = sanitize_text(F.col("html"))
+    return (fx.pages().select("page_id", "html", clean.alias("clean"))
+            .select("page_id", "clean", (F.length("html") - F.length("clean")).cast("long").alias("removed_chars")))
+
+
+@register("audit_constraints", audit_sql())
+def audit_constraints(fx):
+    return audit(fx)
+
+
+@register("apply_defaults", """
+SELECT 'booking_requests' AS source, request_seq, CAST(0 AS BIGINT) AS pos, 'booking_status' AS field,
+       COALESCE(booking_status, 'Confirmed') AS value FROM booking_requests
+UNION ALL
+SELECT 'hotel_request_rooms', request_seq, pos, 'is_available', CAST(COALESCE(is_available, true) AS VARCHAR)
+FROM hotel_request_rooms
+UNION ALL
+SELECT 'maintenance_requests', request_seq, pos, 'maintenance_status', COALESCE(maintenance_status, 'Pending')
+FROM maintenance_requests
+""")
+def apply_defaults(fx):
+    """Column defaults of omitted request fields: booking status Confirmed,
+    room available TRUE, maintenance status Pending."""
+    b = fx.booking_requests().select(F.lit("booking_requests").alias("source"), "request_seq",
+                                     F.lit(0).cast("long").alias("pos"), F.lit("booking_status").alias("field"),
+                                     F.coalesce("booking_status", F.lit("Confirmed")).alias("value"))
+    r = fx.hotel_request_rooms().select(F.lit("hotel_request_rooms").alias("source"), "request_seq", "pos",
+                                        F.lit("is_available").alias("field"),
+                                        F.coalesce("is_available", F.lit(True)).cast("string").alias("value"))
+    m = fx.maintenance_requests().select(F.lit("maintenance_requests").alias("source"), "request_seq", "pos",
+                                         F.lit("maintenance_status").alias("field"),
+                                         F.coalesce("maintenance_status", F.lit("Pending")).alias("value"))
+    return b.unionByName(r).unionByName(m)
