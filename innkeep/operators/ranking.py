@@ -83,3 +83,26 @@ def page(df: DataFrame, order: Sequence[str | Column], page_no: int = 1,
 def page_count(total: Column, size: int = PAGE_SIZE) -> Column:
     """``Math.ceil(total / size)``."""
     return F.ceil(total / F.lit(size)).cast("long")
+
+
+def lag_within_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
+                      cols: Sequence[str], prefix: str = "prev_") -> DataFrame:
+    """``LAG(col) OVER (PARTITION BY keys ORDER BY order)`` for each of
+    ``cols``, without a window partitioned by the key.
+
+    Rows are ranked along (keys, order) with :func:`global_rank` and joined
+    to their predecessor on ``rank - 1``: an equi-join on a unique, evenly
+    spread integer, so a group holding a large share of the rows is still
+    processed by many tasks.  The predecessor counts only if it has the same
+    keys."""
+    ranked = global_rank(df, [*keys, *order], rank_col="_r")
+    prev = ranked.select((F.col("_r") + 1).alias("_r"),
+                         *[F.col(k).alias(f"_pk_{k}") for k in keys],
+                         *[F.col(c).alias(f"_pv_{c}") for c in cols])
+    j = ranked.join(prev, "_r", "left")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_pk_{k}"))
+    for c in cols:
+        j = j.withColumn(prefix + c, F.when(same, F.col(f"_pv_{c}")))
+    return j.drop("_r", *[f"_pk_{k}" for k in keys], *[f"_pv_{c}" for c in cols])

@@ -96,3 +96,19 @@ def card_joins(h: str = "h", bookings: bool = True, literal: bool = False) -> st
         if literal:
             j += f" LEFT JOIN bkl ON bkl.hotel_id = {h}.hotel_id"
     return j
+
+
+def pad5(prefix: str, n: str) -> str:
+    """prefix + String(n).padStart(5, '0') (never truncates)."""
+    s = f"CAST(({n}) AS VARCHAR)"
+    return f"('{prefix}' || LPAD({s}, CAST(GREATEST(5, LENGTH({s})) AS INTEGER), '0'))"
+
+
+def last_number(table: str, col: str, start: int | None = None, order_col: str | None = None) -> str:
+    """Scalar subquery: digits of the id the reference reads as the last one."""
+    if order_col:
+        key = order_col
+    else:
+        k = unsigned_suffix(col, start) if start else digits(col)
+        key = f"struct_pack(k := {k}, d := {digits(col)})"
+    return f"(SELECT COALESCE({digits(f'arg_max({col}, {key})')}, 0) FROM {table})"
