@@ -3,8 +3,9 @@
 ``global_rank`` numbers rows 1..N along a total order without pulling all
 rows through one task: the data is range-partitioned on the order key (so a
 hot key's rows are spread over several partitions when the order has further
-columns), each partition is sorted locally, and the only global step is a
-prefix sum over *one row per partition* (P rows, P = partition count).
+columns), each partition is sorted locally and numbered, the result is
+checkpointed once, and the only global step is a prefix sum over *one row
+per partition* (P rows, P = partition count).
 
 ``page`` is ``ORDER BY .. LIMIT size OFFSET (page-1)*size``: Spark plans it
 as TakeOrderedAndProject, a per-partition top-k followed by a merge of at most
@@ -18,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from innkeep.session import checkpoint_dir
+
 PAGE_SIZE = 10  # rows per page of every list answer (fixed value)
 
 
@@ -38,6 +41,12 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], rank_col: str = "r
               .sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
+    # The range bounds are sampled per exchange instance, so the counts and
+    # the rows must come from one materialisation, not two evaluations of
+    # the plan: a reliable checkpoint in the shared checkpoint folder (also
+    # what makes the numbering survive a lost executor).
+    checkpoint_dir(spark)
+    ranged = ranged.checkpoint(eager=True)
     # One row per partition: its size and first id; prefix sums give offsets.
     per_part = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     offsets = per_part.withColumn(
