@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from innkeep.operators import aggregates as agg
 from innkeep.operators.filters import contains_ci, like_ci
 from innkeep.operators.ranking import PAGE_SIZE, page, page_count
+from innkeep.session import checkpoint_dir
 from innkeep.sources.fixtures import Fixtures
 
 def newest_first() -> list[Column]:
@@ -48,6 +49,23 @@ def as_double(c: str | Column) -> Column:
     return col.cast("double")
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a shared intermediate once (the filtered hotel cards, read by
+    both the page and its total) instead of re-running its aggregations for
+    each consumer: a reliable checkpoint in the shared folder.  A page of
+    keys needs none of this: AQE reuses its broadcast across the children."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def in_page_order(df: DataFrame) -> DataFrame:
+    """Return a page (at most PAGE_SIZE rows) in page order: one small local
+    sort, no global sort job."""
+    if "page_pos" not in df.columns:
+        return df
+    return df.coalesce(1).sortWithinPartitions("page_pos")
+
+
 def semi(df: DataFrame, keys: DataFrame, on: str = "hotel_id") -> DataFrame:
     """``WHERE hotel_id IN (page ids)``; ``keys`` is a page (<= 10 rows)."""
     return df.join(F.broadcast(keys.select(on).distinct()), on, "left_semi")
@@ -121,7 +139,7 @@ class HotelAnswers:
                 cols.append(F.col(c))
         cols += [v.alias(k) for k, v in totals.items()]
         cols.append(F.lit(page_no).cast("int").alias("current_page"))
-        return cards.select(*cols)
+        return in_page_order(cards.select(*cols))
 
     # -- hotel directory (GET /get-all-hotels) ---------------------------------
     def hotel_directory(self, page_no: int = 1, mode: str = "intended") -> DataFrame:
@@ -157,6 +175,7 @@ class HotelAnswers:
                 cards = cards.where(contains_ci("country", country))
         if ratings:
             cards = cards.where(F.col("average_rating") >= F.lit(ratings))
+        cards = materialize(cards)
         order: list[Column] = []
         # JS sorts are stable: the last applied sort is the primary key.
         if mode != "literal" and bookings_count in ("low to high", "high to low"):
@@ -204,7 +223,7 @@ class HotelAnswers:
                 cards.limit(0).withColumn("page_pos", F.lit(None).cast("long"))  # Q2
         else:
             cards = self._enrich(with_rooms, bookings=False, price=True, restrict=False)
-            cards = cards.where(self._price_rating_pred(min_price, max_price, min_rating))
+            cards = materialize(cards.where(self._price_rating_pred(min_price, max_price, min_rating)))
             total = cards.select(F.count(F.lit(1))).scalar()
             out = page(cards, newest_first(), page_no)
         out = out.drop("created_at")
@@ -239,4 +258,4 @@ class HotelAnswers:
             as_double("rooms_amount").alias("rooms_amount"), "page_pos",
             total.alias("total_bookings"), total_listed.alias("total_listed"),
             page_count(total).alias("total_pages"), F.lit(page_no).cast("int").alias("current_page"),
-        )
+        ).transform(in_page_order)
