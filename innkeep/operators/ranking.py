@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from innkeep.session import checkpoint_dir
+from innkeep.session import materialize
 
 PAGE_SIZE = 10  # rows per page of every list answer (fixed value)
 
@@ -45,8 +45,7 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], rank_col: str = "r
     # the rows must come from one materialisation, not two evaluations of
     # the plan: a reliable checkpoint in the shared checkpoint folder (also
     # what makes the numbering survive a lost executor).
-    checkpoint_dir(spark)
-    ranged = ranged.checkpoint(eager=True)
+    ranged = materialize(ranged)
     # One row per partition: its size and first id; prefix sums give offsets.
     per_part = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     offsets = per_part.withColumn(

@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innkeep.plans import validation as V
-from innkeep.plans.jobs import (MSG, JobResult, assign_ids, first_failure, flag, last_number, room_booked,
-                                room_not_found)
+from innkeep.plans.jobs import (MSG, JobResult, Outputs, assign_ids, first_failure, flag, last_number,
+                                room_booked, room_not_found)
 from innkeep.functions.rules import parse_date
-from innkeep.session import checkpoint_dir
+from innkeep.session import checkpoint_dir, materialize
 from innkeep.sources.commands import sanitized
 
 MAX_ROUNDS = 10_000   # safety net only; each round settles at least one request
@@ -39,29 +39,42 @@ MAX_ROUNDS = 10_000   # safety net only; each round settles at least one request
 
 def settle_claims(claims: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(request_seq) of the accepted requests among ``claims``
-    (request_seq, hotel_id, room_number), applying them in request order."""
+    (request_seq, hotel_id, room_number), applying them in request order.
+
+    Each round materialises one small decision table (win / lose / open per
+    pending request) with a reliable checkpoint; the next round's claims are
+    ``claims`` semi-joined with the open requests, so the lineage never grows
+    beyond one checkpoint."""
     spark = claims.sparkSession
     checkpoint_dir(spark)
-    pending = claims.select("request_seq", "hotel_id", "room_number").checkpoint(eager=True)
-    accepted = None
+    claims = claims.select("request_seq", "hotel_id", "room_number").checkpoint(eager=True)
+    pending = claims
+    won_parts = []
     for _ in range(max_rounds):
-        if pending.isEmpty():
-            break
         first = pending.groupBy("hotel_id", "room_number").agg(F.min("request_seq").alias("_m"))
-        blocked = (pending.join(first, ["hotel_id", "room_number"])
-                   .where(F.col("request_seq") != F.col("_m")).select("request_seq").distinct())
-        winners = pending.select("request_seq").distinct().join(blocked, "request_seq", "left_anti")
-        taken = pending.join(winners, "request_seq", "left_semi")
-        losers = (pending.join(taken.select("hotel_id", "room_number"), ["hotel_id", "room_number"], "left_semi")
-                  .select("request_seq").distinct().join(winners, "request_seq", "left_anti"))
-        settled = winners.unionByName(losers)
-        won = winners.checkpoint(eager=True)
-        accepted = won if accepted is None else accepted.unionByName(won).checkpoint(eager=True)
-        pending = pending.join(settled, "request_seq", "left_anti").checkpoint(eager=True)
+        per_req = (pending.join(first, ["hotel_id", "room_number"])
+                   .groupBy("request_seq")
+                   .agg(F.max((F.col("request_seq") != F.col("_m")).cast("int")).alias("_blocked")))
+        winners = per_req.where(F.col("_blocked") == 0).select("request_seq")
+        taken = pending.join(winners, "request_seq", "left_semi").select("hotel_id", "room_number")
+        touching = (pending.join(taken, ["hotel_id", "room_number"], "left_semi")
+                    .select("request_seq").distinct().withColumn("_touch", F.lit(1)))
+        decision = (per_req.join(touching, "request_seq", "left")
+                    .select("request_seq",
+                            F.when(F.col("_blocked") == 0, F.lit("win"))
+                            .when(F.col("_touch") == 1, F.lit("lose"))
+                            .otherwise(F.lit("open")).alias("d"))
+                    .checkpoint(eager=True))
+        won_parts.append(decision.where(F.col("d") == "win").select("request_seq"))
+        still_open = decision.where(F.col("d") == "open").select("request_seq")
+        if still_open.isEmpty():
+            break
+        pending = claims.join(still_open, "request_seq", "left_semi")
     else:
         raise RuntimeError("claim settlement did not converge")
-    if accepted is None:
-        return claims.select("request_seq").limit(0)
+    accepted = won_parts[0]
+    for w in won_parts[1:]:
+        accepted = accepted.unionByName(w)
     return accepted
 
 
@@ -87,6 +100,8 @@ def ingest_bookings(fx) -> JobResult:
     it = (it.join(first_pos, ["request_seq", "room_number"])
           .withColumn("_static_bad", ~F.col("_found") | ~F.coalesce("_avail", F.lit(False))
                       | (F.col("pos") > F.col("_p0"))))
+    it = materialize(it.select("request_seq", "pos", "hotel_id", "room_number", "check_in", "check_out",
+                               "_found", "_price", "_static_bad"))
     any_bad = it.groupBy("request_seq").agg(F.max(F.col("_static_bad").cast("int")).alias("_bad"))
     v = v.join(any_bad, "request_seq", "left")
 
@@ -96,7 +111,8 @@ def ingest_bookings(fx) -> JobResult:
                MSG["NOT_ENOUGH_ROOMS"]),
               (F.col("_cust"), "CUSTOMER_NOT_FOUND", MSG["CUSTOMER_NOT_FOUND"])]
     code, msg = first_failure(static)
-    v = v.withColumn("_code", code).withColumn("_msg", msg)
+    v = materialize(v.select("request_seq", "customer_id", "hotel_id", "total_amount", "booking_status", "_bad",
+                             code.alias("_code"), msg.alias("_msg")))
 
     candidates = v.where((F.col("_code") == "OK") & (F.coalesce("_bad", F.lit(0)) == 0)).select("request_seq")
     claims = it.join(candidates, "request_seq", "left_semi").select("request_seq", "hotel_id", "room_number")
@@ -127,14 +143,18 @@ def ingest_bookings(fx) -> JobResult:
     new_bookings = bookings.select("request_seq", "booking_id", "customer_id", "hotel_id",
                                    F.col("total_amount").cast("decimal(10,2)").alias("total_amount"),
                                    F.coalesce("booking_status", F.lit("Confirmed")).alias("booking_status"))
+    status = status.join(new_bookings.select("request_seq", "booking_id"), "request_seq", "left")
+    return JobResult(status, Outputs(bookings=new_bookings,
+                                     booking_rooms=lambda: _new_booking_rooms(fx, it, new_bookings),
+                                     rooms_taken=holder.select("hotel_id", "room_number")))
+
+
+def _new_booking_rooms(fx, it: DataFrame, new_bookings: DataFrame) -> DataFrame:
     br_items = it.join(new_bookings.select("request_seq", "booking_id"), "request_seq")
     new_br = assign_ids(br_items, ["request_seq", "pos"], "BR",
                         last_number(fx.booking_rooms(), "booking_room_id", 3), "booking_room_id")
-    new_br = new_br.select("request_seq", "pos", "booking_room_id", "booking_id", "room_number",
-                           parse_date(F.col("check_in")).alias("check_in"),
-                           parse_date(F.col("check_out")).alias("check_out"),
-                           # the room's price, NULL read as 0 (Number(null))
-                           F.coalesce("_price", F.lit(0)).cast("decimal(10,2)").alias("room_amount"))
-    status = status.join(new_bookings.select("request_seq", "booking_id"), "request_seq", "left")
-    return JobResult(status, {"bookings": new_bookings, "booking_rooms": new_br,
-                              "rooms_taken": holder.select("hotel_id", "room_number")})
+    return new_br.select("request_seq", "pos", "booking_room_id", "booking_id", "room_number",
+                         parse_date(F.col("check_in")).alias("check_in"),
+                         parse_date(F.col("check_out")).alias("check_out"),
+                         # the room's price, NULL read as 0 (Number(null))
+                         F.coalesce("_price", F.lit(0)).cast("decimal(10,2)").alias("room_amount"))

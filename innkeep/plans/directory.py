@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from innkeep.operators import aggregates as agg
 from innkeep.operators.filters import contains_ci, like_ci
 from innkeep.operators.ranking import PAGE_SIZE, page, page_count
-from innkeep.session import checkpoint_dir
+from innkeep.session import materialize
 from innkeep.sources.fixtures import Fixtures
 
 def newest_first() -> list[Column]:
@@ -49,15 +49,6 @@ def as_double(c: str | Column) -> Column:
     return col.cast("double")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute a shared intermediate once (the filtered hotel cards, read by
-    both the page and its total) instead of re-running its aggregations for
-    each consumer: a reliable checkpoint in the shared folder.  A page of
-    keys needs none of this: AQE reuses its broadcast across the children."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def in_page_order(df: DataFrame) -> DataFrame:
     """Return a page (at most PAGE_SIZE rows) in page order: one small local
     sort, no global sort job."""
@@ -175,7 +166,7 @@ class HotelAnswers:
                 cards = cards.where(contains_ci("country", country))
         if ratings:
             cards = cards.where(F.col("average_rating") >= F.lit(ratings))
-        cards = materialize(cards)
+        cards = materialize(cards)  # read by the page and by its total
         order: list[Column] = []
         # JS sorts are stable: the last applied sort is the primary key.
         if mode != "literal" and bookings_count in ("low to high", "high to low"):

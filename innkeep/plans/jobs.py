@@ -25,7 +25,7 @@ from innkeep.functions.ids import digits_number, pad5, unsigned_suffix
 from innkeep.functions.rules import as_number, parse_date
 from innkeep.operators.ranking import global_rank, lag_within_groups
 from innkeep.plans import validation as V
-from innkeep.session import staging_path
+from innkeep.session import materialize, staging_path
 from innkeep.sources.commands import sanitized
 
 AS_OF = "1999-01-01"          # stands in for NOW()/CURDATE(): a job parameter
@@ -55,10 +55,22 @@ def room_booked(room: Column) -> Column:
     return F.concat(F.lit("Room "), room, F.lit(" is already booked."))
 
 
+class Outputs(dict):
+    """Job outputs built on first access (a value may be a zero-argument
+    function), so a caller that needs only the status pays for nothing else."""
+
+    def __getitem__(self, key):
+        value = super().__getitem__(key)
+        if not isinstance(value, DataFrame) and callable(value):
+            value = value()
+            super().__setitem__(key, value)
+        return value
+
+
 @dataclass
 class JobResult:
     status: DataFrame
-    outputs: dict[str, DataFrame] = field(default_factory=dict)
+    outputs: Outputs = field(default_factory=Outputs)
 
 
 # -- building blocks ---------------------------------------------------------------
@@ -131,7 +143,8 @@ def ingest_reviews(fx, as_of: str = AS_OF) -> JobResult:
               (F.col("_hotel"), "HOTEL_NOT_FOUND", MSG["HOTEL_NOT_FOUND"]),
               (F.col("_cust"), "CUSTOMER_NOT_FOUND", MSG["CUSTOMER_NOT_FOUND"])]
     code, msg = first_failure(checks)
-    v = v.withColumn("code", code).withColumn("message", msg)
+    v = materialize(v.select("request_seq", "hotel_id", "customer_id", "rating", "comment",
+                             code.alias("code"), msg.alias("message")))
     ok = v.where(F.col("code") == "OK")
     reviews = fx.reviews()
     new = assign_ids(ok, ["request_seq"], "REV", last_number(reviews, "review_id", 4), "review_id")
@@ -143,9 +156,10 @@ def ingest_reviews(fx, as_of: str = AS_OF) -> JobResult:
         F.to_date(F.lit(as_of)).alias("review_date"))
     status = v.select("request_seq", "code", "message").join(
         rows.select("request_seq", "review_id"), "request_seq", "left")
-    snapshot = reviews.select("review_id", "hotel_id", "customer_id", "rating", "comment", "review_date") \
-        .unionByName(rows.drop("request_seq"))
-    return JobResult(status, {"rows": rows, "snapshot": snapshot})
+    return JobResult(status, Outputs(
+        rows=rows,
+        snapshot=lambda: reviews.select("review_id", "hotel_id", "customer_id", "rating", "comment",
+                                        "review_date").unionByName(rows.drop("request_seq"))))
 
 
 # -- maintenance -----------------------------------------------------------------------
@@ -177,17 +191,18 @@ def ingest_maintenance(fx) -> JobResult:
         (F.col("_hotel"), "HOTEL_NOT_FOUND", MSG["HOTEL_NOT_FOUND"]),
         (F.col("_bad_room").isNull(), "ROOM_NOT_FOUND", room_not_found(F.col("_bad_room"), F.col("hotel_id"))),
     ]
-    status = status_frame(v, checks)
-    ok_items = (items.drop("hotel_id", "employee_id")
-                .join(status.where(F.col("code") == "OK").select("request_seq"), "request_seq")
-                .join(header, "request_seq"))
-    maint = fx.maintenance()
-    new = assign_ids(ok_items, ["request_seq", "pos"], "MAINTAIN",
-                     last_number(maint, "maintenance_id", 9), "maintenance_id")
-    rows = new.select("request_seq", "pos", "maintenance_id", "hotel_id", "room_number", "employee_id",
-                      "issue_description", parse_date(F.col("maintenance_date")).alias("maintenance_date"),
-                      F.coalesce("maintenance_status", F.lit("Pending")).alias("maintenance_status"))
-    return JobResult(status, {"rows": rows})
+    status = materialize(status_frame(v, checks, extra=[F.col("hotel_id"), F.col("employee_id")]))
+
+    def rows():
+        ok_items = (items.drop("hotel_id", "employee_id")
+                    .join(status.where(F.col("code") == "OK").select("request_seq", "hotel_id", "employee_id"),
+                          "request_seq"))
+        new = assign_ids(ok_items, ["request_seq", "pos"], "MAINTAIN",
+                         last_number(fx.maintenance(), "maintenance_id", 9), "maintenance_id")
+        return new.select("request_seq", "pos", "maintenance_id", "hotel_id", "room_number", "employee_id",
+                          "issue_description", parse_date(F.col("maintenance_date")).alias("maintenance_date"),
+                          F.coalesce("maintenance_status", F.lit("Pending")).alias("maintenance_status"))
+    return JobResult(status.select("request_seq", "code", "message"), Outputs(rows=rows))
 
 
 def update_maintenance(fx) -> JobResult:
@@ -211,7 +226,8 @@ def update_maintenance(fx) -> JobResult:
         (F.col("_stored").isNotNull(), "MAINTENANCE_NOT_FOUND", MSG["MAINTENANCE_NOT_FOUND"]),
     ]
     code, msg = first_failure(static)
-    v = v.withColumn("_code", code).withColumn("_msg", msg)
+    v = materialize(v.select("request_seq", "maintenance_id", "hotel_id", "room_number", "_requested", "_stored",
+                             code.alias("_code"), msg.alias("_msg")))
     # Among requests that pass the static checks, the status before a request
     # is the previous such request's requested status (accepted, or rejected
     # because it equalled the then-current one), else the stored status.
@@ -228,12 +244,13 @@ def update_maintenance(fx) -> JobResult:
     status = (v.where(F.col("_code") != "OK")
               .select("request_seq", F.col("_code").alias("code"), F.col("_msg").alias("message"))
               .unionByName(final.select("request_seq", "code", "message")))
-    accepted = final.where(F.col("code") == "OK")
-    latest = (accepted.groupBy("maintenance_id", "hotel_id", "room_number")
-              .agg(F.max_by("_requested", "request_seq").alias("_new")))
-    snap = (fx.maintenance().join(latest, ["maintenance_id", "hotel_id", "room_number"], "left")
-            .withColumn("maintenance_status", F.coalesce("_new", "maintenance_status")).drop("_new"))
-    return JobResult(status, {"snapshot": snap})
+    def snapshot():
+        accepted = final.where(F.col("code") == "OK")
+        latest = (accepted.groupBy("maintenance_id", "hotel_id", "room_number")
+                  .agg(F.max_by("_requested", "request_seq").alias("_new")))
+        return (fx.maintenance().join(latest, ["maintenance_id", "hotel_id", "room_number"], "left")
+                .withColumn("maintenance_status", F.coalesce("_new", "maintenance_status")).drop("_new"))
+    return JobResult(status, Outputs(snapshot=snapshot))
 
 
 # -- cancel_bookings ---------------------------------------------------------------------
@@ -250,7 +267,8 @@ def cancel_bookings(fx, literal_rooms: bool = False) -> JobResult:
               (F.col("_owner").isNotNull(), "BOOKING_NOT_FOUND", MSG["BOOKING_NOT_FOUND"]),
               (F.col("_owner") == F.col("customer_id"), "NOT_AUTHORIZED", MSG["NOT_AUTHORIZED_CANCEL"])]
     code, msg = first_failure(checks)
-    v = v.withColumn("code", code).withColumn("message", msg)
+    v = materialize(v.select("request_seq", "booking_id", "customer_id", "hotel_id", "cancel_reason", "_bhotel",
+                             "_amount", code.alias("code"), msg.alias("message")))
     ok = v.where(F.col("code") == "OK")
     cancelled = fx.bookings_cancelled()
     new = assign_ids(ok, ["request_seq"], "BOOKCANCEL",
@@ -259,15 +277,17 @@ def cancel_bookings(fx, literal_rooms: bool = False) -> JobResult:
                       F.col("_amount").alias("total_amount"), "cancel_reason")
     status = v.select("request_seq", "code", "message").join(
         rows.select("request_seq", "booking_cancel_id"), "request_seq", "left")
-    # rooms made available again: the booking's room numbers, in the
-    # booking's hotel (intended) or in every hotel (literal, quirk Q8)
-    br = fx.booking_rooms().join(ok.select("booking_id", "_bhotel").distinct(), "booking_id")
-    if literal_rooms:
-        freed = fx.rooms().join(br.select("room_number").distinct(), "room_number", "left_semi")
-    else:
-        freed = fx.rooms().join(br.select(F.col("_bhotel").alias("hotel_id"), "room_number").distinct(),
-                                ["hotel_id", "room_number"], "left_semi")
-    return JobResult(status, {"rows": rows, "rooms_freed": freed.select("room_id", "hotel_id", "room_number")})
+    def rooms_freed():
+        # the booking's room numbers, in the booking's hotel (intended) or in
+        # every hotel (literal, quirk Q8)
+        br = fx.booking_rooms().join(ok.select("booking_id", "_bhotel").distinct(), "booking_id")
+        if literal_rooms:
+            freed = fx.rooms().join(br.select("room_number").distinct(), "room_number", "left_semi")
+        else:
+            freed = fx.rooms().join(br.select(F.col("_bhotel").alias("hotel_id"), "room_number").distinct(),
+                                    ["hotel_id", "room_number"], "left_semi")
+        return freed.select("room_id", "hotel_id", "room_number")
+    return JobResult(status, Outputs(rows=rows, rooms_freed=rooms_freed))
 
 
 # -- hotels ------------------------------------------------------------------------------
@@ -304,7 +324,8 @@ def ingest_hotels(fx, as_of: str = AS_OF) -> JobResult:
               (F.col("_dup_service_name").isNull(), "DUPLICATE_SERVICE",
                F.concat(F.lit("Duplicate service name '"), F.col("_dup_service_name"), F.lit("' detected.")))]
     code, msg = first_failure(checks)
-    v = v.withColumn("code", code).withColumn("message", msg)
+    v = materialize(v.select("request_seq", "hotel_name", "city", "country", "total_rooms",
+                             code.alias("code"), msg.alias("message")))
     ok = v.where(F.col("code") == "OK")
     hotels = assign_ids(ok, ["request_seq"], "HOT", last_number(fx.hotels(), "hotel_id", order_col="id"),
                         "hotel_id")
@@ -312,19 +333,23 @@ def ingest_hotels(fx, as_of: str = AS_OF) -> JobResult:
                                as_number("total_rooms").cast("int").alias("total_rooms"),
                                F.to_timestamp(F.lit(as_of)).cast("timestamp_ntz").alias("created_at"))
     ids = new_hotels.select("request_seq", "hotel_id")
-    new_rooms = assign_ids(rooms.join(ids, "request_seq"), ["request_seq", "pos"], "ROOM",
-                           last_number(fx.rooms(), "room_id", order_col="id"), "room_id")
-    new_rooms = new_rooms.select("request_seq", "pos", "room_id", "hotel_id", "room_number", "room_type",
-                                 as_number("price_per_night").cast("decimal(10,2)").alias("price_per_night"),
-                                 F.coalesce("is_available", F.lit(True)).alias("is_available"))
-    named = services.where(F.coalesce(F.col("service_name"), F.lit("")) != "")
-    new_services = assign_ids(named.join(ids, "request_seq"), ["request_seq", "pos"], "SERV",
-                              last_number(fx.services(), "service_id"), "new_service_id")
-    new_services = new_services.select("request_seq", "pos", F.col("new_service_id").alias("service_id"),
-                                       "hotel_id", "service_name",
-                                       as_number("service_charge").cast("decimal(10,2)").alias("service_charge"))
+
+    def new_rooms():
+        out = assign_ids(rooms.join(ids, "request_seq"), ["request_seq", "pos"], "ROOM",
+                         last_number(fx.rooms(), "room_id", order_col="id"), "room_id")
+        return out.select("request_seq", "pos", "room_id", "hotel_id", "room_number", "room_type",
+                          as_number("price_per_night").cast("decimal(10,2)").alias("price_per_night"),
+                          F.coalesce("is_available", F.lit(True)).alias("is_available"))
+
+    def new_services():
+        named = services.where(F.coalesce(F.col("service_name"), F.lit("")) != "")
+        out = assign_ids(named.join(ids, "request_seq"), ["request_seq", "pos"], "SERV",
+                         last_number(fx.services(), "service_id"), "new_service_id")
+        return out.select("request_seq", "pos", F.col("new_service_id").alias("service_id"), "hotel_id",
+                          "service_name", as_number("service_charge").cast("decimal(10,2)").alias("service_charge"))
+
     status = v.select("request_seq", "code", "message").join(ids, "request_seq", "left")
-    return JobResult(status, {"hotels": new_hotels, "rooms": new_rooms, "services": new_services})
+    return JobResult(status, Outputs(hotels=new_hotels, rooms=new_rooms, services=new_services))
 
 
 def upsert_hotels(fx) -> JobResult:
@@ -335,13 +360,33 @@ def upsert_hotels(fx) -> JobResult:
     checks = [(F.size("errors") == 0, "VALIDATION", _errors_text()),
               (F.col("_hotel"), "HOTEL_NOT_FOUND", MSG["HOTEL_NOT_FOUND"])]
     code, msg = first_failure(checks)
-    v = v.withColumn("code", code).withColumn("message", msg)
+    v = materialize(v.select("request_seq", "hotel_id", "hotel_name", "city", "country", "total_rooms",
+                             code.alias("code"), msg.alias("message")))
     ok = v.where(F.col("code") == "OK").select("request_seq", "hotel_id", "hotel_name", "city", "country",
                                                "total_rooms")
+    return JobResult(v.select("request_seq", "code", "message"),
+                     Outputs(**_upsert_outputs(fx, ok, rooms, services)))
+
+
+def _upsert_outputs(fx, ok: DataFrame, rooms: DataFrame, services: DataFrame) -> dict:
     # hotel rows: the last accepted request per hotel wins
-    hotel_upd = (ok.groupBy("hotel_id")
-                 .agg(F.max_by(F.struct("hotel_name", "city", "country", "total_rooms"), "request_seq").alias("u"))
-                 .select("hotel_id", "u.*"))
+    def hotel_upd():
+        return (ok.groupBy("hotel_id")
+                .agg(F.max_by(F.struct("hotel_name", "city", "country", "total_rooms"), "request_seq").alias("u"))
+                .select("hotel_id", "u.*"))
+    pair: list = []
+
+    def services_pair():
+        if not pair:
+            pair.append(_upsert_services(fx, ok, services))
+        return pair[0]
+    return {"hotels": hotel_upd,
+            "rooms": lambda: _upsert_rooms(fx, ok, rooms),
+            "services_updated": lambda: services_pair()[0],
+            "services_new": lambda: services_pair()[1]}
+
+
+def _upsert_rooms(fx, ok: DataFrame, rooms: DataFrame) -> DataFrame:
     # rooms: (hotel, room_number) -> last occurrence wins; ids for new numbers
     # follow their first occurrence
     items = rooms.join(ok.select("request_seq", "hotel_id"), "request_seq").select(
@@ -370,6 +415,10 @@ def upsert_hotels(fx) -> JobResult:
                               .alias("is_available"))
                       .unionByName(inserts.select("room_id", "hotel_id", "room_number", "room_type",
                                                   "price_per_night", "is_available")))
+    return rooms_snapshot
+
+
+def _upsert_services(fx, ok: DataFrame, services: DataFrame) -> tuple[DataFrame, DataFrame]:
     # services: a known service_id of the hotel is updated (last wins), any
     # other item is inserted (blank names included, as the reference does)
     svc = services.join(ok.select("request_seq", "hotel_id"), "request_seq")
@@ -379,6 +428,4 @@ def upsert_hotels(fx) -> JobResult:
                .select("hotel_id", "service_id", "u.*"))
     svc_new = assign_ids(svc.where(~F.col("_known")), ["request_seq", "pos"], "SERV",
                          last_number(fx.services(), "service_id"), "new_service_id")
-    status = v.select("request_seq", "code", "message")
-    return JobResult(status, {"hotels": hotel_upd, "rooms": rooms_snapshot, "services_updated": svc_upd,
-                              "services_new": svc_new})
+    return svc_upd, svc_new

@@ -17,6 +17,8 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # remove checkpoint files once their DataFrame is garbage collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -68,3 +70,11 @@ def staging_path(spark: SparkSession, name: str) -> str:
     tables (snapshot writes, lineage cuts)."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "innkeep", name)
+
+
+def materialize(df):
+    """Compute an intermediate once for all its consumers and cut its
+    lineage: a reliable checkpoint in the shared checkpoint folder (survives
+    executor loss; never a machine-local folder or a local checkpoint)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
