@@ -50,8 +50,12 @@ SCHEMAS = {
 
 
 class FrameSet:
-    def __init__(self, spark: SparkSession, frames: dict[str, DataFrame | list] | None = None):
+    """Explicit tables; names not given fall back to ``base`` (another table
+    provider) or to an empty table of the right schema."""
+
+    def __init__(self, spark: SparkSession, frames: dict[str, DataFrame | list] | None = None, base=None):
         self.spark = spark
+        self.base = base
         self.frames: dict[str, DataFrame] = {}
         for name, value in (frames or {}).items():
             self.set(name, value)
@@ -64,6 +68,8 @@ class FrameSet:
 
     def table(self, name: str) -> DataFrame:
         if name not in self.frames:
+            if self.base is not None:
+                return self.base.table(name)
             self.frames[name] = self.spark.createDataFrame([], SCHEMAS[name])
         return self.frames[name]
 

@@ -1,0 +1,62 @@
+"""Request bodies arriving as JSON-lines files, applied by the batch jobs.
+
+``readStream`` over the request folder feeds ``foreachBatch``; each
+micro-batch runs the same job as a batch run (validation, lookups, ids) with
+the target table read as it stands after the earlier micro-batches.  Output
+rows are written under ``batch_id=<n>`` partitions with dynamic partition
+overwrite, and earlier output is read with ``batch_id < n``, so a retried
+micro-batch rewrites its own partition instead of duplicating it: together
+with the stream checkpoint this gives exactly-once results.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from innkeep.plans.jobs import ingest_reviews
+from innkeep.sources.frames import SCHEMAS, FrameSet
+
+
+def _earlier(spark: SparkSession, path: str, batch_id: int, columns: list[str]) -> DataFrame | None:
+    if not os.path.exists(path) and "://" not in path:
+        return None
+    try:
+        df = spark.read.parquet(path)
+    except Exception:  # nothing written yet
+        return None
+    return df.where(F.col("batch_id") < batch_id).select(*columns)
+
+
+def review_stream(spark: SparkSession, requests_dir: str, out_dir: str, base, checkpoint: str,
+                  available_now: bool = True):
+    """Start the review-request stream; returns the StreamingQuery.
+
+    ``base`` provides hotels, customers and reviews as they were before the
+    stream started (a :class:`Fixtures` or :class:`FrameSet`)."""
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    reviews_out = f"{out_dir.rstrip('/')}/reviews"
+    status_out = f"{out_dir.rstrip('/')}/review_status"
+    review_cols = ["id", "review_id", "hotel_id", "customer_id", "rating", "comment", "review_date"]
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        current = base.reviews()
+        earlier = _earlier(spark, reviews_out, batch_id, review_cols)
+        if earlier is not None:
+            current = current.unionByName(earlier)
+        tables = FrameSet(spark, {"review_requests": batch, "reviews": current}, base=base)
+        res = ingest_reviews(tables)
+        rows = res.outputs["rows"].select(
+            F.lit(None).cast("long").alias("id"), "review_id", "hotel_id", "customer_id", "rating", "comment",
+            "review_date")
+        (rows.withColumn("batch_id", F.lit(batch_id))
+         .write.mode("overwrite").partitionBy("batch_id").parquet(reviews_out))
+        (res.status.withColumn("batch_id", F.lit(batch_id))
+         .write.mode("overwrite").partitionBy("batch_id").parquet(status_out))
+
+    stream = spark.readStream.schema(SCHEMAS["review_requests"]).json(requests_dir)
+    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()

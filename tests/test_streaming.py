@@ -1,0 +1,34 @@
+"""Review requests arriving in two files: ids continue across micro-batches
+and a rerun of the stream does not duplicate output."""
+
+import json
+import os
+import tempfile
+
+from innkeep.streaming.commands import review_stream
+from tests.world import customer, hotel, world
+
+
+def _write(path, rows):
+    with open(path, "w") as f:
+        for r in rows:
+            f.write(json.dumps(r) + "\n")
+
+
+def test_review_stream_ids_continue(spark):
+    base = world(spark, hotels=[hotel(1)], customers=[customer(1)],
+                 reviews=[(1, "REV00007", "HOT00001", "CUST00001", 4, None, None)])
+    d = tempfile.mkdtemp(prefix="innkeep-stream-")
+    src, out, ck = (os.path.join(d, x) for x in ("in", "out", "ck"))
+    os.makedirs(src)
+    _write(os.path.join(src, "a.json"), [
+        {"request_seq": 1, "hotel_id": "HOT00001", "customer_id": "CUST00001", "rating": "5", "comment": " ok "},
+        {"request_seq": 2, "hotel_id": "HOT00009", "customer_id": "CUST00001", "rating": "5", "comment": ""}])
+    review_stream(spark, src, out, base, ck).awaitTermination()
+    _write(os.path.join(src, "b.json"), [
+        {"request_seq": 3, "hotel_id": "HOT00001", "customer_id": "CUST00001", "rating": "4.5", "comment": "x"}])
+    review_stream(spark, src, out, base, ck).awaitTermination()
+    rows = spark.read.parquet(os.path.join(out, "reviews")).orderBy("review_id").collect()
+    assert [(r.review_id, r.rating, r.comment) for r in rows] == [("REV00008", 5, "ok"), ("REV00009", 5, "x")]
+    status = spark.read.parquet(os.path.join(out, "review_status")).orderBy("request_seq").collect()
+    assert [s.code for s in status] == ["OK", "HOTEL_NOT_FOUND", "OK"]
