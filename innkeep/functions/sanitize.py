@@ -21,11 +21,14 @@ from innkeep.functions.text import js_trim
 DROP_WITH_CONTENT = ("script", "style", "iframe", "noscript", "template", "title", "svg", "math",
                      "object", "embed", "noembed", "noframes", "xmp", "plaintext")
 
-# (pattern, replacement) applied in order.
+_TAGS = "|".join(DROP_WITH_CONTENT)
+
+# (pattern, replacement) applied in order, only to strings that contain "<"
+# (text without markup is kept verbatim).
 SANITIZE_STEPS = [
     (r"(?s)<!--.*?-->", ""),
-    *[(rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>", "") for t in DROP_WITH_CONTENT],
-    *[(rf"(?is)<{t}\b[^>]*/?>", "") for t in DROP_WITH_CONTENT],
+    ("(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in DROP_WITH_CONTENT), ""),
+    (rf"(?is)<(?:{_TAGS})\b[^>]*/?>", ""),
     (r"""(?i)\s+on[a-z]+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", ""),
     (r"""(?i)\s+(href|src|action|formaction|xlink:href)\s*=\s*("\s*javascript:[^"]*"|'\s*javascript:[^']*'|javascript:[^\s>]*)""", ""),
 ]
@@ -33,9 +36,10 @@ SANITIZE_STEPS = [
 
 def sanitize_text(c: str | Column) -> Column:
     col = F.col(c) if isinstance(c, str) else c
+    cleaned = col
     for pat, rep in SANITIZE_STEPS:
-        col = F.regexp_replace(col, pat, rep)
-    return js_trim(col)
+        cleaned = F.regexp_replace(cleaned, pat, rep)
+    return js_trim(F.when(col.contains("<"), cleaned).otherwise(col))
 
 
 def sanitize_sql(col: str) -> str:
@@ -44,4 +48,5 @@ def sanitize_sql(col: str) -> str:
     for pat, rep in SANITIZE_STEPS:
         p = pat.replace("'", "''")
         expr = f"regexp_replace({expr}, '{p}', '{rep}', 'g')"
-    return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"
+    guarded = f"CASE WHEN contains({col}, '<') THEN {expr} ELSE {col} END"
+    return f"regexp_replace({guarded}, '^\\s+|\\s+$', '', 'g')"

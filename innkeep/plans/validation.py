@@ -240,25 +240,25 @@ class ItemPart:
 
 def request_errors(header: DataFrame, header_specs: list[Spec], parts: list[ItemPart],
                    key: str = "request_seq") -> DataFrame:
-    """(key, errors ARRAY<STRING>) for every header row."""
+    """(key, errors ARRAY<STRING>) for every header row.  Per item table one
+    aggregation gives both the failing items (in position order) and the
+    item count for the non-empty rule."""
     out = header.select(key, spark_errors(header_specs).alias("_h"))
     names = ["_h"]
+    empty = F.array().cast("array<string>")
     for i, p in enumerate(parts):
         name = f"_i{i}"
-        errs = (p.items.select(key, "pos", spark_errors(p.specs).alias("e"))
-                .where(F.size("e") > 0)
-                .groupBy(key)
-                .agg(F.array_sort(F.collect_list(F.struct("pos", "e"))).alias("_l")))
-        errs = errs.select(key, F.flatten(F.transform("_l", lambda x: x["e"])).alias(name))
-        out = out.join(errs, key, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+        per_item = p.items.select(key, "pos", spark_errors(p.specs).alias("e"))
+        grouped = (per_item.groupBy(key)
+                   .agg(F.array_sort(F.collect_list(F.when(F.size("e") > 0, F.struct("pos", "e")))).alias("_l"),
+                        F.count(F.lit(1)).alias(f"_n{i}")))
+        grouped = grouped.select(key, F.flatten(F.transform("_l", lambda x: x["e"])).alias(name), f"_n{i}")
+        out = out.join(grouped, key, "left").withColumn(name, F.coalesce(name, empty))
         names.append(name)
         if p.nonempty_msg:
-            cnt = p.items.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
             nm = f"_e{i}"
-            out = (out.join(cnt, key, "left")
-                   .withColumn(nm, F.when(F.coalesce("_n", F.lit(0)) == 0, F.array(F.lit(p.nonempty_msg)))
-                               .otherwise(F.array().cast("array<string>")))
-                   .drop("_n"))
+            out = out.withColumn(nm, F.when(F.coalesce(f"_n{i}", F.lit(0)) == 0, F.array(F.lit(p.nonempty_msg)))
+                                 .otherwise(empty))
             names.append(nm)
     return out.select(key, F.concat(*[F.col(n) for n in names]).alias("errors"))
 
