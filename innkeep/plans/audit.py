@@ -1,9 +1,9 @@
 """``audit_constraints``: the DDL's constraints checked over whole tables.
 
-Per table, every non-FK constraint is one expression of a single aggregate
-pass (``count_if`` / ``count - count_distinct``), unpivoted into
-(table_name, constraint_name, violations) rows.  Each foreign key is a
-left-anti join against the parent's key column(s) and a count.
+Per table, every constraint is one expression of a single aggregate pass
+(``count_if`` / ``count - count_distinct``), unpivoted into (table_name,
+constraint_name, violations) rows; a foreign key is an existence flag from a
+left join with the parent's distinct key column(s).
 """
 
 from __future__ import annotations
@@ -87,30 +87,33 @@ def _violation_expr(kind: str, args):
 
 
 def audit(fx) -> DataFrame:
+    """One pass per table: each foreign key is an existence flag (left join
+    with the parent's distinct keys), then every constraint of the table is
+    one ``count_if`` of a single aggregate, unpivoted to rows."""
+    from innkeep.plans.jobs import flag
     parts = []
-    tables = []
-    for t, _, _ in CONSTRAINTS:
-        if t not in tables:
-            tables.append(t)
+    tables = list(dict.fromkeys(t for t, _, _ in CONSTRAINTS))
     for t in tables:
-        local = [(k, a) for tt, k, a in CONSTRAINTS if tt == t and k != "fk"]
-        if local:
-            aggs = [_violation_expr(k, a).cast("long").alias(f"c{i}") for i, (k, a) in enumerate(local)]
-            row = fx.table(t).agg(*aggs)
-            entries = F.array(*[F.struct(F.lit(constraint_name(k, a)).alias("constraint_name"),
-                                         F.col(f"c{i}").alias("violations"))
-                                for i, (k, a) in enumerate(local)])
-            parts.append(row.select(F.lit(t).alias("table_name"), F.inline(entries)))
-        for tt, k, a in CONSTRAINTS:
-            if tt != t or k != "fk":
-                continue
-            cols, parent, pcols = a
-            # MATCH SIMPLE: a key with any NULL column is not checked.
-            child = fx.table(t).select(*cols).where(" AND ".join(f"{c} IS NOT NULL" for c in cols))
-            keys = fx.table(parent).select(*[F.col(p).alias(c) for p, c in zip(pcols, cols)]).distinct()
-            bad = child.join(keys, list(cols), "left_anti").agg(F.count(F.lit(1)).cast("long").alias("violations"))
-            parts.append(bad.select(F.lit(t).alias("table_name"),
-                                    F.lit(constraint_name(k, a)).alias("constraint_name"), "violations"))
+        cons = [(k, a) for tt, k, a in CONSTRAINTS if tt == t]
+        df = fx.table(t)
+        exprs = []
+        for i, (k, a) in enumerate(cons):
+            if k == "fk":
+                cols, parent, pcols = a
+                keys = fx.table(parent).select(*[F.col(p).alias(c) for p, c in zip(pcols, cols)])
+                df = flag(df, keys, list(cols), f"_fk{i}")
+                # MATCH SIMPLE: a key with any NULL column is not checked
+                present = F.lit(True)
+                for c in cols:
+                    present = present & F.col(c).isNotNull()
+                exprs.append(F.count_if(present & ~F.col(f"_fk{i}")))
+            else:
+                exprs.append(_violation_expr(k, a))
+        row = df.agg(*[e.cast("long").alias(f"c{i}") for i, e in enumerate(exprs)])
+        entries = F.array(*[F.struct(F.lit(constraint_name(k, a)).alias("constraint_name"),
+                                     F.col(f"c{i}").alias("violations"))
+                            for i, (k, a) in enumerate(cons)])
+        parts.append(row.select(F.lit(t).alias("table_name"), F.inline(entries)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
