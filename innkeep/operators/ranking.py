@@ -34,10 +34,11 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], rank_col: str = "r
 
     ``order`` must be a total order (end it with a unique key) so the result
     is deterministic and survives task retries."""
-    spark = df.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = _cols(order)
-    ranged = (df.repartitionByRange(parts, *order_cols)
+    # Without an explicit count AQE sizes the range partitions to the data
+    # (it only merges adjacent ranges, so partition ids stay in key order).
+    parts = (num_partitions,) if num_partitions else ()
+    ranged = (df.repartitionByRange(*parts, *order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))

@@ -19,7 +19,7 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     pats = sys.argv[2:]
     load_all()
-    spark = get_session("local[8]", 8)
+    spark = get_session("local[8]", int(os.environ.get("CHECK_SHUFFLE_PARTITIONS", "8")))
     fx = Fixtures(spark, sf)
     con = duck_connect(sf)
     bad = 0
