@@ -227,6 +227,33 @@ class HotelAnswers:
                 & (F.col("average_rating") >= F.lit(min_rating)))
 
     # -- booking history of one customer ---------------------------------------
+    def booking_history_literal(self, customer_id: str, page_no: int = 1) -> DataFrame:
+        """Quirk Q6: LIMIT/OFFSET count joined (booking x room x cancel) rows,
+        so a booking can be cut across pages; each booking's scalars come
+        from its first row.  Row ties are broken by room and cancel ids."""
+        fx = self.fx
+        mine = fx.bookings().where(F.col("customer_id") == F.lit(customer_id))
+        total = mine.select(F.count_distinct("booking_id")).scalar()
+        cust = fx.customers().select("customer_id", F.col("full_name").alias("customer_name"))
+        rows = (mine.join(cust, "customer_id", "left")
+                .join(fx.booking_rooms().select("booking_id", "booking_room_id"), "booking_id", "left")
+                .join(fx.hotels().select("hotel_id", "hotel_name"), "hotel_id")
+                .join(fx.bookings_cancelled().select("booking_id", "booking_cancel_id", "cancel_reason"),
+                      "booking_id", "left"))
+        order = [*newest_first(), F.col("booking_room_id").asc_nulls_first(),
+                 F.col("booking_cancel_id").asc_nulls_first()]
+        pg = page(rows, order, page_no, pos_col="row_pos")
+        out = pg.groupBy("booking_id").agg(
+            F.min("row_pos").alias("page_pos"),
+            F.count(F.lit(1)).alias("n_room_entries"),
+            *[F.min_by(c, "row_pos").alias(c) for c in
+              ("hotel_name", "hotel_id", "cancel_reason", "total_amount", "booking_status", "customer_name")])
+        return out.select(
+            F.col("hotel_name").alias("hotelName"), "booking_id", "hotel_id", "cancel_reason",
+            as_double("total_amount").alias("total_amount"), "booking_status", "customer_name",
+            "n_room_entries", "page_pos", total.alias("total_bookings"), page_count(total).alias("total_pages"),
+            F.lit(page_no).cast("int").alias("current_page")).transform(in_page_order)
+
     def booking_history(self, customer_id: str, page_no: int = 1) -> DataFrame:
         fx = self.fx
         mine = fx.bookings().where(F.col("customer_id") == F.lit(customer_id))

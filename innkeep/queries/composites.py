@@ -145,3 +145,27 @@ FROM pg LEFT JOIN customers c ON pg.customer_id = c.customer_id
 """)
 def booking_history(fx):
     return HotelAnswers(fx).booking_history(**HISTORY)
+
+
+@register("booking_history_literal", f"""
+WITH mine AS (SELECT * FROM bookings WHERE customer_id = '{HISTORY['customer_id']}'),
+r AS (SELECT b.*, c.full_name AS customer_name, br.booking_room_id, h.hotel_name, bc.booking_cancel_id,
+             bc.cancel_reason
+      FROM mine b LEFT JOIN customers c ON b.customer_id = c.customer_id
+      LEFT JOIN booking_rooms br ON b.booking_id = br.booking_id
+      JOIN hotels h ON b.hotel_id = h.hotel_id
+      LEFT JOIN bookings_cancelled bc ON b.booking_id = bc.booking_id),
+pg AS (SELECT *, ROW_NUMBER() OVER (ORDER BY created_at DESC, id, booking_room_id NULLS FIRST,
+                                      booking_cancel_id NULLS FIRST) AS row_pos
+       FROM r ORDER BY row_pos LIMIT 10 OFFSET 0)
+SELECT arg_min(hotel_name, row_pos) AS hotelName, booking_id, arg_min(hotel_id, row_pos) AS hotel_id,
+       arg_min(cancel_reason, row_pos) AS cancel_reason,
+       CAST(arg_min(total_amount, row_pos) AS DOUBLE) AS total_amount,
+       arg_min(booking_status, row_pos) AS booking_status, arg_min(customer_name, row_pos) AS customer_name,
+       COUNT(*) AS n_room_entries, MIN(row_pos) AS page_pos,
+       (SELECT COUNT(DISTINCT booking_id) FROM mine) AS total_bookings,
+       {pages('(SELECT COUNT(DISTINCT booking_id) FROM mine)')} AS total_pages, 1 AS current_page
+FROM pg GROUP BY booking_id
+""")
+def booking_history_literal(fx):
+    return HotelAnswers(fx).booking_history_literal(**HISTORY)
