@@ -20,14 +20,12 @@ reference's observable quirks (SURVEY 2.13) where they differ.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from innkeep.operators import aggregates as agg
 from innkeep.operators.filters import contains_ci, like_ci
-from innkeep.operators.ranking import PAGE_SIZE, page, page_count
+from innkeep.operators.ranking import page, page_count
 from innkeep.session import materialize
 from innkeep.sources.fixtures import Fixtures
 
@@ -62,12 +60,6 @@ def semi(df: DataFrame, keys: DataFrame, on: str = "hotel_id") -> DataFrame:
     return df.join(F.broadcast(keys.select(on).distinct()), on, "left_semi")
 
 
-@dataclass
-class Params:
-    page: int = 1
-    mode: str = "intended"
-
-
 class HotelAnswers:
     """Builds the read answers over one set of fixture tables."""
 

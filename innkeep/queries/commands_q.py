@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from innkeep.oracle.sqlparts import digits, last_number as sql_last, pad5 as sql_pad5
+from innkeep.oracle.sqlparts import last_number as sql_last, pad5 as sql_pad5
 from innkeep.plans import jobs as J
 from innkeep.plans.bookings_job import ingest_bookings as run_ingest_bookings
 from innkeep.plans.validation import SQL_ERRORS, sq
