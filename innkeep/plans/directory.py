@@ -55,9 +55,16 @@ def in_page_order(df: DataFrame) -> DataFrame:
     return df.coalesce(1).sortWithinPartitions("page_pos")
 
 
-def semi(df: DataFrame, keys: DataFrame, on: str = "hotel_id") -> DataFrame:
-    """``WHERE hotel_id IN (page ids)``; ``keys`` is a page (<= 10 rows)."""
-    return df.join(F.broadcast(keys.select(on).distinct()), on, "left_semi")
+def semi(df: DataFrame, page_keys: DataFrame, on: str = "hotel_id") -> DataFrame:
+    """``WHERE hotel_id IN (page ids)``.  Only for a page (<= 10 rows): that
+    bound is what makes the broadcast safe."""
+    return df.join(F.broadcast(page_keys.select(on).distinct()), on, "left_semi")
+
+
+def semi_any(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Left-semi join on a key set of unknown size: no hint, AQE chooses
+    broadcast or shuffle from the measured size."""
+    return df.join(keys.select(on).distinct(), on, "left_semi")
 
 
 class HotelAnswers:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innkeep.operators import aggregates as agg
-from innkeep.plans.directory import HOTEL_COLS, HotelAnswers, newest_first, semi
+from innkeep.plans.directory import HOTEL_COLS, HotelAnswers, newest_first, semi, semi_any
 from innkeep.operators.ranking import page
 
 
@@ -34,10 +34,10 @@ def booking_entries(fx, hotels: DataFrame) -> DataFrame:
     row per booking, an empty rooms list for a booking without rooms)."""
     b = semi(fx.bookings(), hotels)
     cust = fx.customers().select("customer_id", F.col("full_name").alias("customer_name"))
-    br = semi(fx.booking_rooms(), b, "booking_id")
+    br = semi_any(fx.booking_rooms(), b, "booking_id")   # a hotel's bookings: unbounded
     rooms = _nest(br, "booking_id", ["booking_room_id"], ["room_number", "check_in", "check_out", "room_amount"],
                   "rooms")
-    bc = agg.latest_cancel(semi(fx.bookings_cancelled(), b, "booking_id")).select("booking_id", "cancel_reason")
+    bc = agg.latest_cancel(semi_any(fx.bookings_cancelled(), b, "booking_id")).select("booking_id", "cancel_reason")
     entries = _attach(b.join(cust, "customer_id", "left").join(bc, "booking_id", "left"), rooms, "booking_id",
                       "rooms")
     entries = entries.withColumn("_neg_ts", -F.unix_micros(F.col("created_at").cast("timestamp")))
