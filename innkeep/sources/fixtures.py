@@ -69,9 +69,6 @@ class Fixtures:
         geo = self._geo()
         return df.join(geo, df[key] == geo.n_nationkey)
 
-    def hotel_key(self, n_expr: Column) -> Column:
-        return lpad_key("HOT", n_expr)
-
     # -- domain tables ---------------------------------------------------------
     def hotels(self) -> DataFrame:
         s = self._with_geo(self.t.supplier, "s_nationkey")
