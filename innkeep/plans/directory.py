@@ -233,12 +233,16 @@ class HotelAnswers:
         fx = self.fx
         mine = fx.bookings().where(F.col("customer_id") == F.lit(customer_id))
         total = mine.select(F.count_distinct("booking_id")).scalar()
-        cust = fx.customers().select("customer_id", F.col("full_name").alias("customer_name"))
-        rows = (mine.join(cust, "customer_id", "left")
-                .join(fx.booking_rooms().select("booking_id", "booking_room_id"), "booking_id", "left")
-                .join(fx.hotels().select("hotel_id", "hotel_name"), "hotel_id")
-                .join(fx.bookings_cancelled().select("booking_id", "booking_cancel_id", "cancel_reason"),
-                      "booking_id", "left"))
+        # one customer's bookings: reduce each big table to their keys before
+        # the (left) joins, which cannot broadcast their left side
+        cust = semi_any(fx.customers(), mine, "customer_id").select(
+            "customer_id", F.col("full_name").alias("customer_name"))
+        br = semi_any(fx.booking_rooms(), mine, "booking_id").select("booking_id", "booking_room_id")
+        hotels = semi_any(fx.hotels(), mine, "hotel_id").select("hotel_id", "hotel_name")
+        bc = semi_any(fx.bookings_cancelled(), mine, "booking_id").select(
+            "booking_id", "booking_cancel_id", "cancel_reason")
+        rows = (mine.join(cust, "customer_id", "left").join(br, "booking_id", "left")
+                .join(hotels, "hotel_id").join(bc, "booking_id", "left"))
         order = [*newest_first(), F.col("booking_room_id").asc_nulls_first(),
                  F.col("booking_cancel_id").asc_nulls_first()]
         pg = page(rows, order, page_no, pos_col="row_pos")
@@ -257,11 +261,12 @@ class HotelAnswers:
         fx = self.fx
         mine = fx.bookings().where(F.col("customer_id") == F.lit(customer_id))
         total = mine.select(F.count_distinct("booking_id")).scalar()
-        hotels = fx.hotels().select("hotel_id", "hotel_name")
+        hotels = semi_any(fx.hotels(), mine, "hotel_id").select("hotel_id", "hotel_name")
         listed = mine.join(hotels, "hotel_id")                       # inner: Q7
         total_listed = listed.select(F.count(F.lit(1))).scalar()
         pg = page(listed, newest_first(), page_no)
-        cust = fx.customers().select("customer_id", F.col("full_name").alias("customer_name"))
+        cust = semi(fx.customers(), pg, "customer_id").select(
+            "customer_id", F.col("full_name").alias("customer_name"))
         br = (semi(fx.booking_rooms(), pg, "booking_id")
               .groupBy("booking_id")
               .agg(F.count(F.lit(1)).alias("n_rooms"), F.sum("room_amount").alias("rooms_amount")))
