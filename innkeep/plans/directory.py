@@ -115,6 +115,13 @@ class HotelAnswers:
                    .withColumn("n_bookings", F.coalesce("n_bookings", F.lit(0)).cast("long")))
         return out
 
+    def _envelope(self, totals: dict[str, Column], page_no: int) -> DataFrame:
+        """One row with the page's totals, present even when the page is
+        empty (quirk Q13, intended).  The totals are scalar subqueries over
+        the tables; the one-row frame only carries them."""
+        return self.fx.spark.range(1).select(
+            *[v.alias(k) for k, v in totals.items()], F.lit(page_no).cast("int").alias("current_page"))
+
     @staticmethod
     def _flat(cards: DataFrame, totals: dict[str, Column], page_no: int) -> DataFrame:
         cols = []
@@ -132,17 +139,20 @@ class HotelAnswers:
         return in_page_order(cards.select(*cols))
 
     # -- hotel directory (GET /get-all-hotels) ---------------------------------
-    def hotel_directory(self, page_no: int = 1, mode: str = "intended") -> DataFrame:
+    def hotel_directory(self, page_no: int = 1, mode: str = "intended", envelope: bool = False) -> DataFrame:
         hotels = self.fx.hotels().select(*HOTEL_COLS)
+        total = hotels.select(F.count(F.lit(1))).scalar()
+        totals = {"total_hotels": total, "total_pages": page_count(total)}
+        if envelope:
+            return self._envelope(totals, page_no)
         pg = page(hotels, newest_first(), page_no)
         cards = self._enrich(pg, bookings=True, price=False, mode=mode)
-        total = hotels.select(F.count(F.lit(1))).scalar()
-        return self._flat(cards, {"total_hotels": total, "total_pages": page_count(total)}, page_no)
+        return self._flat(cards, totals, page_no)
 
     # -- admin search (GET /filter-hotels) -------------------------------------
     def hotel_admin_search(self, city: str = "", country: str = "", ratings: float = 0.0,
                            sort_availability: str = "", bookings_count: str = "",
-                           page_no: int = 1, mode: str = "intended") -> DataFrame:
+                           page_no: int = 1, mode: str = "intended", envelope: bool = False) -> DataFrame:
         city, country = (city or "").lower(), (country or "").lower()
         sort_availability = (sort_availability or "").lower()
         bookings_count = (bookings_count or "").lower()
@@ -163,7 +173,7 @@ class HotelAnswers:
                 cards = cards.where(contains_ci("city", city))
             if country:
                 cards = cards.where(contains_ci("country", country))
-        if ratings:
+        if ratings and ratings == ratings:          # JS: 0 and NaN disable the filter
             cards = cards.where(F.col("average_rating") >= F.lit(ratings))
         cards = materialize(cards)  # read by the page and by its total
         order: list[Column] = []
@@ -175,38 +185,43 @@ class HotelAnswers:
             o = F.col("total_rooms_available")
             order.append(o.asc() if sort_availability == "low to high" else o.desc())
         order += newest_first()
+        total = cards.select(F.count(F.lit(1))).scalar()
+        totals = {"total_hotels": total, "total_pages": page_count(total)}
+        if envelope:
+            return self._envelope(totals, page_no)
         if mode == "literal":
-            total = cards.select(F.count(F.lit(1))).scalar()
             out = page(cards.drop("_newest"), order, 1) if page_no == 1 else \
                 cards.drop("_newest").limit(0).withColumn("page_pos", F.lit(None).cast("long"))
         else:
-            total = cards.select(F.count(F.lit(1))).scalar()
             out = page(cards, order, page_no)
-        return self._flat(out, {"total_hotels": total, "total_pages": page_count(total)}, page_no)
+        return self._flat(out, totals, page_no)
 
     # -- customer city/country search -----------------------------------------
     def hotel_search_city_country(self, city: str = "", country: str = "", page_no: int = 1,
-                                  mode: str = "intended") -> DataFrame:
+                                  mode: str = "intended", envelope: bool = False) -> DataFrame:
         city, country = (city or "").lower(), (country or "").lower()
         hotels = (self.fx.hotels().select(*HOTEL_COLS)
                   .where(like_ci("city", city) & like_ci("country", country)))
+        total = hotels.select(F.count(F.lit(1))).scalar()
+        totals = {"total_hotels": total, "total_pages": page_count(total)}
+        if envelope:
+            return self._envelope(totals, page_no)
         order = [F.col("hotel_id").asc(), F.col("id").asc()]
         pg = page(hotels, order, page_no)
         cards = self._enrich(pg, bookings=False, price=True).drop("created_at")
-        total = hotels.select(F.count(F.lit(1))).scalar()
-        return self._flat(cards, {"total_hotels": total, "total_pages": page_count(total)}, page_no)
+        return self._flat(cards, totals, page_no)
 
     # -- customer price / rating search ---------------------------------------
     def hotel_search_price_rating(self, min_price: float = 0.0, max_price: float = 100000.0,
                                   min_rating: float = 0.0, page_no: int = 1,
-                                  mode: str = "intended") -> DataFrame:
+                                  mode: str = "intended", envelope: bool = False) -> DataFrame:
         fx = self.fx
         with_rooms = fx.hotels().select(*HOTEL_COLS).join(fx.rooms().select("hotel_id"),
                                                            "hotel_id", "left_semi")
         if mode == "literal":
             pg = page(with_rooms, newest_first(), page_no, pos_col=None)
             cards = self._enrich(pg, bookings=False, price=True)
-            if min_price >= 0 and max_price and min_rating:      # Q3
+            if min_price >= 0 and max_price and min_rating and min_rating == min_rating:      # Q3
                 cards = cards.where(self._price_rating_pred(min_price, max_price, min_rating))
             total = cards.select(F.count(F.lit(1))).scalar()
             out = page(cards, newest_first(), 1) if page_no == 1 else \
@@ -216,8 +231,10 @@ class HotelAnswers:
             cards = materialize(cards.where(self._price_rating_pred(min_price, max_price, min_rating)))
             total = cards.select(F.count(F.lit(1))).scalar()
             out = page(cards, newest_first(), page_no)
-        out = out.drop("created_at")
-        return self._flat(out, {"total_hotels": total, "total_pages": page_count(total)}, page_no)
+        totals = {"total_hotels": total, "total_pages": page_count(total)}
+        if envelope:
+            return self._envelope(totals, page_no)
+        return self._flat(out.drop("created_at"), totals, page_no)
 
     @staticmethod
     def _price_rating_pred(min_price: float, max_price: float, min_rating: float) -> Column:
@@ -257,13 +274,16 @@ class HotelAnswers:
             "n_room_entries", "page_pos", total.alias("total_bookings"), page_count(total).alias("total_pages"),
             F.lit(page_no).cast("int").alias("current_page")).transform(in_page_order)
 
-    def booking_history(self, customer_id: str, page_no: int = 1) -> DataFrame:
+    def booking_history(self, customer_id: str, page_no: int = 1, envelope: bool = False) -> DataFrame:
         fx = self.fx
         mine = fx.bookings().where(F.col("customer_id") == F.lit(customer_id))
         total = mine.select(F.count_distinct("booking_id")).scalar()
         hotels = semi_any(fx.hotels(), mine, "hotel_id").select("hotel_id", "hotel_name")
         listed = mine.join(hotels, "hotel_id")                       # inner: Q7
         total_listed = listed.select(F.count(F.lit(1))).scalar()
+        if envelope:
+            return self._envelope({"total_bookings": total, "total_listed": total_listed,
+                                   "total_pages": page_count(total)}, page_no)
         pg = page(listed, newest_first(), page_no)
         cust = semi(fx.customers(), pg, "customer_id").select(
             "customer_id", F.col("full_name").alias("customer_name"))

@@ -83,6 +83,16 @@ def test_q7_history_total_counts_bookings_without_hotel(spark):
 
 def test_q13_totals_given_on_empty_page(spark):
     fs = _admin_world(spark)
-    rows = HotelAnswers(fs).hotel_directory(page_no=1).collect()
+    a = HotelAnswers(fs)
+    rows = a.hotel_directory(page_no=1).collect()
     assert all(r.total_hotels == 14 for r in rows)
-    assert HotelAnswers(fs).hotel_directory(page_no=3).count() == 0
+    assert a.hotel_directory(page_no=3).count() == 0
+    env = a.hotel_directory(page_no=3, envelope=True).collect()
+    assert [(e.total_hotels, e.total_pages, e.current_page) for e in env] == [(14, 2, 3)]
+    env = a.hotel_admin_search(city="lyon", page_no=5, envelope=True).first()
+    assert (env.total_hotels, env.total_pages) == (7, 1)
+
+
+def test_nan_rating_disables_filter(spark):
+    fs = _admin_world(spark)
+    assert HotelAnswers(fs).hotel_admin_search(ratings=float("nan"), envelope=True).first().total_hotels == 14
