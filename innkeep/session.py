@@ -55,14 +55,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``; we only pick one
     ourselves when it is unset (local tests)."""
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
+    d = sc.getCheckpointDir()
+    if d:
+        return d
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="innkeep-ckpt-")
-    if not (hasattr(sc, "getCheckpointDir") and sc.getCheckpointDir()):
-        sc.setCheckpointDir(d)
-    return d
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder: innkeep checkpoints "
+                               "rankings, job decisions and claim rounds there")
+        d = tempfile.mkdtemp(prefix="innkeep-ckpt-")   # local runs and tests only
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir()
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
