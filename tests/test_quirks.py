@@ -96,3 +96,43 @@ def test_q13_totals_given_on_empty_page(spark):
 def test_nan_rating_disables_filter(spark):
     fs = _admin_world(spark)
     assert HotelAnswers(fs).hotel_admin_search(ratings=float("nan"), envelope=True).first().total_hotels == 14
+
+
+def test_q5_literal_booking_sort_has_no_effect(spark):
+    hotels = [hotel(i, hours=i) for i in range(1, 5)]
+    bookings = [booking(i, 1, 1 + i % 4) for i in range(1, 11)] + [booking(11, 1, 4), booking(12, 1, 4)]
+    fs = world(spark, hotels=hotels, customers=[customer(1)], bookings=bookings)
+    a = HotelAnswers(fs)
+    lit = [r.hotel_id for r in a.hotel_admin_search(bookings_count="high to low", mode="literal").collect()]
+    newest = [r.hotel_id for r in a.hotel_directory().collect()]
+    assert lit == newest                        # the sort compared an undefined field
+    intended = a.hotel_admin_search(bookings_count="high to low").collect()
+    assert [r.total_bookings for r in intended] == sorted((r.total_bookings for r in intended), reverse=True)
+
+
+def test_q6_literal_history_pages_room_rows(spark):
+    bookings = [booking(i, 1, 1, hours=i) for i in range(1, 5)]
+    br = [(f"BR{b}-{k}", f"BOOK{b:05d}", str(100 + k), None, None, Decimal("1")) for b in range(1, 5)
+          for k in range(1, 5)]
+    fs = world(spark, hotels=[hotel(1)], customers=[customer(1)], bookings=bookings, booking_rooms=br)
+    a = HotelAnswers(fs)
+    lit = a.booking_history_literal("CUST00001").collect()
+    assert [(r.booking_id, r.n_room_entries) for r in lit] == [("BOOK00004", 4), ("BOOK00003", 4),
+                                                                 ("BOOK00002", 2)]
+    assert [r.booking_id for r in a.booking_history("CUST00001").collect()] == [
+        "BOOK00004", "BOOK00003", "BOOK00002", "BOOK00001"]
+
+
+def test_q10_hotels_with_rooms_newest_first(spark):
+    fs = world(spark, hotels=[hotel(1, hours=1), hotel(2, hours=2), hotel(3, hours=3)],
+               rooms=[room(1, 1, "101"), room(2, 1, "102"), room(3, 3, "101")])
+    rows = HotelAnswers(fs).hotel_search_price_rating(min_price=0, max_price=1000).collect()
+    assert [r.hotel_id for r in rows] == ["HOT00003", "HOT00001"]
+
+
+def test_q12_roomless_booking_literal_entry(spark):
+    from innkeep.registry import QUERIES, load_all
+    load_all()
+    fs = world(spark, hotels=[hotel(1)], customers=[customer(1)], bookings=[booking(1, 1, 1)])
+    r = QUERIES["agg_nest_bookings"](fs).first()
+    assert (r.n_rooms, r.n_room_entries_literal) == (0, 1)
