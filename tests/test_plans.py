@@ -39,3 +39,21 @@ def test_no_cartesian_products_anywhere(fx):
         plan = _plan(QUERIES[key](fx))
         assert "CartesianProduct" not in plan, key
         assert "BroadcastNestedLoopJoin" not in plan, key
+
+
+def test_single_partition_exchanges_only_above_bounded_inputs(fx):
+    """No unaggregated data goes through one task: every single-partition
+    exchange sits on a partial aggregate or on global_rank's one-row-per-
+    partition table."""
+    import importlib.util
+    import os
+    spec = importlib.util.spec_from_file_location(
+        "plan_audit", os.path.join(os.path.dirname(__file__), "..", "scripts", "plan_audit.py"))
+    audit = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(audit)
+    for key in ["hotel_directory", "hotel_admin_search", "booking_history", "sort_price_asc", "update_maintenance",
+                "ingest_bookings", "audit_constraints", "agg_last_id", "validate_hotels"]:
+        df = QUERIES[key](fx)
+        df.write.format("noop").mode("overwrite").save()
+        bad = [c for c, ok in audit.single_partition_inputs(df) if not ok]
+        assert not bad, (key, bad)
