@@ -16,9 +16,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from innkeep.plans.jobs import ingest_reviews
 from innkeep.sources.frames import SCHEMAS, FrameSet
 
+MALFORMED = "MALFORMED_REQUEST"
+
 
 def _earlier(spark: SparkSession, path: str, batch_id: int, columns: list[str]) -> DataFrame | None:
     if not os.path.exists(path) and "://" not in path:
@@ -42,6 +46,9 @@ def review_stream(spark: SparkSession, requests_dir: str, out_dir: str, base, ch
     review_cols = ["id", "review_id", "hotel_id", "customer_id", "rating", "comment", "review_date"]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        # a body that does not parse is a reject of its own, never a request
+        malformed = batch.where(F.col("_corrupt_record").isNotNull())
+        batch = batch.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
         current = base.reviews()
         earlier = _earlier(spark, reviews_out, batch_id, review_cols)
         if earlier is not None:
@@ -53,10 +60,17 @@ def review_stream(spark: SparkSession, requests_dir: str, out_dir: str, base, ch
             "review_date")
         (rows.withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").partitionBy("batch_id").parquet(reviews_out))
-        (res.status.withColumn("batch_id", F.lit(batch_id))
+        bad = malformed.select(F.col("request_seq"), F.lit(MALFORMED).alias("code"),
+                               F.col("_corrupt_record").alias("message"),
+                               F.lit(None).cast("string").alias("review_id"))
+        (res.status.unionByName(bad).withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").partitionBy("batch_id").parquet(status_out))
 
-    stream = spark.readStream.schema(SCHEMAS["review_requests"]).json(requests_dir)
+    schema = T.StructType(spark.createDataFrame([], SCHEMAS["review_requests"]).schema.fields
+                          + [T.StructField("_corrupt_record", T.StringType())])
+    stream = (spark.readStream.schema(schema)
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+              .json(requests_dir))
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()

@@ -27,8 +27,10 @@ def test_review_stream_ids_continue(spark):
     review_stream(spark, src, out, base, ck).awaitTermination()
     _write(os.path.join(src, "b.json"), [
         {"request_seq": 3, "hotel_id": "HOT00001", "customer_id": "CUST00001", "rating": "4.5", "comment": "x"}])
+    with open(os.path.join(src, "b.json"), "a") as f:
+        f.write('{"request_seq": 4, "hotel_id": \n')
     review_stream(spark, src, out, base, ck).awaitTermination()
     rows = spark.read.parquet(os.path.join(out, "reviews")).orderBy("review_id").collect()
     assert [(r.review_id, r.rating, r.comment) for r in rows] == [("REV00008", 5, "ok"), ("REV00009", 5, "x")]
     status = spark.read.parquet(os.path.join(out, "review_status")).orderBy("request_seq").collect()
-    assert [s.code for s in status] == ["OK", "HOTEL_NOT_FOUND", "OK"]
+    assert [s.code for s in status] == ["MALFORMED_REQUEST", "OK", "HOTEL_NOT_FOUND", "OK"]
