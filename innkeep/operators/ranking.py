@@ -29,7 +29,7 @@ def _cols(cols: Sequence[str | Column]) -> list[Column]:
 
 
 def global_rank(df: DataFrame, order: Sequence[str | Column], rank_col: str = "rank",
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, keep_partition: bool = False) -> DataFrame:
     """Attach ``rank_col`` = 1-based position of each row in ``order``.
 
     ``order`` must be a total order (end it with a unique key) so the result
@@ -54,24 +54,29 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], rank_col: str = "r
             Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # offsets has exactly one row per partition: a bounded broadcast.
     out = ranged.join(F.broadcast(offsets.select("_pid", "_m0", "_off")), "_pid")
-    return (out.withColumn(rank_col, (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).cast("long"))
-            .drop("_pid", "_mid", "_m0", "_off"))
+    out = (out.withColumn(rank_col, (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).cast("long"))
+           .drop("_mid", "_m0", "_off"))
+    return out if keep_partition else out.drop("_pid")
 
 
 def rank_within_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                        pos_col: str = "pos") -> DataFrame:
     """1-based position of each row inside its ``keys`` group along ``order``.
 
-    Uses :func:`global_rank` over (keys, order) so one hot group is spread
-    over many range partitions, then subtracts the group's first rank; the
-    per-group first rank is a partial (map-side) aggregate.  The join back on
-    the group key is an ordinary shuffle join whose skewed partitions AQE
-    splits (``spark.sql.adaptive.skewJoin.enabled``)."""
-    ranked = global_rank(df, [*keys, *order], rank_col="_grank")
-    first = ranked.groupBy(*keys).agg(F.min("_grank").alias("_gfirst"))
-    return (ranked.join(first, list(keys))
+    Uses :func:`global_rank` over (keys, order), so one hot group is spread
+    over many range partitions, then subtracts the group's first rank.  The
+    first rank is found per (range partition, group) and then per group (two
+    partial aggregates whose result has at most groups + partitions rows) and
+    joined back on (range partition, group): a hot group's rows stay split by
+    partition in that join too, so no task sees more than one partition's
+    share of it."""
+    ranked = global_rank(df, [*keys, *order], rank_col="_grank", keep_partition=True)
+    per_part = ranked.groupBy("_pid", *keys).agg(F.min("_grank").alias("_pfirst"))
+    first = per_part.groupBy(*keys).agg(F.min("_pfirst").alias("_gfirst"))
+    starts = per_part.join(first, list(keys)).select("_pid", *keys, "_gfirst")
+    return (ranked.join(starts, ["_pid", *keys])
             .withColumn(pos_col, (F.col("_grank") - F.col("_gfirst") + 1).cast("long"))
-            .drop("_grank", "_gfirst"))
+            .drop("_grank", "_gfirst", "_pid"))
 
 
 def page(df: DataFrame, order: Sequence[str | Column], page_no: int = 1,
