@@ -28,36 +28,64 @@ def _attach(base: DataFrame, arr: DataFrame, key: str, name: str) -> DataFrame:
     return base.join(arr, key, "left").withColumn(name, F.coalesce(F.col(name), empty))
 
 
-def booking_entries(fx, hotels: DataFrame) -> DataFrame:
+def booking_entries(fx, hotels: DataFrame, mode: str = "intended") -> DataFrame:
     """hotel_id, bookings: [{booking_id, customer_name, status, total_amount,
-    cancel_reason, rooms: [...]}], newest first (intended mode: one cancel
-    row per booking, an empty rooms list for a booking without rooms)."""
+    cancel_reason, rooms: [...]}], newest first.
+
+    intended: one cancel row per booking (the latest), an empty rooms list for
+    a booking without rooms.  literal (quirks Q11/Q12): the booking's joined
+    rows are its room entries, so every cancel row repeats the rooms and a
+    booking without rooms gets one all-NULL room; the first row supplies the
+    scalars."""
     b = semi(fx.bookings(), hotels)
     cust = fx.customers().select("customer_id", F.col("full_name").alias("customer_name"))
-    br = semi_any(fx.booking_rooms(), b, "booking_id")   # a hotel's bookings: unbounded
-    rooms = _nest(br, "booking_id", ["booking_room_id"], ["room_number", "check_in", "check_out", "room_amount"],
-                  "rooms")
-    bc = agg.latest_cancel(semi_any(fx.bookings_cancelled(), b, "booking_id")).select("booking_id", "cancel_reason")
-    entries = _attach(b.join(cust, "customer_id", "left").join(bc, "booking_id", "left"), rooms, "booking_id",
-                      "rooms")
+    room_fields = ["room_number", "check_in", "check_out", "room_amount"]
+    if mode == "literal":
+        chain = agg.booking_chain(b, fx.customers(), semi_any(fx.booking_rooms(), b, "booking_id"),
+                                  semi_any(fx.bookings_cancelled(), b, "booking_id"))
+        row_key = F.struct(F.col("booking_room_id").isNotNull(), "booking_room_id",
+                           F.col("booking_cancel_id").isNotNull(), "booking_cancel_id")
+        chain = chain.withColumn("_row", row_key)
+        rooms = _nest(chain, "booking_id", ["_row"], room_fields, "rooms")
+        scalars = chain.groupBy("booking_id").agg(
+            *[F.min_by(c, "_row").alias(c) for c in ("hotel_id", "id", "created_at", "customer_name",
+                                                     "booking_status", "total_amount", "cancel_reason")])
+        entries = scalars.join(rooms, "booking_id")
+    else:
+        br = semi_any(fx.booking_rooms(), b, "booking_id")   # a hotel's bookings: unbounded
+        rooms = _nest(br, "booking_id", ["booking_room_id"], room_fields, "rooms")
+        bc = agg.latest_cancel(semi_any(fx.bookings_cancelled(), b, "booking_id")).select("booking_id",
+                                                                                          "cancel_reason")
+        entries = _attach(b.join(cust, "customer_id", "left").join(bc, "booking_id", "left"), rooms,
+                          "booking_id", "rooms")
     entries = entries.withColumn("_neg_ts", -F.unix_micros(F.col("created_at").cast("timestamp")))
     return _nest(entries, "hotel_id", ["_neg_ts", "id"],
                  ["booking_id", "customer_name", F.col("booking_status").alias("status"), "total_amount",
                   "cancel_reason", "rooms"], "bookings")
 
 
-def directory_documents(fx, page_no: int = 1) -> DataFrame:
-    hotels = page(fx.hotels().select(*HOTEL_COLS), newest_first(), page_no)
-    cards = HotelAnswers(fx)._enrich(hotels, bookings=True, price=False)
-    rooms = _nest(semi(fx.rooms(), hotels), "hotel_id", ["id"],
+def page_documents(fx, cards: DataFrame, bookings: bool = True, rooms_by_price: bool = False,
+                   mode: str = "intended") -> DataFrame:
+    """Nest the children of a page of hotel cards (any answer's page: at most
+    10 hotels, which bounds the broadcast of its keys)."""
+    cust = fx.customers().select("customer_id", F.col("full_name").alias("customer_name"))
+    room_order = [F.col("price_per_night").isNotNull(), "price_per_night", "id"] if rooms_by_price else ["id"]
+    rooms = _nest(semi(fx.rooms(), cards), "hotel_id", room_order,
                   ["room_number", "room_type", "price_per_night", "is_available"], "rooms")
-    services = _nest(semi(fx.services(), hotels), "hotel_id", ["service_id"],
+    services = _nest(semi(fx.services(), cards), "hotel_id", ["service_id"],
                      ["service_id", "service_name", "service_charge"], "services")
-    cust = fx.customers().select("customer_id", F.col("full_name").alias("customer_name"))
-    reviews = _nest(semi(fx.reviews(), hotels).join(cust, "customer_id", "left"), "hotel_id", ["id"],
+    reviews = _nest(semi(fx.reviews(), cards).join(cust, "customer_id", "left"), "hotel_id", ["id"],
                     ["customer_name", "rating", "comment", "review_date"], "reviews")
     doc = cards
-    for arr, name in ((rooms, "rooms"), (services, "services"), (reviews, "reviews"),
-                      (booking_entries(fx, hotels), "bookings")):
+    parts = [(rooms, "rooms"), (services, "services"), (reviews, "reviews")]
+    if bookings:
+        parts.append((booking_entries(fx, cards, mode), "bookings"))
+    for arr, name in parts:
         doc = _attach(doc, arr, "hotel_id", name)
     return doc.drop("id")
+
+
+def directory_documents(fx, page_no: int = 1, mode: str = "intended") -> DataFrame:
+    hotels = page(fx.hotels().select(*HOTEL_COLS), newest_first(), page_no)
+    cards = HotelAnswers(fx)._enrich(hotels, bookings=True, price=False, mode=mode)
+    return page_documents(fx, cards, bookings=True, mode=mode)

@@ -136,3 +136,20 @@ def test_q12_roomless_booking_literal_entry(spark):
     fs = world(spark, hotels=[hotel(1)], customers=[customer(1)], bookings=[booking(1, 1, 1)])
     r = QUERIES["agg_nest_bookings"](fs).first()
     assert (r.n_rooms, r.n_room_entries_literal) == (0, 1)
+
+
+def test_q11_q12_nested_booking_entries(spark):
+    from innkeep.plans.documents import directory_documents
+    fs = world(spark, hotels=[hotel(1)], customers=[customer(1)],
+               bookings=[booking(1, 1, 1, hours=2), booking(2, 1, 1, hours=1)],
+               booking_rooms=[("BR1", "BOOK00001", "101", None, None, Decimal("1")),
+                              ("BR2", "BOOK00001", "102", None, None, Decimal("1"))],
+               bookings_cancelled=[("BOOKCANCEL1", "BOOK00001", "CUST00001", "HOT00001", Decimal("1"), "a"),
+                                   ("BOOKCANCEL2", "BOOK00001", "CUST00001", "HOT00001", Decimal("1"), "b")])
+    intended = directory_documents(fs).first().bookings
+    literal = directory_documents(fs, mode="literal").first().bookings
+    assert [(e.booking_id, len(e.rooms), e.cancel_reason) for e in intended] == [("BOOK00001", 2, "b"),
+                                                                                  ("BOOK00002", 0, None)]
+    assert [(e.booking_id, len(e.rooms), e.cancel_reason) for e in literal] == [("BOOK00001", 4, "a"),
+                                                                                ("BOOK00002", 1, None)]
+    assert literal[1].rooms[0].room_number is None
