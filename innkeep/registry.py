@@ -17,6 +17,7 @@ from innkeep.sources.fixtures import Fixtures
 
 QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+ORACLE_RAW: dict[str, str] = {}   # the same SQL over domain tables by name (no fixture views)
 
 
 def register(key: str, sql: str | None = None):
@@ -26,6 +27,7 @@ def register(key: str, sql: str | None = None):
         QUERIES[key] = fn
         if sql is not None:
             ORACLE[key] = with_views(sql)
+            ORACLE_RAW[key] = sql
         return fn
     return deco
 
