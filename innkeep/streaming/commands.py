@@ -74,3 +74,68 @@ def review_stream(spark: SparkSession, requests_dir: str, out_dir: str, base, ch
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
+
+
+def booking_stream(spark: SparkSession, requests_dir: str, out_dir: str, base, checkpoint: str,
+                   available_now: bool = True):
+    """Booking request bodies (header + ``booking_rooms`` array) applied by
+    ``ingest_bookings`` micro-batch by micro-batch.
+
+    The state that crosses micro-batches is the rooms taken by earlier
+    accepted bookings (and the ids issued so far): each micro-batch reads the
+    outputs of the earlier ones (``batch_id < n``), so the stream gives the
+    same result as applying all requests one at a time, in arrival order."""
+    from innkeep.plans.bookings_job import ingest_bookings
+    from innkeep.sources.commands import BOOKING_COMMAND
+
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    root = out_dir.rstrip("/")
+    paths = {n: f"{root}/{n}" for n in ("bookings", "booking_rooms", "rooms_taken", "booking_status")}
+    booking_cols = ["id", "booking_id", "customer_id", "hotel_id", "total_amount", "booking_status", "created_at"]
+    br_cols = ["booking_room_id", "booking_id", "room_number", "check_in", "check_out", "room_amount"]
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        malformed = batch.where(F.col("_corrupt_record").isNotNull())
+        batch = batch.where(F.col("_corrupt_record").isNull())
+        header = batch.select("request_seq", "customer_id", "hotel_id", "total_amount", "booking_status")
+        items = (batch.select("request_seq", F.posexplode("booking_rooms").alias("p", "r"))
+                 .select("request_seq", (F.col("p") + 1).cast("long").alias("pos"), "r.room_number",
+                         "r.check_in", "r.check_out", "r.room_amount"))
+        rooms, bookings, booking_rooms = base.rooms(), base.bookings(), base.booking_rooms()
+        taken = _earlier(spark, paths["rooms_taken"], batch_id, ["hotel_id", "room_number"])
+        if taken is not None:
+            t = taken.distinct().withColumn("_taken", F.lit(True))
+            rooms = (rooms.join(t, ["hotel_id", "room_number"], "left")
+                     .withColumn("is_available", F.when(F.col("_taken"), F.lit(False))
+                                 .otherwise(F.col("is_available"))).drop("_taken"))
+        earlier_b = _earlier(spark, paths["bookings"], batch_id, booking_cols)
+        if earlier_b is not None:
+            bookings = bookings.unionByName(earlier_b)
+        earlier_br = _earlier(spark, paths["booking_rooms"], batch_id, br_cols)
+        if earlier_br is not None:
+            booking_rooms = booking_rooms.unionByName(earlier_br)
+        tables = FrameSet(spark, {"booking_requests": header, "booking_request_rooms": items, "rooms": rooms,
+                                  "bookings": bookings, "booking_rooms": booking_rooms}, base=base)
+        res = ingest_bookings(tables)
+
+        def write(df: DataFrame, name: str) -> None:
+            (df.withColumn("batch_id", F.lit(batch_id))
+             .write.mode("overwrite").partitionBy("batch_id").parquet(paths[name]))
+
+        write(res.outputs["bookings"].select(F.lit(None).cast("long").alias("id"), "booking_id", "customer_id",
+                                             "hotel_id", "total_amount", "booking_status",
+                                             F.lit(None).cast("timestamp_ntz").alias("created_at")), "bookings")
+        write(res.outputs["booking_rooms"].select(*br_cols), "booking_rooms")
+        write(res.outputs["rooms_taken"], "rooms_taken")
+        bad = malformed.select(F.col("request_seq"), F.lit(MALFORMED).alias("code"),
+                               F.col("_corrupt_record").alias("message"),
+                               F.lit(None).cast("string").alias("booking_id"))
+        write(res.status.unionByName(bad), "booking_status")
+
+    schema = T.StructType(BOOKING_COMMAND.fields + [T.StructField("_corrupt_record", T.StringType())])
+    stream = (spark.readStream.schema(schema)
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+              .json(requests_dir))
+    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()

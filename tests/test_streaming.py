@@ -34,3 +34,28 @@ def test_review_stream_ids_continue(spark):
     assert [(r.review_id, r.rating, r.comment) for r in rows] == [("REV00008", 5, "ok"), ("REV00009", 5, "x")]
     status = spark.read.parquet(os.path.join(out, "review_status")).orderBy("request_seq").collect()
     assert [s.code for s in status] == ["MALFORMED_REQUEST", "OK", "HOTEL_NOT_FOUND", "OK"]
+
+
+def test_booking_stream_carries_room_state(spark):
+    from innkeep.streaming.commands import booking_stream
+    from tests.world import room
+    base = world(spark, hotels=[hotel(1)], customers=[customer(1)],
+                 rooms=[room(1, 1, "101"), room(2, 1, "102"), room(3, 1, "103", available=False)])
+    d = tempfile.mkdtemp(prefix="innkeep-bstream-")
+    src, out, ck = (os.path.join(d, x) for x in ("in", "out", "ck"))
+    os.makedirs(src)
+
+    def req(seq, *rooms):
+        return {"request_seq": seq, "customer_id": "CUST00001", "hotel_id": "HOT00001", "total_amount": "99",
+                "booking_rooms": [{"room_number": r, "check_in": "2024-03-01", "check_out": "2024-03-02",
+                                   "room_amount": "10"} for r in rooms]}
+    _write(os.path.join(src, "a.json"), [req(1, "101"), req(2, "101", "102")])
+    booking_stream(spark, src, out, base, ck).awaitTermination()
+    _write(os.path.join(src, "b.json"), [req(3, "101"), req(4, "102"), req(5, "103")])
+    booking_stream(spark, src, out, base, ck).awaitTermination()
+    status = {r.request_seq: (r.code, r.booking_id)
+              for r in spark.read.parquet(os.path.join(out, "booking_status")).collect()}
+    assert status == {1: ("OK", "BOOK00001"), 2: ("ROOM_UNAVAILABLE", None), 3: ("ROOM_UNAVAILABLE", None),
+                      4: ("OK", "BOOK00002"), 5: ("ROOM_UNAVAILABLE", None)}
+    br = sorted(r.booking_room_id for r in spark.read.parquet(os.path.join(out, "booking_rooms")).collect())
+    assert br == ["BR00001", "BR00002"]
