@@ -166,6 +166,9 @@ def sql_sanitized(view: str, columns: list[str], keep: tuple[str, ...] = ("reque
 
 
 # -- schemas ---------------------------------------------------------------------
+# The request schemas' rules, bounds and custom messages, in
+# schema order (fields without a custom message use the library defaults of
+# innkeep.functions.rules).
 REVIEW = [
     S("hotel_id", 1, 20, "Hotel ID is required"),
     S("customer_id", 1, 20, "Customer ID is required"),
