@@ -7,10 +7,10 @@ Prints ONE JSON line.
 
 ``value``/``queries`` time the keys on the tables as the driver gives them
 (domain tables derived from the base parquet inside every query).  Unless
-BENCH_STORED=0, the domain tables are then published once as bucketed,
-sorted tables (``innkeep.sources.layout``; ``publish_seconds``) and the same
-keys are timed on them (``stored_value``/``stored_queries``): the layout a
-deployment keeps its tables in.
+BENCH_STORED=0, the domain tables are then published once in the clustered
+layout (``innkeep.sources.layout``; ``publish_seconds``) and the same keys
+are timed on them (``stored_value``/``stored_queries``): how a deployment
+keeps its tables.
 
 env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
      BENCH_REPEAT (default 1), BENCH_ALL=1 to time every registered key,

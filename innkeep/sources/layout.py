@@ -1,53 +1,62 @@
-"""Stored layout of the domain tables: bucketed and sorted by join key.
+"""Stored layout of the domain tables.
 
-At scale the domain tables are stored, not derived per query.  Every answer
-aggregates or joins rooms, reviews, bookings, services and maintenance by
-``hotel_id`` and the booking children by ``booking_id``; storing those
-tables bucketed on that key with one bucket count makes the scans report
-``HashPartitioning(key, buckets)``, so those aggregations and joins run
-without a shuffle (only the page sort and the per-customer/per-request work
-still move data).  Sorting within buckets lets Parquet min/max statistics
-skip row groups for key filters.
+At scale the domain tables are stored, not derived per query.  Two layouts:
 
-Tables are written with ``saveAsTable`` into the session catalog's
-warehouse (the cluster's shared warehouse location).
+* ``clustered`` (default): each table range-partitioned and sorted by its
+  join key plus a unique id.  A key holding a large share of the rows is
+  spread over many files and tasks (the unique id splits it), Parquet
+  min/max statistics skip row groups for key filters and semi-joins, and the
+  aggregations/joins keep their map-side pre-aggregation and AQE skew
+  handling.
+* ``bucketed``: ``bucketBy(n, key)``: scans report ``HashPartitioning(key)``,
+  so per-hotel aggregations and joins run without a shuffle.  Every row of
+  one key sits in one bucket, read by one task, so use it only for keys
+  known to be evenly spread; with a hot key that bucket is a one-task
+  bottleneck, which is why it is not the default.
+
+Tables are written with ``saveAsTable`` into the session catalog's warehouse
+(the cluster's shared warehouse location).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Storage key of each domain table.
+# Storage key and unique id of each domain table.
 LAYOUT = {
-    "hotels": ("hotel_id",),
-    "rooms": ("hotel_id",),
-    "services": ("hotel_id",),
-    "reviews": ("hotel_id",),
-    "bookings": ("hotel_id",),
-    "employees": ("hotel_id",),
-    "maintenance": ("hotel_id",),
-    "booking_rooms": ("booking_id",),
-    "bookings_cancelled": ("booking_id",),
-    "customers": ("customer_id",),
+    "hotels": (("hotel_id",), "id"),
+    "rooms": (("hotel_id",), "room_id"),
+    "services": (("hotel_id",), "service_id"),
+    "reviews": (("hotel_id",), "review_id"),
+    "bookings": (("hotel_id",), "booking_id"),
+    "employees": (("hotel_id",), "employee_id"),
+    "maintenance": (("hotel_id",), "maintenance_id"),
+    "booking_rooms": (("booking_id",), "booking_room_id"),
+    "bookings_cancelled": (("booking_id",), "booking_cancel_id"),
+    "customers": (("customer_id",), "customer_id"),
 }
 
 
-def publish_tables(tables, database: str, buckets: int | None = None,
+def publish_tables(tables, database: str, buckets: int | None = None, layout: str = "clustered",
                    names: tuple[str, ...] = tuple(LAYOUT)) -> None:
-    """Write each domain table of ``tables`` (a Fixtures/FrameSet) as a
-    bucketed, sorted Parquet table ``database.name``.
-
-    Repartitioning on the bucket key with the bucket count first makes every
-    task write exactly one file per bucket."""
+    """Write each domain table of ``tables`` (a Fixtures/FrameSet) as the
+    Parquet table ``database.name`` in the chosen layout.  ``buckets`` is the
+    number of files per table (range partitions or buckets)."""
     spark: SparkSession = tables.spark
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name in names:
-        keys = LAYOUT[name]
-        (tables.table(name).repartition(n, *keys)
-         .write.mode("overwrite").format("parquet")
-         .bucketBy(n, *keys).sortBy(*keys)
-         .saveAsTable(f"{database}.{name}"))
+        keys, uid = LAYOUT[name]
+        order = list(dict.fromkeys([*keys, uid]))
+        df = tables.table(name)
+        if layout == "bucketed":
+            # one file per bucket: each task holds exactly one bucket
+            writer = (df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys))
+        elif layout == "clustered":
+            writer = df.repartitionByRange(n, *order).sortWithinPartitions(*order).write
+        else:
+            raise ValueError(layout)
+        writer.mode("overwrite").format("parquet").saveAsTable(f"{database}.{name}")
 
 
 class CatalogTables:
