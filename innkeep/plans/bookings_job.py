@@ -144,9 +144,15 @@ def ingest_bookings(fx) -> JobResult:
                                    F.col("total_amount").cast("decimal(10,2)").alias("total_amount"),
                                    F.coalesce("booking_status", F.lit("Confirmed")).alias("booking_status"))
     status = status.join(new_bookings.select("request_seq", "booking_id"), "request_seq", "left")
+    def rooms_snapshot():
+        taken = holder.select("hotel_id", "room_number").distinct().withColumn("_t", F.lit(True))
+        return (fx.rooms().join(taken, ["hotel_id", "room_number"], "left")
+                .withColumn("is_available", F.when(F.col("_t"), F.lit(False)).otherwise(F.col("is_available")))
+                .drop("_t"))
     return JobResult(status, Outputs(bookings=new_bookings,
                                      booking_rooms=lambda: _new_booking_rooms(fx, it, new_bookings),
-                                     rooms_taken=holder.select("hotel_id", "room_number")))
+                                     rooms_taken=holder.select("hotel_id", "room_number"),
+                                     rooms=rooms_snapshot))
 
 
 def _new_booking_rooms(fx, it: DataFrame, new_bookings: DataFrame) -> DataFrame:

@@ -287,7 +287,20 @@ def cancel_bookings(fx, literal_rooms: bool = False) -> JobResult:
             freed = fx.rooms().join(br.select(F.col("_bhotel").alias("hotel_id"), "room_number").distinct(),
                                     ["hotel_id", "room_number"], "left_semi")
         return freed.select("room_id", "hotel_id", "room_number")
-    return JobResult(status, Outputs(rows=rows, rooms_freed=rooms_freed))
+
+    def bookings_snapshot():
+        done = ok.select("booking_id").distinct().withColumn("_c", F.lit(True))
+        return (fx.bookings().join(done, "booking_id", "left")
+                .withColumn("booking_status", F.when(F.col("_c"), F.lit("Cancelled"))
+                            .otherwise(F.col("booking_status"))).drop("_c"))
+
+    def rooms_snapshot():
+        freed = rooms_freed().select("room_id").withColumn("_f", F.lit(True))
+        return (fx.rooms().join(freed, "room_id", "left")
+                .withColumn("is_available", F.when(F.col("_f"), F.lit(True)).otherwise(F.col("is_available")))
+                .drop("_f"))
+    return JobResult(status, Outputs(rows=rows, rooms_freed=rooms_freed, bookings=bookings_snapshot,
+                                     rooms=rooms_snapshot))
 
 
 # -- hotels ------------------------------------------------------------------------------
@@ -380,7 +393,18 @@ def _upsert_outputs(fx, ok: DataFrame, rooms: DataFrame, services: DataFrame) ->
         if not pair:
             pair.append(_upsert_services(fx, ok, services))
         return pair[0]
+    def hotels_snapshot():
+        u = hotel_upd().select("hotel_id", *[F.col(c).alias(f"_{c}") for c in
+                                               ("hotel_name", "city", "country", "total_rooms")])
+        h = fx.hotels().join(u, "hotel_id", "left")
+        hit = F.col("_hotel_name").isNotNull()
+        new = {"hotel_name": F.col("_hotel_name"), "city": F.col("_city"), "country": F.col("_country"),
+               # an INT column stores the validated number rounded half away from zero
+               "total_rooms": F.round(as_number("_total_rooms")).cast("int")}
+        return h.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c)
+                          for c in fx.hotels().columns])
     return {"hotels": hotel_upd,
+            "hotels_snapshot": hotels_snapshot,
             "rooms": lambda: _upsert_rooms(fx, ok, rooms),
             "services_updated": lambda: services_pair()[0],
             "services_new": lambda: services_pair()[1]}

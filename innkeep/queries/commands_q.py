@@ -244,6 +244,17 @@ def cancel_bookings_rows(fx):
                        _d("total_amount"), "cancel_reason")
 
 
+@register("cancel_bookings_snapshot", _CANCEL_BASE + """
+SELECT b.booking_id,
+       CASE WHEN b.booking_id IN (SELECT booking_id FROM ok) THEN 'Cancelled' ELSE b.booking_status END
+         AS booking_status
+FROM bookings b
+""")
+def cancel_bookings_snapshot(fx):
+    """Keyed UPDATE of booking status as a new bookings snapshot."""
+    return J.cancel_bookings(fx).outputs["bookings"].select("booking_id", "booking_status")
+
+
 @register("cancel_bookings_rooms_freed", _CANCEL_BASE + """
 SELECT r.room_id, r.hotel_id, r.room_number FROM rooms r
 WHERE EXISTS (SELECT 1 FROM booking_rooms br JOIN ok ON ok.booking_id = br.booking_id
@@ -333,6 +344,25 @@ _UPSERT_BASE = _HOTELS_BASE.replace("FROM v WHERE hotel_id IS NULL", "FROM v WHE
                            ("NOT _hotel", "'HOTEL_NOT_FOUND'", M["HOTEL_NOT_FOUND"])]))
 
 
+@register("upsert_hotels_snapshot", _UPSERT_BASE + """,
+ok AS (SELECT * FROM c WHERE code = 'OK'),
+upd AS (SELECT hotel_id, arg_max(hotel_name, request_seq) AS hn, arg_max(city, request_seq) AS ci,
+               arg_max(country, request_seq) AS co, arg_max(total_rooms, request_seq) AS tr
+        FROM ok GROUP BY hotel_id)
+SELECT h.hotel_id,
+       CASE WHEN upd.hotel_id IS NULL THEN h.hotel_name ELSE upd.hn END AS hotel_name,
+       CASE WHEN upd.hotel_id IS NULL THEN h.city ELSE upd.ci END AS city,
+       CASE WHEN upd.hotel_id IS NULL THEN h.country ELSE upd.co END AS country,
+       CASE WHEN upd.hotel_id IS NULL THEN h.total_rooms
+            ELSE CAST(ROUND(TRY_CAST(upd.tr AS DOUBLE)) AS INTEGER) END AS total_rooms
+FROM hotels h LEFT JOIN upd ON upd.hotel_id = h.hotel_id
+""")
+def upsert_hotels_snapshot(fx):
+    """The hotels table after the upserts (last accepted request per hotel)."""
+    snap = J.upsert_hotels(fx).outputs["hotels_snapshot"]
+    return snap.select("hotel_id", "hotel_name", "city", "country", "total_rooms")
+
+
 @register("upsert_hotels", _UPSERT_BASE + "SELECT request_seq, code, message FROM c")
 def upsert_hotels(fx):
     return J.upsert_hotels(fx).status
@@ -428,6 +458,17 @@ def ingest_bookings(fx):
     return run_ingest_bookings(fx).status
 
 
+@register("ingest_bookings_rooms_snapshot", _BOOKINGS_BASE + """
+SELECT r.room_id, r.hotel_id, r.room_number,
+       CASE WHEN EXISTS (SELECT 1 FROM holder x WHERE x.hotel_id = r.hotel_id AND x.room_number = r.room_number)
+            THEN false ELSE r.is_available END AS is_available
+FROM rooms r
+""")
+def ingest_bookings_rooms_snapshot(fx):
+    """Room flags after the batch: rooms of accepted bookings are taken."""
+    return run_ingest_bookings(fx).outputs["rooms"].select("room_id", "hotel_id", "room_number", "is_available")
+
+
 @register("ingest_bookings_rooms", _BOOKINGS_BASE + f"""
 SELECT it2.request_seq, it2.pos,
        {sql_pad5('BR', sql_last('booking_rooms', 'booking_room_id', 3) + ' + ROW_NUMBER() OVER (ORDER BY it2.request_seq, it2.pos)')}
