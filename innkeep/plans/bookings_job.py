@@ -81,7 +81,7 @@ def settle_claims(claims: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
 def ingest_bookings(fx) -> JobResult:
     header = sanitized(fx.booking_requests())
     items = sanitized(fx.booking_request_rooms())
-    v = header.join(V.booking_errors(fx), "request_seq")
+    v = header.join(V.booking_errors(fx, header, items), "request_seq")
     hotels = fx.hotels().select("hotel_id", F.col("total_rooms").alias("_total_rooms"))
     v = flag(v, fx.hotels(), ["hotel_id"], "_hotel").join(hotels, "hotel_id", "left")
     n_items = items.groupBy("request_seq").agg(F.count(F.lit(1)).alias("_n"))

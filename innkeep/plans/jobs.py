@@ -176,7 +176,7 @@ def ingest_maintenance(fx) -> JobResult:
     header = (raw.groupBy("request_seq")
               .agg(F.min_by("hotel_id", "pos").alias("hotel_id"),
                    F.min_by("employee_id", "pos").alias("employee_id")))
-    v = header.join(V.maintenance_errors(fx), "request_seq")
+    v = header.join(V.maintenance_errors(fx, items), "request_seq")
     v, emp_checks = _employee_checks(v, fx, "ADD")
     v = flag(v, fx.hotels(), ["hotel_id"], "_hotel")
     # first item (by position) whose room is not in the request's hotel
@@ -207,9 +207,10 @@ def ingest_maintenance(fx) -> JobResult:
 
 def update_maintenance(fx) -> JobResult:
     raw = fx.maintenance_updates()
-    req = sanitized(raw).drop("hotel_id", "employee_id", "maintenance_id").join(
+    clean = sanitized(raw)
+    req = clean.drop("hotel_id", "employee_id", "maintenance_id").join(
         raw.select("request_seq", "hotel_id", "employee_id", "maintenance_id"), "request_seq")
-    v = req.join(V.maintenance_update_errors(fx), "request_seq")
+    v = req.join(V.maintenance_update_errors(fx, clean), "request_seq")
     v, emp_checks = _employee_checks(v, fx, "UPDATE")
     v = flag(v, fx.hotels(), ["hotel_id"], "_hotel")
     v = flag(v, fx.rooms(), ["hotel_id", "room_number"], "_room")
@@ -256,8 +257,9 @@ def update_maintenance(fx) -> JobResult:
 # -- cancel_bookings ---------------------------------------------------------------------
 def cancel_bookings(fx, literal_rooms: bool = False) -> JobResult:
     raw = fx.cancel_requests()
-    req = sanitized(raw).drop("booking_id").join(raw.select("request_seq", "booking_id"), "request_seq")
-    v = req.join(V.cancel_errors(fx), "request_seq")
+    clean = sanitized(raw)
+    req = clean.drop("booking_id").join(raw.select("request_seq", "booking_id"), "request_seq")
+    v = req.join(V.cancel_errors(fx, clean), "request_seq")
     v = flag(v, fx.hotels(), ["hotel_id"], "_hotel")
     b = fx.bookings().select("booking_id", F.col("customer_id").alias("_owner"),
                              F.col("hotel_id").alias("_bhotel"), F.col("total_amount").alias("_amount"))
@@ -322,8 +324,8 @@ def _first_repeat(items: DataFrame, value: Column, name: str, keep: Column | Non
 
 def ingest_hotels(fx, as_of: str = AS_OF) -> JobResult:
     header, rooms, services = _hotel_items(fx)
-    header = header.where(F.col("hotel_id").isNull()).drop("hotel_id")
-    v = header.join(V.hotel_errors(fx), "request_seq")
+    v = header.join(V.hotel_errors(fx, header, rooms, services), "request_seq")
+    v = v.where(F.col("hotel_id").isNull()).drop("hotel_id")
     n_rooms = rooms.groupBy("request_seq").agg(F.count(F.lit(1)).alias("_n_rooms"))
     v = (v.join(n_rooms, "request_seq", "left")
          .join(_first_repeat(rooms, F.col("room_number"), "room_number"), "request_seq", "left")
@@ -367,8 +369,8 @@ def ingest_hotels(fx, as_of: str = AS_OF) -> JobResult:
 
 def upsert_hotels(fx) -> JobResult:
     header, rooms, services = _hotel_items(fx)
-    header = header.where(F.col("hotel_id").isNotNull())
-    v = header.join(V.hotel_errors(fx), "request_seq")
+    v = header.join(V.hotel_errors(fx, header, rooms, services), "request_seq")
+    v = v.where(F.col("hotel_id").isNotNull())
     v = flag(v, fx.hotels(), ["hotel_id"], "_hotel")
     checks = [(F.size("errors") == 0, "VALIDATION", _errors_text()),
               (F.col("_hotel"), "HOTEL_NOT_FOUND", MSG["HOTEL_NOT_FOUND"])]

@@ -288,33 +288,38 @@ def sql_request_errors(header_sql: str, header_specs: list[Spec],
 
 
 # -- per request type (Spark) ------------------------------------------------------
-def review_errors(fx) -> DataFrame:
-    return request_errors(sanitized(fx.review_requests()), REVIEW, [])
+# Each takes the fixture tables and, optionally, the already sanitized request
+# frames a job holds, so the sanitizing is not done twice.
+def review_errors(fx, req: DataFrame | None = None) -> DataFrame:
+    return request_errors(req if req is not None else sanitized(fx.review_requests()), REVIEW, [])
 
 
-def cancel_errors(fx) -> DataFrame:
-    return request_errors(sanitized(fx.cancel_requests()), CANCEL, [])
+def cancel_errors(fx, req: DataFrame | None = None) -> DataFrame:
+    return request_errors(req if req is not None else sanitized(fx.cancel_requests()), CANCEL, [])
 
 
-def booking_errors(fx) -> DataFrame:
-    return request_errors(sanitized(fx.booking_requests()), BOOKING,
-                          [ItemPart(sanitized(fx.booking_request_rooms()), BOOKING_ROOM, MSG_BOOKING_ROOMS_EMPTY)])
+def booking_errors(fx, header: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
+    header = header if header is not None else sanitized(fx.booking_requests())
+    items = items if items is not None else sanitized(fx.booking_request_rooms())
+    return request_errors(header, BOOKING, [ItemPart(items, BOOKING_ROOM, MSG_BOOKING_ROOMS_EMPTY)])
 
 
-def hotel_errors(fx) -> DataFrame:
-    return request_errors(sanitized(fx.hotel_requests()), HOTEL,
-                          [ItemPart(sanitized(fx.hotel_request_rooms()), HOTEL_ROOM),
-                           ItemPart(sanitized(fx.hotel_request_services()), HOTEL_SERVICE)])
+def hotel_errors(fx, header: DataFrame | None = None, rooms: DataFrame | None = None,
+                 services: DataFrame | None = None) -> DataFrame:
+    header = header if header is not None else sanitized(fx.hotel_requests())
+    rooms = rooms if rooms is not None else sanitized(fx.hotel_request_rooms())
+    services = services if services is not None else sanitized(fx.hotel_request_services())
+    return request_errors(header, HOTEL, [ItemPart(rooms, HOTEL_ROOM), ItemPart(services, HOTEL_SERVICE)])
 
 
-def maintenance_errors(fx) -> DataFrame:
-    m = sanitized(fx.maintenance_requests())
+def maintenance_errors(fx, items: DataFrame | None = None) -> DataFrame:
+    m = items if items is not None else sanitized(fx.maintenance_requests())
     header = m.select("request_seq").distinct()
     return request_errors(header, [], [ItemPart(m, MAINTENANCE_ITEM, MSG_MAINTENANCE_EMPTY)])
 
 
-def maintenance_update_errors(fx) -> DataFrame:
-    return request_errors(sanitized(fx.maintenance_updates()), MAINTENANCE_EDIT, [])
+def maintenance_update_errors(fx, req: DataFrame | None = None) -> DataFrame:
+    return request_errors(req if req is not None else sanitized(fx.maintenance_updates()), MAINTENANCE_EDIT, [])
 
 
 # Column lists of the command views (for the SQL side).
