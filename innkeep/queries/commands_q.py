@@ -189,18 +189,31 @@ def update_rows(fx):
 
 
 @register("authorize_role", """
-SELECT r.request_seq,
+SELECT 'maintenance_updates' AS gate, r.request_seq,
        CASE WHEN emp.role IS NULL THEN 'EMPLOYEE_NOT_FOUND' WHEN emp.role <> 'employee' THEN 'NOT_AUTHORIZED'
             ELSE 'OK' END AS code
 FROM maintenance_updates r LEFT JOIN employees emp ON emp.employee_id = r.employee_id
+UNION ALL
+SELECT 'cancel_requests' AS gate, q.request_seq,
+       CASE WHEN b.booking_id IS NULL THEN 'BOOKING_NOT_FOUND'
+            WHEN b.customer_id IS DISTINCT FROM trim(q.customer_id) THEN 'NOT_AUTHORIZED' ELSE 'OK' END AS code
+FROM cancel_requests q LEFT JOIN bookings b ON b.booking_id = q.booking_id
 """)
 def authorize_role(fx):
-    """The employee role gate of the maintenance jobs."""
+    """The two authorization gates: the employee role gate of the maintenance
+    jobs and the booking-owner gate of cancellations."""
+    from innkeep.functions.text import js_trim
     emp = fx.employees().select("employee_id", "role")
     r = fx.maintenance_updates().join(emp, "employee_id", "left")
     code = (F.when(F.col("role").isNull(), "EMPLOYEE_NOT_FOUND").when(F.col("role") != "employee", "NOT_AUTHORIZED")
             .otherwise("OK"))
-    return r.select("request_seq", code.alias("code"))
+    roles = r.select(F.lit("maintenance_updates").alias("gate"), "request_seq", code.alias("code"))
+    owners = fx.bookings().select("booking_id", F.col("customer_id").alias("_owner"))
+    q = fx.cancel_requests().join(owners, "booking_id", "left")
+    owner_code = (F.when(F.col("_owner").isNull(), "BOOKING_NOT_FOUND")
+                  .when(~F.col("_owner").eqNullSafe(js_trim("customer_id")), "NOT_AUTHORIZED").otherwise("OK"))
+    gates = q.select(F.lit("cancel_requests").alias("gate"), "request_seq", owner_code.alias("code"))
+    return roles.unionByName(gates)
 
 
 # -- cancellations -----------------------------------------------------------------------------
