@@ -245,6 +245,7 @@ def update_maintenance(fx) -> JobResult:
     status = (v.where(F.col("_code") != "OK")
               .select("request_seq", F.col("_code").alias("code"), F.col("_msg").alias("message"))
               .unionByName(final.select("request_seq", "code", "message")))
+
     def snapshot():
         accepted = final.where(F.col("code") == "OK")
         latest = (accepted.groupBy("maintenance_id", "hotel_id", "room_number")
@@ -279,6 +280,7 @@ def cancel_bookings(fx, literal_rooms: bool = False) -> JobResult:
                       F.col("_amount").alias("total_amount"), "cancel_reason")
     status = v.select("request_seq", "code", "message").join(
         rows.select("request_seq", "booking_cancel_id"), "request_seq", "left")
+
     def rooms_freed():
         # the booking's room numbers, in the booking's hotel (intended) or in
         # every hotel (literal, quirk Q8)
