@@ -1,10 +1,11 @@
 """``sanitize_text``: strip unsafe HTML from a string column, then trim.
 
 An approximation of the reference's HTML sanitizer, built from
-``regexp_replace`` only (JVM-side, codegen'd).  It removes comments, the
-elements whose content is never kept (script, style and friends, with their
-content), event-handler attributes and ``javascript:`` URLs in link
-attributes, then trims JS whitespace.  Every pattern uses only syntax that
+``regexp_replace`` only (JVM-side, codegen'd).  It keeps the document body's
+content: it removes comments and the doctype, the head and the elements whose
+content is never kept (script, style and friends) with their content, the
+document-level tags, event-handler attributes and ``javascript:`` URLs in
+link attributes, then trims JS whitespace.  Every pattern uses only syntax that
 Java regex and RE2 read the same way, so the oracle can apply the same
 steps.  Known differences from a DOM-based sanitizer: no entity
 re-encoding of text, no repair of broken markup, no allow-list of tags.
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 
 from innkeep.functions.text import js_trim
 
-# Elements removed together with their content.
-DROP_WITH_CONTENT = ("script", "style", "iframe", "noscript", "template", "title", "svg", "math",
+# Elements removed together with their content, and
+# document-level or unsafe tags removed as tags only (the answer is the
+# document body's content, as a DOM sanitizer returns it).
+DROP_WITH_CONTENT = ("head", "script", "style", "iframe", "noscript", "template", "title", "svg", "math",
                      "object", "embed", "noembed", "noframes", "xmp", "plaintext")
+DROP_TAG_ONLY = ("html", "body", "meta", "link", "base")
 
 _TAGS = "|".join(DROP_WITH_CONTENT)
 
@@ -27,8 +31,10 @@ _TAGS = "|".join(DROP_WITH_CONTENT)
 # (text without markup is kept verbatim).
 SANITIZE_STEPS = [
     (r"(?s)<!--.*?-->", ""),
+    (r"(?i)<!doctype[^>]*>", ""),
     ("(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in DROP_WITH_CONTENT), ""),
     (rf"(?is)<(?:{_TAGS})\b[^>]*/?>", ""),
+    (rf"(?i)</?(?:{'|'.join(DROP_TAG_ONLY)})\b[^>]*>", ""),
     (r"""(?i)\s+on[a-z]+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", ""),
     (r"""(?i)\s+(href|src|action|formaction|xlink:href)\s*=\s*("\s*javascript:[^"]*"|'\s*javascript:[^']*'|javascript:[^\s>]*)""", ""),
 ]
