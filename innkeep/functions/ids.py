@@ -29,6 +29,7 @@ def digits_number(id_col: Column) -> Column:
 def unsigned_suffix(id_col: Column, start: int) -> Column:
     """``CAST(SUBSTRING(id, start) AS UNSIGNED)`` (1-based start): the leading
     run of digits of the suffix; no digits gives 0."""
-    lead = F.regexp_extract(F.substring(id_col, start, 1 << 30), r"^\s*([0-9]+)", 1)
+    # the numeric conversion skips ASCII whitespace only
+    lead = F.regexp_extract(F.substring(id_col, start, 1 << 30), r"^[ \t\n\x0B\f\r]*([0-9]+)", 1)
     return F.when(id_col.isNotNull(),
                   F.coalesce(lead.try_cast("bigint"), F.lit(0)).cast("long"))

@@ -17,7 +17,8 @@ from innkeep.functions.text import js_len, js_trim
 
 # The number rule's pattern and the validator library's default
 # messages (custom messages of the schemas are passed in by the callers).
-MONEY_RE = r"^[0-9]+(\.[0-9]{1,2})?$"
+MONEY_RE = r"^[0-9]+(\.[0-9]{1,2})?\z"   # the pattern ^\d+(\.\d{1,2})?$; in Java regex, $ would
+                                         # also match before a final newline, so end of input is \z
 MSG_MISSING_STRING = "Invalid input: expected string, received undefined"
 MSG_INVALID_INPUT = "Invalid input"
 

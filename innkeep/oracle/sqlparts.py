@@ -34,7 +34,7 @@ def digits(col: str) -> str:
 
 def unsigned_suffix(col: str, start: int) -> str:
     """CAST(SUBSTRING(col, start) AS UNSIGNED): leading digits, else 0."""
-    return (f"COALESCE(TRY_CAST(NULLIF(regexp_extract(substring({col}, {start}), '^\\s*([0-9]+)', 1), '')"
+    return (f"COALESCE(TRY_CAST(NULLIF(regexp_extract(substring({col}, {start}), '^[ \\t\\n\\x0B\\f\\r]*([0-9]+)', 1), '')"
             f" AS BIGINT), 0)")
 
 

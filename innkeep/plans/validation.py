@@ -66,7 +66,7 @@ def EMAIL(col, msg):
 
 
 # Fixed value: a plain e-mail shape (local@domain.tld), no spaces.
-EMAIL_RE = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
+EMAIL_RE = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\z"   # \z: end of input in Java and RE2
 
 
 # -- Spark side ----------------------------------------------------------------
