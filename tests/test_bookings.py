@@ -77,3 +77,21 @@ def test_batch_equals_sequential(spark, seed):
     br = res.outputs["booking_rooms"].collect()
     assert len({(r.booking_id, r.room_number) for r in br}) == len(br)
     assert len(br) == sum(1 for i in items if want[i[0]] == "OK")
+
+
+def test_conflict_chain_rounds_bounded_by_rooms(spark):
+    """Each request overlaps the next (r_i wants rooms i and i+1): the
+    batch still equals the sequential result and needs at most rooms + 1
+    rounds, whatever the number of requests."""
+    from innkeep.plans.bookings_job import settle_claims
+    n = 30
+    hotels = [hotel(1, total_rooms=50)]
+    rooms = [room(i, 1, str(100 + i)) for i in range(1, n + 2)]
+    customers = [customer(1)]
+    requests = [(i, "CUST00001", "HOT00001", "10", None) for i in range(1, n + 1)]
+    items = [(i, p, str(100 + i + p - 1), "2024-02-01", "2024-02-03", "10") for i in range(1, n + 1) for p in (1, 2)]
+    fs = world(spark, hotels=hotels, rooms=rooms, customers=customers, booking_requests=requests,
+               booking_request_rooms=items, bookings=[], booking_rooms=[])
+    got = {r.request_seq: r.code for r in ingest_bookings(fs).status.collect()}
+    assert got == simulate(hotels, rooms, customers, requests, items)
+    assert settle_claims.last_rounds <= len(rooms) + 1
