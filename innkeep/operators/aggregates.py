@@ -73,12 +73,25 @@ def booking_chain(bookings: DataFrame, customers: DataFrame, booking_rooms: Data
             .join(bc, "booking_id", "left"))
 
 
-def booking_counts_literal(chain: DataFrame) -> DataFrame:
+def booking_multiplicity(bookings: DataFrame, booking_rooms: DataFrame, cancelled: DataFrame) -> DataFrame:
+    """Per booking, how many rows the reference's chain join (booking x its
+    rooms x its cancel rows) gives it: max(rooms, 1) * max(cancel rows, 1).
+    Counted from per-booking pre-aggregates, so the product of a booking's
+    rooms and cancel rows is never materialized."""
+    nr = booking_rooms.groupBy("booking_id").agg(F.count(F.lit(1)).alias("_nr"))
+    nc = cancelled.groupBy("booking_id").agg(F.count(F.lit(1)).alias("_nc"))
+    return (bookings.join(nr, "booking_id", "left").join(nc, "booking_id", "left")
+            .withColumn("chain_rows", (F.coalesce("_nr", F.lit(1)) * F.coalesce("_nc", F.lit(1))).cast("long"))
+            .drop("_nr", "_nc"))
+
+
+def booking_counts_literal(bookings: DataFrame, booking_rooms: DataFrame, cancelled: DataFrame) -> DataFrame:
     """Literal booking count (quirk Q4): joined rows whose status is not
-    Cancelled, so a booking counts once per room x cancel row."""
-    return (chain.where(not_cancelled())
+    Cancelled, so a booking counts once per room x cancel row; computed as a
+    sum of per-booking multiplicities, not by emitting the joined rows."""
+    return (booking_multiplicity(bookings.where(not_cancelled()), booking_rooms, cancelled)
             .groupBy("hotel_id")
-            .agg(F.count(F.lit(1)).alias("total_bookings")))
+            .agg(F.sum("chain_rows").cast("long").alias("total_bookings")))
 
 
 def latest_cancel(cancelled: DataFrame) -> DataFrame:

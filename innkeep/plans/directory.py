@@ -20,12 +20,12 @@ reference's observable quirks (SURVEY 2.13) where they differ.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from innkeep.operators import aggregates as agg
 from innkeep.operators.filters import contains_ci, like_ci
-from innkeep.operators.ranking import page, page_count
+from innkeep.operators.ranking import PAGE_SIZE, page, page_count, rank_within_groups
 from innkeep.session import materialize
 from innkeep.sources.fixtures import Fixtures
 
@@ -105,8 +105,8 @@ class HotelAnswers:
             if restrict:
                 b = semi(b, hotels)
             if mode == "literal":
-                chain = agg.booking_chain(b, fx.customers(), fx.booking_rooms(), fx.bookings_cancelled())
-                counts = agg.booking_counts_literal(chain)
+                counts = agg.booking_counts_literal(b, semi_any(fx.booking_rooms(), b, "booking_id"),
+                                                    semi_any(fx.bookings_cancelled(), b, "booking_id"))
             else:
                 counts = agg.booking_counts(b)
             listed = b.groupBy("hotel_id").agg(F.count(F.lit(1)).alias("n_bookings"))
@@ -244,30 +244,43 @@ class HotelAnswers:
 
     # -- booking history of one customer ---------------------------------------
     def booking_history_literal(self, customer_id: str, page_no: int = 1) -> DataFrame:
-        """Quirk Q6: LIMIT/OFFSET count joined (booking x room x cancel) rows,
-        so a booking can be cut across pages; each booking's scalars come
-        from its first row.  Row ties are broken by room and cancel ids."""
+        """Quirk Q6: LIMIT/OFFSET count the rows of the chain join (booking x
+        its rooms x its cancel rows, rooms then cancels in id order), so a
+        booking can be cut across pages; each booking's scalars come from its
+        first row on the page.
+
+        The joined rows are never produced: each booking has max(rooms,1) *
+        max(cancels,1) of them, every booking has at least one, so only the
+        first ``page_no * 10`` bookings (a top-k) can reach the page; their
+        row ranges follow from a prefix sum over those few rows, and a row's
+        cancel is its index modulo the booking's cancel count."""
         fx = self.fx
+        lo, hi = (page_no - 1) * PAGE_SIZE + 1, page_no * PAGE_SIZE
         mine = fx.bookings().where(F.col("customer_id") == F.lit(customer_id))
         total = mine.select(F.count_distinct("booking_id")).scalar()
-        # one customer's bookings: reduce each big table to their keys before
-        # the (left) joins, which cannot broadcast their left side
-        cust = semi_any(fx.customers(), mine, "customer_id").select(
-            "customer_id", F.col("full_name").alias("customer_name"))
-        br = semi_any(fx.booking_rooms(), mine, "booking_id").select("booking_id", "booking_room_id")
         hotels = semi_any(fx.hotels(), mine, "hotel_id").select("hotel_id", "hotel_name")
-        bc = semi_any(fx.bookings_cancelled(), mine, "booking_id").select(
-            "booking_id", "booking_cancel_id", "cancel_reason")
-        rows = (mine.join(cust, "customer_id", "left").join(br, "booking_id", "left")
-                .join(hotels, "hotel_id").join(bc, "booking_id", "left"))
-        order = [*newest_first(), F.col("booking_room_id").asc_nulls_first(),
-                 F.col("booking_cancel_id").asc_nulls_first()]
-        pg = page(rows, order, page_no, pos_col="row_pos")
-        out = pg.groupBy("booking_id").agg(
-            F.min("row_pos").alias("page_pos"),
-            F.count(F.lit(1)).alias("n_room_entries"),
-            *[F.min_by(c, "row_pos").alias(c) for c in
-              ("hotel_name", "hotel_id", "cancel_reason", "total_amount", "booking_status", "customer_name")])
+        top = mine.join(hotels, "hotel_id").orderBy(*newest_first()).limit(hi)      # <= hi bookings
+        rooms = semi(fx.booking_rooms(), top, "booking_id")
+        cancels = semi(fx.bookings_cancelled(), top, "booking_id")
+        nr = rooms.groupBy("booking_id").agg(F.count(F.lit(1)).alias("_nr"))
+        nc = cancels.groupBy("booking_id").agg(F.count(F.lit(1)).alias("_nc"))
+        t = (top.join(nr, "booking_id", "left").join(nc, "booking_id", "left")
+             .withColumn("_c", F.coalesce("_nc", F.lit(1)))
+             .withColumn("_rows", F.coalesce("_nr", F.lit(1)) * F.col("_c")))
+        before = Window.orderBy(*newest_first()).rowsBetween(Window.unboundedPreceding, -1)   # <= hi rows
+        t = t.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)) + 1)
+        first = F.greatest(F.col("_start"), F.lit(lo))
+        last = F.least(F.col("_start") + F.col("_rows") - 1, F.lit(hi))
+        t = (t.where(first <= last)
+             .withColumn("page_pos", (first - lo + 1).cast("long"))
+             .withColumn("n_room_entries", (last - first + 1).cast("long"))
+             .withColumn("_b", ((first - F.col("_start")) % F.col("_c")).cast("long") + 1))
+        ranked = rank_within_groups(cancels.select("booking_id", "booking_cancel_id", "cancel_reason"),
+                                    ["booking_id"], [F.col("booking_cancel_id")], pos_col="_b")
+        cust = semi(fx.customers(), t, "customer_id").select(
+            "customer_id", F.col("full_name").alias("customer_name"))
+        out = (t.join(ranked.select("booking_id", "_b", "cancel_reason"), ["booking_id", "_b"], "left")
+               .join(cust, "customer_id", "left"))
         return out.select(
             F.col("hotel_name").alias("hotelName"), "booking_id", "hotel_id", "cancel_reason",
             as_double("total_amount").alias("total_amount"), "booking_status", "customer_name",

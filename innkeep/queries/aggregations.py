@@ -63,8 +63,8 @@ FROM hotels h LEFT JOIN bkl ON bkl.hotel_id = h.hotel_id
 """)
 def agg_booking_count_literal(fx):
     """Literal (Q4): joined booking x room x cancel rows that are not Cancelled."""
-    chain = agg.booking_chain(fx.bookings(), fx.customers(), fx.booking_rooms(), fx.bookings_cancelled())
-    return (fx.hotels().select("hotel_id").join(agg.booking_counts_literal(chain), "hotel_id", "left")
+    counts = agg.booking_counts_literal(fx.bookings(), fx.booking_rooms(), fx.bookings_cancelled())
+    return (fx.hotels().select("hotel_id").join(counts, "hotel_id", "left")
             .select("hotel_id", F.coalesce("total_bookings", F.lit(0)).cast("long").alias("total_bookings")))
 
 
