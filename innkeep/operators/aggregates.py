@@ -63,14 +63,20 @@ def booking_counts(bookings: DataFrame) -> DataFrame:
 def booking_chain(bookings: DataFrame, customers: DataFrame, booking_rooms: DataFrame,
                   cancelled: DataFrame) -> DataFrame:
     """bookings LEFT JOIN customers LEFT JOIN booking_rooms LEFT JOIN
-    bookings_cancelled, with all its fan-out (one row per room x cancel row)."""
+    bookings_cancelled, one row per (booking, room) instead of per (booking,
+    room, cancel row): the cancel rows are pre-aggregated per booking and
+    ``chain_rows`` says how many rows of the full chain the row stands for
+    (its booking's cancel rows, at least 1), so a booking's rooms and cancel
+    rows are never multiplied out.  ``cancel_reason`` is the latest one."""
     cust = customers.select("customer_id", F.col("full_name").alias("customer_name"))
     br = booking_rooms.select("booking_id", "room_number", "check_in", "check_out",
                               "room_amount", "booking_room_id")
-    bc = cancelled.select("booking_id", "booking_cancel_id", "cancel_reason")
+    bc = latest_cancel(cancelled)
     return (bookings.join(cust, "customer_id", "left")
             .join(br, "booking_id", "left")
-            .join(bc, "booking_id", "left"))
+            .join(bc, "booking_id", "left")
+            .withColumn("chain_rows", F.coalesce("cancel_rows", F.lit(1)).cast("long"))
+            .drop("cancel_rows"))
 
 
 def booking_multiplicity(bookings: DataFrame, booking_rooms: DataFrame, cancelled: DataFrame) -> DataFrame:

@@ -40,22 +40,25 @@ def booking_entries(fx, hotels: DataFrame, mode: str = "intended") -> DataFrame:
     b = semi(fx.bookings(), hotels)
     cust = fx.customers().select("customer_id", F.col("full_name").alias("customer_name"))
     room_fields = ["room_number", "check_in", "check_out", "room_amount"]
+    br = semi_any(fx.booking_rooms(), b, "booking_id")   # a hotel's bookings: unbounded
+    rooms = _nest(br, "booking_id", ["booking_room_id"], room_fields, "rooms")
+    cancels = semi_any(fx.bookings_cancelled(), b, "booking_id")
     if mode == "literal":
-        chain = agg.booking_chain(b, fx.customers(), semi_any(fx.booking_rooms(), b, "booking_id"),
-                                  semi_any(fx.bookings_cancelled(), b, "booking_id"))
-        row_key = F.struct(F.col("booking_room_id").isNotNull(), "booking_room_id",
-                           F.col("booking_cancel_id").isNotNull(), "booking_cancel_id")
-        chain = chain.withColumn("_row", row_key)
-        rooms = _nest(chain, "booking_id", ["_row"], room_fields, "rooms")
-        scalars = chain.groupBy("booking_id").agg(
-            *[F.min_by(c, "_row").alias(c) for c in ("hotel_id", "id", "created_at", "customer_name",
-                                                     "booking_status", "total_amount", "cancel_reason")])
-        entries = scalars.join(rooms, "booking_id")
+        # the chain's rows of a booking are its rooms x its cancel rows (rooms
+        # in id order, each repeated once per cancel row); the first row's
+        # cancel is the lowest cancel id.  Built with array functions inside
+        # the booking's row, never by joining rooms to cancel rows.
+        c = cancels.groupBy("booking_id").agg(F.count(F.lit(1)).alias("_nc"),
+                                              F.min_by("cancel_reason", "booking_cancel_id").alias("cancel_reason"))
+        elem = rooms.schema["rooms"].dataType.elementType
+        null_room = F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in elem.fields]))
+        entries = b.join(cust, "customer_id", "left").join(c, "booking_id", "left").join(rooms, "booking_id", "left")
+        own = F.when(F.size(F.coalesce("rooms", F.array().cast(rooms.schema["rooms"].dataType))) > 0,
+                     F.col("rooms")).otherwise(null_room)
+        times = F.coalesce(F.col("_nc"), F.lit(1)).cast("int")
+        entries = entries.withColumn("rooms", F.flatten(F.transform(own, lambda r: F.array_repeat(r, times))))
     else:
-        br = semi_any(fx.booking_rooms(), b, "booking_id")   # a hotel's bookings: unbounded
-        rooms = _nest(br, "booking_id", ["booking_room_id"], room_fields, "rooms")
-        bc = agg.latest_cancel(semi_any(fx.bookings_cancelled(), b, "booking_id")).select("booking_id",
-                                                                                          "cancel_reason")
+        bc = agg.latest_cancel(cancels).select("booking_id", "cancel_reason")
         entries = _attach(b.join(cust, "customer_id", "left").join(bc, "booking_id", "left"), rooms,
                           "booking_id", "rooms")
     entries = entries.withColumn("_neg_ts", -F.unix_micros(F.col("created_at").cast("timestamp")))
