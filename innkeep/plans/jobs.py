@@ -407,8 +407,21 @@ def _upsert_outputs(fx, ok: DataFrame, rooms: DataFrame, services: DataFrame) ->
                "total_rooms": F.round(as_number("_total_rooms")).cast("int")}
         return h.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c)
                           for c in fx.hotels().columns])
+    def services_snapshot():
+        upd, new = services_pair()
+        u = upd.select("hotel_id", "service_id", F.col("service_name").alias("_n"),
+                       F.col("service_charge").alias("_c"), F.lit(True).alias("_hit"))
+        cur = (fx.services().join(u, ["hotel_id", "service_id"], "left")
+               .select("service_id", "hotel_id",
+                       F.when(F.col("_hit"), F.col("_n")).otherwise(F.col("service_name")).alias("service_name"),
+                       F.when(F.col("_hit"), as_number("_c").cast("decimal(10,2)"))
+                       .otherwise(F.col("service_charge")).alias("service_charge")))
+        added = new.select(F.col("new_service_id").alias("service_id"), "hotel_id", "service_name",
+                           as_number("service_charge").cast("decimal(10,2)").alias("service_charge"))
+        return cur.unionByName(added)
     return {"hotels": hotel_upd,
             "hotels_snapshot": hotels_snapshot,
+            "services_snapshot": services_snapshot,
             "rooms": lambda: _upsert_rooms(fx, ok, rooms),
             "services_updated": lambda: services_pair()[0],
             "services_new": lambda: services_pair()[1]}

@@ -376,6 +376,32 @@ def upsert_hotels_snapshot(fx):
     return snap.select("hotel_id", "hotel_name", "city", "country", "total_rooms")
 
 
+@register("upsert_hotels_services_snapshot", _UPSERT_BASE + f""",
+ok AS (SELECT request_seq, hotel_id FROM c WHERE code = 'OK'),
+items AS (SELECT o.hotel_id, s.request_seq, s.pos, s.service_id, s.service_name, s.service_charge,
+                 EXISTS (SELECT 1 FROM services x WHERE x.hotel_id = o.hotel_id AND x.service_id = s.service_id)
+                   AS known
+          FROM ss s JOIN ok o ON o.request_seq = s.request_seq),
+upd AS (SELECT hotel_id, service_id,
+               arg_max(struct_pack(n := service_name, c := service_charge), struct_pack(a := request_seq, b := pos)) AS u
+        FROM items WHERE known GROUP BY hotel_id, service_id)
+SELECT x.service_id, x.hotel_id,
+       CASE WHEN upd.hotel_id IS NULL THEN x.service_name ELSE upd.u.n END AS service_name,
+       CAST(CASE WHEN upd.hotel_id IS NULL THEN x.service_charge
+                 ELSE CAST(TRY_CAST(upd.u.c AS DOUBLE) AS DECIMAL(10,2)) END AS DOUBLE) AS service_charge
+FROM services x LEFT JOIN upd ON upd.hotel_id = x.hotel_id AND upd.service_id = x.service_id
+UNION ALL
+SELECT {sql_pad5('SERV', sql_last('services', 'service_id') + ' + ROW_NUMBER() OVER (ORDER BY request_seq, pos)')},
+       hotel_id, service_name, CAST(CAST(TRY_CAST(service_charge AS DOUBLE) AS DECIMAL(10,2)) AS DOUBLE)
+FROM items WHERE NOT known
+""")
+def upsert_hotels_services_snapshot(fx):
+    """The services table after the upserts: known service ids updated (last
+    request wins), every other item inserted with a new id."""
+    snap = J.upsert_hotels(fx).outputs["services_snapshot"]
+    return snap.select("service_id", "hotel_id", "service_name", _d("service_charge"))
+
+
 @register("upsert_hotels", _UPSERT_BASE + "SELECT request_seq, code, message FROM c")
 def upsert_hotels(fx):
     return J.upsert_hotels(fx).status

@@ -18,15 +18,33 @@ MIN_RATING = 3.0
 
 
 # -- 2.1 scans ---------------------------------------------------------------
-@register("scan_tables", """
-SELECT hotel_id, room_number, room_type, CAST(price_per_night AS DOUBLE) AS price_per_night, is_available
-FROM rooms
-""")
+# The explicit column list read from each domain table: its key and one
+# descriptive column.
+SCAN_COLUMNS = [
+    ("hotels", "hotel_id", "hotel_name"),
+    ("rooms", "room_id", "room_number"),
+    ("services", "service_id", "service_name"),
+    ("customers", "customer_id", "full_name"),
+    ("employees", "employee_id", "role"),
+    ("bookings", "booking_id", "booking_status"),
+    ("booking_rooms", "booking_room_id", "room_number"),
+    ("bookings_cancelled", "booking_cancel_id", "cancel_reason"),
+    ("reviews", "review_id", "comment"),
+    ("maintenance", "maintenance_id", "maintenance_status"),
+]
+
+
+@register("scan_tables", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, {k} AS id, {c} AS value FROM {t}" for t, k, c in SCAN_COLUMNS))
 def scan_tables(fx):
-    """Explicit column list: only these columns are read from the scan."""
-    return fx.rooms().select("hotel_id", "room_number", "room_type",
-                             F.col("price_per_night").cast("double").alias("price_per_night"),
-                             "is_available")
+    """Every domain table read with an explicit column list: each scan
+    prunes to the columns its projection needs (see ReadSchema)."""
+    parts = [fx.table(t).select(F.lit(t).alias("table_name"), F.col(k).alias("id"),
+                                F.col(c).cast("string").alias("value")) for t, k, c in SCAN_COLUMNS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @register("scan_star", "SELECT * FROM customers")
