@@ -206,7 +206,9 @@ class HotelAnswers:
         totals = {"total_hotels": total, "total_pages": page_count(total)}
         if envelope:
             return self._envelope(totals, page_no)
-        order = [F.col("hotel_id").asc(), F.col("id").asc()]
+        # Q9: the reference gives no order; a table scan returns it in
+        # surrogate-id order (literal); intended pages by hotel_id
+        order = [F.col("id").asc()] if mode == "literal" else [F.col("hotel_id").asc(), F.col("id").asc()]
         pg = page(hotels, order, page_no)
         cards = self._enrich(pg, bookings=False, price=True).drop("created_at")
         return self._flat(cards, totals, page_no)
