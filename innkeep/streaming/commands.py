@@ -1,31 +1,32 @@
 """Request bodies arriving as JSON-lines files, applied by the batch jobs.
 
-``readStream`` over the request folder feeds ``foreachBatch``; each
+``readStream`` over a request folder feeds ``foreachBatch``; each
 micro-batch runs the same job as a batch run (validation, lookups, ids) with
-the target table read as it stands after the earlier micro-batches.  Output
-rows are written under ``batch_id=<n>`` partitions with dynamic partition
-overwrite, and earlier output is read with ``batch_id < n``, so a retried
-micro-batch rewrites its own partition instead of duplicating it: together
-with the stream checkpoint this gives exactly-once results.
+the target tables read as they stand after the earlier micro-batches.
+Output rows are written under ``batch_id=<n>`` partitions with dynamic
+partition overwrite, and earlier output is read with ``batch_id < n``, so a
+retried micro-batch rewrites its own partition instead of duplicating it:
+together with the stream checkpoint this gives exactly-once results.  A body
+that does not parse becomes a ``MALFORMED_REQUEST`` reject.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
 from pyspark.sql import types as T
 
-from innkeep.plans.jobs import ingest_reviews
 from innkeep.sources.frames import SCHEMAS, FrameSet
 
 MALFORMED = "MALFORMED_REQUEST"
 
 
 def _earlier(spark: SparkSession, path: str, batch_id: int, columns: list[str]) -> DataFrame | None:
-    if not os.path.exists(path) and "://" not in path:
+    """Output of the micro-batches before ``batch_id`` (None before the first)."""
+    if "://" not in path and not os.path.exists(path):
         return None
     try:
         df = spark.read.parquet(path)
@@ -34,48 +35,98 @@ def _earlier(spark: SparkSession, path: str, batch_id: int, columns: list[str])
     return df.where(F.col("batch_id") < batch_id).select(*columns)
 
 
-def review_stream(spark: SparkSession, requests_dir: str, out_dir: str, base, checkpoint: str,
-                  available_now: bool = True):
-    """Start the review-request stream; returns the StreamingQuery.
+def _write(df: DataFrame, path: str, batch_id: int) -> None:
+    (df.withColumn("batch_id", F.lit(batch_id))
+     .write.mode("overwrite").partitionBy("batch_id").parquet(path))
 
-    ``base`` provides hotels, customers and reviews as they were before the
-    stream started (a :class:`Fixtures` or :class:`FrameSet`)."""
+
+def _start(spark: SparkSession, requests_dir: str, schema: T.StructType, checkpoint: str,
+           apply: Callable[[DataFrame, DataFrame, int], None], available_now: bool):
+    """Stream the request files; ``apply(good, malformed, batch_id)``."""
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    reviews_out = f"{out_dir.rstrip('/')}/reviews"
-    status_out = f"{out_dir.rstrip('/')}/review_status"
-    review_cols = ["id", "review_id", "hotel_id", "customer_id", "rating", "comment", "review_date"]
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        # a body that does not parse is a reject of its own, never a request
-        malformed = batch.where(F.col("_corrupt_record").isNotNull())
-        batch = batch.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-        current = base.reviews()
-        earlier = _earlier(spark, reviews_out, batch_id, review_cols)
-        if earlier is not None:
-            current = current.unionByName(earlier)
-        tables = FrameSet(spark, {"review_requests": batch, "reviews": current}, base=base)
-        res = ingest_reviews(tables)
-        rows = res.outputs["rows"].select(
-            F.lit(None).cast("long").alias("id"), "review_id", "hotel_id", "customer_id", "rating", "comment",
-            "review_date")
-        (rows.withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").partitionBy("batch_id").parquet(reviews_out))
-        bad = malformed.select(F.col("request_seq"), F.lit(MALFORMED).alias("code"),
-                               F.col("_corrupt_record").alias("message"),
-                               F.lit(None).cast("string").alias("review_id"))
-        (res.status.unionByName(bad).withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").partitionBy("batch_id").parquet(status_out))
-
-    schema = T.StructType(spark.createDataFrame([], SCHEMAS["review_requests"]).schema.fields
-                          + [T.StructField("_corrupt_record", T.StringType())])
-    stream = (spark.readStream.schema(schema)
+    full = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
+    stream = (spark.readStream.schema(full)
               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
               .json(requests_dir))
-    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+    def batch_fn(batch: DataFrame, batch_id: int) -> None:
+        bad = batch.where(F.col("_corrupt_record").isNotNull())
+        good = batch.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+        apply(good, bad, batch_id)
+
+    writer = stream.writeStream.foreachBatch(batch_fn).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
 
+def _rejects(bad: DataFrame, id_col: str) -> DataFrame:
+    return bad.select(F.col("request_seq"), F.lit(MALFORMED).alias("code"),
+                      F.col("_corrupt_record").alias("message"), F.lit(None).cast("string").alias(id_col))
+
+
+def _with_earlier(spark, base_df: DataFrame, path: str, batch_id: int) -> DataFrame:
+    earlier = _earlier(spark, path, batch_id, base_df.columns)
+    return base_df if earlier is None else base_df.unionByName(earlier)
+
+
+def review_stream(spark: SparkSession, requests_dir: str, out_dir: str, base, checkpoint: str,
+                  available_now: bool = True):
+    """Review requests applied by ``ingest_reviews``; ids continue across
+    micro-batches.  ``base`` provides the tables as they were before the
+    stream started (a :class:`Fixtures` or :class:`FrameSet`)."""
+    from innkeep.plans.jobs import ingest_reviews
+    root = out_dir.rstrip("/")
+    reviews_out, status_out = f"{root}/reviews", f"{root}/review_status"
+
+    def apply(batch: DataFrame, bad: DataFrame, batch_id: int) -> None:
+        current = _with_earlier(spark, base.reviews(), reviews_out, batch_id)
+        res = ingest_reviews(FrameSet(spark, {"review_requests": batch, "reviews": current}, base=base))
+        rows = res.outputs["rows"].select(F.lit(None).cast("long").alias("id"), "review_id", "hotel_id",
+                                          "customer_id", "rating", "comment", "review_date")
+        _write(rows, reviews_out, batch_id)
+        _write(res.status.unionByName(_rejects(bad, "review_id")), status_out, batch_id)
+
+    schema = spark.createDataFrame([], SCHEMAS["review_requests"]).schema
+    return _start(spark, requests_dir, schema, checkpoint, apply, available_now)
+
+
+MAINTENANCE_ITEM = T.StructType([
+    T.StructField("room_number", T.StringType()),
+    T.StructField("issue_description", T.StringType()),
+    T.StructField("maintenance_date", T.StringType()),
+    T.StructField("maintenance_status", T.StringType()),
+])
+MAINTENANCE_COMMAND = T.StructType([
+    T.StructField("request_seq", T.LongType()),
+    T.StructField("hotel_id", T.StringType()),        # path parameters of the request
+    T.StructField("employee_id", T.StringType()),
+    T.StructField("maintenance", T.ArrayType(MAINTENANCE_ITEM)),
+])
+
+
+def maintenance_stream(spark: SparkSession, requests_dir: str, out_dir: str, base, checkpoint: str,
+                       available_now: bool = True):
+    """Maintenance requests (hotel, employee, ``maintenance`` item array)
+    applied by ``ingest_maintenance``; ids continue across micro-batches."""
+    from innkeep.plans.jobs import ingest_maintenance
+    root = out_dir.rstrip("/")
+    rows_out, status_out = f"{root}/maintenance", f"{root}/maintenance_status"
+
+    def apply(batch: DataFrame, bad: DataFrame, batch_id: int) -> None:
+        items = (batch.select("request_seq", "hotel_id", "employee_id",
+                              F.posexplode_outer("maintenance").alias("p", "m"))
+                 .select("request_seq", (F.col("p") + 1).cast("long").alias("pos"), "hotel_id", "employee_id",
+                         "m.room_number", "m.issue_description", "m.maintenance_date", "m.maintenance_status"))
+        current = _with_earlier(spark, base.maintenance(), rows_out, batch_id)
+        res = ingest_maintenance(FrameSet(spark, {"maintenance_requests": items, "maintenance": current},
+                                          base=base))
+        _write(res.outputs["rows"].select(*base.maintenance().columns), rows_out, batch_id)
+        status = res.status.withColumn("maintenance_id", F.lit(None).cast("string"))
+        _write(status.unionByName(_rejects(bad, "maintenance_id")), status_out, batch_id)
+
+    return _start(spark, requests_dir, MAINTENANCE_COMMAND, checkpoint, apply, available_now)
+
+
 def booking_stream(spark: SparkSession, requests_dir: str, out_dir: str, base, checkpoint: str,
                    available_now: bool = True):
     """Booking request bodies (header + ``booking_rooms`` array) applied by
@@ -88,54 +139,31 @@ def booking_stream(spark: SparkSession, requests_dir: str, out_dir: str, base, c
     from innkeep.plans.bookings_job import ingest_bookings
     from innkeep.sources.commands import BOOKING_COMMAND
 
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     root = out_dir.rstrip("/")
     paths = {n: f"{root}/{n}" for n in ("bookings", "booking_rooms", "rooms_taken", "booking_status")}
-    booking_cols = ["id", "booking_id", "customer_id", "hotel_id", "total_amount", "booking_status", "created_at"]
-    br_cols = ["booking_room_id", "booking_id", "room_number", "check_in", "check_out", "room_amount"]
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        malformed = batch.where(F.col("_corrupt_record").isNotNull())
-        batch = batch.where(F.col("_corrupt_record").isNull())
+    def apply(batch: DataFrame, bad: DataFrame, batch_id: int) -> None:
         header = batch.select("request_seq", "customer_id", "hotel_id", "total_amount", "booking_status")
         items = (batch.select("request_seq", F.posexplode("booking_rooms").alias("p", "r"))
                  .select("request_seq", (F.col("p") + 1).cast("long").alias("pos"), "r.room_number",
                          "r.check_in", "r.check_out", "r.room_amount"))
-        rooms, bookings, booking_rooms = base.rooms(), base.bookings(), base.booking_rooms()
+        rooms = base.rooms()
         taken = _earlier(spark, paths["rooms_taken"], batch_id, ["hotel_id", "room_number"])
         if taken is not None:
             t = taken.distinct().withColumn("_taken", F.lit(True))
             rooms = (rooms.join(t, ["hotel_id", "room_number"], "left")
                      .withColumn("is_available", F.when(F.col("_taken"), F.lit(False))
                                  .otherwise(F.col("is_available"))).drop("_taken"))
-        earlier_b = _earlier(spark, paths["bookings"], batch_id, booking_cols)
-        if earlier_b is not None:
-            bookings = bookings.unionByName(earlier_b)
-        earlier_br = _earlier(spark, paths["booking_rooms"], batch_id, br_cols)
-        if earlier_br is not None:
-            booking_rooms = booking_rooms.unionByName(earlier_br)
+        bookings = _with_earlier(spark, base.bookings(), paths["bookings"], batch_id)
+        booking_rooms = _with_earlier(spark, base.booking_rooms(), paths["booking_rooms"], batch_id)
         tables = FrameSet(spark, {"booking_requests": header, "booking_request_rooms": items, "rooms": rooms,
                                   "bookings": bookings, "booking_rooms": booking_rooms}, base=base)
         res = ingest_bookings(tables)
-
-        def write(df: DataFrame, name: str) -> None:
-            (df.withColumn("batch_id", F.lit(batch_id))
-             .write.mode("overwrite").partitionBy("batch_id").parquet(paths[name]))
-
-        write(res.outputs["bookings"].select(F.lit(None).cast("long").alias("id"), "booking_id", "customer_id",
-                                             "hotel_id", "total_amount", "booking_status",
-                                             F.lit(None).cast("timestamp_ntz").alias("created_at")), "bookings")
-        write(res.outputs["booking_rooms"].select(*br_cols), "booking_rooms")
-        write(res.outputs["rooms_taken"], "rooms_taken")
-        bad = malformed.select(F.col("request_seq"), F.lit(MALFORMED).alias("code"),
-                               F.col("_corrupt_record").alias("message"),
-                               F.lit(None).cast("string").alias("booking_id"))
-        write(res.status.unionByName(bad), "booking_status")
-
-    schema = T.StructType(BOOKING_COMMAND.fields + [T.StructField("_corrupt_record", T.StringType())])
-    stream = (spark.readStream.schema(schema)
-              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-              .json(requests_dir))
-    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    return writer.start()
+        _write(res.outputs["bookings"].select(
+            F.lit(None).cast("long").alias("id"), "booking_id", "customer_id", "hotel_id", "total_amount",
+            "booking_status", F.lit(None).cast("timestamp_ntz").alias("created_at")), paths["bookings"], batch_id)
+        _write(res.outputs["booking_rooms"].select(*base.booking_rooms().columns), paths["booking_rooms"], batch_id)
+        _write(res.outputs["rooms_taken"], paths["rooms_taken"], batch_id)
+        _write(res.status.unionByName(_rejects(bad, "booking_id")), paths["booking_status"], batch_id)
+
+    return _start(spark, requests_dir, BOOKING_COMMAND, checkpoint, apply, available_now)

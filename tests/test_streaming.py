@@ -59,3 +59,27 @@ def test_booking_stream_carries_room_state(spark):
                       4: ("OK", "BOOK00002"), 5: ("ROOM_UNAVAILABLE", None)}
     br = sorted(r.booking_room_id for r in spark.read.parquet(os.path.join(out, "booking_rooms")).collect())
     assert br == ["BR00001", "BR00002"]
+
+
+def test_maintenance_stream_ids_continue(spark):
+    from innkeep.streaming.commands import maintenance_stream
+    from tests.world import room
+    base = world(spark, hotels=[hotel(1)], rooms=[room(1, 1, "101"), room(2, 1, "102")],
+                 employees=[("EMP00001", "HOT00001", "A", "employee"), ("EMP00002", "HOT00001", "B", "chef")],
+                 maintenance=[("MAINTAIN00041", "HOT00001", "101", "EMP00001", "old leak", None, "Pending")])
+    d = tempfile.mkdtemp(prefix="innkeep-mstream-")
+    src, out, ck = (os.path.join(d, x) for x in ("in", "out", "ck"))
+    os.makedirs(src)
+
+    def req(seq, emp, *rooms):
+        return {"request_seq": seq, "hotel_id": "HOT00001", "employee_id": emp,
+                "maintenance": [{"room_number": r, "issue_description": "broken tap",
+                                 "maintenance_date": "2024-03-01"} for r in rooms]}
+    _write(os.path.join(src, "a.json"), [req(1, "EMP00001", "101", "102"), req(2, "EMP00002", "101")])
+    maintenance_stream(spark, src, out, base, ck).awaitTermination()
+    _write(os.path.join(src, "b.json"), [req(3, "EMP00001", "102"), req(4, "EMP00001", "109")])
+    maintenance_stream(spark, src, out, base, ck).awaitTermination()
+    status = {r.request_seq: r.code for r in spark.read.parquet(os.path.join(out, "maintenance_status")).collect()}
+    assert status == {1: "OK", 2: "NOT_AUTHORIZED", 3: "OK", 4: "ROOM_NOT_FOUND"}
+    ids = sorted(r.maintenance_id for r in spark.read.parquet(os.path.join(out, "maintenance")).collect())
+    assert ids == ["MAINTAIN00042", "MAINTAIN00043", "MAINTAIN00044"]
