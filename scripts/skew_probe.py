@@ -38,6 +38,9 @@ def main():
         .write.format("noop").mode("overwrite").save()
     sc.setJobGroup("rank_within_groups", "rank_within_groups")
     rank_within_groups(df, ["g"], order).write.format("noop").mode("overwrite").save()
+    sc.setJobGroup("group_aggregate", "group_aggregate")
+    df.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.avg("l_extendedprice").alias("a")) \
+        .write.format("noop").mode("overwrite").save()
     sc.setJobGroup("window_lag", "window_lag")
     df.withColumn("prev", F.lag("l_extendedprice").over(Window.partitionBy("g").orderBy(*order))) \
         .write.format("noop").mode("overwrite").save()
