@@ -4,5 +4,6 @@ The reference has no streams, windows or watermarks (it answers one HTTP
 request at a time), so there is no stream operator to rebuild.  What arrives
 continuously is its requests; :mod:`innkeep.streaming.commands` applies the
 batch command jobs to request files as they arrive, one micro-batch at a
-time (reviews and maintenance additions; bookings, whose room claims carry
-over between micro-batches through the outputs of the earlier ones)."""
+time (reviews, maintenance additions and cancellations; bookings, whose room
+claims carry over between micro-batches through the outputs of the earlier
+ones)."""

@@ -167,3 +167,25 @@ def booking_stream(spark: SparkSession, requests_dir: str, out_dir: str, base, c
         _write(res.status.unionByName(_rejects(bad, "booking_id")), paths["booking_status"], batch_id)
 
     return _start(spark, requests_dir, BOOKING_COMMAND, checkpoint, apply, available_now)
+
+
+def cancel_stream(spark: SparkSession, requests_dir: str, out_dir: str, base, checkpoint: str,
+                  available_now: bool = True):
+    """Cancellation requests applied by ``cancel_bookings``; cancel ids
+    continue across micro-batches (re-cancelling stays allowed, as in a
+    batch) and the freed rooms of each micro-batch are written out."""
+    from innkeep.plans.jobs import cancel_bookings
+
+    root = out_dir.rstrip("/")
+    rows_out, status_out, freed_out = f"{root}/bookings_cancelled", f"{root}/cancel_status", f"{root}/rooms_freed"
+
+    def apply(batch: DataFrame, bad: DataFrame, batch_id: int) -> None:
+        current = _with_earlier(spark, base.bookings_cancelled(), rows_out, batch_id)
+        res = cancel_bookings(FrameSet(spark, {"cancel_requests": batch, "bookings_cancelled": current},
+                                       base=base))
+        _write(res.outputs["rows"].select(*base.bookings_cancelled().columns), rows_out, batch_id)
+        _write(res.outputs["rooms_freed"], freed_out, batch_id)
+        _write(res.status.unionByName(_rejects(bad, "booking_cancel_id")), status_out, batch_id)
+
+    schema = spark.createDataFrame([], SCHEMAS["cancel_requests"]).schema
+    return _start(spark, requests_dir, schema, checkpoint, apply, available_now)

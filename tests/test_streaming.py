@@ -83,3 +83,29 @@ def test_maintenance_stream_ids_continue(spark):
     assert status == {1: "OK", 2: "NOT_AUTHORIZED", 3: "OK", 4: "ROOM_NOT_FOUND"}
     ids = sorted(r.maintenance_id for r in spark.read.parquet(os.path.join(out, "maintenance")).collect())
     assert ids == ["MAINTAIN00042", "MAINTAIN00043", "MAINTAIN00044"]
+
+
+def test_cancel_stream_ids_continue(spark):
+    from decimal import Decimal
+    from innkeep.streaming.commands import cancel_stream
+    from tests.world import booking, room
+    base = world(spark, hotels=[hotel(1)], customers=[customer(1), customer(2)],
+                 rooms=[room(1, 1, "101", available=False)], bookings=[booking(1, 1, 1), booking(2, 2, 1)],
+                 booking_rooms=[("BR1", "BOOK00001", "101", None, None, Decimal("1"))],
+                 bookings_cancelled=[("BOOKCANCEL00007", "BOOK00002", "CUST00002", "HOT00001", Decimal("1"), "x")])
+    d = tempfile.mkdtemp(prefix="innkeep-cstream-")
+    src, out, ck = (os.path.join(d, x) for x in ("in", "out", "ck"))
+    os.makedirs(src)
+
+    def req(seq, booking, cust):
+        return {"request_seq": seq, "booking_id": booking, "customer_id": cust, "hotel_id": "HOT00001",
+                "cancel_reason": "change of plans"}
+    _write(os.path.join(src, "a.json"), [req(1, "BOOK00001", "CUST00001"), req(2, "BOOK00001", "CUST00002")])
+    cancel_stream(spark, src, out, base, ck).awaitTermination()
+    _write(os.path.join(src, "b.json"), [req(3, "BOOK00001", "CUST00001")])
+    cancel_stream(spark, src, out, base, ck).awaitTermination()
+    status = {r.request_seq: (r.code, r.booking_cancel_id)
+              for r in spark.read.parquet(os.path.join(out, "cancel_status")).collect()}
+    assert status == {1: ("OK", "BOOKCANCEL00008"), 2: ("NOT_AUTHORIZED", None), 3: ("OK", "BOOKCANCEL00009")}
+    freed = [r.room_id for r in spark.read.parquet(os.path.join(out, "rooms_freed")).collect()]
+    assert sorted(freed) == ["ROOM00001", "ROOM00001"]
