@@ -114,3 +114,80 @@ def test_upsert_rooms_equals_sequential(spark, seed):
     got_rooms = {r.room_id: [r.hotel_id, r.room_number, r.room_type, float(r.price_per_night), r.is_available]
                  for r in res.outputs["rooms"].collect()}
     assert got_rooms == want_rooms
+
+
+def simulate_ingest_hotels(hotels, rooms, services, requests, items, svcs):
+    """Add-hotel requests one at a time: checks in the reference's order,
+    ids continuing from the last hotel/room (by surrogate id) and service."""
+    next_h = int(max(hotels, key=lambda h: h[0])[1][3:]) + 1
+    next_r = int(max(rooms, key=lambda r: r[0])[1][4:]) + 1
+    next_s = max(int(s[0][4:]) for s in services) + 1
+    out = {}
+    new_rooms, new_services = [], []
+    for seq, _, name, city, country, total in sorted(requests):
+        its = sorted((i for i in items if i[0] == seq), key=lambda i: i[1])
+        ss = sorted((x for x in svcs if x[0] == seq), key=lambda x: x[1])
+        if not name:
+            out[seq] = ("VALIDATION", None)
+            continue
+        if len(its) > float(total):
+            out[seq] = ("TOO_MANY_ROOMS", None)
+            continue
+        seen, dup = set(), None
+        for i in its:
+            if i[2] in seen:
+                dup = i[2]
+                break
+            seen.add(i[2])
+        if dup:
+            out[seq] = ("DUPLICATE_ROOM", f"Duplicate room number '{dup}' found.")
+            continue
+        seen, dup = set(), None
+        for x in ss:
+            if not x[3]:
+                continue
+            if x[3].lower() in seen:
+                dup = x[3]
+                break
+            seen.add(x[3].lower())
+        if dup:
+            out[seq] = ("DUPLICATE_SERVICE", f"Duplicate service name '{dup}' detected.")
+            continue
+        hid = f"HOT{next_h:05d}"
+        next_h += 1
+        out[seq] = ("OK", hid)
+        for i in its:
+            new_rooms.append((f"ROOM{next_r:05d}", hid, i[2]))
+            next_r += 1
+        for x in ss:
+            if x[3]:
+                new_services.append((f"SERV{next_s:05d}", hid, x[3]))
+                next_s += 1
+    return out, new_rooms, new_services
+
+
+@pytest.mark.parametrize("seed", [31, 32])
+def test_ingest_hotels_equals_sequential(spark, seed):
+    from innkeep.plans.jobs import ingest_hotels
+    rnd = random.Random(seed)
+    hotels = [hotel(1), hotel(7)]
+    rooms = [room(3, 1, "101"), room(9, 7, "102")]
+    services = [("SERV00004", "HOT00001", "Spa", None), ("SERV00011", "HOT00007", "Gym", None)]
+    requests, items, svcs = [], [], []
+    for seq in range(1, 21):
+        requests.append((seq, None, "" if rnd.random() < 0.1 else f"H{seq}", "City", "Country",
+                         str(rnd.choice([1, 2, 3, 4]))))
+        for pos in range(1, rnd.randint(0, 4) + 1):
+            items.append((seq, pos, str(rnd.choice(range(101, 106))), "Suite", "99.5", None))
+        for pos in range(1, rnd.randint(0, 3) + 1):
+            svcs.append((seq, pos, None, rnd.choice(["Spa", "spa", "Bar", "", "Gym"]), "5"))
+    fs = world(spark, hotels=hotels, rooms=rooms, services=[s[:3] + (None,) for s in services],
+               hotel_requests=requests, hotel_request_rooms=items, hotel_request_services=svcs)
+    res = ingest_hotels(fs)
+    got = {r.request_seq: (r.code, r.hotel_id if r.code == "OK" else (r.message if r.code.startswith("DUP") else None))
+           for r in res.status.collect()}
+    want, want_rooms, want_services = simulate_ingest_hotels(hotels, rooms, services, requests, items, svcs)
+    assert got == want
+    assert sorted((r.room_id, r.hotel_id, r.room_number) for r in res.outputs["rooms"].collect()) == sorted(want_rooms)
+    assert sorted((s.service_id, s.hotel_id, s.service_name)
+                  for s in res.outputs["services"].collect()) == sorted(want_services)
