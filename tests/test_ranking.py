@@ -67,3 +67,9 @@ def test_global_rank_consistent_for_every_consumer(spark):
     assert r.select("r").distinct().count() == 40000
     nxt = r.select((F.col("r") - 1).alias("r"), F.col("payload").alias("next_payload"))
     assert r.join(nxt, "r", "left").count() == 40000
+
+
+def test_page_below_one_is_an_error(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        page(_skewed(spark, n=5), [F.col("id")], 0)
