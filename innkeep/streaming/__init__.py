@@ -6,4 +6,4 @@ continuously is its requests; :mod:`innkeep.streaming.commands` applies the
 batch command jobs to request files as they arrive, one micro-batch at a
 time (reviews, maintenance additions and cancellations; bookings, whose room
 claims carry over between micro-batches through the outputs of the earlier
-ones)."""
+ones, together with the rooms the cancellation stream frees)."""

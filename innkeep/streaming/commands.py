@@ -128,14 +128,17 @@ def maintenance_stream(spark: SparkSession, requests_dir: str, out_dir: str, bas
 
 
 def booking_stream(spark: SparkSession, requests_dir: str, out_dir: str, base, checkpoint: str,
-                   available_now: bool = True):
+                   available_now: bool = True, freed_dir: str | None = None):
     """Booking request bodies (header + ``booking_rooms`` array) applied by
     ``ingest_bookings`` micro-batch by micro-batch.
 
     The state that crosses micro-batches is the rooms taken by earlier
     accepted bookings (and the ids issued so far): each micro-batch reads the
     outputs of the earlier ones (``batch_id < n``), so the stream gives the
-    same result as applying all requests one at a time, in arrival order."""
+    same result as applying all requests one at a time, in arrival order.
+    With ``freed_dir`` (the ``out_dir`` of a :func:`cancel_stream`), a room
+    whose latest committed event is a cancellation freeing it is available
+    again; events of the two streams are ordered by their commit time."""
     from innkeep.plans.bookings_job import ingest_bookings
     from innkeep.sources.commands import BOOKING_COMMAND
 
@@ -148,12 +151,20 @@ def booking_stream(spark: SparkSession, requests_dir: str, out_dir: str, base, c
                  .select("request_seq", (F.col("p") + 1).cast("long").alias("pos"), "r.room_number",
                          "r.check_in", "r.check_out", "r.room_amount"))
         rooms = base.rooms()
-        taken = _earlier(spark, paths["rooms_taken"], batch_id, ["hotel_id", "room_number"])
-        if taken is not None:
-            t = taken.distinct().withColumn("_taken", F.lit(True))
-            rooms = (rooms.join(t, ["hotel_id", "room_number"], "left")
-                     .withColumn("is_available", F.when(F.col("_taken"), F.lit(False))
-                                 .otherwise(F.col("is_available"))).drop("_taken"))
+        events = _earlier(spark, paths["rooms_taken"], batch_id, ["hotel_id", "room_number", "at"])
+        if events is not None:
+            events = events.withColumn("_free", F.lit(False))
+            if freed_dir:
+                freed = _earlier(spark, f"{freed_dir.rstrip('/')}/rooms_freed", 1 << 62,
+                                 ["hotel_id", "room_number", "at"])
+                if freed is not None:
+                    events = events.unionByName(freed.withColumn("_free", F.lit(True)))
+            # the latest committed event per room decides (partial aggregate)
+            last = (events.groupBy("hotel_id", "room_number")
+                    .agg(F.max_by("_free", F.struct("at", "_free")).alias("_free")))
+            rooms = (rooms.join(last, ["hotel_id", "room_number"], "left")
+                     .withColumn("is_available", F.when(F.col("_free").isNull(), F.col("is_available"))
+                                 .otherwise(F.col("_free"))).drop("_free"))
         bookings = _with_earlier(spark, base.bookings(), paths["bookings"], batch_id)
         booking_rooms = _with_earlier(spark, base.booking_rooms(), paths["booking_rooms"], batch_id)
         tables = FrameSet(spark, {"booking_requests": header, "booking_request_rooms": items, "rooms": rooms,
@@ -163,7 +174,7 @@ def booking_stream(spark: SparkSession, requests_dir: str, out_dir: str, base, c
             F.lit(None).cast("long").alias("id"), "booking_id", "customer_id", "hotel_id", "total_amount",
             "booking_status", F.lit(None).cast("timestamp_ntz").alias("created_at")), paths["bookings"], batch_id)
         _write(res.outputs["booking_rooms"].select(*base.booking_rooms().columns), paths["booking_rooms"], batch_id)
-        _write(res.outputs["rooms_taken"], paths["rooms_taken"], batch_id)
+        _write(res.outputs["rooms_taken"].withColumn("at", F.current_timestamp()), paths["rooms_taken"], batch_id)
         _write(res.status.unionByName(_rejects(bad, "booking_id")), paths["booking_status"], batch_id)
 
     return _start(spark, requests_dir, BOOKING_COMMAND, checkpoint, apply, available_now)
@@ -184,7 +195,7 @@ def cancel_stream(spark: SparkSession, requests_dir: str, out_dir: str, base, ch
         res = cancel_bookings(FrameSet(spark, {"cancel_requests": batch, "bookings_cancelled": current},
                                        base=base))
         _write(res.outputs["rows"].select(*base.bookings_cancelled().columns), rows_out, batch_id)
-        _write(res.outputs["rooms_freed"], freed_out, batch_id)
+        _write(res.outputs["rooms_freed"].withColumn("at", F.current_timestamp()), freed_out, batch_id)
         _write(res.status.unionByName(_rejects(bad, "booking_cancel_id")), status_out, batch_id)
 
     schema = spark.createDataFrame([], SCHEMAS["cancel_requests"]).schema

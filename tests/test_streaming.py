@@ -109,3 +109,36 @@ def test_cancel_stream_ids_continue(spark):
     assert status == {1: ("OK", "BOOKCANCEL00008"), 2: ("NOT_AUTHORIZED", None), 3: ("OK", "BOOKCANCEL00009")}
     freed = [r.room_id for r in spark.read.parquet(os.path.join(out, "rooms_freed")).collect()]
     assert sorted(freed) == ["ROOM00001", "ROOM00001"]
+
+
+def test_booking_stream_sees_rooms_freed_by_cancellations(spark):
+    from innkeep.streaming.commands import booking_stream, cancel_stream
+    from tests.world import room
+    base = world(spark, hotels=[hotel(1)], customers=[customer(1)], rooms=[room(1, 1, "101")],
+                 bookings=[], booking_rooms=[], bookings_cancelled=[])
+    d = tempfile.mkdtemp(prefix="innkeep-bcstream-")
+    bsrc, csrc, bout, cout = (os.path.join(d, x) for x in ("bin", "cin", "bout", "cout"))
+    os.makedirs(bsrc)
+    os.makedirs(csrc)
+
+    def breq(seq):
+        return {"request_seq": seq, "customer_id": "CUST00001", "hotel_id": "HOT00001", "total_amount": "9",
+                "booking_rooms": [{"room_number": "101", "check_in": "2024-03-01", "check_out": "2024-03-02",
+                                   "room_amount": "9"}]}
+    _write(os.path.join(bsrc, "a.json"), [breq(1)])
+    booking_stream(spark, bsrc, bout, base, os.path.join(d, "bck"), freed_dir=cout).awaitTermination()
+    _write(os.path.join(bsrc, "b.json"), [breq(2)])
+    booking_stream(spark, bsrc, bout, base, os.path.join(d, "bck"), freed_dir=cout).awaitTermination()
+    # BOOK00001 now exists in the booking stream's output: cancel it
+    stored = world(spark, hotels=[hotel(1)], customers=[customer(1)], rooms=[room(1, 1, "101")],
+                   bookings_cancelled=[])
+    stored.set("bookings", spark.read.parquet(os.path.join(bout, "bookings")).drop("batch_id"))
+    stored.set("booking_rooms", spark.read.parquet(os.path.join(bout, "booking_rooms")).drop("batch_id"))
+    _write(os.path.join(csrc, "a.json"), [{"request_seq": 10, "booking_id": "BOOK00001", "customer_id": "CUST00001",
+                                           "hotel_id": "HOT00001", "cancel_reason": "plans changed"}])
+    cancel_stream(spark, csrc, cout, stored, os.path.join(d, "cck")).awaitTermination()
+    _write(os.path.join(bsrc, "c.json"), [breq(3)])
+    booking_stream(spark, bsrc, bout, base, os.path.join(d, "bck"), freed_dir=cout).awaitTermination()
+    status = {r.request_seq: (r.code, r.booking_id)
+              for r in spark.read.parquet(os.path.join(bout, "booking_status")).collect()}
+    assert status == {1: ("OK", "BOOK00001"), 2: ("ROOM_UNAVAILABLE", None), 3: ("OK", "BOOK00002")}
