@@ -13,48 +13,81 @@ from pyspark.sql import functions as F
 
 from innkeep.functions.text import js_len
 
-# The constraints of the ten table definitions, on the column
-# names the code uses (cancel_reason, maintenance by hotel_id/room_number).
+# The constraints of the ten table definitions (UNIQUE, NOT
+# NULL, VARCHAR lengths, CHECK, ENUM, FOREIGN KEY), on the column names the
+# code uses (cancel_reason; maintenance keyed by hotel_id/room_number).
 CONSTRAINTS = [
     ("hotels", "unique", ("hotel_id",)),
     ("hotels", "not_null", ("hotel_id",)),
-    ("hotels", "not_null", ("hotel_name",)),
-    ("hotels", "check", ("star_rating", 1, 5)),
     ("hotels", "varchar", ("hotel_id", 20)),
+    ("hotels", "not_null", ("hotel_name",)),
     ("hotels", "varchar", ("hotel_name", 255)),
     ("hotels", "varchar", ("city", 100)),
     ("hotels", "varchar", ("country", 100)),
+    ("hotels", "check", ("star_rating", 1, 5)),
     ("rooms", "unique", ("room_id",)),
+    ("rooms", "not_null", ("room_id",)),
+    ("rooms", "varchar", ("room_id", 20)),
     ("rooms", "not_null", ("hotel_id",)),
+    ("rooms", "varchar", ("hotel_id", 20)),
     ("rooms", "varchar", ("room_number", 10)),
-    ("rooms", "enum", ("room_type", ("Deluxe", "Suite", "Standard"))),
     ("rooms", "not_null", ("room_type",)),
+    ("rooms", "enum", ("room_type", ("Deluxe", "Suite", "Standard"))),
     ("rooms", "fk", (("hotel_id",), "hotels", ("hotel_id",))),
     ("services", "unique", ("service_id",)),
+    ("services", "not_null", ("service_id",)),
+    ("services", "varchar", ("service_id", 20)),
+    ("services", "not_null", ("hotel_id",)),
     ("services", "varchar", ("service_name", 100)),
     ("services", "fk", (("hotel_id",), "hotels", ("hotel_id",))),
     ("customers", "unique", ("customer_id",)),
+    ("customers", "not_null", ("customer_id",)),
+    ("customers", "varchar", ("customer_id", 20)),
     ("customers", "not_null", ("full_name",)),
     ("customers", "varchar", ("full_name", 255)),
+    ("customers", "varchar", ("city", 100)),
+    ("customers", "varchar", ("country", 100)),
     ("employees", "unique", ("employee_id",)),
+    ("employees", "not_null", ("employee_id",)),
+    ("employees", "varchar", ("employee_id", 20)),
+    ("employees", "not_null", ("hotel_id",)),
+    ("employees", "varchar", ("full_name", 255)),
+    ("employees", "varchar", ("role", 100)),
     ("employees", "fk", (("hotel_id",), "hotels", ("hotel_id",))),
     ("bookings", "unique", ("booking_id",)),
+    ("bookings", "not_null", ("booking_id",)),
+    ("bookings", "varchar", ("booking_id", 20)),
     ("bookings", "not_null", ("customer_id",)),
+    ("bookings", "not_null", ("hotel_id",)),
     ("bookings", "enum", ("booking_status", ("Confirmed", "Cancelled"))),
     ("bookings", "fk", (("customer_id",), "customers", ("customer_id",))),
     ("bookings", "fk", (("hotel_id",), "hotels", ("hotel_id",))),
     ("booking_rooms", "unique", ("booking_room_id",)),
+    ("booking_rooms", "not_null", ("booking_room_id",)),
     ("booking_rooms", "varchar", ("booking_room_id", 20)),
+    ("booking_rooms", "not_null", ("booking_id",)),
     ("booking_rooms", "not_null", ("room_number",)),
+    ("booking_rooms", "varchar", ("room_number", 20)),
     ("booking_rooms", "fk", (("booking_id",), "bookings", ("booking_id",))),
     ("bookings_cancelled", "unique", ("booking_cancel_id",)),
+    ("bookings_cancelled", "not_null", ("booking_cancel_id",)),
+    ("bookings_cancelled", "varchar", ("booking_cancel_id", 20)),
+    ("bookings_cancelled", "not_null", ("booking_id",)),
+    ("bookings_cancelled", "not_null", ("customer_id",)),
+    ("bookings_cancelled", "not_null", ("hotel_id",)),
     ("bookings_cancelled", "fk", (("customer_id",), "customers", ("customer_id",))),
     ("bookings_cancelled", "fk", (("hotel_id",), "hotels", ("hotel_id",))),
     ("reviews", "unique", ("review_id",)),
+    ("reviews", "not_null", ("review_id",)),
+    ("reviews", "varchar", ("review_id", 20)),
+    ("reviews", "not_null", ("hotel_id",)),
+    ("reviews", "not_null", ("customer_id",)),
     ("reviews", "check", ("rating", 1, 5)),
     ("reviews", "fk", (("hotel_id",), "hotels", ("hotel_id",))),
     ("reviews", "fk", (("customer_id",), "customers", ("customer_id",))),
     ("maintenance", "unique", ("maintenance_id",)),
+    ("maintenance", "not_null", ("maintenance_id",)),
+    ("maintenance", "varchar", ("maintenance_id", 20)),
     ("maintenance", "fk", (("hotel_id", "room_number"), "rooms", ("hotel_id", "room_number"))),
 ]
 
