@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innkeep.functions.text import js_len
 
 # The constraints of the ten table definitions (UNIQUE, NOT
 # NULL, VARCHAR lengths, CHECK, ENUM, FOREIGN KEY), on the column names the
@@ -115,7 +114,8 @@ def _violation_expr(kind: str, args):
     if kind == "enum":
         return F.count_if(c.isNotNull() & ~c.isin(*args[1]))
     if kind == "varchar":
-        return F.count_if(js_len(c) > args[1])
+        # VARCHAR(n) counts characters (code points), not UTF-16 units
+        return F.count_if(F.length(c) > args[1])
     raise ValueError(kind)
 
 
