@@ -78,11 +78,17 @@ class HotelAnswers:
                 mode: str = "intended", restrict: bool = True) -> DataFrame:
         """Left-join the per-hotel aggregates onto ``hotels`` (missing -> 0).
 
-        ``restrict``: reduce the child tables to ``hotels``' keys first
-        (page-first plans); otherwise aggregate every hotel."""
+        ``restrict``: True reduces the child tables to ``hotels``' keys by a
+        broadcast (a page); "any" by an unhinted semi-join (a filtered set of
+        unknown size); False aggregates every hotel."""
         fx = self.fx
         rooms, reviews, services = fx.rooms(), fx.reviews(), fx.services()
-        if restrict:
+        if restrict == "any":
+            # a filtered hotel set of unknown size: reduce the children to it
+            # before aggregating; AQE broadcasts the keys when they are few
+            rooms, reviews, services = (semi_any(rooms, hotels, "hotel_id"), semi_any(reviews, hotels, "hotel_id"),
+                                        semi_any(services, hotels, "hotel_id"))
+        elif restrict:
             rooms, reviews, services = (semi(rooms, hotels), semi(reviews, hotels),
                                         semi(services, hotels))
         out = (hotels
@@ -102,7 +108,9 @@ class HotelAnswers:
         )
         if bookings:
             b = fx.bookings()
-            if restrict:
+            if restrict == "any":
+                b = semi_any(b, hotels, "hotel_id")
+            elif restrict:
                 b = semi(b, hotels)
             if mode == "literal":
                 counts = agg.booking_counts_literal(b, semi_any(fx.booking_rooms(), b, "booking_id"),
@@ -167,7 +175,8 @@ class HotelAnswers:
                 base = base.where(contains_ci("city", city))
             if country:
                 base = base.where(contains_ci("country", country))
-            cards = self._enrich(base, bookings=True, price=False, mode=mode, restrict=False)
+            cards = self._enrich(base, bookings=True, price=False, mode=mode,
+                                 restrict="any" if (city or country) else False)
         if mode == "literal":
             if city:
                 cards = cards.where(contains_ci("city", city))
