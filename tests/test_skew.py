@@ -13,7 +13,8 @@ from tests.world import booking, customer, hotel, room, world
 
 load_all()
 KEYS = ["hotel_admin_search", "hotel_directory", "join_app_lookup", "sort_price_asc", "join_app_nest",
-        "agg_nest_bookings", "sort_availability", "agg_having_total", "join_left_chain"]
+        "agg_nest_bookings", "sort_availability", "agg_having_total", "join_left_chain",
+        "ingest_reviews", "validate_reviews", "lookup_exists", "append_rows"]
 
 
 @pytest.fixture(scope="module")
@@ -36,12 +37,15 @@ def skewed(spark):
     bc = [(f"BOOKCANCEL{i}", f"BOOK{rnd.randint(1, 1500):05d}", "CUST00001", "HOT00001", Decimal("1.00"),
            f"reason {i}") for i in range(1, 301)]
     services = [(f"SERV{i:05d}", f"HOT{(i % 30) + 1:05d}", f"svc{i}", Decimal("5.00")) for i in range(1, 61)]
+    review_requests = [(i, "HOT00001" if i % 3 == 0 else f"HOT{rnd.randint(2, 40):05d}",
+                        f"CUST{rnd.randint(1, 60):05d}", rnd.choice(["4", "4.5", "6", "", "x", "2.25"]),
+                        rnd.choice(["", " fine ", None])) for i in range(1, 601)]
     fs = world(spark, hotels=hotels, rooms=rooms, customers=customers, reviews=reviews, bookings=bookings,
-               booking_rooms=br, bookings_cancelled=bc, services=services)
+               booking_rooms=br, bookings_cancelled=bc, services=services, review_requests=review_requests)
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for name in ["hotels", "rooms", "customers", "reviews", "bookings", "booking_rooms", "bookings_cancelled",
-                 "services"]:
+                 "services", "review_requests"]:
         pdf = fs.table(name).toPandas()
         con.register(f"{name}_pdf", pdf)
         con.execute(f"CREATE TABLE {name} AS SELECT * FROM {name}_pdf")
