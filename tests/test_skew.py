@@ -14,7 +14,8 @@ from tests.world import booking, customer, hotel, room, world
 load_all()
 KEYS = ["hotel_admin_search", "hotel_directory", "join_app_lookup", "sort_price_asc", "join_app_nest",
         "agg_nest_bookings", "sort_availability", "agg_having_total", "join_left_chain",
-        "ingest_reviews", "validate_reviews", "lookup_exists", "append_rows"]
+        "ingest_reviews", "validate_reviews", "lookup_exists", "append_rows",
+        "ingest_bookings", "ingest_bookings_rooms", "validate_bookings", "ingest_bookings_rooms_snapshot"]
 
 
 @pytest.fixture(scope="module")
@@ -40,12 +41,21 @@ def skewed(spark):
     review_requests = [(i, "HOT00001" if i % 3 == 0 else f"HOT{rnd.randint(2, 40):05d}",
                         f"CUST{rnd.randint(1, 60):05d}", rnd.choice(["4", "4.5", "6", "", "x", "2.25"]),
                         rnd.choice(["", " fine ", None])) for i in range(1, 601)]
+    hot_numbers = [r[3] for r in rooms if r[2] == "HOT00001"]
+    booking_requests, booking_items = [], []
+    for i in range(1, 301):
+        hid = "HOT00001" if i % 3 == 0 else f"HOT{rnd.randint(2, 30):05d}"
+        booking_requests.append((i, f"CUST{rnd.randint(1, 50):05d}", hid, "99.50", None))
+        pool = hot_numbers[:40] if hid == "HOT00001" else [str(100 + rnd.randint(1, 3000))]
+        for pos in range(1, rnd.randint(1, 3) + 1):
+            booking_items.append((i, pos, rnd.choice(pool), "2024-05-01", "2024-05-03", "10"))
     fs = world(spark, hotels=hotels, rooms=rooms, customers=customers, reviews=reviews, bookings=bookings,
-               booking_rooms=br, bookings_cancelled=bc, services=services, review_requests=review_requests)
+               booking_rooms=br, bookings_cancelled=bc, services=services, review_requests=review_requests,
+               booking_requests=booking_requests, booking_request_rooms=booking_items)
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for name in ["hotels", "rooms", "customers", "reviews", "bookings", "booking_rooms", "bookings_cancelled",
-                 "services", "review_requests"]:
+                 "services", "review_requests", "booking_requests", "booking_request_rooms"]:
         pdf = fs.table(name).toPandas()
         con.register(f"{name}_pdf", pdf)
         con.execute(f"CREATE TABLE {name} AS SELECT * FROM {name}_pdf")
