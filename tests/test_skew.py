@@ -15,7 +15,8 @@ load_all()
 KEYS = ["hotel_admin_search", "hotel_directory", "join_app_lookup", "sort_price_asc", "join_app_nest",
         "agg_nest_bookings", "sort_availability", "agg_having_total", "join_left_chain",
         "ingest_reviews", "validate_reviews", "lookup_exists", "append_rows",
-        "ingest_bookings", "ingest_bookings_rooms", "validate_bookings", "ingest_bookings_rooms_snapshot"]
+        "ingest_bookings", "ingest_bookings_rooms", "validate_bookings", "ingest_bookings_rooms_snapshot",
+        "update_maintenance", "update_rows", "authorize_role"]
 
 
 @pytest.fixture(scope="module")
@@ -49,13 +50,24 @@ def skewed(spark):
         pool = hot_numbers[:40] if hid == "HOT00001" else [str(100 + rnd.randint(1, 3000))]
         for pos in range(1, rnd.randint(1, 3) + 1):
             booking_items.append((i, pos, rnd.choice(pool), "2024-05-01", "2024-05-03", "10"))
+    employees = [(f"EMP{i:05d}", "HOT00001", f"E{i}", "employee" if i % 4 else "chef") for i in range(1, 9)]
+    maint_rooms = [r for r in rooms if r[2] == "HOT00001"][:20]
+    maintenance = [(f"MAINTAIN{i:05d}", r[2], r[3], "EMP00001", "leak", None, "Pending")
+                   for i, r in enumerate(maint_rooms, start=1)]
+    statuses = ["Pending", "Completed", "Cancelled"]
+    updates = []
+    for i in range(1, 601):
+        m = maintenance[0] if i % 3 == 0 else rnd.choice(maintenance)      # one record gets a third
+        updates.append((i, m[0], m[1], m[2], f"EMP{rnd.randint(1, 9):05d}", rnd.choice(statuses + [None])))
     fs = world(spark, hotels=hotels, rooms=rooms, customers=customers, reviews=reviews, bookings=bookings,
                booking_rooms=br, bookings_cancelled=bc, services=services, review_requests=review_requests,
-               booking_requests=booking_requests, booking_request_rooms=booking_items)
+               booking_requests=booking_requests, booking_request_rooms=booking_items, employees=employees,
+               maintenance=maintenance, maintenance_updates=updates, cancel_requests=[])
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for name in ["hotels", "rooms", "customers", "reviews", "bookings", "booking_rooms", "bookings_cancelled",
-                 "services", "review_requests", "booking_requests", "booking_request_rooms"]:
+                 "services", "review_requests", "booking_requests", "booking_request_rooms", "employees",
+                 "maintenance", "maintenance_updates", "cancel_requests"]:
         pdf = fs.table(name).toPandas()
         con.register(f"{name}_pdf", pdf)
         con.execute(f"CREATE TABLE {name} AS SELECT * FROM {name}_pdf")
