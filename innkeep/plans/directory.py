@@ -112,13 +112,14 @@ class HotelAnswers:
                 b = semi_any(b, hotels, "hotel_id")
             elif restrict:
                 b = semi(b, hotels)
+            # one aggregation gives the listed bookings and the intended count
+            listed = b.groupBy("hotel_id").agg(F.count(F.lit(1)).alias("n_bookings"),
+                                               F.count_if(agg.not_cancelled()).alias("total_bookings"))
             if mode == "literal":
                 counts = agg.booking_counts_literal(b, semi_any(fx.booking_rooms(), b, "booking_id"),
                                                     semi_any(fx.bookings_cancelled(), b, "booking_id"))
-            else:
-                counts = agg.booking_counts(b)
-            listed = b.groupBy("hotel_id").agg(F.count(F.lit(1)).alias("n_bookings"))
-            out = (out.join(counts, "hotel_id", "left").join(listed, "hotel_id", "left")
+                listed = listed.drop("total_bookings").join(counts, "hotel_id", "left")
+            out = (out.join(listed, "hotel_id", "left")
                    .withColumn("total_bookings", F.coalesce("total_bookings", F.lit(0)).cast("long"))
                    .withColumn("n_bookings", F.coalesce("n_bookings", F.lit(0)).cast("long")))
         return out
