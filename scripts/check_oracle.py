@@ -1,8 +1,11 @@
 """Run registered keys in Spark and DuckDB side by side; print one line each.
 
 usage: python scripts/check_oracle.py [sf_dir] [key-substring ...]
+env:   CHECK_JSON=path writes a JSON report (per key: ok, detail, seconds)
+       CHECK_SHUFFLE_PARTITIONS=n (default 8)
 """
 
+import json
 import os
 import sys
 import time
@@ -23,6 +26,7 @@ def main():
     fx = Fixtures(spark, sf)
     con = duck_connect(sf)
     bad = 0
+    report = {}
     for key in sorted(QUERIES):
         if pats and not any(p in key for p in pats):
             continue
@@ -37,8 +41,13 @@ def main():
         except Exception as e:  # report and continue
             ok, msg = False, f"ERROR {type(e).__name__}: {str(e)[:800]}"
         bad += not ok
+        report[key] = {"ok": ok, "detail": msg, "seconds": round(time.time() - t, 3),
+                       "oracle": key in ORACLE}
         print(f"{'OK ' if ok else 'BAD'} {key:40s} {time.time() - t:6.2f}s {msg}", flush=True)
     print(f"{bad} failing")
+    if os.environ.get("CHECK_JSON"):
+        with open(os.environ["CHECK_JSON"], "w") as f:
+            json.dump({"sf_dir": sf, "failing": bad, "keys": report}, f, indent=1)
 
 
 if __name__ == "__main__":
