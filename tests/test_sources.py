@@ -27,3 +27,18 @@ def test_write_snapshot_goes_to_a_new_path(spark):
     p1, p2 = write_snapshot(df, "t"), write_snapshot(df, "t")
     assert p1 != p2
     assert spark.read.parquet(p1).count() == 5
+
+
+def test_nested_command_documents_keep_every_item_in_order(fx):
+    from innkeep.sources.commands import hotel_commands, maintenance_commands
+    h = hotel_commands(fx)
+    n_rooms = fx.hotel_request_rooms().count()
+    n_services = fx.hotel_request_services().count()
+    sizes = h.select(F.sum(F.size("rooms")).alias("r"), F.sum(F.size("services")).alias("s")).first()
+    assert (sizes.r, sizes.s) == (n_rooms, n_services)
+    assert h.count() == fx.hotel_requests().count()
+    m = maintenance_commands(fx)
+    assert m.select(F.sum(F.size("maintenance"))).first()[0] == fx.maintenance_requests().count()
+    for row in m.limit(20).collect():
+        positions = [it.pos for it in row.maintenance]
+        assert positions == sorted(positions)
