@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from innkeep.session import materialize
 
 __all__ = ["materialize", "table", "held_out", "row_slices", "text_buffer", "free_name", "append_columns",
-           "arrow_schema_with", "partitions_for"]
+           "arrow_schema_with", "partitions_for", "remove"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,3 +77,9 @@ def append_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.Record
 
 def arrow_schema_with(df: DataFrame, **new: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in new.items())])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table this library has written, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

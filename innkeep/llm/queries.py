@@ -6,7 +6,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from innkeep.llm.common import table
 
@@ -34,6 +33,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+@_query("op4_toxicity_bigru")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from innkeep.llm.toxicity import toxicity
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op5_language_subwords")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from innkeep.llm.langid import language
+    return language(table(spark, sf_dir, "documents"))
+
+
 @_query("op6_mixing", _mix_sql())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from innkeep.llm.mixing import label_quality, mix

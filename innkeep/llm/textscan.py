@@ -57,8 +57,8 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            up, down = np.full(n, _BASE), np.full(n, _INVERSE)
+            most = max(n, 2 * len(self.up))
+            up, down = np.full(most, _BASE), np.full(most, _INVERSE)
             up[0] = down[0] = 1
             self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
         return self.up[:n], self.down[:n]
@@ -67,15 +67,23 @@ class Powers:
 _POWERS = Powers()
 
 
-def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range: differences of prefix sums of a
-    polynomial modulo 2^64, shifted to a common origin, mixed with the
+class RangeHasher:
+    """64-bit hashes of byte ranges of one buffer: differences of prefix sums
+    of a polynomial modulo 2^64, shifted to a common origin and mixed with the
     length."""
-    up, down = _POWERS.get(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
-    h = (prefix[end] - prefix[start]) * down[start]
-    return mix64(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def __init__(self, data: np.ndarray) -> None:
+        up, self.down = _POWERS.get(len(data) + 1)
+        self.prefix = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.prefix[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = (self.prefix[end] - self.prefix[start]) * self.down[start]
+        return mix64(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return RangeHasher(data)(start, end)
 
 
 def shingles(word_hash: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
