@@ -27,6 +27,18 @@ def _mix_sql() -> str:
     return MIX_SQL
 
 
+@_query("op1_line_blocks")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from innkeep.llm.html_lines import extract
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@_query("op2_bottom_k")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from innkeep.llm.bottom_k import near_edits
+    return near_edits(table(spark, sf_dir, "documents"))
+
+
 @_query("op3_simhash_pivots")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from innkeep.llm.simhash_pivots import simhash_groups
@@ -52,6 +64,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_query("op7_histogram_shards")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from innkeep.llm.histogram_shards import shard_rows
+    return shard_rows(table(spark, sf_dir, "documents"))
+
+
 @_query("op10_binary_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from innkeep.llm.packing import pack
