@@ -3,11 +3,13 @@ DuckDB's SQL where SQL can express the result."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from innkeep.llm.common import table
+from innkeep.session import staging_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -70,6 +72,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
+@_query("op8_pruned_graph")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from innkeep.llm.graph_search import nearest_of_every
+    return nearest_of_every(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op9_token_rollup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from innkeep.llm.token_rollup import corpus_rollup
+    return corpus_rollup(table(spark, sf_dir, "documents"), staging_path(spark, f"token-rollup-{uuid.uuid4()}"))
+
+
 @_query("op10_binary_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from innkeep.llm.packing import pack
