@@ -34,6 +34,10 @@ class Vocabulary:
     first: np.ndarray
 
 
+def _row(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(40)) % np.uint64(CHAR_ROWS)).astype(np.int32)
+
+
 def read_words(data: np.ndarray, offsets: np.ndarray) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
     """(vocabulary, word number of each token, first token of each text)."""
     low = LOWER[data]
@@ -44,17 +48,16 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> tuple[Vocabulary, np.nd
     parts, owners = [], []
     for n in NGRAMS:
         many = np.maximum(end - start - n + 1, 0)
-        owner = np.repeat(np.arange(len(start)), many)
+        owner = np.repeat(np.arange(len(start), dtype=np.int32), many)
         pos = start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
         h = hasher(pos, pos + n)
         anchor = pos == start[owner]
-        parts += [h, h[anchor] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)]
+        parts += [_row(h), _row(h[anchor] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n))]
         owners += [owner, owner[anchor]]
     owner = np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    grams = (np.concatenate(parts)[order] >> np.uint64(40)) % np.uint64(CHAR_ROWS)
+    grams = np.concatenate(parts)[np.argsort(owner, kind="stable")]
     counts = np.bincount(owner, minlength=len(start))
-    return (Vocabulary((distinct >> np.uint64(40)).astype(np.int64) % WORD_ROWS, grams.astype(np.int64),
+    return (Vocabulary((distinct >> np.uint64(40)).astype(np.int64) % WORD_ROWS, grams,
                        np.concatenate([[0], np.cumsum(counts)])), ids.astype(np.int64), first)
 
 
@@ -230,18 +233,26 @@ class BiGRU:
         return grad
 
 
-def _log_odds(rows: np.ndarray, text: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
-    """Log odds of label 1 for the presence of each hashed row in a text, drawn
-    towards 0 by ``CAUTION`` standard errors, so rows seen in a few texts only
-    start neutral."""
-    seen = np.unique(text * size + rows)
-    text, rows = seen // size, seen % size
-    pos = np.bincount(rows, label[text], size) + 0.5
-    neg = np.bincount(rows, 1 - label[text], size) + 0.5
-    odds = np.log(pos / (label.sum() + 1)) - np.log(neg / (len(label) - label.sum() + 1))
+def _log_odds(pos: np.ndarray, neg: np.ndarray, texts: int, labelled: float) -> np.ndarray:
+    """Log odds of label 1 for hashed rows that occur in ``pos`` and ``neg``
+    texts of the labels, drawn towards 0 by ``CAUTION`` standard errors, so
+    rows seen in a few texts only start neutral."""
+    pos, neg = pos + 0.5, neg + 0.5
+    odds = np.log(pos / (labelled + 1)) - np.log(neg / (texts - labelled + 1))
     return (np.sign(odds) * np.maximum(np.abs(odds) - CAUTION * np.sqrt(1 / pos + 1 / neg), 0)).astype(F32)
 
 
+def _start_vectors(vocab: Vocabulary, ids: np.ndarray, first: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of the word rows and of the n-gram rows; some texts at a time,
+    as their n-grams are many."""
+    seen = {True: (np.zeros(WORD_ROWS), np.zeros(CHAR_ROWS)), False: (np.zeros(WORD_ROWS), np.zeros(CHAR_ROWS))}
+    for i, y in enumerate(label):
+        own = np.unique(ids[first[i]:first[i + 1]])
+        for counts, rows in zip(seen[bool(y)], (vocab.word[own], _csr_take(vocab, own)[0])):
+            counts[np.unique(rows)] += 1
+    return tuple(_log_odds(p, n, len(label), float(label.sum())) for p, n in zip(seen[True], seen[False]))
+
+
 def train(data: np.ndarray, offsets: np.ndarray, label: np.ndarray, epochs: int = 4, least_steps: int = 150,
           batch: int = 48, rate: float = 0.01, seed: int = 0) -> BiGRU:
     """Fits the network to whole labelled texts with Adam.
@@ -252,11 +263,7 @@ def train(data: np.ndarray, offsets: np.ndarray, label: np.ndarray, epochs: int
     model = BiGRU.fresh(seed)
     vocab, ids, first = read_words(data, offsets)
     label = label.astype(F32)
-    owner = np.repeat(np.arange(len(label)), np.diff(first))
-    word_odds = _log_odds(vocab.word[ids], owner, label, WORD_ROWS)
-    pairs = np.unique(owner * len(vocab.word) + ids)
-    grams, at = _csr_take(vocab, pairs % len(vocab.word))
-    char_odds = _log_odds(grams, np.repeat(pairs // len(vocab.word), np.diff(at)), label, CHAR_ROWS)
+    word_odds, char_odds = _start_vectors(vocab, ids, first, label)
     model.p["word"][:, 0], model.p["char"][:, 0] = WORD_START * word_odds, CHAR_START * char_odds
     pos, valid, text = windows(first)
     window_first = np.searchsorted(text, np.arange(len(label) + 1))

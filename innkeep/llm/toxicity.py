@@ -27,26 +27,26 @@ from innkeep.llm.common import append_columns, arrow_schema_with, free_name, hel
 THRESHOLD = 0.3
 TRAIN_ROWS = 1000        # labelled rows of each class at most
 TRAIN_TEXT = 8000        # bytes; longer texts are left out of the training sample, and scored whole
+SPARE = 1.3
+_HASHES = 1 << 20
 _SLICE = 400_000         # bytes of text worked on at once
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_TEXT) -> list[tuple[str, int]]:
     """(text, label) of up to ``rows`` texts of each class that are not held
-    out, in an order of hashed ids."""
+    out.  About ``SPARE`` times as many ids are drawn, as long texts are left
+    out: those whose hash lies below the class's share of all hashes."""
     known = (labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    asked = None
-    for label in (0, 1):                                     # twice the rows, as long texts are left out
-        some = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
-        asked = some if asked is None else asked.unionByName(some)
-    asked = asked.select(F.col("doc_id").alias("_id"), "toxic")
+             .groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("_label"))
+             .withColumn("_spot", F.pmod(F.xxhash64("_id"), F.lit(_HASHES))))
+    many = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    below = {label: -(-_HASHES * SPARE * rows // n) for label, n in many.items()}
+    drawn = known.filter(F.col("_spot") < F.when(F.col("_label") == 1, below.get(1, 0)).otherwise(below.get(0, 0)))
     found = (docs.filter(F.octet_length("text").between(1, text_bytes)).select(F.col("doc_id").cast("long"), "text")
-             .join(F.broadcast(asked), F.col("doc_id") == F.col("_id")))      # 4 * rows ids at most
-    out = []
-    for label in (0, 1):
-        part = found.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
-        out += [(r["text"], label) for r in part.select("text").collect()]
-    return out
+             .join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))      # about 2 * SPARE * rows ids
+             .select("_spot", "doc_id", "text", "_label").collect())
+    found.sort(key=lambda r: (r["_spot"], r["doc_id"], r["text"]))
+    return [(r["text"], label) for label in (0, 1) for r in [r for r in found if r["_label"] == label][:rows]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> bigru.BiGRU | float:
