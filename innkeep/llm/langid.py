@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,7 @@ MOST_LANGUAGES = 200
 REJECT, REJECT_MOST = 0.002, 0.4
 UNKNOWN = "und"
 _SLICE = 200_000
+_HASHES = 1 << 20
 
 
 def subword_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -124,16 +125,14 @@ def train(x: np.ndarray, label: np.ndarray, languages: list[str], epochs: int =
 
 def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_TEXT) -> list[tuple[str, str]]:
     """(text, lang) of up to ``rows`` different texts a language that are not
-    held out, first in an order of hashes (of the ``MOST_LANGUAGES`` first
-    names)."""
+    held out (of the ``MOST_LANGUAGES`` first names).  Twice as many are drawn,
+    by their hashes, as some may be copies."""
     usable = (docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.octet_length("text").between(1, text_bytes))
-              .select("lang", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("spot"), "text"))
-    in_lang = Window.partitionBy("lang").orderBy("spot")
-    # only hashes are ranked; Spark cuts each task's rows to the first ``rows`` a language before it shuffles them
-    first = (usable.select("lang", "spot").withColumn("n", F.row_number().over(in_lang)).filter(F.col("n") <= rows)
-             .groupBy("lang").agg(F.max("spot").alias("last")).orderBy("lang").limit(MOST_LANGUAGES))
-    upto = F.broadcast(first)                                # one row a language
-    found = usable.join(upto, "lang").filter("spot <= last").select("lang", "spot", "text").distinct().collect()
+              .select("lang", F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(_HASHES)).alias("spot"), "text"))
+    many = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MOST_LANGUAGES)
+    below = many.select("lang", F.ceil(F.lit(2.0 * _HASHES * rows) / F.col("n")).alias("below"))
+    found = (usable.join(F.broadcast(below), "lang")         # one row a language
+             .filter("spot < below").select("lang", "spot", "text").distinct().collect())
     most = min(rows, TRAIN_ALL // max(1, len({r["lang"] for r in found})))
     taken: dict[str, list[str]] = {}
     for r in sorted(found, key=lambda r: (r["lang"], r["spot"], r["text"])):
