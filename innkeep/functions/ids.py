@@ -12,12 +12,6 @@ def pad5(prefix: str, n: Column) -> Column:
     return F.when(n.isNotNull(), F.format_string(prefix + "%05d", n.cast("long")))
 
 
-def lpad_key(prefix: str, n: Column, width: int = 5) -> Column:
-    """SQL ``prefix || LPAD(CAST(n AS STRING), width, '0')`` (truncates when
-    the number is wider than ``width``, exactly like SQL LPAD)."""
-    return F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0"))
-
-
 def digits_number(id_col: Column) -> Column:
     """``Number(id.replace(/\\D/g, ""))``: every digit of the id, concatenated;
     an id without digits gives 0."""

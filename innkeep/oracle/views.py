@@ -16,7 +16,7 @@ SELECT COUNT(*) AS n FROM supplier
 
 VIEW_SQL["hotels"] = """
 SELECT s_suppkey AS id,
-       'HOT' || LPAD(CAST(s_suppkey + 1 AS STRING), 5, '0') AS hotel_id,
+       'HOT' || LPAD(CAST(s_suppkey + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(s_suppkey + 1 AS STRING))) AS INT), '0') AS hotel_id,
        s_name AS hotel_name,
        CASE WHEN s_suppkey % 40 = 39 THEN NULL ELSE n_name END AS city,
        r_name AS country,
@@ -29,7 +29,7 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionke
 VIEW_SQL["rooms"] = """
 SELECT p_partkey AS id,
        'ROOM' || LPAD(CAST(p_partkey + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(p_partkey + 1 AS STRING))) AS INT), '0') AS room_id,
-       'HOT' || LPAD(CAST(p_partkey % n + 1 AS STRING), 5, '0') AS hotel_id,
+       'HOT' || LPAD(CAST(p_partkey % n + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(p_partkey % n + 1 AS STRING))) AS INT), '0') AS hotel_id,
        CAST(100 + CAST(FLOOR(p_partkey / n) AS BIGINT) AS STRING) AS room_number,
        CASE WHEN p_type IN ('PROMO','LARGE') THEN 'Suite' WHEN p_type IN ('MEDIUM','ECONOMY') THEN 'Deluxe' ELSE 'Standard' END AS room_type,
        CASE WHEN p_size = 50 THEN NULL ELSE CAST(p_retailprice AS DECIMAL(10,2)) END AS price_per_night,
@@ -39,7 +39,7 @@ FROM part CROSS JOIN dim_n WHERE (p_partkey % n) % 25 <> 24
 
 VIEW_SQL["customers"] = """
 SELECT c_custkey AS id,
-       'CUST' || LPAD(CAST(c_custkey + 1 AS STRING), 5, '0') AS customer_id,
+       'CUST' || LPAD(CAST(c_custkey + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(c_custkey + 1 AS STRING))) AS INT), '0') AS customer_id,
        c_name AS full_name, n_name AS city, r_name AS country
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 """
@@ -47,8 +47,8 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionke
 VIEW_SQL["bookings"] = """
 SELECT o_orderkey AS id,
        'BOOK' || LPAD(CAST(o_orderkey + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(o_orderkey + 1 AS STRING))) AS INT), '0') AS booking_id,
-       CASE WHEN o_orderkey % 97 = 96 THEN 'CUST99999' ELSE 'CUST' || LPAD(CAST(o_custkey + 1 AS STRING), 5, '0') END AS customer_id,
-       CASE WHEN o_orderkey % 50 = 49 THEN 'HOT99999' ELSE 'HOT' || LPAD(CAST(o_orderkey % n + 1 AS STRING), 5, '0') END AS hotel_id,
+       CASE WHEN o_orderkey % 97 = 96 THEN 'CUST00000' ELSE 'CUST' || LPAD(CAST(o_custkey + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(o_custkey + 1 AS STRING))) AS INT), '0') END AS customer_id,
+       CASE WHEN o_orderkey % 50 = 49 THEN 'HOT00000' ELSE 'HOT' || LPAD(CAST(o_orderkey % n + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(o_orderkey % n + 1 AS STRING))) AS INT), '0') END AS hotel_id,
        CAST(o_totalprice AS DECIMAL(10,2)) AS total_amount,
        CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'Cancelled' WHEN o_orderstatus = 'O' THEN 'Confirmed' ELSE 'Completed' END AS booking_status,
        o_orderdate AS created_at
@@ -75,8 +75,8 @@ WHERE o_orderstatus = 'F' AND (k = 0 OR id % 20 = 0)
 VIEW_SQL["reviews"] = """
 SELECT event_id AS id,
        'REV' || LPAD(CAST(event_id + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(event_id + 1 AS STRING))) AS INT), '0') AS review_id,
-       'HOT' || LPAD(CAST(event_id % n + 1 AS STRING), 5, '0') AS hotel_id,
-       CASE WHEN event_id % 17 = 0 THEN 'CUST99999' ELSE 'CUST' || LPAD(CAST(user_id + 1 AS STRING), 5, '0') END AS customer_id,
+       'HOT' || LPAD(CAST(event_id % n + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(event_id % n + 1 AS STRING))) AS INT), '0') AS hotel_id,
+       CASE WHEN event_id % 17 = 0 THEN 'CUST00000' ELSE 'CUST' || LPAD(CAST(user_id + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(user_id + 1 AS STRING))) AS INT), '0') END AS customer_id,
        CAST(1 + CAST(FLOOR(value) AS INT) % 5 AS INT) AS rating,
        CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS comment,
        CAST(ts AS DATE) AS review_date
@@ -84,24 +84,24 @@ FROM events CROSS JOIN dim_n WHERE (event_id % n) % 10 <> 9
 """
 
 VIEW_SQL["services"] = """
-SELECT 'SERV' || LPAD(CAST((p_partkey % n) * 6 + CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'LARGE' THEN 2 WHEN 'MEDIUM' THEN 3 WHEN 'PROMO' THEN 4 WHEN 'SMALL' THEN 5 ELSE 6 END AS STRING), 5, '0') AS service_id,
-       'HOT' || LPAD(CAST(p_partkey % n + 1 AS STRING), 5, '0') AS hotel_id,
+SELECT 'SERV' || LPAD(CAST((p_partkey % n) * 6 + CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'LARGE' THEN 2 WHEN 'MEDIUM' THEN 3 WHEN 'PROMO' THEN 4 WHEN 'SMALL' THEN 5 ELSE 6 END AS STRING), CAST(GREATEST(5, LENGTH(CAST((p_partkey % n) * 6 + CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'LARGE' THEN 2 WHEN 'MEDIUM' THEN 3 WHEN 'PROMO' THEN 4 WHEN 'SMALL' THEN 5 ELSE 6 END AS STRING))) AS INT), '0') AS service_id,
+       'HOT' || LPAD(CAST(p_partkey % n + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(p_partkey % n + 1 AS STRING))) AS INT), '0') AS hotel_id,
        p_type AS service_name, CAST(MIN(p_size) AS DECIMAL(10,2)) AS service_charge
 FROM part CROSS JOIN dim_n GROUP BY p_partkey % n, p_type
 """
 
 VIEW_SQL["employees"] = """
-SELECT 'EMP' || LPAD(CAST(c_custkey + 1 AS STRING), 5, '0') AS employee_id,
-       'HOT' || LPAD(CAST(c_custkey % n + 1 AS STRING), 5, '0') AS hotel_id, c_name AS full_name,
+SELECT 'EMP' || LPAD(CAST(c_custkey + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(c_custkey + 1 AS STRING))) AS INT), '0') AS employee_id,
+       'HOT' || LPAD(CAST(c_custkey % n + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(c_custkey % n + 1 AS STRING))) AS INT), '0') AS hotel_id, c_name AS full_name,
        CASE WHEN c_mktsegment = 'BUILDING' THEN 'employee' ELSE LOWER(c_mktsegment) END AS role
 FROM customer CROSS JOIN dim_n
 """
 
 VIEW_SQL["maintenance"] = """
 SELECT 'MAINTAIN' || LPAD(CAST(event_id + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(event_id + 1 AS STRING))) AS INT), '0') AS maintenance_id,
-       'HOT' || LPAD(CAST(event_id % n + 1 AS STRING), 5, '0') AS hotel_id,
+       'HOT' || LPAD(CAST(event_id % n + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(event_id % n + 1 AS STRING))) AS INT), '0') AS hotel_id,
        CAST(100 + user_id % 20 AS STRING) AS room_number,
-       'EMP' || LPAD(CAST(user_id + 1 AS STRING), 5, '0') AS employee_id,
+       'EMP' || LPAD(CAST(user_id + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(user_id + 1 AS STRING))) AS INT), '0') AS employee_id,
        props AS issue_description, CAST(ts AS DATE) AS maintenance_date,
        CASE event_id % 3 WHEN 0 THEN 'Pending' WHEN 1 THEN 'Completed' ELSE 'Cancelled' END AS maintenance_status
 FROM events CROSS JOIN dim_n WHERE event_type = 'error'
@@ -109,7 +109,7 @@ FROM events CROSS JOIN dim_n WHERE event_type = 'error'
 
 VIEW_SQL["hotel_requests"] = """
 SELECT s_suppkey AS request_seq,
-       CASE WHEN s_suppkey % 10 = 4 THEN 'HOT' || LPAD(CAST(s_suppkey - 1 AS STRING), 5, '0') WHEN s_suppkey % 2 = 0 THEN 'HOT' || LPAD(CAST(s_suppkey + 1 AS STRING), 5, '0') ELSE NULL END AS hotel_id,
+       CASE WHEN s_suppkey % 10 = 4 THEN 'HOT' || LPAD(CAST(s_suppkey - 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(s_suppkey - 1 AS STRING))) AS INT), '0') WHEN s_suppkey % 2 = 0 THEN 'HOT' || LPAD(CAST(s_suppkey + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(s_suppkey + 1 AS STRING))) AS INT), '0') ELSE NULL END AS hotel_id,
        CASE WHEN s_suppkey % 11 = 10 THEN '' ELSE s_name || ' v2' END AS hotel_name, n_name AS city, r_name AS country,
        CASE WHEN s_suppkey % 13 = 12 THEN '12.345' ELSE CAST(15 + s_suppkey % 10 AS STRING) END AS total_rooms
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
@@ -121,21 +121,21 @@ SELECT p_partkey % n AS request_seq, p_partkey AS pos,
        CASE WHEN p_type IN ('PROMO','LARGE') THEN 'Suite' WHEN p_type IN ('MEDIUM','ECONOMY') THEN 'Deluxe' ELSE 'Standard' END AS room_type,
        CAST(p_retailprice AS STRING) AS price_per_night,
        CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size % 2 = 0 END AS is_available
-FROM part CROSS JOIN dim_n WHERE p_partkey % n % 3 = 0 OR p_partkey < 16 * n
+FROM part CROSS JOIN dim_n
 """
 
 VIEW_SQL["hotel_request_services"] = """
 SELECT p_partkey % n AS request_seq, p_partkey AS pos,
-       CASE WHEN p_size % 10 = 0 THEN 'SERV' || LPAD(CAST((p_partkey % n) * 6 + 1 AS STRING), 5, '0') ELSE NULL END AS service_id,
+       CASE WHEN p_size % 10 = 0 THEN 'SERV' || LPAD(CAST((p_partkey % n) * 6 + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST((p_partkey % n) * 6 + 1 AS STRING))) AS INT), '0') ELSE NULL END AS service_id,
        CASE WHEN p_size % 9 = 0 THEN '' WHEN p_size % 2 = 0 THEN p_brand ELSE LOWER(p_brand) END AS service_name,
        CASE WHEN p_size % 23 = 0 THEN NULL ELSE CAST(p_size AS STRING) END AS service_charge
-FROM part CROSS JOIN dim_n WHERE p_partkey < 6 * n
+FROM part CROSS JOIN dim_n
 """
 
 VIEW_SQL["booking_requests"] = """
 SELECT o_orderkey AS request_seq,
-       'CUST' || LPAD(CAST(o_custkey + 1 AS STRING), 5, '0') AS customer_id,
-       CASE WHEN o_orderkey % 90 = 0 THEN 'HOT99999' ELSE 'HOT' || LPAD(CAST(CAST(FLOOR(o_orderkey / 10) AS BIGINT) % n + 1 AS STRING), 5, '0') END AS hotel_id,
+       'CUST' || LPAD(CAST(o_custkey + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(o_custkey + 1 AS STRING))) AS INT), '0') AS customer_id,
+       CASE WHEN o_orderkey % 90 = 0 THEN 'HOT00000' ELSE 'HOT' || LPAD(CAST(CAST(FLOOR(o_orderkey / 10) AS BIGINT) % n + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(CAST(FLOOR(o_orderkey / 10) AS BIGINT) % n + 1 AS STRING))) AS INT), '0') END AS hotel_id,
        CASE WHEN o_orderkey % 130 = 0 THEN 'abc' ELSE CAST(CAST(o_totalprice AS DECIMAL(10,2)) AS STRING) END AS total_amount,
        CASE WHEN o_orderkey % 170 = 0 THEN 'Unknown' ELSE NULL END AS booking_status
 FROM orders CROSS JOIN dim_n WHERE o_orderkey % 10 = 0
@@ -154,16 +154,16 @@ FROM lineitem CROSS JOIN dim_n WHERE l_orderkey % 10 = 0 AND l_quantity > 25
 VIEW_SQL["cancel_requests"] = """
 SELECT o_orderkey AS request_seq,
        'BOOK' || LPAD(CAST(o_orderkey * 2 + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(o_orderkey * 2 + 1 AS STRING))) AS INT), '0') AS booking_id,
-       CASE WHEN o_orderkey % 5 = 0 THEN 'CUST00001' ELSE 'CUST' || LPAD(CAST(c2 + 1 AS STRING), 5, '0') END AS customer_id,
-       CASE WHEN o_orderkey % 49 = 0 THEN 'HOT99998' ELSE 'HOT00001' END AS hotel_id,
+       CASE WHEN o_orderkey % 5 = 0 THEN 'CUST00001' ELSE 'CUST' || LPAD(CAST(c2 + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(c2 + 1 AS STRING))) AS INT), '0') END AS customer_id,
+       CASE WHEN o_orderkey % 49 = 0 THEN 'HOT00000' ELSE 'HOT' || LPAD(CAST(o_orderkey * 2 % n + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(o_orderkey * 2 % n + 1 AS STRING))) AS INT), '0') END AS hotel_id,
        CASE WHEN o_orderkey % 4 = 0 THEN 'no' ELSE o_orderpriority || ' plans changed' END AS cancel_reason
-FROM orders LEFT JOIN (SELECT o_orderkey AS k2, o_custkey AS c2 FROM orders) x ON o_orderkey * 2 = k2 WHERE o_orderkey % 7 = 0
+FROM orders LEFT JOIN (SELECT o_orderkey AS k2, o_custkey AS c2 FROM orders) x ON o_orderkey * 2 = k2 CROSS JOIN dim_n
 """
 
 VIEW_SQL["review_requests"] = """
 SELECT event_id AS request_seq,
-       CASE WHEN event_id % 19 = 0 THEN 'HOT99999' ELSE 'HOT' || LPAD(CAST(event_id % n + 1 AS STRING), 5, '0') END AS hotel_id,
-       CASE WHEN event_id % 23 = 0 THEN 'CUST99999' ELSE 'CUST' || LPAD(CAST(user_id + 1 AS STRING), 5, '0') END AS customer_id,
+       CASE WHEN event_id % 19 = 0 THEN 'HOT00000' ELSE 'HOT' || LPAD(CAST(event_id % n + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(event_id % n + 1 AS STRING))) AS INT), '0') END AS hotel_id,
+       CASE WHEN event_id % 23 = 0 THEN 'CUST00000' ELSE 'CUST' || LPAD(CAST(user_id + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(user_id + 1 AS STRING))) AS INT), '0') END AS customer_id,
        CASE event_id % 8 WHEN 0 THEN '6' WHEN 1 THEN '4.5' WHEN 2 THEN '0' WHEN 3 THEN '3.125' WHEN 4 THEN '' ELSE CAST(event_id % 5 + 1 AS STRING) END AS rating,
        CASE WHEN event_id % 3 = 0 THEN '' ELSE ' ' || props || ' ' END AS comment
 FROM events CROSS JOIN dim_n WHERE event_type = 'purchase'
@@ -171,8 +171,8 @@ FROM events CROSS JOIN dim_n WHERE event_type = 'purchase'
 
 VIEW_SQL["maintenance_requests"] = """
 SELECT CAST(FLOOR(event_id / 3) AS BIGINT) AS request_seq, event_id AS pos,
-       'HOT' || LPAD(CAST(CAST(FLOOR(event_id / 3) AS BIGINT) % n + 1 AS STRING), 5, '0') AS hotel_id,
-       'EMP' || LPAD(CAST(CAST(FLOOR(event_id / 3) AS BIGINT) % 150 + 1 AS STRING), 5, '0') AS employee_id,
+       'HOT' || LPAD(CAST(CAST(FLOOR(event_id / 3) AS BIGINT) % n + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(CAST(FLOOR(event_id / 3) AS BIGINT) % n + 1 AS STRING))) AS INT), '0') AS hotel_id,
+       'EMP' || LPAD(CAST(CAST(FLOOR(event_id / 3) AS BIGINT) % (n * 15) + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(CAST(FLOOR(event_id / 3) AS BIGINT) % (n * 15) + 1 AS STRING))) AS INT), '0') AS employee_id,
        CAST(100 + event_id % 21 AS STRING) AS room_number,
        CASE WHEN event_id % 31 = 0 THEN 'bad' ELSE 'issue ' || props END AS issue_description,
        CASE WHEN event_id % 37 = 0 THEN 'not a date' ELSE CAST(CAST(ts AS DATE) AS STRING) END AS maintenance_date,
@@ -181,11 +181,11 @@ FROM events CROSS JOIN dim_n WHERE event_type IN ('view', 'click')
 """
 
 VIEW_SQL["maintenance_updates"] = """
-SELECT event_id + k * 1000000000 AS request_seq,
+SELECT event_id * 2 + k AS request_seq,
        'MAINTAIN' || LPAD(CAST(event_id + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(event_id + 1 AS STRING))) AS INT), '0') AS maintenance_id,
-       'HOT' || LPAD(CAST(event_id % n + 1 AS STRING), 5, '0') AS hotel_id,
+       'HOT' || LPAD(CAST(event_id % n + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(event_id % n + 1 AS STRING))) AS INT), '0') AS hotel_id,
        CAST(100 + user_id % 20 + CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END AS STRING) AS room_number,
-       'EMP' || LPAD(CAST((event_id + k) % 150 + 1 AS STRING), 5, '0') AS employee_id,
+       'EMP' || LPAD(CAST((event_id + k) % (n * 15) + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST((event_id + k) % (n * 15) + 1 AS STRING))) AS INT), '0') AS employee_id,
        CASE (event_id + k * (event_id % 2)) % 4 WHEN 0 THEN 'Pending' WHEN 1 THEN 'Completed' WHEN 2 THEN 'Cancelled' ELSE 'Unknown' END AS maintenance_status
 FROM events CROSS JOIN dim_n CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) ks
 WHERE event_type IN ('error', 'signup') AND (k = 0 OR event_id % 3 = 0)

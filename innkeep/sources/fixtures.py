@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from innkeep.functions.ids import lpad_key, pad5
+from innkeep.functions.ids import pad5
 from innkeep.sources.tables import Tables
 
 DOMAIN_TABLES = ("hotels", "rooms", "customers", "bookings", "booking_rooms",
@@ -77,7 +77,7 @@ class Fixtures:
         hours = ((k * 7919) % 1009).cast("int")
         return s.select(
             k.alias("id"),
-            lpad_key("HOT", k + 1).alias("hotel_id"),
+            pad5("HOT", k + 1).alias("hotel_id"),
             F.col("s_name").alias("hotel_name"),
             F.when(k % 40 != 39, F.col("n_name")).alias("city"),
             F.col("r_name").alias("country"),
@@ -94,7 +94,7 @@ class Fixtures:
                 .select(
                     k.alias("id"),
                     pad5("ROOM", k + 1).alias("room_id"),
-                    lpad_key("HOT", k % n + 1).alias("hotel_id"),
+                    pad5("HOT", k % n + 1).alias("hotel_id"),
                     (100 + _floor_div(k, n)).cast("string").alias("room_number"),
                     _room_type(F.col("p_type")).alias("room_type"),
                     F.when(F.col("p_size") != 50,
@@ -106,7 +106,7 @@ class Fixtures:
         c = self._with_geo(self.t.customer, "c_nationkey")
         return c.select(
             F.col("c_custkey").alias("id"),
-            lpad_key("CUST", F.col("c_custkey") + 1).alias("customer_id"),
+            pad5("CUST", F.col("c_custkey") + 1).alias("customer_id"),
             F.col("c_name").alias("full_name"),
             F.col("n_name").alias("city"),
             F.col("r_name").alias("country"),
@@ -118,10 +118,10 @@ class Fixtures:
         return self.t.orders.select(
             k.alias("id"),
             pad5("BOOK", k + 1).alias("booking_id"),
-            F.when(k % 97 == 96, "CUST99999")
-             .otherwise(lpad_key("CUST", F.col("o_custkey") + 1)).alias("customer_id"),
-            F.when(k % 50 == 49, "HOT99999")
-             .otherwise(lpad_key("HOT", k % n + 1)).alias("hotel_id"),
+            F.when(k % 97 == 96, "CUST00000")
+             .otherwise(pad5("CUST", F.col("o_custkey") + 1)).alias("customer_id"),
+            F.when(k % 50 == 49, "HOT00000")
+             .otherwise(pad5("HOT", k % n + 1)).alias("hotel_id"),
             F.col("o_totalprice").cast("decimal(10,2)").alias("total_amount"),
             F.when(k % 101 == 0, F.lit(None).cast("string"))
              .when(F.col("o_orderstatus") == "F", "Cancelled")
@@ -171,9 +171,9 @@ class Fixtures:
                 .select(
                     e.alias("id"),
                     pad5("REV", e + 1).alias("review_id"),
-                    lpad_key("HOT", e % n + 1).alias("hotel_id"),
-                    F.when(e % 17 == 0, "CUST99999")
-                     .otherwise(lpad_key("CUST", F.col("user_id") + 1)).alias("customer_id"),
+                    pad5("HOT", e % n + 1).alias("hotel_id"),
+                    F.when(e % 17 == 0, "CUST00000")
+                     .otherwise(pad5("CUST", F.col("user_id") + 1)).alias("customer_id"),
                     (1 + F.floor("value").cast("int") % 5).cast("int").alias("rating"),
                     F.when(F.col("event_type") != "error", F.col("event_type")).alias("comment"),
                     F.to_date("ts").alias("review_date"),
@@ -189,8 +189,8 @@ class Fixtures:
              .groupBy((k % n).alias("h"), F.col("p_type"))
              .agg(F.min("p_size").alias("min_size")))
         return g.select(
-            lpad_key("SERV", F.col("h") * 6 + type_no).alias("service_id"),
-            lpad_key("HOT", F.col("h") + 1).alias("hotel_id"),
+            pad5("SERV", F.col("h") * 6 + type_no).alias("service_id"),
+            pad5("HOT", F.col("h") + 1).alias("hotel_id"),
             F.col("p_type").alias("service_name"),
             F.col("min_size").cast("decimal(10,2)").alias("service_charge"),
         )
@@ -199,8 +199,8 @@ class Fixtures:
         n = self.n
         k = F.col("c_custkey")
         return self.t.customer.select(
-            lpad_key("EMP", k + 1).alias("employee_id"),
-            lpad_key("HOT", k % n + 1).alias("hotel_id"),
+            pad5("EMP", k + 1).alias("employee_id"),
+            pad5("HOT", k % n + 1).alias("hotel_id"),
             F.col("c_name").alias("full_name"),
             F.when(F.col("c_mktsegment") == "BUILDING", "employee")
              .otherwise(F.lower("c_mktsegment")).alias("role"),
@@ -213,9 +213,9 @@ class Fixtures:
                 .where(F.col("event_type") == "error")
                 .select(
                     pad5("MAINTAIN", e + 1).alias("maintenance_id"),
-                    lpad_key("HOT", e % n + 1).alias("hotel_id"),
+                    pad5("HOT", e % n + 1).alias("hotel_id"),
                     (100 + F.col("user_id") % 20).cast("string").alias("room_number"),
-                    lpad_key("EMP", F.col("user_id") + 1).alias("employee_id"),
+                    pad5("EMP", F.col("user_id") + 1).alias("employee_id"),
                     F.col("props").alias("issue_description"),
                     F.to_date("ts").alias("maintenance_date"),
                     F.when(e % 3 == 0, "Pending").when(e % 3 == 1, "Completed")
@@ -228,8 +228,8 @@ class Fixtures:
         k = F.col("s_suppkey")
         return s.select(
             k.alias("request_seq"),
-            F.when(k % 10 == 4, lpad_key("HOT", k - 1))
-             .when(k % 2 == 0, lpad_key("HOT", k + 1)).alias("hotel_id"),
+            F.when(k % 10 == 4, pad5("HOT", k - 1))
+             .when(k % 2 == 0, pad5("HOT", k + 1)).alias("hotel_id"),
             F.when(k % 11 == 10, F.lit("")).otherwise(F.concat("s_name", F.lit(" v2"))).alias("hotel_name"),
             F.col("n_name").alias("city"),
             F.col("r_name").alias("country"),
@@ -240,7 +240,6 @@ class Fixtures:
         n = self.n
         k = F.col("p_partkey")
         return (self.t.part
-                .where(((k % n) % 3 == 0) | (k < 16 * n))
                 .select(
                     (k % n).alias("request_seq"),
                     k.alias("pos"),
@@ -255,11 +254,10 @@ class Fixtures:
         k = F.col("p_partkey")
         size = F.col("p_size")
         return (self.t.part
-                .where(k < 6 * n)
                 .select(
                     (k % n).alias("request_seq"),
                     k.alias("pos"),
-                    F.when(size % 10 == 0, lpad_key("SERV", (k % n) * 6 + 1)).alias("service_id"),
+                    F.when(size % 10 == 0, pad5("SERV", (k % n) * 6 + 1)).alias("service_id"),
                     F.when(size % 9 == 0, F.lit("")).when(size % 2 == 0, F.col("p_brand"))
                      .otherwise(F.lower("p_brand")).alias("service_name"),
                     F.when(size % 23 != 0, size.cast("string")).alias("service_charge"),
@@ -272,9 +270,9 @@ class Fixtures:
                 .where(k % 10 == 0)
                 .select(
                     k.alias("request_seq"),
-                    lpad_key("CUST", F.col("o_custkey") + 1).alias("customer_id"),
-                    F.when(k % 90 == 0, "HOT99999")
-                     .otherwise(lpad_key("HOT", _floor_div(k, F.lit(10)) % n + 1)).alias("hotel_id"),
+                    pad5("CUST", F.col("o_custkey") + 1).alias("customer_id"),
+                    F.when(k % 90 == 0, "HOT00000")
+                     .otherwise(pad5("HOT", _floor_div(k, F.lit(10)) % n + 1)).alias("hotel_id"),
                     F.when(k % 130 == 0, F.lit("abc"))
                      .otherwise(F.col("o_totalprice").cast("decimal(10,2)").cast("string")).alias("total_amount"),
                     F.when(k % 170 == 0, F.lit("Unknown")).otherwise(F.lit(None).cast("string"))
@@ -301,7 +299,7 @@ class Fixtures:
                 ))
 
     def cancel_requests(self) -> DataFrame:
-        o = self.t.orders.where(F.col("o_orderkey") % 7 == 0)
+        o = self.t.orders
         other = self.t.orders.select(F.col("o_orderkey").alias("k2"), F.col("o_custkey").alias("c2"))
         k = F.col("o_orderkey")
         j = o.join(other, k * 2 == other.k2, "left")
@@ -309,8 +307,8 @@ class Fixtures:
             k.alias("request_seq"),
             pad5("BOOK", k * 2 + 1).alias("booking_id"),
             F.when(k % 5 == 0, F.lit("CUST00001"))
-             .otherwise(lpad_key("CUST", F.col("c2") + 1)).alias("customer_id"),
-            F.when(k % 49 == 0, F.lit("HOT99998")).otherwise(F.lit("HOT00001")).alias("hotel_id"),
+             .otherwise(pad5("CUST", F.col("c2") + 1)).alias("customer_id"),
+            F.when(k % 49 == 0, F.lit("HOT00000")).otherwise(pad5("HOT", k * 2 % self.n + 1)).alias("hotel_id"),
             F.when(k % 4 == 0, F.lit("no"))
              .otherwise(F.concat("o_orderpriority", F.lit(" plans changed"))).alias("cancel_reason"),
         )
@@ -323,9 +321,9 @@ class Fixtures:
                 .where(F.col("event_type") == "purchase")
                 .select(
                     e.alias("request_seq"),
-                    F.when(e % 19 == 0, "HOT99999").otherwise(lpad_key("HOT", e % n + 1)).alias("hotel_id"),
-                    F.when(e % 23 == 0, "CUST99999")
-                     .otherwise(lpad_key("CUST", F.col("user_id") + 1)).alias("customer_id"),
+                    F.when(e % 19 == 0, "HOT00000").otherwise(pad5("HOT", e % n + 1)).alias("hotel_id"),
+                    F.when(e % 23 == 0, "CUST00000")
+                     .otherwise(pad5("CUST", F.col("user_id") + 1)).alias("customer_id"),
                     F.when(m8 == 0, "6").when(m8 == 1, "4.5").when(m8 == 2, "0").when(m8 == 3, "3.125")
                      .when(m8 == 4, "").otherwise((e % 5 + 1).cast("string")).alias("rating"),
                     F.when(e % 3 == 0, F.lit(""))
@@ -341,8 +339,8 @@ class Fixtures:
                 .select(
                     seq.alias("request_seq"),
                     e.alias("pos"),
-                    lpad_key("HOT", seq % n + 1).alias("hotel_id"),
-                    lpad_key("EMP", seq % 150 + 1).alias("employee_id"),
+                    pad5("HOT", seq % n + 1).alias("hotel_id"),
+                    pad5("EMP", seq % (n * 15) + 1).alias("employee_id"),
                     (100 + e % 21).cast("string").alias("room_number"),
                     F.when(e % 31 == 0, F.lit("bad"))
                      .otherwise(F.concat(F.lit("issue "), F.col("props"))).alias("issue_description"),
@@ -361,12 +359,12 @@ class Fixtures:
         k = F.col("k").cast("long")
         st = (e + k * (e % 2)) % 4
         return ev.select(
-            (e + k * 1000000000).alias("request_seq"),
+            (e * 2 + k).alias("request_seq"),
             pad5("MAINTAIN", e + 1).alias("maintenance_id"),
-            lpad_key("HOT", e % n + 1).alias("hotel_id"),
+            pad5("HOT", e % n + 1).alias("hotel_id"),
             (100 + F.col("user_id") % 20 + F.when(e % 13 == 0, 1).otherwise(0)).cast("string")
              .alias("room_number"),
-            lpad_key("EMP", (e + k) % 150 + 1).alias("employee_id"),
+            pad5("EMP", (e + k) % (n * 15) + 1).alias("employee_id"),
             F.when(st == 0, "Pending").when(st == 1, "Completed").when(st == 2, "Cancelled")
              .otherwise("Unknown").alias("maintenance_status"),
         )
