@@ -55,6 +55,11 @@ def parse_date(c: str | Column) -> Column:
     return js_trim(_c(c)).try_cast("date")
 
 
+def parse_instant(c: str | Column) -> Column:
+    """The instant a date or timestamp text names (a date alone: its start)."""
+    return js_trim(_c(c)).try_cast("timestamp_ntz")
+
+
 def errors(rules: Sequence[Rule]) -> Column:
     """ARRAY<STRING> of the messages of failing rules, in rule order."""
     if not rules:

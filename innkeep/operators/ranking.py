@@ -73,12 +73,21 @@ def rank_within_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str |
     ranked = global_rank(df, [*keys, *order], rank_col="_grank", keep_partition=True)
     per_part = ranked.groupBy("_pid", *keys).agg(F.min("_grank").alias("_pfirst"))
     first = per_part.groupBy(*keys).agg(F.min("_pfirst").alias("_gfirst"))
-    starts = per_part.join(first, list(keys)).select("_pid", *keys, "_gfirst")
-    return (ranked.join(starts, ["_pid", *keys])
+    starts = _null_safe_join(per_part, first, keys).select("_pid", *keys, "_gfirst")
+    return (_null_safe_join(ranked, starts, ["_pid", *keys])
             .withColumn(pos_col, (F.col("_grank") - F.col("_gfirst") + 1).cast("long"))
             .drop("_grank", "_gfirst", "_pid"))
 
 
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` in which a NULL key equals a NULL key."""
+    right = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(right, on).drop(*[f"_r_{k}" for k in keys])
+
+
 def page(df: DataFrame, order: Sequence[str | Column], page_no: int = 1,
          size: int = PAGE_SIZE, pos_col: str | None = "page_pos") -> DataFrame:
     """Rows ``(page_no-1)*size+1 .. page_no*size`` of ``df`` in ``order``.

@@ -369,6 +369,9 @@ def ingest_hotels(fx, as_of: str = AS_OF) -> JobResult:
     return JobResult(status, Outputs(hotels=new_hotels, rooms=new_rooms, services=new_services))
 
 
+MSG_HOTEL_ID = "Hotel ID is required"   # fixed value
+
+
 def upsert_hotels(fx) -> JobResult:
     header, rooms, services = _hotel_items(fx)
     v = header.join(V.hotel_errors(fx, header, rooms, services), "request_seq")

@@ -69,6 +69,18 @@ def EMAIL(col, msg):
 EMAIL_RE = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\z"   # \z: end of input in Java and RE2
 
 
+# A charge as a decimal number with an optional exponent, and the
+# largest values of the tables' DECIMAL(10,2) and INT columns.  A request that
+# holds more is rejected by a rule of its own, so it cannot fail its batch.
+CHARGE_RE = r"^[ ]*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?[ ]*\z"
+MAX_AMOUNT = 99999999.99
+MAX_INT = 2147483647
+
+
+def FITS(col, column):
+    return RANGE(col, 0, MAX_INT if column == "total_rooms" else MAX_AMOUNT, f"Out of range value for column '{column}'")
+
+
 # -- Spark side ----------------------------------------------------------------
 def spark_rules(specs: list[Spec]) -> list[R.Rule]:
     out: list[R.Rule] = []
@@ -86,12 +98,12 @@ def spark_rules(specs: list[Spec]) -> list[R.Rule]:
             n = R.as_number(c)
             out.append(R.Rule(~F.coalesce(R.money_ok(c), F.lit(False)) | n.between(a["lo"], a["hi"]), a["msg"]))
         elif s.kind == "after":
-            d1, d2 = R.parse_date(c), R.parse_date(F.col(a["other"]))
+            d1, d2 = R.parse_instant(c), R.parse_instant(F.col(a["other"]))
             out.append(R.Rule(d1.isNull() | d2.isNull() | (d1 > d2), a["msg"]))
         elif s.kind == "service_charge":
             name = F.coalesce(F.col(a["name"]), F.lit(""))
-            charge_ok = c.isNotNull() & (c != "") & c.try_cast("double").isNotNull()
-            out.append(R.Rule((name == "") | charge_ok, a["msg"]))
+            charge_ok = c.rlike(CHARGE_RE) & (F.abs(c.try_cast("double")) <= MAX_AMOUNT)
+            out.append(R.Rule((name == "") | F.coalesce(charge_ok, F.lit(False)), a["msg"]))
         elif s.kind == "email":
             out.append(R.Rule(c.isNull() | c.rlike(EMAIL_RE), a["msg"]))
         else:
@@ -141,12 +153,12 @@ def sql_cases(specs: list[Spec], t: str = "") -> list[str]:
                        f"(TRY_CAST({c} AS DOUBLE) BETWEEN {a['lo']} AND {a['hi']}) THEN {_q(a['msg'])} END")
         elif s.kind == "after":
             o = p + a["other"]
-            out.append(f"CASE WHEN TRY_CAST(trim({c}) AS DATE) <= TRY_CAST(trim({o}) AS DATE) "
+            out.append(f"CASE WHEN TRY_CAST(trim({c}) AS TIMESTAMP) <= TRY_CAST(trim({o}) AS TIMESTAMP) "
                        f"THEN {_q(a['msg'])} END")
         elif s.kind == "service_charge":
             n = p + a["name"]
-            out.append(f"CASE WHEN COALESCE({n}, '') <> '' AND NOT ({c} IS NOT NULL AND {c} <> '' AND "
-                       f"TRY_CAST({c} AS DOUBLE) IS NOT NULL) THEN {_q(a['msg'])} END")
+            out.append(f"CASE WHEN COALESCE({n}, '') <> '' AND NOT COALESCE("
+                       f"regexp_matches({c}, {_q(CHARGE_RE)}) AND abs(TRY_CAST({c} AS DOUBLE)) <= {MAX_AMOUNT}, false) THEN {_q(a['msg'])} END")
         elif s.kind == "email":
             out.append(f"CASE WHEN {c} IS NOT NULL AND NOT regexp_matches({c}, {_q(EMAIL_RE)}) "
                        f"THEN {_q(a['msg'])} END")
@@ -174,7 +186,7 @@ REVIEW = [
     S("customer_id", 1, 20, "Customer ID is required"),
     MONEY("rating", "Rating"),
     RANGE("rating", 1, 5, "Rating must be between 1 and 5"),
-    S("comment", None, 1000, required=False),
+    S("comment", None, 1000, max_msg="Comment too long", required=False),
 ]
 CANCEL = [
     S("booking_id", None, 20, max_msg="Booking ID too long", required=False),
@@ -186,6 +198,7 @@ BOOKING = [
     S("customer_id", 1, 20, "Customer ID is required"),
     S("hotel_id", 1, 20, "Hotel ID is required"),
     MONEY("total_amount", "Total amount"),
+    FITS("total_amount", "total_amount"),
     ENUM("booking_status", ("Confirmed", "Cancelled", "Completed"), default="Confirmed"),
 ]
 BOOKING_ROOM = [
@@ -193,6 +206,7 @@ BOOKING_ROOM = [
     DATE("check_in", "Invalid check-in date"),
     DATE("check_out", "Invalid check-out date"),
     MONEY("room_amount", "Room amount"),
+    FITS("room_amount", "room_amount"),
     AFTER("check_out", "check_in", "Check-out date must be after check-in date"),
 ]
 HOTEL = [
@@ -200,11 +214,13 @@ HOTEL = [
     S("city", 1, 100, "City is required", "City must be less than 100 characters"),
     S("country", 1, 100, "Country is required", "Country must be less than 100 characters"),
     MONEY("total_rooms", "Total rooms"),
+    FITS("total_rooms", "total_rooms"),
 ]
 HOTEL_ROOM = [
     S("room_number", 1, 10, "Room number is required", "Room number must be less than 10 characters"),
     ENUM("room_type", ("Deluxe", "Suite", "Standard")),
     MONEY("price_per_night", "Price per night"),
+    FITS("price_per_night", "price_per_night"),
 ]
 HOTEL_SERVICE = [
     SERVICE_CHARGE("service_name", "service_charge",

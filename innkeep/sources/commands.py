@@ -104,9 +104,9 @@ def to_json_lines(commands: DataFrame) -> DataFrame:
 def parse_json_lines(lines: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
     """Parse request bodies with an explicit schema; a body that does not
     parse keeps its text in ``_corrupt_record`` (and is rejected later)."""
-    parsed = lines.select(F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"}).alias("c"),
-                          F.col(column).alias("_raw"))
-    return parsed.select("c.*", F.when(F.col("c").isNull(), F.col("_raw")).alias("_corrupt_record"))
+    full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    return lines.select(F.from_json(F.col(column), full, options).alias("c")).select("c.*")
 
 
 def read_command_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
