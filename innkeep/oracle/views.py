@@ -117,7 +117,7 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionke
 
 VIEW_SQL["hotel_request_rooms"] = """
 SELECT p_partkey % n AS request_seq, p_partkey AS pos,
-       CAST(110 + CAST(FLOOR(p_partkey / n) AS BIGINT) % 19 AS STRING) AS room_number,
+       CAST(110 + CAST(FLOOR(p_partkey / n) AS BIGINT) % CASE WHEN p_partkey % n % 3 = 0 THEN 19 ELSE 23 END AS STRING) AS room_number,
        CASE WHEN p_type IN ('PROMO','LARGE') THEN 'Suite' WHEN p_type IN ('MEDIUM','ECONOMY') THEN 'Deluxe' ELSE 'Standard' END AS room_type,
        CAST(p_retailprice AS STRING) AS price_per_night,
        CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size % 2 = 0 END AS is_available

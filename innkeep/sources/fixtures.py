@@ -243,7 +243,7 @@ class Fixtures:
                 .select(
                     (k % n).alias("request_seq"),
                     k.alias("pos"),
-                    (110 + _floor_div(k, n) % 19).cast("string").alias("room_number"),
+                    (110 + _floor_div(k, n) % F.when((k % n) % 3 == 0, 19).otherwise(23)).cast("string").alias("room_number"),
                     _room_type(F.col("p_type")).alias("room_type"),
                     F.col("p_retailprice").cast("string").alias("price_per_night"),
                     F.when(F.col("p_size") % 4 != 0, F.col("p_size") % 2 == 0).alias("is_available"),
