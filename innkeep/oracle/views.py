@@ -127,8 +127,8 @@ FROM part CROSS JOIN dim_n
 VIEW_SQL["hotel_request_services"] = """
 SELECT p_partkey % n AS request_seq, p_partkey AS pos,
        CASE WHEN p_size % 10 = 0 THEN 'SERV' || LPAD(CAST((p_partkey % n) * 6 + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST((p_partkey % n) * 6 + 1 AS STRING))) AS INT), '0') ELSE NULL END AS service_id,
-       CASE WHEN p_size % 9 = 0 THEN '' WHEN p_size % 2 = 0 THEN p_brand ELSE LOWER(p_brand) END AS service_name,
-       CASE WHEN p_size % 23 = 0 THEN NULL ELSE CAST(p_size AS STRING) END AS service_charge
+       CASE WHEN p_size % 9 = 0 THEN '' WHEN p_size % 2 = 0 THEN p_brand || (CASE WHEN p_partkey % n % 5 = 2 THEN '' ELSE '-' || CAST(CAST(FLOOR(p_partkey / n) AS BIGINT) AS STRING) END) ELSE LOWER(p_brand || (CASE WHEN p_partkey % n % 5 = 2 THEN '' ELSE '-' || CAST(CAST(FLOOR(p_partkey / n) AS BIGINT) AS STRING) END)) END AS service_name,
+       CASE WHEN p_size % 23 = 0 AND p_partkey % n % 4 = 1 THEN NULL ELSE CAST(p_size AS STRING) END AS service_charge
 FROM part CROSS JOIN dim_n
 """
 

@@ -253,14 +253,15 @@ class Fixtures:
         n = self.n
         k = F.col("p_partkey")
         size = F.col("p_size")
+        line = F.when((k % n) % 5 == 2, F.lit("")).otherwise(F.concat(F.lit("-"), _floor_div(k, n).cast("string")))
         return (self.t.part
                 .select(
                     (k % n).alias("request_seq"),
                     k.alias("pos"),
                     F.when(size % 10 == 0, pad5("SERV", (k % n) * 6 + 1)).alias("service_id"),
-                    F.when(size % 9 == 0, F.lit("")).when(size % 2 == 0, F.col("p_brand"))
-                     .otherwise(F.lower("p_brand")).alias("service_name"),
-                    F.when(size % 23 != 0, size.cast("string")).alias("service_charge"),
+                    F.when(size % 9 == 0, F.lit("")).when(size % 2 == 0, F.concat("p_brand", line))
+                     .otherwise(F.lower(F.concat("p_brand", line))).alias("service_name"),
+                    F.when((size % 23 != 0) | ((k % n) % 4 != 1), size.cast("string")).alias("service_charge"),
                 ))
 
     def booking_requests(self) -> DataFrame:
