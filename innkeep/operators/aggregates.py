@@ -63,20 +63,25 @@ def booking_counts(bookings: DataFrame) -> DataFrame:
 def booking_chain(bookings: DataFrame, customers: DataFrame, booking_rooms: DataFrame,
                   cancelled: DataFrame) -> DataFrame:
     """bookings LEFT JOIN customers LEFT JOIN booking_rooms LEFT JOIN
-    bookings_cancelled, one row per (booking, room) instead of per (booking,
-    room, cancel row): the cancel rows are pre-aggregated per booking and
-    ``chain_rows`` says how many rows of the full chain the row stands for
-    (its booking's cancel rows, at least 1), so a booking's rooms and cancel
-    rows are never multiplied out.  ``cancel_reason`` is the latest one."""
-    cust = customers.select("customer_id", F.col("full_name").alias("customer_name"))
-    br = booking_rooms.select("booking_id", "room_number", "check_in", "check_out",
-                              "room_amount", "booking_room_id")
-    bc = latest_cancel(cancelled)
-    return (bookings.join(cust, "customer_id", "left")
-            .join(br, "booking_id", "left")
-            .join(bc, "booking_id", "left")
-            .withColumn("chain_rows", F.coalesce("cancel_rows", F.lit(1)).cast("long"))
-            .drop("cancel_rows"))
+    bookings_cancelled without the product of a booking's rooms and cancel
+    rows: one ``room`` row per (booking, room), also for a booking without
+    rooms, and one ``cancel`` row per (booking, cancel row), so every reason
+    is kept.  ``part_id`` names the room or cancel row, ``chain_rows`` counts
+    the rows of the full chain the row stands for (at least 1)."""
+    head = bookings.join(customers.select("customer_id", F.col("full_name").alias("customer_name")), "customer_id", "left")
+    rooms = booking_rooms.select("booking_id", "room_number", "check_in", "check_out", "room_amount",
+                                 F.col("booking_room_id").alias("part_id"))
+    cancels = cancelled.select("booking_id", "cancel_reason", F.col("booking_cancel_id").alias("part_id"))
+
+    def per_booking(df):
+        return df.groupBy("booking_id").agg(F.count(F.lit(1)).alias("chain_rows"))
+
+    by_room = (head.join(rooms, "booking_id", "left").join(per_booking(cancels), "booking_id", "left")
+               .withColumn("kind", F.lit("room")))
+    by_cancel = (head.join(cancels, "booking_id").join(per_booking(rooms), "booking_id", "left")
+                 .withColumn("kind", F.lit("cancel")))
+    return (by_room.unionByName(by_cancel, allowMissingColumns=True)
+            .withColumn("chain_rows", F.coalesce("chain_rows", F.lit(1)).cast("long")))
 
 
 def booking_multiplicity(bookings: DataFrame, booking_rooms: DataFrame, cancelled: DataFrame) -> DataFrame:

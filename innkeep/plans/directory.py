@@ -228,7 +228,7 @@ class HotelAnswers:
                                   min_rating: float = 0.0, page_no: int = 1,
                                   mode: str = "intended", envelope: bool = False) -> DataFrame:
         fx = self.fx
-        with_rooms = fx.hotels().select(*HOTEL_COLS).join(fx.rooms().select("hotel_id"),
+        with_rooms = fx.hotels().select(*HOTEL_COLS).join(fx.rooms().select("hotel_id").distinct(),
                                                            "hotel_id", "left_semi")
         if mode == "literal":
             pg = page(with_rooms, newest_first(), page_no, pos_col=None)

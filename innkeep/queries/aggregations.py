@@ -217,7 +217,7 @@ def agg_having_total(fx):
     separately before joining, so the two child tables never multiply."""
     p = PRICE_RATING
     with_rooms = fx.hotels().select("id", "hotel_id", "created_at").join(
-        fx.rooms().select("hotel_id"), "hotel_id", "left_semi")
+        fx.rooms().select("hotel_id").distinct(), "hotel_id", "left_semi")
     cards = HotelAnswers(fx)._enrich(with_rooms, bookings=False, price=True, restrict=False)
     return (cards.where(HotelAnswers._price_rating_pred(p["min_price"], p["max_price"], p["min_rating"]))
             .agg(F.count(F.lit(1)).alias("total_hotels")))

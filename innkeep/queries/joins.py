@@ -42,66 +42,62 @@ def join_left_derived(fx):
             .select("review_id", "hotel_id", "rating", "customer_name"))
 
 
-_CHAIN_OUT_SQL = """b.booking_id, b.hotel_id, b.booking_status, cust.full_name AS customer_name, br.room_number,
-       CAST(br.check_in AS VARCHAR) AS check_in, CAST(br.check_out AS VARCHAR) AS check_out,
-       CAST(br.room_amount AS DOUBLE) AS room_amount, bc.cancel_reason,
-       CAST(COALESCE(bc.n, 1) AS BIGINT) AS chain_rows"""
-_CANCELS_SQL = """WITH bc AS (SELECT booking_id, COUNT(*) AS n,
-       arg_max(cancel_reason, CAST(regexp_replace(booking_cancel_id, '[^0-9]', '', 'g') AS BIGINT)) AS cancel_reason
-       FROM bookings_cancelled GROUP BY booking_id)"""
+def _chain_sql(lead: str = "", join: str = "") -> str:
+    """The full chain as the reference joins it, then counted per room row
+    and per cancel row."""
+    return f"""
+WITH chain AS (
+  SELECT {lead} b.booking_id, b.hotel_id, b.booking_status, cust.full_name AS customer_name, br.booking_room_id,
+         br.room_number, CAST(br.check_in AS VARCHAR) AS check_in, CAST(br.check_out AS VARCHAR) AS check_out,
+         CAST(br.room_amount AS DOUBLE) AS room_amount, bc.booking_cancel_id, bc.cancel_reason
+  FROM bookings b
+  LEFT JOIN customers cust ON b.customer_id = cust.customer_id
+  LEFT JOIN booking_rooms br ON b.booking_id = br.booking_id
+  {join}
+  LEFT JOIN bookings_cancelled bc ON b.booking_id = bc.booking_id)
+SELECT * EXCLUDE (booking_room_id, booking_cancel_id, cancel_reason), booking_room_id AS part_id, 'room' AS kind,
+       CAST(NULL AS VARCHAR) AS cancel_reason, COUNT(*) AS chain_rows
+FROM chain GROUP BY ALL
+UNION ALL BY NAME
+SELECT * EXCLUDE (booking_room_id, booking_cancel_id, room_number, check_in, check_out, room_amount),
+       booking_cancel_id AS part_id, 'cancel' AS kind, COUNT(*) AS chain_rows
+FROM chain WHERE booking_cancel_id IS NOT NULL GROUP BY ALL
+"""
 
 
 def _chain_out(df, *lead):
     return df.select(*lead, "booking_id", "hotel_id", "booking_status", "customer_name", "room_number",
                      F.col("check_in").cast("string").alias("check_in"),
                      F.col("check_out").cast("string").alias("check_out"),
-                     F.col("room_amount").cast("double").alias("room_amount"), "cancel_reason", "chain_rows")
+                     F.col("room_amount").cast("double").alias("room_amount"), "part_id", "kind", "cancel_reason",
+                     "chain_rows")
 
 
-@register("join_left_chain", f"""
-{_CANCELS_SQL}
-SELECT {_CHAIN_OUT_SQL}
-FROM bookings b
-LEFT JOIN customers cust ON b.customer_id = cust.customer_id
-LEFT JOIN booking_rooms br ON b.booking_id = br.booking_id
-LEFT JOIN bc ON b.booking_id = bc.booking_id
-""")
+@register("join_left_chain", _chain_sql())
 def join_left_chain(fx):
     """The chain bookings ⟕ customers ⟕ booking_rooms ⟕ bookings_cancelled,
-    nothing deduplicated: one row per (booking, room) with ``chain_rows``, the
-    number of chain rows it stands for (one per cancel row), so the product
-    of a booking's rooms and cancel rows is counted, not emitted."""
-    chain = agg.booking_chain(fx.bookings(), fx.customers(), fx.booking_rooms(), fx.bookings_cancelled())
-    return _chain_out(chain)
-
-
-@register("join_mixed_chain", f"""
-{_CANCELS_SQL}
-SELECT h.hotel_name, {_CHAIN_OUT_SQL}
-FROM bookings b
-LEFT JOIN customers cust ON b.customer_id = cust.customer_id
-LEFT JOIN booking_rooms br ON b.booking_id = br.booking_id
-JOIN hotels h ON b.hotel_id = h.hotel_id
-LEFT JOIN bc ON b.booking_id = bc.booking_id
-""")
+    nothing dropped: one row per (booking, room) and one per (booking, cancel
+    row), each with ``chain_rows``, the number of chain rows it stands for,
+    so the product of a booking's rooms and cancel rows is counted, not
+    emitted."""
+    return _chain_out(agg.booking_chain(fx.bookings(), fx.customers(), fx.booking_rooms(), fx.bookings_cancelled()))
+
+
+@register("join_mixed_chain", _chain_sql("h.hotel_name,", "JOIN hotels h ON b.hotel_id = h.hotel_id"))
 def join_mixed_chain(fx):
-    """left, left, inner, left in the history's order (cancel rows counted
-    per booking as in ``join_left_chain``)."""
-    br = fx.booking_rooms().select("booking_id", "room_number", "check_in", "check_out", "room_amount")
-    bc = agg.latest_cancel(fx.bookings_cancelled())
-    j = (fx.bookings().join(_customer_names(fx), "customer_id", "left")
-         .join(br, "booking_id", "left")
-         .join(fx.hotels().select("hotel_id", "hotel_name"), "hotel_id")
-         .join(bc, "booking_id", "left")
-         .withColumn("chain_rows", F.coalesce("cancel_rows", F.lit(1)).cast("long")))
-    return _chain_out(j, "hotel_name")
+    """The history's chain: the same with an inner join to the hotels (rows
+    as in ``join_left_chain``)."""
+    named = fx.bookings().join(fx.hotels().select("hotel_id", "hotel_name"), "hotel_id")
+    return _chain_out(agg.booking_chain(named, fx.customers(), fx.booking_rooms(), fx.bookings_cancelled()), "hotel_name")
 
 
 @register("join_semi_has_rooms", """
 SELECT h.hotel_id, h.hotel_name FROM hotels h WHERE EXISTS (SELECT 1 FROM rooms r WHERE r.hotel_id = h.hotel_id)
 """)
 def join_semi_has_rooms(fx):
-    return fx.hotels().join(fx.rooms().select("hotel_id"), "hotel_id", "left_semi").select("hotel_id", "hotel_name")
+    # distinct keys first: a hot hotel's rooms shrink before the shuffle
+    return (fx.hotels().join(fx.rooms().select("hotel_id").distinct(), "hotel_id", "left_semi")
+            .select("hotel_id", "hotel_name"))
 
 
 @register("join_app_lookup", f"""

@@ -1,9 +1,11 @@
 """Hand-written cases for rules and ids (expected values are written out here)."""
 
+import duckdb
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from innkeep.functions.ids import pad5
+from innkeep.functions.sanitize import sanitize_sql, sanitize_text
 from innkeep.operators.ranking import rank_within_groups
 from innkeep.plans import validation as V
 from innkeep.sources.commands import parse_json_lines
@@ -63,3 +65,48 @@ def test_rank_keeps_rows_without_a_group(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4)], "g string, v int")
     got = {(r.g, r.v): r.pos for r in rank_within_groups(df, ["g"], ["v"]).collect()}
     assert got == {("a", 1): 1, ("a", 2): 2, (None, 3): 1, (None, 4): 2}
+
+
+SANITIZED = [
+    ("<p>set one = 1</p>", "<p>set one = 1</p>"),
+    ("3 < 5 and one=1", "3 < 5 and one=1"),
+    ("<img/src=x/onerror=alert(1)>", '<img src="x/onerror=alert(1)">'),
+    ("<img src=x onerror=alert(1)>", '<img src="x">'),
+    ("<a href='java\tscript:x()'>go</a>", "<a>go</a>"),
+    ("<a href='&#106;avascript:x()'>go</a>", "<a>go</a>"),
+    ("<a HREF=/x/y title='say \"hi\"'>t</a>", '<a href="/x/y" title="say &quot;hi&quot;">t</a>'),
+    ("<scr<script></script>ipt>alert(1)</script>", "ipt>alert(1)"),
+    ("<<foo>script>alert(1)", "&lt;script>alert(1)"),
+    ("<b>x</b><script>alert(1)", "<b>x</b>"),
+    ("a <img src=x onerror=alert(1)", 'a <img src="x">'),
+    ("a<!-- c --><br/>b <input disabled>", 'a<br>b <input disabled="">'),
+    ("<svg><path d='M0 0'></path></svg><object>kept</object>", '<svg><path d="M0 0"></path></svg>kept'),
+    ("<!doctype html><html><head><title>t</title></head><body><p>x</p></body></html>", "<p>x</p>"),
+    ("", ""), (None, None),
+    ("x" * 100_000 + "<p>" + "y " * 100_000, "x" * 100_000 + "<p>" + ("y " * 100_000).strip()),
+]
+
+
+def test_sanitizer_cleans_tags_and_keeps_text(spark):
+    df = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(SANITIZED)], "i int, s string")
+    assert [r[0] for r in df.orderBy("i").select(sanitize_text("s")).collect()] == [want for _, want in SANITIZED]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE d (i INT, s VARCHAR)")
+    con.executemany("INSERT INTO d VALUES (?, ?)", [(i, text) for i, (text, _) in enumerate(SANITIZED)])
+    assert [r[0] for r in con.execute(f"SELECT {sanitize_sql('s')} FROM d ORDER BY i").fetchall()] == [want for _, want in SANITIZED]
+
+
+def test_chain_keeps_every_cancel_reason(spark):
+    from innkeep.operators.aggregates import booking_chain
+    b = spark.createDataFrame([("B1", "H1", "C1", "Confirmed"), ("B2", "H1", "C9", None)],
+                              "booking_id string, hotel_id string, customer_id string, booking_status string")
+    c = spark.createDataFrame([("C1", "Ann")], "customer_id string, full_name string")
+    r = spark.createDataFrame([("R1", "B1", "101"), ("R2", "B1", "102")], "booking_room_id string, booking_id string, room_number string")
+    r = r.selectExpr("*", "DATE'2024-01-01' check_in", "DATE'2024-01-02' check_out", "1.0 room_amount")
+    x = spark.createDataFrame([("X1", "B1", "late"), ("X2", "B1", "ill"), ("X3", "B1", None)],
+                              "booking_cancel_id string, booking_id string, cancel_reason string")
+    got = {(g.kind, g.booking_id, g.part_id, g.room_number, g.cancel_reason, g.customer_name, g.chain_rows)
+           for g in booking_chain(b, c, r, x).collect()}
+    assert got == {("room", "B1", "R1", "101", None, "Ann", 3), ("room", "B1", "R2", "102", None, "Ann", 3),
+                   ("cancel", "B1", "X1", None, "late", "Ann", 2), ("cancel", "B1", "X2", None, "ill", "Ann", 2),
+                   ("cancel", "B1", "X3", None, None, "Ann", 2), ("room", "B2", None, None, None, None, 1)}
