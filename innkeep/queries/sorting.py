@@ -111,19 +111,24 @@ def _suffix_sql(col, start):
     return sql_digits(col) if start is None else sql_suffix(col, start)
 
 
+BY_ROW_ID = ("hotels", "rooms")   # read by the surrogate id, not by the number in the key
+
+
 @register("top1_last_row", " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, arg_max({c}, struct_pack(k := {_suffix_sql(c, s)}, d := {sql_digits(c)}))"
+    f"SELECT '{t}' AS table_name, arg_max({c}, "
+    + ("id)" if t in BY_ROW_ID else f"struct_pack(k := {_suffix_sql(c, s)}, d := {sql_digits(c)}))") +
     f" AS last_id FROM {t}"
     for t, c, s in LAST_ID_RULES))
 def top1_last_row(fx):
-    """The row the reference reads as "last": ORDER BY numeric suffix DESC
-    LIMIT 1, as ``max_by`` (a partial aggregate, no sort).  Ties on the
+    """The row the reference reads as "last": ORDER BY id (hotels, rooms) or
+    numeric suffix DESC LIMIT 1, as ``max_by`` (a partial aggregate, no sort).  Ties on the
     suffix ('BR7-1', 'BR7-2') are left open by the reference; we take the one
     with the most digits-value."""
     parts = []
     for t, c, s in LAST_ID_RULES:
         k = digits_number(F.col(c)) if s is None else unsigned_suffix(F.col(c), s)
-        parts.append(fx.table(t).agg(F.max_by(c, F.struct(k, digits_number(F.col(c)))).alias("last_id"))
+        order = F.col("id") if t in BY_ROW_ID else F.struct(k, digits_number(F.col(c)))
+        parts.append(fx.table(t).agg(F.max_by(c, order).alias("last_id"))
                      .select(F.lit(t).alias("table_name"), "last_id"))
     out = parts[0]
     for p in parts[1:]:
