@@ -2,13 +2,16 @@
 
 Markup is stripped into lines, one per block element, in page order.  A line
 weighs its characters outside links, spaces not counted; lines of elements whose tag, role, class
-or id marks them as menus, notices, adverts, forms, comments and the like, and
-on pages with an article (or main) element all lines outside of it, are blank.
-Weights are summed over sliding windows of ``WINDOW`` lines.  A surge point is
-where windows rise from zero, the next dive point where they are back at zero;
-the lines between the two are kept if a window between them reaches
-``SURGE`` characters, or if they belong to a marked article, where short lines
-count like long ones.
+or id marks them as menus, notices, adverts, forms, comments and the like are
+blank.  Inside an article (or main) element a line weighs ``SURGE`` more, so
+that short lines count like long ones, and one that is a link counts its
+characters; lines outside of it weigh what they do on pages without one.
+Two or more lines in a row that are nothing but links are a link list, which
+weighs nothing anywhere and is not kept.  Weights are summed over sliding
+windows of ``WINDOW`` lines.  A surge point is the first line with weight where
+windows rise from zero, the next dive point the last one before they are back
+at zero; all lines from the one to the other, but link lists, are kept if a
+window between them reaches ``SURGE``.
 
 Defined results: null or empty html, or one without main text, has an empty
 text; character references are decoded once, after the markup is gone; white
@@ -172,9 +175,12 @@ def page_lines(page: str) -> list[Line]:
 
 
 def between_surge_and_dive(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[str]:
-    """Texts of the lines between each surge point and its dive point."""
-    marked = any(line.marked and line.text for line in lines)
-    weight = [(len(line.text) if line.marked else 0) if marked else line.weight for line in lines]
+    """Texts of the lines from each surge point to its dive point."""
+    lines = [line for line in lines if line.text]
+    linked = [not line.weight for line in lines]
+    listed = [one and (linked[i - 1:i] == [True] or linked[i + 1:i + 2] == [True]) for i, one in enumerate(linked)]
+    weight = [0 if skip else surge + (line.weight or len(line.text)) if line.marked else line.weight
+              for line, skip in zip(lines, listed)]
     sums, total = [], 0
     for i in range(len(lines)):                              # sums[i]: lines i - window + 1 to i
         total += weight[i] - (weight[i - window] if i >= window else 0)
@@ -188,8 +194,11 @@ def between_surge_and_dive(lines: list[Line], window: int = WINDOW, surge: int =
         start = i
         while i < len(lines) and sums[i]:
             i += 1
-        if marked or max(sums[start:i]) >= surge:
-            kept += [line.text for line, w in zip(lines[start:i], weight[start:i]) if line.text and w]
+        if max(sums[start:i]) >= surge:
+            last = i - 1
+            while not weight[last]:
+                last -= 1
+            kept += [line.text for line, skip in zip(lines[start:last + 1], listed[start:last + 1]) if not skip]
     return kept
 
 

@@ -53,3 +53,18 @@ def test_all_pages_keep_their_article(spark):
         inner = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S).group(1)
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?p>|</?h1>", inner.replace("<br>", " "))]
         assert r.text == "\n".join(p for p in parts if p)
+
+
+def test_windows_decide_on_pages_with_an_article():
+    teaser = "<article><h2><a href=/t>Teaser</a></h2><p>Short teaser.</p></article>"
+    body = f"<div class=content><p>{SENTENCE}</p><p>Short.</p><p>{SENTENCE} More.</p></div>"
+    far = "<div><a href=/>l</a></div>" * 4
+    assert main_text(teaser + far + body) == f"Teaser\nShort teaser.\n{SENTENCE}\nShort.\n{SENTENCE} More."
+    assert main_text(teaser + far + "<div>Tiny.</div>") == "Teaser\nShort teaser."          # no surge outside
+    links = "<ul><li><a href=/a>One link</a></li><li><a href=/b>Two link</a></li></ul>"
+    assert main_text(f"<article><p>{SENTENCE}</p>{links}<p>Short.</p></article>") == f"{SENTENCE}\nShort."
+
+
+def test_every_line_between_surge_and_dive():
+    page = f"<div>{SENTENCE}</div><h2><a href=/h>A linked head</a></h2><div>{SENTENCE}</div><div><a href=/n>next</a></div>"
+    assert main_text(page) == f"{SENTENCE}\nA linked head\n{SENTENCE}"
