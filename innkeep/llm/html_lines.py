@@ -2,8 +2,10 @@
 
 Markup is stripped into lines, one per block element, in page order.  A line
 weighs its characters outside links, spaces not counted; lines of elements whose tag, role, class
-or id marks them as menus, notices, adverts, forms, comments and the like are
-blank.  Inside an article (or main) element a line weighs ``SURGE`` more, so
+or id marks them as menus, notices, adverts, comments and the like are blank.
+So are a form's controls and labels, and its other lines unless they are in an
+article (or main) element inside the form or a window of them alone reaches
+``SURGE``.  Inside an article (or main) element a line weighs ``SURGE`` more, so
 that short lines count like long ones, and one that is a link counts its
 characters; lines outside of it weigh what they do on pages without one.
 Two or more lines in a row that are nothing but links are a link list, which
@@ -39,10 +41,11 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
     figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p
     pre section summary table tbody tfoot thead tr ul""".split())
 RAW = frozenset("iframe noembed noframes noscript script style template textarea title xmp".split())
-DROPPED = frozenset("""aside audio button canvas datalist dialog embed fieldset footer form map menu nav object select
-    svg video""".split())
+DROPPED = frozenset("aside audio button canvas datalist dialog embed footer menu nav select svg video".split())
+FORMS = frozenset("fieldset form map object".split())
+LABELS = frozenset("label legend".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 WORDS = frozenset("""ad ads adsense advert adverts advertisement advertising adslot sponsor sponsored promo promos
     promotion promoted banner banners sidebar sidebars sidenav aside rail menu menus nav navbar navigation subnav topnav
     breadcrumb breadcrumbs pagination pager footer foot masthead topbar toolbar cookie cookies consent gdpr notice notices
@@ -65,12 +68,13 @@ class Line:
     text: str
     weight: int              # characters outside links
     marked: bool             # inside an article or main element
+    form: int = 0            # number of the form around it; 0: none, or an article is in between
 
 
-def _flags(attributes: str) -> tuple[bool, bool, bool]:
-    """(unwanted, reader talk or teasers, page header) by an element's
+def _flags(attributes: str) -> tuple[bool, bool, bool, bool]:
+    """(unwanted, reader talk or teasers, page header, form) by an element's
     attributes."""
-    unwanted = talk = head = False
+    unwanted = talk = head = form = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -79,6 +83,7 @@ def _flags(attributes: str) -> tuple[bool, bool, bool]:
             unwanted |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         elif name == "role":
             unwanted |= value.lower() in ROLES
+            form |= value.lower() == "form"
         else:
             for one in value.split():
                 parts = [w.lower() for w in _WORD.findall(one)]
@@ -86,7 +91,7 @@ def _flags(attributes: str) -> tuple[bool, bool, bool]:
                     unwanted |= not WORDS.isdisjoint(parts) or one.lower() in WORDS
                     talk |= not TALK.isdisjoint(parts)
                     head |= parts[-1] in HEADS and not {"article", "entry", "post", "content", "story"} & set(parts)
-    return unwanted, talk, head
+    return unwanted, talk, head, form
 
 
 def page_lines(page: str) -> list[Line]:
@@ -96,9 +101,10 @@ def page_lines(page: str) -> list[Line]:
     lines: list[Line] = []
     text: list[str] = []
     links = 0
-    stack: list[tuple[str, int, int]] = []       # open elements that matter: name, drop before, articles before
+    stack: list[tuple[str, int, int, int]] = []  # open elements that matter: name; drop, articles and form before
     open_now: dict[str, int] = {}                # how many of each name are on the stack
     drop = articles = in_link = 0                # drop: 2 if for good, 1 if an article inside ends it
+    form = forms = 0                             # the form that lines are in; how many there were
     marked_seen = False
 
     def flush() -> None:
@@ -106,7 +112,7 @@ def page_lines(page: str) -> list[Line]:
         if text:
             raw = "".join(text)
             line = " ".join((_html.unescape(raw) if "&" in raw else raw).split())
-            lines.append(Line(line, max(0, len(line.replace(" ", "")) - links), articles > 0))
+            lines.append(Line(line, max(0, len(line.replace(" ", "")) - links), articles > 0, form))
             text.clear()
         links = 0
 
@@ -140,8 +146,10 @@ def page_lines(page: str) -> list[Line]:
             in_link = 0 if closing else 1
         if closing:
             if open_now.get(name):
+                if name in FORMS:
+                    flush()
                 while True:
-                    inner, drop, articles = stack.pop()
+                    inner, drop, articles, form = stack.pop()
                     open_now[inner] -= 1
                     if inner == name:
                         break
@@ -150,28 +158,46 @@ def page_lines(page: str) -> list[Line]:
             continue
         if block and stack and stack[-1][0] in ("p", "li") and (name != "p" or stack[-1][0] == "p") and stack[-1][1] < drop:
             if stack[-1][0] == "p" or name == "li":
-                inner, drop, articles = stack.pop()
+                inner, drop, articles, form = stack.pop()
                 open_now[inner] -= 1
         if name in ("body", "html"):
             continue
-        unwanted, talk, head = _flags(attributes) if "=" in attributes or "hidden" in attributes.lower() else (False, False, False)
+        unwanted, talk, head, formlike = _flags(attributes) if "=" in attributes or "hidden" in attributes.lower() else (False,) * 4
         content = name in ("article", "main")
-        before = (name, drop, articles)
+        before = (name, drop, articles, form)
         if content and not unwanted:
             if drop == 1 and not marked_seen:
                 drop = 0
             if not drop:
                 articles += 1
                 marked_seen = True
-        elif name in DROPPED or talk:
+                form = 0
+        elif name in DROPPED or talk or form and name in LABELS:
             drop = 2
         elif unwanted or not articles and (name == "header" or head):
             drop = max(drop, 1)
-        if content or drop != before[1] or block and name != "p" and name != "li":
+        if (name in FORMS or formlike) and not content and not drop and not form:
+            flush()
+            forms += 1
+            form = forms
+        if content or drop != before[1] or form != before[3] or block and name != "p" and name != "li":
             stack.append(before)
             open_now[name] = open_now.get(name, 0) + 1
     flush()
-    return lines
+    return without_forms(lines) if forms else lines
+
+
+def without_forms(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[Line]:
+    """``lines`` without those of forms that have no surge among their own."""
+    recent: dict[int, list[int]] = {}            # the weights of each form's last lines
+    ended = {0}
+    for line in lines:
+        last = recent.setdefault(line.form, [])
+        last.append(line.weight)
+        del last[:-window]
+        if sum(last) >= surge:
+            ended.add(line.form)
+    return [line for line in lines if line.form in ended]
 
 
 def between_surge_and_dive(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[str]:

@@ -68,3 +68,15 @@ def test_windows_decide_on_pages_with_an_article():
 def test_every_line_between_surge_and_dive():
     page = f"<div>{SENTENCE}</div><h2><a href=/h>A linked head</a></h2><div>{SENTENCE}</div><div><a href=/n>next</a></div>"
     assert main_text(page) == f"{SENTENCE}\nA linked head\n{SENTENCE}"
+
+
+def test_page_in_a_form():
+    controls = "<label>Your name</label><input><select><option>One</select><button>Send</button>"
+    for name in ("form", "fieldset", "object", "map", "div role=form"):
+        end = f"</{name.split()[0]}>"
+        assert main_text(f"<{name}>{controls}<article><h1>Head</h1><p>{SENTENCE}</p></article>{controls}{end}") == f"Head\n{SENTENCE}"
+        assert main_text(f"<{name}><div>{SENTENCE}</div>{controls}<div>Short.</div>{end}") == f"{SENTENCE}\nShort."
+        assert main_text(f"<main><{name}><p>{SENTENCE}</p>{controls}{end}</main>") == SENTENCE
+        assert main_text(f"<article><p>{SENTENCE}</p><{name}>Mail {controls}{end}<p>Last</p></article>") == f"{SENTENCE}\nLast"
+    assert main_text(f"<article><p>T</p></article><form><article><p>{SENTENCE}</p></article></form>") == f"T\n{SENTENCE}"
+    assert main_text(f"<form class=login><p>{SENTENCE}</p></form>") == ""
