@@ -9,7 +9,8 @@ Both layers are trained by stochastic gradient descent on the driver on a
 bounded sample of labelled rows.  A part of the sample is kept aside to
 calibrate: a temperature makes the probabilities honest there, and a text is
 rejected if its probability lies below what all but ``REJECT`` of the rightly
-recognised texts reach (never above ``REJECT_MOST``).
+recognised texts reach.  A sample under 100 texts is too small for that: nothing
+is calibrated, and no text with a letter is rejected.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
 0 and is rejected; repeated rows have equal results; a null doc_id counts as
@@ -37,7 +38,7 @@ TRAIN_ROWS = 800         # labelled rows of each language at most,
 TRAIN_ALL = 4000         # and of all together, shared evenly
 TRAIN_TEXT = 20_000      # bytes; longer texts are left out of the training sample, and recognised whole
 MOST_LANGUAGES = 200
-REJECT, REJECT_MOST = 0.002, 0.4
+REJECT = 0.002
 UNKNOWN = "und"
 _SLICE = 200_000
 _HASHES = 1 << 20
@@ -119,7 +120,7 @@ def train(x: np.ndarray, label: np.ndarray, languages: list[str], epochs: int =
         p = _softmax(logits / found.temperature)
         right = p.max(axis=1)[p.argmax(axis=1) == y]
         if len(right):
-            found.least = float(min(np.quantile(right, REJECT), REJECT_MOST))
+            found.least = float(np.quantile(right, REJECT))
     return found
 
 

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -48,3 +50,17 @@ def test_edge_cases(make_docs):
     assert langid.language(docs.limit(0)).count() == 0
     nothing = langid.language(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
+
+
+def test_unlearned_languages_and_noise_are_rejected(spark, make_docs):
+    rng = random.Random(3)
+    noise = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(4, 9))) for _ in range(60)) for _ in range(200)]
+    strange = make_docs([(10_000_000 + i, t, None, "noise") for i, t in enumerate(noise)])
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*strange.columns)
+    docs = docs.withColumn("source", F.coalesce("lang", F.lit("none"))).unionByName(strange)
+    for learned in (["de", "en"], ["de", "en", "es"]):
+        only = docs.withColumn("lang", F.when(F.col("lang").isin(learned), F.col("lang")))
+        kept = {r.source: r.share for r in langid.language(only).join(docs.select("doc_id", "source"), "doc_id")
+                .groupBy("source").agg(F.avg(F.col("accepted").cast("int")).alias("share")).collect()}
+        assert all(kept[lang] > 0.97 for lang in learned)
+        assert all(kept[lang] < 0.1 for lang in kept if lang not in learned)
