@@ -35,13 +35,12 @@ from innkeep.llm.textscan import LETTER, LOWER
 
 ROWS, DIM = 1 << 13, 16
 TRAIN_ROWS = 800         # labelled rows of each language at most,
-TRAIN_ALL = 4000         # and of all together, shared evenly
-TRAIN_TEXT = 20_000      # bytes; longer texts are left out of the training sample, and recognised whole
-MOST_LANGUAGES = 200
+TRAIN_ALL = 4000         # and of all together, shared evenly, but one of each language at least
+TRAIN_TEXT = 20_000      # bytes; longer texts are left out of the sample where a language has shorter ones
 REJECT = 0.002
 UNKNOWN = "und"
 _SLICE = 200_000
-_HASHES = 1 << 20
+_HASHES = 1 << 40
 
 
 def subword_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -81,13 +80,16 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 @dataclass
 class Recogniser:
     languages: list[str]
-    table: np.ndarray        # embeddings times the linear layer: a row of logits for each subword
+    layers: list[np.ndarray] # embeddings and linear layer, multiplied where that is smaller
     bias: np.ndarray
     temperature: float
     least: float
 
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
-        return _softmax((_averages(counts) @ self.table + self.bias) / self.temperature)
+        x = _averages(counts)
+        for layer in self.layers:
+            x = x @ layer
+        return _softmax((x + self.bias) / self.temperature)
 
 
 def train(x: np.ndarray, label: np.ndarray, languages: list[str], epochs: int = 12, batch: int = 32,
@@ -96,7 +98,11 @@ def train(x: np.ndarray, label: np.ndarray, languages: list[str], epochs: int =
     rng, many = np.random.default_rng(seed), len(languages)
     x *= 100                                                 # averages are small; the scale is undone in the table
     order = rng.permutation(len(x))
-    aside, used = order[:len(x) // 5], order[len(x) // 5:]
+    one = np.zeros(len(x), bool)                             # a text of each language is never kept aside
+    one[np.unique(label[order], return_index=True)[1]] = True
+    aside = order[~one][:len(x) // 5]
+    used = np.concatenate([order[~one][len(x) // 5:], order[one]])
+    used = used[rng.permutation(len(used))]
     embed = rng.normal(0, 0.1, (ROWS, DIM)).astype(np.float32)
     linear, bias = rng.normal(0, 0.1, (DIM, many)).astype(np.float32), np.zeros(many, np.float32)
     for epoch in range(epochs):
@@ -111,7 +117,8 @@ def train(x: np.ndarray, label: np.ndarray, languages: list[str], epochs: int =
             linear -= step * (hidden.T @ wrong)
             bias -= step * wrong.sum(axis=0)
             embed -= step * (x[rows].T @ back)
-    found = Recogniser(languages, (100 * embed @ linear).astype(np.float32), bias, 1.0, 0.0)
+    layers = [100 * embed @ linear] if many <= DIM else [100 * embed, linear]
+    found = Recogniser(languages, [layer.astype(np.float32) for layer in layers], bias, 1.0, 0.0)
     if len(aside) >= 20:
         logits, y = x[aside] @ embed @ linear + bias, label[aside]
         grid = np.geomspace(0.25, 8, 31)
@@ -124,21 +131,35 @@ def train(x: np.ndarray, label: np.ndarray, languages: list[str], epochs: int =
     return found
 
 
-def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_TEXT) -> list[tuple[str, str]]:
-    """(text, lang) of up to ``rows`` different texts a language that are not
-    held out (of the ``MOST_LANGUAGES`` first names).  Twice as many are drawn,
-    by their hashes, as some may be copies."""
-    usable = (docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.octet_length("text").between(1, text_bytes))
-              .select("lang", F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(_HASHES)).alias("spot"), "text"))
-    many = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MOST_LANGUAGES)
-    below = many.select("lang", F.ceil(F.lit(2.0 * _HASHES * rows) / F.col("n")).alias("below"))
-    found = (usable.join(F.broadcast(below), "lang")         # one row a language
+def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_TEXT,
+                    in_all: int = TRAIN_ALL) -> list[tuple[str, str]]:
+    """(text, lang) of every language that has texts not held out: each has up
+    to its even share of ``in_all`` texts, ``rows`` at most and one at least.
+    Twice the share is drawn, by their hashes, as some may be copies.  Texts
+    over ``text_bytes`` are taken, whole, for languages without shorter ones,
+    as many as have the bytes of a share of shorter ones."""
+    size = F.octet_length("text")
+    usable = (docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (size >= 1))
+              .select("lang", (size > text_bytes).alias("long"),
+                      F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(_HASHES)).alias("spot"), "text"))
+    many = (usable.groupBy("lang", "long").agg(F.count(F.lit(1)).alias("n"), F.min("spot").alias("first"), F.avg(F.octet_length("text")).alias("bytes"))
+            .groupBy("lang").agg(F.min(F.struct("long", "n", "first", "bytes")).alias("g")).select("lang", "g.*"))
+    languages = many.select(F.count(F.lit(1))).scalar()
+    share = F.least(F.lit(rows), F.greatest(F.lit(1), F.floor(F.lit(in_all) / languages)))
+    share = F.when(F.col("long"), F.least(share, F.greatest(F.lit(1), F.floor(share * text_bytes / F.col("bytes"))))).otherwise(share)
+    below = many.select("lang", "long", F.greatest(F.ceil(F.lit(2.0 * _HASHES) * share / F.col("n")), F.col("first") + 1).alias("below"))
+    found = (usable.join(F.broadcast(below), ["lang", "long"])                # one row a language
              .filter("spot < below").select("lang", "spot", "text").distinct().collect())
-    most = min(rows, TRAIN_ALL // max(1, len({r["lang"] for r in found})))
+    most = min(rows, max(1, in_all // max(1, len({r["lang"] for r in found}))))
     taken: dict[str, list[str]] = {}
+    spent: dict[str, int] = {}
     for r in sorted(found, key=lambda r: (r["lang"], r["spot"], r["text"])):
-        taken.setdefault(r["lang"], []).append(r["text"])
-    return [(text, lang) for lang, texts in taken.items() for text in texts[:most]]
+        texts, have = taken.setdefault(r["lang"], []), spent.get(r["lang"], 0)
+        more = len(r["text"].encode())
+        if not texts or len(texts) < most and have + more <= most * text_bytes:
+            texts.append(r["text"])
+            spent[r["lang"]] = have + more
+    return [(text, lang) for lang, texts in taken.items() for text in texts]
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Recogniser | None:
@@ -147,10 +168,11 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Recogniser | None:
     if not languages:
         return None
     data, offsets = text_buffer(pa.array([t for t, _ in sample], pa.large_string()))
+    number = {lang: i for i, lang in enumerate(languages)}
     x = np.empty((len(sample), ROWS), np.float32)
     for a, b in row_slices(offsets, _SLICE):
         x[a:b] = _averages(subword_counts(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]))
-    return train(x, np.array([languages.index(lang) for _, lang in sample]), languages)
+    return train(x, np.array([number[lang] for _, lang in sample]), languages)
 
 
 def recognise(model: Recogniser | None, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -169,7 +191,7 @@ def recognise(model: Recogniser | None, data: np.ndarray, offsets: np.ndarray) -
 def identified(docs: DataFrame, model: Recogniser | None) -> tuple[DataFrame, tuple[str, str, str]]:
     """``docs`` with lang_pred, score and accepted, and these columns' names."""
     pred, score, accepted = (free_name(c, docs.columns) for c in ("lang_pred", "score", "accepted"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_LANGUAGES logits for each of ROWS subwords
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM numbers at most for each of ROWS subwords, and for each language
     spot = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,3 +64,21 @@ def test_unlearned_languages_and_noise_are_rejected(spark, make_docs):
                 .groupBy("source").agg(F.avg(F.col("accepted").cast("int")).alias("share")).collect()}
         assert all(kept[lang] > 0.97 for lang in learned)
         assert all(kept[lang] < 0.1 for lang in kept if lang not in learned)
+
+
+def test_every_language_is_learned(make_docs):
+    rng = random.Random(5)
+    words = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(260)}
+    write = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(lang, write(lang, 40)) for lang in words for _ in range(12)]
+    rows += [("zh", write("l000", 3) + " " + "ziffer zahlen " * 20) for _ in range(900)]
+    rows += [("long", "lange texte immer weiter " * 1000) for _ in range(8)]
+    docs = make_docs([(i, text, lang, "a") for i, (lang, text) in enumerate(rows)])
+    sample = langid.training_sample(docs)
+    assert {lang for _, lang in sample} == {*words, "zh", "long"}
+    assert len(sample) <= langid.TRAIN_ALL
+    assert all(len(t) == 25_000 for t, lang in sample if lang == "long")
+    assert len({lang for _, lang in langid.training_sample(docs, in_all=100)}) == 262 == len(langid.training_sample(docs, in_all=100))
+    right = {r.lang: r.share for r in langid.language(docs).join(docs.select("doc_id", "lang"), "doc_id")
+             .groupBy("lang").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int")).alias("share")).collect()}
+    assert right["zh"] > 0.9 and right["long"] > 0.9 and np.mean(list(right.values())) > 0.9
