@@ -26,7 +26,7 @@ from innkeep.llm.common import append_columns, arrow_schema_with, free_name, hel
 
 THRESHOLD = 0.3
 TRAIN_ROWS = 1000        # labelled rows of each class at most
-TRAIN_TEXT = 8000        # bytes; longer texts are left out of the training sample, and scored whole
+TRAIN_TEXT = 8000        # bytes; longer texts are left out of the sample where a class has shorter ones, and scored whole
 SPARE = 1.3
 _HASHES = 1 << 20
 _SLICE = 400_000         # bytes of text worked on at once
@@ -34,19 +34,37 @@ _SLICE = 400_000         # bytes of text worked on at once
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_TEXT) -> list[tuple[str, int]]:
     """(text, label) of up to ``rows`` texts of each class that are not held
-    out.  About ``SPARE`` times as many ids are drawn, as long texts are left
-    out: those whose hash lies below the class's share of all hashes."""
+    out.  About ``SPARE`` times as many ids are drawn, by their hashes, from
+    those with texts of up to ``text_bytes``; a class without any has whole
+    longer texts, as many as have the bytes of that many shorter ones, and one
+    at least."""
+    size = F.octet_length("text")
     known = (labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("_label"))
              .withColumn("_spot", F.pmod(F.xxhash64("_id"), F.lit(_HASHES))))
-    many = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    below = {label: -(-_HASHES * SPARE * rows // n) for label, n in many.items()}
-    drawn = known.filter(F.col("_spot") < F.when(F.col("_label") == 1, below.get(1, 0)).otherwise(below.get(0, 0)))
-    found = (docs.filter(F.octet_length("text").between(1, text_bytes)).select(F.col("doc_id").cast("long"), "text")
-             .join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))      # about 2 * SPARE * rows ids
+    texts = (docs.filter(F.col("doc_id").isNotNull() & (size >= 1))
+             .select(F.col("doc_id").cast("long"), (size > text_bytes).alias("_long"), "text"))
+    pairs = texts.groupBy("doc_id", "_long").agg(F.max(size).alias("_bytes")).join(known, F.col("doc_id") == F.col("_id"))
+    many = (pairs.groupBy("_label", "_long").agg(F.count(F.lit(1)).alias("n"), F.min("_spot").alias("first"), F.avg("_bytes").alias("bytes"))
+            .collect())                                                      # at most four rows
+    used = {r["_label"]: r for r in sorted(many, key=lambda r: r["_long"], reverse=True)}     # shorter ones where there are any
+    draw = F.lit(False)
+    for label, r in used.items():
+        share = max(1, min(rows, int(rows * text_bytes / r["bytes"]))) if r["_long"] else rows
+        below = max(int(-(-_HASHES * SPARE * share // r["n"])), r["first"] + 1)
+        draw |= (F.col("_label") == label) & (F.col("_long") == r["_long"]) & (F.col("_spot") < below)
+    drawn = pairs.filter(draw).select("_id", F.col("_long").alias("_of"), "_label", "_spot")
+    found = (texts.join(F.broadcast(drawn), (F.col("doc_id") == F.col("_id")) & (F.col("_long") == F.col("_of")))    # about 2 * SPARE * rows ids
              .select("_spot", "doc_id", "text", "_label").collect())
     found.sort(key=lambda r: (r["_spot"], r["doc_id"], r["text"]))
-    return [(r["text"], label) for label in (0, 1) for r in [r for r in found if r["_label"] == label][:rows]]
+    taken: dict[int, list[str]] = {0: [], 1: []}
+    spent = {0: 0, 1: 0}
+    for r in found:
+        label, more = r["_label"], len(r["text"].encode())
+        if not taken[label] or len(taken[label]) < rows and spent[label] + more <= rows * text_bytes:
+            taken[label].append(r["text"])
+            spent[label] += more
+    return [(text, label) for label in (0, 1) for text in taken[label]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> bigru.BiGRU | float:

@@ -101,3 +101,18 @@ def test_held_out_rule(spark):
     import zlib
     rows = spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in rows)
+
+
+def test_long_labelled_texts(spark, make_docs):
+    calm = "a calm walk along the quiet river bank in spring "
+    rows = [(i, (calm + "you moron " if i % 2 else calm) * (300 if i % 2 or i % 20 else 3), "en", "a") for i in range(240)]
+    docs, labels = make_docs(rows), spark.createDataFrame([(i, 1, i % 2) for i in range(240)], "doc_id long, quality int, toxic int")
+    sample = toxicity.training_sample(docs, labels, rows=10)
+    toxic, clean = ([t for t, y in sample if y == k] for k in (1, 0))
+    short = {i for i in range(0, 240, 20)}
+    free = [r.doc_id for r in docs.filter(~held_out(F.col("doc_id"))).select("doc_id").collect()]
+    assert len(clean) == min(10, len(short & set(free))) and all(len(t) <= toxicity.TRAIN_TEXT for t in clean)
+    assert 1 <= len(toxic) and sum(map(len, toxic)) <= 10 * toxicity.TRAIN_TEXT and all(len(t) == 59 * 300 for t in toxic)
+    got = toxicity.toxicity(docs, labels)
+    assert got.filter("doc_id % 2 = 1").agg(F.avg("predicted")).first()[0] > 0.9
+    assert got.filter("doc_id % 2 = 0").agg(F.avg("predicted")).first()[0] < 0.1
