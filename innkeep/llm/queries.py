@@ -88,3 +88,26 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from innkeep.llm.packing import pack
     return pack(table(spark, sf_dir, "documents"))
+
+
+def _audit_sql() -> str:
+    from innkeep.llm.filter_audit import AUDIT_SQL
+    return AUDIT_SQL
+
+
+@_query("op11_filter_audit", _audit_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from innkeep.llm.filter_audit import filter_audit
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op12_line_crf")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from innkeep.llm.line_crf import document_quality
+    return document_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op13_edit_tiles")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from innkeep.llm.edit_tiles import spelling_groups
+    return spelling_groups(table(spark, sf_dir, "documents"))
