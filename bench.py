@@ -7,7 +7,7 @@ Prints ONE JSON line.
 
 ``value``/``queries`` time the keys on the tables as the driver gives them
 (domain tables derived from the base parquet inside every query).  Unless
-BENCH_STORED=0, the domain tables are then published once in the clustered
+BENCH_STORED=0, the domain tables are then published once in the partitioned
 layout (``innkeep.sources.layout``; ``publish_seconds``) and the same keys
 are timed on them (``stored_value``/``stored_queries``): how a deployment
 keeps its tables.

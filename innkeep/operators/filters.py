@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,3 +39,16 @@ def is_true(c: str | Column) -> Column:
 def status_not(c: str | Column, value: str = "Cancelled") -> Column:
     """``status !== value``: NULL passes, comparison is case-sensitive."""
     return ~_c(c).eqNullSafe(F.lit(value))
+
+
+def unique_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The distinct keys ``on`` of ``df`` without NULLs, as the right side of an
+    existence join.
+
+    Grouped by one more column (always 0), so the join gets an exchange of its
+    own on ``on``: AQE splits a hot key only between two plain exchanges, and a
+    ``distinct`` on the join's own keys would put an aggregate there."""
+    present = F.lit(True)
+    for c in on:
+        present = present & F.col(c).isNotNull()
+    return df.where(present).select(*on, F.pmod(F.xxhash64(*on), F.lit(1)).alias("_one")).distinct().select(*on)

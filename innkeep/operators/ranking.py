@@ -129,3 +129,24 @@ def lag_within_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str |
     for c in cols:
         j = j.withColumn(prefix + c, F.when(same, F.col(f"_pv_{c}")))
     return j.drop("_r", *[f"_pk_{k}" for k in keys], *[f"_pv_{c}" for c in cols])
+
+
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str,
+                sum_col: str = "before") -> DataFrame:
+    """``SUM(value)`` of the rows before each row in its ``keys`` group along
+    ``order`` (0 for the first), without a window over a whole group.
+
+    Rows are range-partitioned by (keys, order), which must be a total order,
+    so a hot group spans many partitions.  A window adds up the rows of one
+    group within one partition only; what earlier partitions hold of the group
+    comes from one total per (partition, group)."""
+    order_cols = _cols([*keys, *order])
+    ranged = materialize(df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+                         .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    inside = Window.partitionBy("_pid", *keys).orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    per_part = (ranged.groupBy("_pid", *keys).agg(F.sum(value).alias("_total"))
+                .withColumn("_off", F.coalesce(F.sum("_total").over(earlier), F.lit(0))))
+    out = ranged.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return (_null_safe_join(out, per_part.select("_pid", *keys, "_off"), ["_pid", *keys])
+            .withColumn(sum_col, F.col("_off") + F.col("_in")).drop("_pid", "_mid", "_in", "_off"))

@@ -29,18 +29,22 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionke
 VIEW_SQL["rooms"] = """
 SELECT p_partkey AS id,
        'ROOM' || LPAD(CAST(p_partkey + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(p_partkey + 1 AS STRING))) AS INT), '0') AS room_id,
-       'HOT' || LPAD(CAST(p_partkey % n + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(p_partkey % n + 1 AS STRING))) AS INT), '0') AS hotel_id,
-       CAST(100 + CAST(FLOOR(p_partkey / n) AS BIGINT) AS STRING) AS room_number,
+       'HOT' || LPAD(CAST(p_partkey % n - (CASE WHEN p_partkey % n % 25 = 24 THEN 1 ELSE 0 END) + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(p_partkey % n - (CASE WHEN p_partkey % n % 25 = 24 THEN 1 ELSE 0 END) + 1 AS STRING))) AS INT), '0') AS hotel_id,
+       CAST(100 + CAST(FLOOR(p_partkey / n) AS BIGINT) AS STRING) || (CASE WHEN p_partkey % n % 25 = 24 THEN 'B' ELSE '' END) AS room_number,
        CASE WHEN p_type IN ('PROMO','LARGE') THEN 'Suite' WHEN p_type IN ('MEDIUM','ECONOMY') THEN 'Deluxe' ELSE 'Standard' END AS room_type,
        CASE WHEN p_size = 50 THEN NULL ELSE CAST(p_retailprice AS DECIMAL(10,2)) END AS price_per_night,
        (p_size % 3 <> 0) AS is_available
-FROM part CROSS JOIN dim_n WHERE (p_partkey % n) % 25 <> 24
+FROM part CROSS JOIN dim_n
 """
 
 VIEW_SQL["customers"] = """
 SELECT c_custkey AS id,
        'CUST' || LPAD(CAST(c_custkey + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(c_custkey + 1 AS STRING))) AS INT), '0') AS customer_id,
-       c_name AS full_name, n_name AS city, r_name AS country
+       c_name AS full_name, n_name AS city, r_name AS country,
+       CASE WHEN c_custkey % 31 = 30 THEN NULL WHEN c_custkey % 29 = 28 THEN 'guest ' || CAST(c_custkey AS STRING) || ' at example.com'
+            ELSE 'guest' || CAST(c_custkey - CASE WHEN c_custkey % 37 = 36 THEN 1 ELSE 0 END AS STRING) || '@example.com' END AS email,
+       CASE WHEN c_custkey % 41 = 40 THEN NULL WHEN c_custkey % 43 = 42 THEN '+49 30 1234 5678 9012 ' || CAST(c_custkey AS STRING)
+            ELSE '+49 30 ' || CAST(100000 + c_custkey AS STRING) END AS phone
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 """
 
@@ -75,12 +79,12 @@ WHERE o_orderstatus = 'F' AND (k = 0 OR id % 20 = 0)
 VIEW_SQL["reviews"] = """
 SELECT event_id AS id,
        'REV' || LPAD(CAST(event_id + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(event_id + 1 AS STRING))) AS INT), '0') AS review_id,
-       'HOT' || LPAD(CAST(event_id % n + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(event_id % n + 1 AS STRING))) AS INT), '0') AS hotel_id,
+       'HOT' || LPAD(CAST(event_id % n - (CASE WHEN event_id % n % 10 = 9 THEN 1 ELSE 0 END) + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(event_id % n - (CASE WHEN event_id % n % 10 = 9 THEN 1 ELSE 0 END) + 1 AS STRING))) AS INT), '0') AS hotel_id,
        CASE WHEN event_id % 17 = 0 THEN 'CUST00000' ELSE 'CUST' || LPAD(CAST(user_id + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(user_id + 1 AS STRING))) AS INT), '0') END AS customer_id,
        CAST(1 + CAST(FLOOR(value) AS INT) % 5 AS INT) AS rating,
        CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS comment,
        CAST(ts AS DATE) AS review_date
-FROM events CROSS JOIN dim_n WHERE (event_id % n) % 10 <> 9
+FROM events CROSS JOIN dim_n
 """
 
 VIEW_SQL["services"] = """
@@ -93,7 +97,8 @@ FROM part CROSS JOIN dim_n GROUP BY p_partkey % n, p_type
 VIEW_SQL["employees"] = """
 SELECT 'EMP' || LPAD(CAST(c_custkey + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(c_custkey + 1 AS STRING))) AS INT), '0') AS employee_id,
        'HOT' || LPAD(CAST(c_custkey % n + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(c_custkey % n + 1 AS STRING))) AS INT), '0') AS hotel_id, c_name AS full_name,
-       CASE WHEN c_mktsegment = 'BUILDING' THEN 'employee' ELSE LOWER(c_mktsegment) END AS role
+       CASE WHEN c_mktsegment = 'BUILDING' THEN 'employee' ELSE LOWER(c_mktsegment) END AS role,
+       CAST(c_acctbal AS DECIMAL(10,2)) AS salary, CAST(CAST('2015-01-01' AS DATE) + INTERVAL '1' DAY * CAST(c_custkey % 3000 AS INT) AS DATE) AS hire_date
 FROM customer CROSS JOIN dim_n
 """
 
@@ -156,7 +161,9 @@ SELECT o_orderkey AS request_seq,
        'BOOK' || LPAD(CAST(o_orderkey * 2 + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(o_orderkey * 2 + 1 AS STRING))) AS INT), '0') AS booking_id,
        CASE WHEN o_orderkey % 5 = 0 THEN 'CUST00001' ELSE 'CUST' || LPAD(CAST(c2 + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(c2 + 1 AS STRING))) AS INT), '0') END AS customer_id,
        CASE WHEN o_orderkey % 49 = 0 THEN 'HOT00000' ELSE 'HOT' || LPAD(CAST(o_orderkey * 2 % n + 1 AS STRING), CAST(GREATEST(5, LENGTH(CAST(o_orderkey * 2 % n + 1 AS STRING))) AS INT), '0') END AS hotel_id,
-       CASE WHEN o_orderkey % 4 = 0 THEN 'no' ELSE o_orderpriority || ' plans changed' END AS cancel_reason
+       CASE WHEN o_orderkey % 4 = 0 THEN 'no' ELSE o_orderpriority || ' plans changed' END AS cancel_reason,
+       CASE WHEN o_orderkey % 23 = 22 THEN 'BOOKCANCEL-' || CAST(o_orderkey * 1000003 + 1000000000 AS STRING)
+            WHEN o_orderkey % 3 = 0 THEN 'BOOKCANCEL' || LPAD(CAST(o_orderkey AS STRING), CAST(GREATEST(5, LENGTH(CAST(o_orderkey AS STRING))) AS INT), '0') END AS booking_cancel_id
 FROM orders LEFT JOIN (SELECT o_orderkey AS k2, o_custkey AS c2 FROM orders) x ON o_orderkey * 2 = k2 CROSS JOIN dim_n
 """
 
@@ -176,7 +183,9 @@ SELECT CAST(FLOOR(event_id / 3) AS BIGINT) AS request_seq, event_id AS pos,
        CAST(100 + event_id % 21 AS STRING) AS room_number,
        CASE WHEN event_id % 31 = 0 THEN 'bad' ELSE 'issue ' || props END AS issue_description,
        CASE WHEN event_id % 37 = 0 THEN 'not a date' ELSE CAST(CAST(ts AS DATE) AS STRING) END AS maintenance_date,
-       CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 41 = 0 THEN 'Unknown' ELSE 'Completed' END AS maintenance_status
+       CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 41 = 0 THEN 'Unknown' ELSE 'Completed' END AS maintenance_status,
+       CASE WHEN event_id % 43 = 42 THEN 'MAINTENANCE-' || CAST(event_id + 1000000000 AS STRING)
+            WHEN event_id % 2 = 0 THEN 'MAINTAIN' || LPAD(CAST(event_id AS STRING), CAST(GREATEST(5, LENGTH(CAST(event_id AS STRING))) AS INT), '0') END AS maintenance_id
 FROM events CROSS JOIN dim_n WHERE event_type IN ('view', 'click')
 """
 

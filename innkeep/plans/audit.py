@@ -1,14 +1,17 @@
 """``audit_constraints``: the DDL's constraints checked over whole tables.
 
-Per table, every constraint is one expression of a single aggregate pass
-(``count_if`` / ``count - count_distinct``), unpivoted into (table_name,
-constraint_name, violations) rows; a foreign key is an existence flag from a
-left join with the parent's distinct key column(s).
+Per table, every constraint on a row is one ``count_if`` of a single aggregate
+pass, unpivoted into (table_name, constraint_name, violations) rows.  UNIQUE and
+foreign keys start from the rows counted per key, which the tasks add up before
+the shuffle: a unique column's violations are the counts above one, a foreign
+key's are the counts of the keys that an anti-join with the parent's distinct
+keys leaves.  So no whole row is shuffled, and a key with a third of all rows is
+one row a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,6 +40,7 @@ CONSTRAINTS = [
     ("services", "not_null", ("service_id",)),
     ("services", "varchar", ("service_id", 20)),
     ("services", "not_null", ("hotel_id",)),
+    ("services", "varchar", ("hotel_id", 20)),
     ("services", "varchar", ("service_name", 100)),
     ("services", "fk", (("hotel_id",), "hotels", ("hotel_id",))),
     ("customers", "unique", ("customer_id",)),
@@ -44,12 +48,16 @@ CONSTRAINTS = [
     ("customers", "varchar", ("customer_id", 20)),
     ("customers", "not_null", ("full_name",)),
     ("customers", "varchar", ("full_name", 255)),
+    ("customers", "unique", ("email",)),
+    ("customers", "varchar", ("email", 255)),
+    ("customers", "varchar", ("phone", 20)),
     ("customers", "varchar", ("city", 100)),
     ("customers", "varchar", ("country", 100)),
     ("employees", "unique", ("employee_id",)),
     ("employees", "not_null", ("employee_id",)),
     ("employees", "varchar", ("employee_id", 20)),
     ("employees", "not_null", ("hotel_id",)),
+    ("employees", "varchar", ("hotel_id", 20)),
     ("employees", "varchar", ("full_name", 255)),
     ("employees", "varchar", ("role", 100)),
     ("employees", "fk", (("hotel_id",), "hotels", ("hotel_id",))),
@@ -57,7 +65,9 @@ CONSTRAINTS = [
     ("bookings", "not_null", ("booking_id",)),
     ("bookings", "varchar", ("booking_id", 20)),
     ("bookings", "not_null", ("customer_id",)),
+    ("bookings", "varchar", ("customer_id", 20)),
     ("bookings", "not_null", ("hotel_id",)),
+    ("bookings", "varchar", ("hotel_id", 20)),
     ("bookings", "enum", ("booking_status", ("Confirmed", "Cancelled"))),
     ("bookings", "fk", (("customer_id",), "customers", ("customer_id",))),
     ("bookings", "fk", (("hotel_id",), "hotels", ("hotel_id",))),
@@ -65,6 +75,7 @@ CONSTRAINTS = [
     ("booking_rooms", "not_null", ("booking_room_id",)),
     ("booking_rooms", "varchar", ("booking_room_id", 20)),
     ("booking_rooms", "not_null", ("booking_id",)),
+    ("booking_rooms", "varchar", ("booking_id", 20)),
     ("booking_rooms", "not_null", ("room_number",)),
     ("booking_rooms", "varchar", ("room_number", 20)),
     ("booking_rooms", "fk", (("booking_id",), "bookings", ("booking_id",))),
@@ -72,8 +83,11 @@ CONSTRAINTS = [
     ("bookings_cancelled", "not_null", ("booking_cancel_id",)),
     ("bookings_cancelled", "varchar", ("booking_cancel_id", 20)),
     ("bookings_cancelled", "not_null", ("booking_id",)),
+    ("bookings_cancelled", "varchar", ("booking_id", 20)),
     ("bookings_cancelled", "not_null", ("customer_id",)),
+    ("bookings_cancelled", "varchar", ("customer_id", 20)),
     ("bookings_cancelled", "not_null", ("hotel_id",)),
+    ("bookings_cancelled", "varchar", ("hotel_id", 20)),
     ("bookings_cancelled", "fk", (("customer_id",), "customers", ("customer_id",))),
     ("bookings_cancelled", "fk", (("hotel_id",), "hotels", ("hotel_id",))),
     ("reviews", "unique", ("review_id",)),
@@ -105,8 +119,6 @@ def constraint_name(kind: str, args) -> str:
 
 def _violation_expr(kind: str, args):
     c = F.col(args[0])
-    if kind == "unique":
-        return F.count(c) - F.count_distinct(c)
     if kind == "not_null":
         return F.count_if(c.isNull())
     if kind == "check":
@@ -119,38 +131,59 @@ def _violation_expr(kind: str, args):
     raise ValueError(kind)
 
 
+def _key(cols) -> Column:
+    """A key of one or more columns as text; NULL if any is (MATCH SIMPLE)."""
+    text = [F.col(c).cast("string") for c in cols]
+    if len(text) == 1:
+        return text[0]
+    present = F.lit(True)
+    for c in text:
+        present = present & c.isNotNull()
+    return F.when(present, F.to_json(F.array(*text)))
+
+
+def _keys(df: DataFrame, wanted: list[tuple[int, tuple]]) -> DataFrame:
+    """(no, key) of every row for each numbered key."""
+    each = F.array(*[F.struct(F.lit(no).alias("no"), _key(cols).alias("key")) for no, cols in wanted])
+    return df.select(F.inline(each)).where("key IS NOT NULL")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _key_violations(fx) -> DataFrame:
+    """UNIQUE and FOREIGN KEY: each table is read once for all its keys, and
+    all keys are counted, and met by the parents' keys, in one join."""
+    numbered = [(no, t, k, a) for no, (t, k, a) in enumerate(CONSTRAINTS) if k in ("fk", "unique")]
+    own, parents = {}, {}
+    for no, t, kind, args in numbered:
+        own.setdefault(t, []).append((no, tuple(args) if kind == "unique" else args[0]))
+        if kind == "fk":
+            parents.setdefault(args[1], []).append((no, args[2]))
+    counts = _union([_keys(fx.table(t), w) for t, w in own.items()]).groupBy("no", "key").agg(F.count(F.lit(1)).alias("_rows"))
+    known = _union([_keys(fx.table(t), w) for t, w in parents.items()]).distinct().withColumn("_known", F.lit(True))
+    is_unique = F.col("no").isin(*[no for no, _, k, _ in numbered if k == "unique"])
+    wrong = F.when(is_unique, F.col("_rows") - 1).when(F.col("_known").isNull(), F.col("_rows")).otherwise(0)
+    found = counts.join(known, ["no", "key"], "left").groupBy("no").agg(F.sum(wrong).alias("violations"))
+    names = fx.spark.createDataFrame([(no, t, constraint_name(k, a)) for no, t, k, a in numbered], "no int, table_name string, constraint_name string")
+    return (names.join(found, "no", "left")
+            .select("table_name", "constraint_name", F.coalesce("violations", F.lit(0)).cast("long").alias("violations")))
+
+
 def audit(fx) -> DataFrame:
-    """One pass per table: each foreign key is an existence flag (left join
-    with the parent's distinct keys), then every constraint of the table is
-    one ``count_if`` of a single aggregate, unpivoted to rows."""
-    from innkeep.plans.jobs import flag
+    """(table_name, constraint_name, violations) of every constraint."""
     parts = []
-    tables = list(dict.fromkeys(t for t, _, _ in CONSTRAINTS))
-    for t in tables:
-        cons = [(k, a) for tt, k, a in CONSTRAINTS if tt == t]
-        df = fx.table(t)
-        exprs = []
-        for i, (k, a) in enumerate(cons):
-            if k == "fk":
-                cols, parent, pcols = a
-                keys = fx.table(parent).select(*[F.col(p).alias(c) for p, c in zip(pcols, cols)])
-                df = flag(df, keys, list(cols), f"_fk{i}")
-                # MATCH SIMPLE: a key with any NULL column is not checked
-                present = F.lit(True)
-                for c in cols:
-                    present = present & F.col(c).isNotNull()
-                exprs.append(F.count_if(present & ~F.col(f"_fk{i}")))
-            else:
-                exprs.append(_violation_expr(k, a))
-        row = df.agg(*[e.cast("long").alias(f"c{i}") for i, e in enumerate(exprs)])
-        entries = F.array(*[F.struct(F.lit(constraint_name(k, a)).alias("constraint_name"),
-                                     F.col(f"c{i}").alias("violations"))
-                            for i, (k, a) in enumerate(cons)])
+    for t in dict.fromkeys(t for t, _, _ in CONSTRAINTS):
+        of_rows = [(k, a) for tt, k, a in CONSTRAINTS if tt == t and k not in ("fk", "unique")]
+        row = fx.table(t).agg(*[_violation_expr(k, a).cast("long").alias(f"c{i}") for i, (k, a) in enumerate(of_rows)])
+        entries = F.array(*[F.struct(F.lit(constraint_name(k, a)).alias("constraint_name"), F.col(f"c{i}").alias("violations"))
+                            for i, (k, a) in enumerate(of_rows)])
         parts.append(row.select(F.lit(t).alias("table_name"), F.inline(entries)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _union([*parts, _key_violations(fx)])
 
 
 def audit_sql() -> str:

@@ -24,15 +24,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from innkeep.operators import aggregates as agg
-from innkeep.operators.filters import contains_ci, like_ci
+from innkeep.operators.filters import contains_ci, like_ci, unique_keys
 from innkeep.operators.ranking import PAGE_SIZE, page, page_count, rank_within_groups
 from innkeep.session import materialize
 from innkeep.sources.fixtures import Fixtures
-
-def newest_first() -> list[Column]:
-    """ORDER BY created_at DESC, with the surrogate id as tie-break."""
-    return [F.col("created_at").desc(), F.col("id").asc()]
-
+from innkeep.sources.layout import newest_first
 
 HOTEL_COLS = ["id", "hotel_id", "hotel_name", "city", "country", "total_rooms", "created_at"]
 
@@ -61,10 +57,47 @@ def semi(df: DataFrame, page_keys: DataFrame, on: str = "hotel_id") -> DataFrame
     return df.join(F.broadcast(page_keys.select(on).distinct()), on, "left_semi")
 
 
+def _stored(fx, what: str, *args):
+    """What a provider of stored tables has a shorter way for, else None."""
+    return getattr(fx, what)(*args) if hasattr(type(fx), what) else None
+
+
+def children(fx, name: str, page_keys: DataFrame, on: str = "hotel_id") -> DataFrame:
+    """The rows of table ``name`` of a page's keys (<= 10).  Stored tables
+    partitioned by the key read the partitions of these keys only."""
+    found = _stored(fx, "children_of", name, page_keys, on)
+    return semi(fx.table(name), page_keys, on) if found is None else found
+
+
+def newest_hotels(fx, page_no: int) -> DataFrame:
+    """A page of the hotels, newest first, with ``page_pos``.  Stored tables
+    read the one range of ranks the page is in; others keep the first
+    ``page_no`` pages of every partition."""
+    found = _stored(fx, "hotels_page", page_no)
+    return page(fx.hotels().select(*HOTEL_COLS), newest_first(), page_no) if found is None else found.select(*HOTEL_COLS, "page_pos")
+
+
+def customer_bookings(fx, customer_id: str) -> DataFrame:
+    found = _stored(fx, "bookings_of", customer_id)
+    return fx.bookings().where(F.col("customer_id") == F.lit(customer_id)) if found is None else found
+
+
+def history_page(listed: DataFrame, page_no: int) -> DataFrame:
+    """A page of a customer's listed bookings, by their stored ranks where
+    there are any."""
+    if "_rank" not in listed.columns:
+        return page(listed, newest_first(), page_no)
+    if page_no < 1:
+        raise ValueError("page must be >= 1")
+    before = (page_no - 1) * PAGE_SIZE
+    return (listed.where(F.col("_rank").between(before + 1, before + PAGE_SIZE))
+            .withColumn("page_pos", F.col("_rank") - before).drop("_rank"))
+
+
 def semi_any(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Left-semi join on a key set of unknown size: no hint, AQE chooses
-    broadcast or shuffle from the measured size."""
-    return df.join(keys.select(on).distinct(), on, "left_semi")
+    broadcast or shuffle from the measured size, and splits a hot key."""
+    return df.join(unique_keys(keys, [on]), on, "left_semi")
 
 
 class HotelAnswers:
@@ -82,15 +115,15 @@ class HotelAnswers:
         broadcast (a page); "any" by an unhinted semi-join (a filtered set of
         unknown size); False aggregates every hotel."""
         fx = self.fx
-        rooms, reviews, services = fx.rooms(), fx.reviews(), fx.services()
+        if restrict in (False, "any"):
+            rooms, reviews, services = fx.rooms(), fx.reviews(), fx.services()
         if restrict == "any":
             # a filtered hotel set of unknown size: reduce the children to it
             # before aggregating; AQE broadcasts the keys when they are few
             rooms, reviews, services = (semi_any(rooms, hotels, "hotel_id"), semi_any(reviews, hotels, "hotel_id"),
                                         semi_any(services, hotels, "hotel_id"))
         elif restrict:
-            rooms, reviews, services = (semi(rooms, hotels), semi(reviews, hotels),
-                                        semi(services, hotels))
+            rooms, reviews, services = (children(fx, name, hotels) for name in ("rooms", "reviews", "services"))
         out = (hotels
                .join(agg.room_stats(rooms), "hotel_id", "left")
                .join(agg.review_summary(reviews), "hotel_id", "left")
@@ -107,11 +140,10 @@ class HotelAnswers:
               if price else []),
         )
         if bookings:
-            b = fx.bookings()
             if restrict == "any":
-                b = semi_any(b, hotels, "hotel_id")
-            elif restrict:
-                b = semi(b, hotels)
+                b = semi_any(fx.bookings(), hotels, "hotel_id")
+            else:
+                b = children(fx, "bookings", hotels) if restrict else fx.bookings()
             # one aggregation gives the listed bookings and the intended count
             listed = b.groupBy("hotel_id").agg(F.count(F.lit(1)).alias("n_bookings"),
                                                F.count_if(agg.not_cancelled()).alias("total_bookings"))
@@ -154,8 +186,7 @@ class HotelAnswers:
         totals = {"total_hotels": total, "total_pages": page_count(total)}
         if envelope:
             return self._envelope(totals, page_no)
-        pg = page(hotels, newest_first(), page_no)
-        cards = self._enrich(pg, bookings=True, price=False, mode=mode)
+        cards = self._enrich(newest_hotels(self.fx, page_no), bookings=True, price=False, mode=mode)
         return self._flat(cards, totals, page_no)
 
     # -- admin search (GET /filter-hotels) -------------------------------------
@@ -268,12 +299,12 @@ class HotelAnswers:
         cancel is its index modulo the booking's cancel count."""
         fx = self.fx
         lo, hi = (page_no - 1) * PAGE_SIZE + 1, page_no * PAGE_SIZE
-        mine = fx.bookings().where(F.col("customer_id") == F.lit(customer_id))
+        mine = customer_bookings(fx, customer_id).drop("_rank")
         total = mine.select(F.count_distinct("booking_id")).scalar()
         hotels = semi_any(fx.hotels(), mine, "hotel_id").select("hotel_id", "hotel_name")
         top = mine.join(hotels, "hotel_id").orderBy(*newest_first()).limit(hi)      # <= hi bookings
-        rooms = semi(fx.booking_rooms(), top, "booking_id")
-        cancels = semi(fx.bookings_cancelled(), top, "booking_id")
+        rooms = semi_any(fx.booking_rooms(), top, "booking_id")     # page_no pages of bookings
+        cancels = semi_any(fx.bookings_cancelled(), top, "booking_id")
         nr = rooms.groupBy("booking_id").agg(F.count(F.lit(1)).alias("_nr"))
         nc = cancels.groupBy("booking_id").agg(F.count(F.lit(1)).alias("_nc"))
         t = (top.join(nr, "booking_id", "left").join(nc, "booking_id", "left")
@@ -289,7 +320,7 @@ class HotelAnswers:
              .withColumn("_b", ((first - F.col("_start")) % F.col("_c")).cast("long") + 1))
         ranked = rank_within_groups(cancels.select("booking_id", "booking_cancel_id", "cancel_reason"),
                                     ["booking_id"], [F.col("booking_cancel_id")], pos_col="_b")
-        cust = semi(fx.customers(), t, "customer_id").select(
+        cust = children(fx, "customers", t, "customer_id").select(
             "customer_id", F.col("full_name").alias("customer_name"))
         out = (t.join(ranked.select("booking_id", "_b", "cancel_reason"), ["booking_id", "_b"], "left")
                .join(cust, "customer_id", "left"))
@@ -299,23 +330,41 @@ class HotelAnswers:
             "n_room_entries", "page_pos", total.alias("total_bookings"), page_count(total).alias("total_pages"),
             F.lit(page_no).cast("int").alias("current_page")).transform(in_page_order)
 
+    def _listed(self, mine: DataFrame) -> DataFrame:
+        """A customer's bookings of existing hotels, with the hotel's name (Q7)."""
+        hotels = semi_any(self.fx.hotels(), mine, "hotel_id").select("hotel_id", "hotel_name")
+        return mine.join(hotels, "hotel_id")
+
+    # -- the pages alone, for their children (plans.children) -------------------
+    def history_bookings(self, customer_id: str, page_no: int = 1) -> DataFrame:
+        """page_pos, booking_id of a page of the history."""
+        return history_page(self._listed(customer_bookings(self.fx, customer_id)), page_no).select("page_pos", "booking_id")
+
+    def directory_page(self, page_no: int = 1) -> DataFrame:
+        """page_pos, hotel_id of a page of the directory."""
+        return newest_hotels(self.fx, page_no).select("page_pos", "hotel_id")
+
+    def city_country_page(self, city: str = "", country: str = "", page_no: int = 1) -> DataFrame:
+        """page_pos, hotel_id of a page of the city/country search."""
+        hotels = self.fx.hotels().select(*HOTEL_COLS).where(like_ci("city", (city or "").lower()) & like_ci("country", (country or "").lower()))
+        return page(hotels, [F.col("hotel_id").asc(), F.col("id").asc()], page_no).select("page_pos", "hotel_id")
+
     def booking_history(self, customer_id: str, page_no: int = 1, envelope: bool = False) -> DataFrame:
         fx = self.fx
-        mine = fx.bookings().where(F.col("customer_id") == F.lit(customer_id))
+        mine = customer_bookings(fx, customer_id)
         total = mine.select(F.count_distinct("booking_id")).scalar()
-        hotels = semi_any(fx.hotels(), mine, "hotel_id").select("hotel_id", "hotel_name")
-        listed = mine.join(hotels, "hotel_id")                       # inner: Q7
+        listed = self._listed(mine)
         total_listed = listed.select(F.count(F.lit(1))).scalar()
         if envelope:
             return self._envelope({"total_bookings": total, "total_listed": total_listed,
                                    "total_pages": page_count(total)}, page_no)
-        pg = page(listed, newest_first(), page_no)
-        cust = semi(fx.customers(), pg, "customer_id").select(
+        pg = history_page(listed, page_no)
+        cust = children(fx, "customers", pg, "customer_id").select(
             "customer_id", F.col("full_name").alias("customer_name"))
-        br = (semi(fx.booking_rooms(), pg, "booking_id")
+        br = (children(fx, "booking_rooms", pg, "booking_id")
               .groupBy("booking_id")
               .agg(F.count(F.lit(1)).alias("n_rooms"), F.sum("room_amount").alias("rooms_amount")))
-        bc = agg.latest_cancel(semi(fx.bookings_cancelled(), pg, "booking_id"))
+        bc = agg.latest_cancel(children(fx, "bookings_cancelled", pg, "booking_id"))
         out = (pg.join(cust, "customer_id", "left").join(br, "booking_id", "left")
                .join(bc, "booking_id", "left"))
         return out.select(

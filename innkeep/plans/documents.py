@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innkeep.operators import aggregates as agg
-from innkeep.plans.directory import HOTEL_COLS, HotelAnswers, newest_first, semi, semi_any
-from innkeep.operators.ranking import page
+from innkeep.plans.directory import HotelAnswers, children, newest_hotels, semi_any
 
 
 def _nest(df: DataFrame, key: str, order: list[str], fields: list[str], name: str) -> DataFrame:
@@ -37,7 +36,7 @@ def booking_entries(fx, hotels: DataFrame, mode: str = "intended") -> DataFrame:
     rows are its room entries, so every cancel row repeats the rooms and a
     booking without rooms gets one all-NULL room; the first row supplies the
     scalars."""
-    b = semi(fx.bookings(), hotels)
+    b = children(fx, "bookings", hotels)
     cust = fx.customers().select("customer_id", F.col("full_name").alias("customer_name"))
     room_fields = ["room_number", "check_in", "check_out", "room_amount"]
     br = semi_any(fx.booking_rooms(), b, "booking_id")   # a hotel's bookings: unbounded
@@ -73,11 +72,11 @@ def page_documents(fx, cards: DataFrame, bookings: bool = True, rooms_by_price:
     10 hotels, which bounds the broadcast of its keys)."""
     cust = fx.customers().select("customer_id", F.col("full_name").alias("customer_name"))
     room_order = [F.col("price_per_night").isNotNull(), "price_per_night", "id"] if rooms_by_price else ["id"]
-    rooms = _nest(semi(fx.rooms(), cards), "hotel_id", room_order,
+    rooms = _nest(children(fx, "rooms", cards), "hotel_id", room_order,
                   ["room_number", "room_type", "price_per_night", "is_available"], "rooms")
-    services = _nest(semi(fx.services(), cards), "hotel_id", ["service_id"],
+    services = _nest(children(fx, "services", cards), "hotel_id", ["service_id"],
                      ["service_id", "service_name", "service_charge"], "services")
-    reviews = _nest(semi(fx.reviews(), cards).join(cust, "customer_id", "left"), "hotel_id", ["id"],
+    reviews = _nest(children(fx, "reviews", cards).join(cust, "customer_id", "left"), "hotel_id", ["id"],
                     ["customer_name", "rating", "comment", "review_date"], "reviews")
     doc = cards
     parts = [(rooms, "rooms"), (services, "services"), (reviews, "reviews")]
@@ -89,6 +88,5 @@ def page_documents(fx, cards: DataFrame, bookings: bool = True, rooms_by_price:
 
 
 def directory_documents(fx, page_no: int = 1, mode: str = "intended") -> DataFrame:
-    hotels = page(fx.hotels().select(*HOTEL_COLS), newest_first(), page_no)
-    cards = HotelAnswers(fx)._enrich(hotels, bookings=True, price=False, mode=mode)
+    cards = HotelAnswers(fx)._enrich(newest_hotels(fx, page_no), bookings=True, price=False, mode=mode)
     return page_documents(fx, cards, bookings=True, mode=mode)

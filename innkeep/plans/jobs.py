@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from innkeep.functions.ids import digits_number, pad5, unsigned_suffix
 from innkeep.functions.rules import as_number, parse_date
+from innkeep.operators.filters import unique_keys
 from innkeep.operators.ranking import global_rank, lag_within_groups
 from innkeep.plans import validation as V
 from innkeep.session import materialize, staging_path
@@ -76,7 +77,7 @@ class JobResult:
 # -- building blocks ---------------------------------------------------------------
 def flag(df: DataFrame, keys: DataFrame, on: Sequence[str], name: str) -> DataFrame:
     """Left-join a TRUE ``name`` flag where ``on`` exists in ``keys``."""
-    k = keys.select(*on).where(" AND ".join(f"{c} IS NOT NULL" for c in on)).distinct()
+    k = unique_keys(keys, on)
     return df.join(k.withColumn(name, F.lit(True)), list(on), "left").withColumn(
         name, F.coalesce(F.col(name), F.lit(False)))
 
@@ -246,13 +247,16 @@ def update_maintenance(fx) -> JobResult:
               .select("request_seq", F.col("_code").alias("code"), F.col("_msg").alias("message"))
               .unionByName(final.select("request_seq", "code", "message")))
 
+    def changes():
+        """The last accepted status of each updated record."""
+        return (final.where(F.col("code") == "OK").groupBy("maintenance_id", "hotel_id", "room_number")
+                .agg(F.max_by("_requested", "request_seq").alias("maintenance_status")))
+
     def snapshot():
-        accepted = final.where(F.col("code") == "OK")
-        latest = (accepted.groupBy("maintenance_id", "hotel_id", "room_number")
-                  .agg(F.max_by("_requested", "request_seq").alias("_new")))
+        latest = changes().withColumnRenamed("maintenance_status", "_new")
         return (fx.maintenance().join(latest, ["maintenance_id", "hotel_id", "room_number"], "left")
                 .withColumn("maintenance_status", F.coalesce("_new", "maintenance_status")).drop("_new"))
-    return JobResult(status, Outputs(snapshot=snapshot))
+    return JobResult(status, Outputs(changes=changes, snapshot=snapshot))
 
 
 # -- cancel_bookings ---------------------------------------------------------------------
@@ -298,12 +302,18 @@ def cancel_bookings(fx, literal_rooms: bool = False) -> JobResult:
                 .withColumn("booking_status", F.when(F.col("_c"), F.lit("Cancelled"))
                             .otherwise(F.col("booking_status"))).drop("_c"))
 
+    def bookings_changes():
+        """The cancelled bookings, with the hotel they are stored under."""
+        return (ok.groupBy("booking_id").agg(F.min("_bhotel").alias("hotel_id"))
+                .withColumn("booking_status", F.lit("Cancelled")))
+
     def rooms_snapshot():
         freed = rooms_freed().select("room_id").withColumn("_f", F.lit(True))
         return (fx.rooms().join(freed, "room_id", "left")
                 .withColumn("is_available", F.when(F.col("_f"), F.lit(True)).otherwise(F.col("is_available")))
                 .drop("_f"))
     return JobResult(status, Outputs(rows=rows, rooms_freed=rooms_freed, bookings=bookings_snapshot,
+                                     bookings_changes=bookings_changes,
                                      rooms=rooms_snapshot))
 
 
@@ -425,12 +435,14 @@ def _upsert_outputs(fx, ok: DataFrame, rooms: DataFrame, services: DataFrame) ->
     return {"hotels": hotel_upd,
             "hotels_snapshot": hotels_snapshot,
             "services_snapshot": services_snapshot,
-            "rooms": lambda: _upsert_rooms(fx, ok, rooms),
+            "rooms": lambda: _rooms_snapshot(fx, *_upsert_rooms(fx, ok, rooms)),
+            "rooms_updated": lambda: _upsert_rooms(fx, ok, rooms)[0],
             "services_updated": lambda: services_pair()[0],
             "services_new": lambda: services_pair()[1]}
 
 
-def _upsert_rooms(fx, ok: DataFrame, rooms: DataFrame) -> DataFrame:
+def _upsert_rooms(fx, ok: DataFrame, rooms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows to update, rows to insert)"""
     # rooms: (hotel, room_number) -> last occurrence wins; ids for new numbers
     # follow their first occurrence
     items = rooms.join(ok.select("request_seq", "hotel_id"), "request_seq").select(
@@ -448,18 +460,18 @@ def _upsert_rooms(fx, ok: DataFrame, rooms: DataFrame) -> DataFrame:
     inserts = assign_ids(per_room.where(~F.col("_exists")),
                          [F.col("_first.request_seq"), F.col("_first.pos")], "ROOM",
                          last_number(existing, "room_id", order_col="id"), "room_id")
+    return updates, inserts
+
+
+def _rooms_snapshot(fx, updates: DataFrame, inserts: DataFrame) -> DataFrame:
     upd = updates.select("hotel_id", "room_number", F.col("room_type").alias("_t"),
                          F.col("price_per_night").alias("_p"), F.col("is_available").alias("_a"))
-    rooms_snapshot = (existing.join(upd, ["hotel_id", "room_number"], "left")
-                      .select("room_id", "hotel_id", "room_number",
-                              F.coalesce("_t", "room_type").alias("room_type"),
-                              F.when(F.col("_t").isNotNull(), F.col("_p")).otherwise(F.col("price_per_night"))
-                              .alias("price_per_night"),
-                              F.when(F.col("_t").isNotNull(), F.col("_a")).otherwise(F.col("is_available"))
-                              .alias("is_available"))
-                      .unionByName(inserts.select("room_id", "hotel_id", "room_number", "room_type",
-                                                  "price_per_night", "is_available")))
-    return rooms_snapshot
+    return (fx.rooms().join(upd, ["hotel_id", "room_number"], "left")
+            .select("room_id", "hotel_id", "room_number",
+                    F.coalesce("_t", "room_type").alias("room_type"),
+                    F.when(F.col("_t").isNotNull(), F.col("_p")).otherwise(F.col("price_per_night")).alias("price_per_night"),
+                    F.when(F.col("_t").isNotNull(), F.col("_a")).otherwise(F.col("is_available")).alias("is_available"))
+            .unionByName(inserts.select("room_id", "hotel_id", "room_number", "room_type", "price_per_night", "is_available")))
 
 
 def _upsert_services(fx, ok: DataFrame, services: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -189,6 +189,7 @@ REVIEW = [
     S("comment", None, 1000, max_msg="Comment too long", required=False),
 ]
 CANCEL = [
+    S("booking_cancel_id", None, 20, max_msg="Booking Cancel ID too long", required=False),
     S("booking_id", None, 20, max_msg="Booking ID too long", required=False),
     S("customer_id", 1, 20, "Customer ID is required", "Customer ID too long"),
     S("hotel_id", 1, 20, "Hotel ID is required", "Hotel ID too long"),
@@ -227,6 +228,7 @@ HOTEL_SERVICE = [
                    "If service name is provided, service charge must be a valid number"),
 ]
 MAINTENANCE_ITEM = [
+    S("maintenance_id", None, 20, max_msg="Maintenance ID too long", required=False),
     S("room_number", 1, 20, "Room number is required", "Room number too long"),
     S("issue_description", 5, 1000, "Issue description must be at least 5 characters long",
       "Issue description too long"),
@@ -259,23 +261,22 @@ class ItemPart:
 
 def request_errors(header: DataFrame, header_specs: list[Spec], parts: list[ItemPart],
                    key: str = "request_seq") -> DataFrame:
-    """(key, errors ARRAY<STRING>) for every header row.  Per item table one
-    aggregation gives both the failing items (in position order) and the
-    item count for the non-empty rule."""
+    """(key, errors ARRAY<STRING>) for every header row.  Only failing items are
+    grouped, in position order; the item count of the non-empty rule is a plain
+    partial aggregate."""
     out = header.select(key, spark_errors(header_specs).alias("_h"))
     names = ["_h"]
     empty = F.array().cast("array<string>")
     for i, p in enumerate(parts):
         name = f"_i{i}"
-        per_item = p.items.select(key, "pos", spark_errors(p.specs).alias("e"))
-        grouped = (per_item.groupBy(key)
-                   .agg(F.array_sort(F.collect_list(F.when(F.size("e") > 0, F.struct("pos", "e")))).alias("_l"),
-                        F.count(F.lit(1)).alias(f"_n{i}")))
-        grouped = grouped.select(key, F.flatten(F.transform("_l", lambda x: x["e"])).alias(name), f"_n{i}")
+        failing = p.items.select(key, "pos", spark_errors(p.specs).alias("e")).where(F.size("e") > 0)
+        grouped = failing.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "e"))).alias("_l"))
+        grouped = grouped.select(key, F.flatten(F.transform("_l", lambda x: x["e"])).alias(name))
         out = out.join(grouped, key, "left").withColumn(name, F.coalesce(name, empty))
         names.append(name)
         if p.nonempty_msg:
             nm = f"_e{i}"
+            out = out.join(p.items.groupBy(key).agg(F.count(F.lit(1)).alias(f"_n{i}")), key, "left")
             out = out.withColumn(nm, F.when(F.coalesce(f"_n{i}", F.lit(0)) == 0, F.array(F.lit(p.nonempty_msg)))
                                  .otherwise(empty))
             names.append(nm)
@@ -341,14 +342,14 @@ def maintenance_update_errors(fx, req: DataFrame | None = None) -> DataFrame:
 # Column lists of the command views (for the SQL side).
 COLUMNS = {
     "review_requests": ["request_seq", "hotel_id", "customer_id", "rating", "comment"],
-    "cancel_requests": ["request_seq", "booking_id", "customer_id", "hotel_id", "cancel_reason"],
+    "cancel_requests": ["request_seq", "booking_id", "customer_id", "hotel_id", "cancel_reason", "booking_cancel_id"],
     "booking_requests": ["request_seq", "customer_id", "hotel_id", "total_amount", "booking_status"],
     "booking_request_rooms": ["request_seq", "pos", "room_number", "check_in", "check_out", "room_amount"],
     "hotel_requests": ["request_seq", "hotel_id", "hotel_name", "city", "country", "total_rooms"],
     "hotel_request_rooms": ["request_seq", "pos", "room_number", "room_type", "price_per_night", "is_available"],
     "hotel_request_services": ["request_seq", "pos", "service_id", "service_name", "service_charge"],
     "maintenance_requests": ["request_seq", "pos", "hotel_id", "employee_id", "room_number", "issue_description",
-                             "maintenance_date", "maintenance_status"],
+                             "maintenance_date", "maintenance_status", "maintenance_id"],
     "maintenance_updates": ["request_seq", "maintenance_id", "hotel_id", "room_number", "employee_id",
                             "maintenance_status"],
 }

@@ -525,26 +525,54 @@ def ingest_bookings_rooms(fx):
 
 
 # -- command sources and document sinks ------------------------------------------------------------
-@register("read_commands", """
-SELECT q.request_seq, q.customer_id, q.hotel_id, q.total_amount, q.booking_status,
-       CAST(COUNT(i.pos) AS BIGINT) AS n_rooms, MIN(i.room_number) AS min_room_number
-FROM booking_requests q LEFT JOIN booking_request_rooms i ON i.request_seq = q.request_seq
-GROUP BY q.request_seq, q.customer_id, q.hotel_id, q.total_amount, q.booking_status
-""")
+# Bodies are spoilt where the request number has these remainders (fixed values).
+_SPOILT_JSON = "request_seq % 97 = 5"
+_SPOILT_FORM = {"request_seq % 97 = 5": "malformed escape", "request_seq % 101 = 7": "field given twice", "request_seq % 103 = 9": "index too high"}
+
+
+def _read_sql(bad: str) -> str:
+    return f"""
+SELECT q.request_seq, CASE WHEN {bad} THEN 'BAD_BODY' ELSE 'OK' END AS code,
+       CASE WHEN NOT ({bad}) THEN q.customer_id END AS customer_id, CASE WHEN NOT ({bad}) THEN q.hotel_id END AS hotel_id,
+       CASE WHEN NOT ({bad}) THEN q.total_amount END AS total_amount, CASE WHEN NOT ({bad}) THEN q.booking_status END AS booking_status,
+       CASE WHEN NOT ({bad}) THEN i.pos END AS pos, CASE WHEN NOT ({bad}) THEN i.room_number END AS room_number,
+       CASE WHEN NOT ({bad}) THEN i.check_in END AS check_in, CASE WHEN NOT ({bad}) THEN i.check_out END AS check_out,
+       CASE WHEN NOT ({bad}) THEN i.room_amount END AS room_amount
+FROM booking_requests q LEFT JOIN booking_request_rooms i ON i.request_seq = q.request_seq AND NOT ({bad})
+"""
+
+
+def _command_rows(cmd):
+    """A row per item of each request (one without items, and one rejected
+    for its body, has a row without)."""
+    code = F.when(F.col("_corrupt_record").isNotNull(), "BAD_BODY").otherwise("OK")
+    return (cmd.select("request_seq", code.alias("code"), "customer_id", "hotel_id", "total_amount", "booking_status",
+                       F.explode_outer("booking_rooms").alias("r"))
+            .select("request_seq", "code", "customer_id", "hotel_id", "total_amount", "booking_status", "r.pos", "r.room_number",
+                    "r.check_in", "r.check_out", "r.room_amount"))
+
+
+@register("read_commands", _read_sql(_SPOILT_JSON.replace("request_seq", "q.request_seq")))
 def read_commands(fx):
-    """Booking requests as JSON bodies (one document per request), parsed
-    back with the explicit command schema."""
-    from innkeep.sources.commands import BOOKING_COMMAND, booking_commands, parse_json_lines, to_json_lines
-    lines = to_json_lines(booking_commands(fx, clean=False))
-    cmd = parse_json_lines(lines, BOOKING_COMMAND)
-    return cmd.select("request_seq", "customer_id", "hotel_id", "total_amount", "booking_status",
-                      F.size("booking_rooms").cast("long").alias("n_rooms"),
-                      F.array_min(F.transform("booking_rooms", lambda r: r["room_number"])).alias("min_room_number"))
-
-
-@register("write_documents")
-def write_documents(fx):
-    """The directory page as nested JSON documents (one per hotel), ready for
-    ``write.json``; rows-only check (JSON text differs between engines)."""
-    from innkeep.plans.documents import directory_documents
-    return directory_documents(fx, page_no=1).select("hotel_id", F.to_json(F.struct("*")).alias("document"))
+    """Booking requests as JSON bodies (one document per request), some cut
+    short, parsed back with the explicit command schema."""
+    from innkeep.sources.commands import BOOKING_COMMAND, booking_commands, parse_json_lines
+    cmd = booking_commands(fx, clean=False)
+    body = F.to_json(F.struct(*[c for c in cmd.columns if c != "request_seq"]))
+    lines = cmd.select("request_seq", body.alias("value")).withColumn(
+        "value", F.when(F.expr(_SPOILT_JSON), F.substring("value", F.lit(1), F.length("value") - 3)).otherwise(F.col("value")))
+    return _command_rows(parse_json_lines(lines, BOOKING_COMMAND, keep=("request_seq",)))
+
+
+@register("read_commands_form", _read_sql(" OR ".join(f"q.{c}" for c in _SPOILT_FORM)))
+def read_commands_form(fx):
+    """The same requests as urlencoded form bodies with bracketed names, some
+    spoilt: equal rows for both encodings, rejects for the bad ones."""
+    from innkeep.sources.commands import BOOKING_COMMAND, booking_commands, parse_form, to_form
+    bodies = to_form(booking_commands(fx, clean=False), "booking_rooms")
+    spoil = {"malformed escape": "&note=%zz", "field given twice": "&hotel_id=HOT00001&hotel_id=HOT00002",
+             "index too high": "&booking_rooms%5B21%5D%5Broom_number%5D=7"}
+    body = F.col("body")
+    for condition, how in _SPOILT_FORM.items():
+        body = F.when(F.expr(condition), F.concat("body", F.lit(spoil[how]))).otherwise(body)
+    return _command_rows(parse_form(bodies.withColumn("body", body), BOOKING_COMMAND, "booking_rooms"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from innkeep.operators import aggregates as agg
+from innkeep.operators.filters import unique_keys
 from innkeep.operators.ranking import rank_within_groups
 from innkeep.oracle.sqlparts import AGG_CTES, AVG_RATING
 from innkeep.plans.directory import HotelAnswers
@@ -167,7 +168,7 @@ WHERE NOT EXISTS (SELECT 1 FROM rooms r WHERE r.hotel_id = x.hotel_id AND r.room
 """)
 def anti_new_rows(fx):
     """Request rooms that are not in the hotel yet: to be inserted."""
-    return _upsert_items(fx).join(fx.rooms().select("hotel_id", "room_number"),
+    return _upsert_items(fx).join(unique_keys(fx.rooms(), ["hotel_id", "room_number"]),
                                   ["hotel_id", "room_number"], "left_anti")
 
 
@@ -177,5 +178,5 @@ WHERE EXISTS (SELECT 1 FROM rooms r WHERE r.hotel_id = x.hotel_id AND r.room_num
 """)
 def semi_existing_rows(fx):
     """Request rooms already in the hotel: to be updated."""
-    return _upsert_items(fx).join(fx.rooms().select("hotel_id", "room_number"),
+    return _upsert_items(fx).join(unique_keys(fx.rooms(), ["hotel_id", "room_number"]),
                                   ["hotel_id", "room_number"], "left_semi")

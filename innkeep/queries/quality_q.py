@@ -9,6 +9,7 @@ from innkeep.functions.sanitize import sanitize_sql, sanitize_text
 from innkeep.plans import validation as V
 from innkeep.plans.audit import audit, audit_sql
 from innkeep.registry import register
+from innkeep.sources.commands import nest, sanitized
 
 
 def _flat(errs):
@@ -51,17 +52,14 @@ def validate_maintenance_updates(fx):
     return _flat(V.maintenance_update_errors(fx))
 
 
-_CUSTOMER_HEADER = ("(SELECT customer_id, full_name, CAST(NULL AS VARCHAR) AS email, "
-                    "CAST(NULL AS VARCHAR) AS phone, city, country FROM customers)")
+_CUSTOMER_HEADER = "(SELECT customer_id, full_name, email, phone, city, country FROM customers)"
 
 
 @register("validate_customers", _flat_sql(V.sql_request_errors(_CUSTOMER_HEADER, V.CUSTOMER, [], key="customer_id"),
                                           key="customer_id"))
 def validate_customers(fx):
-    """The (unwired) customer schema over the customers table; the table
-    carries no e-mail or phone, so those are reported missing."""
-    c = fx.customers().select("customer_id", "full_name", F.lit(None).cast("string").alias("email"),
-                              F.lit(None).cast("string").alias("phone"), "city", "country")
+    """The (unwired) customer schema over the customers table."""
+    c = fx.customers().select("customer_id", "full_name", "email", "phone", "city", "country")
     return _flat(V.request_errors(c, V.CUSTOMER, [], key="customer_id"))
 
 
@@ -92,6 +90,44 @@ def sanitize_text_key(fx):
             .select("page_id", "clean", (F.length("html") - F.length("clean")).cast("long").alias("removed_chars")))
 
 
+def _marked(c: str) -> str:
+    """A value with markup around it, as SQL that both engines read."""
+    return f"'<b onclick=\"x()\">' || {c} || '</b><script>' || {c} || '</script> '"
+
+
+@register("sanitize_nested", f"""
+WITH h AS (SELECT request_seq, {_marked('hotel_name')} AS v, {_marked('city')} AS tag FROM hotel_requests),
+r AS (SELECT request_seq, pos, {_marked('room_type')} AS v, price_per_night FROM hotel_request_rooms)
+SELECT request_seq, 'hotel_name' AS field, CAST(0 AS BIGINT) AS pos, {sanitize_sql('v')} AS value FROM h
+UNION ALL SELECT request_seq, 'tags', CAST(0 AS BIGINT), tag FROM h
+UNION ALL SELECT request_seq, 'place.city', CAST(0 AS BIGINT), {sanitize_sql('tag')} FROM h
+UNION ALL SELECT request_seq, 'place.links', CAST(0 AS BIGINT), {sanitize_sql('tag')} FROM h
+UNION ALL SELECT request_seq, 'rooms.room_type', pos, {sanitize_sql('v')} FROM r
+UNION ALL SELECT request_seq, 'rooms.notes', pos, v FROM r
+UNION ALL SELECT request_seq, 'rooms.price', pos, price_per_night FROM r
+""")
+def sanitize_nested(fx):
+    """Nested request documents with markup in every string: fields of objects
+    are cleaned at any depth (structs, arrays of structs, maps), strings that
+    sit directly in arrays stay."""
+    head = fx.hotel_requests().selectExpr("request_seq", f"{_marked('hotel_name')} AS hotel_name", f"{_marked('city')} AS tag")
+    doc = head.select("request_seq", "hotel_name", F.array("tag").alias("tags"),
+                      F.struct(F.col("tag").alias("city"), F.create_map(F.lit("home"), F.col("tag")).alias("links")).alias("place"))
+    rooms = fx.hotel_request_rooms().selectExpr("request_seq", "pos", f"{_marked('room_type')} AS room_type",
+                                                f"array({_marked('room_type')}) AS notes", "struct(price_per_night AS price) AS paid")
+    clean = sanitized(nest(doc, rooms, "rooms"))
+    at0 = F.lit(0).cast("long")
+    top = clean.select("request_seq", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("field"), at0.alias("pos"), value.alias("value")) for name, value in (
+            ("hotel_name", F.col("hotel_name")), ("tags", F.col("tags")[0]), ("place.city", F.col("place.city")),
+            ("place.links", F.col("place.links")["home"]))])))
+    r = clean.select("request_seq", F.explode("rooms").alias("r"))
+    items = r.select("request_seq", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("field"), F.col("r.pos").alias("pos"), value.alias("value")) for name, value in (
+            ("rooms.room_type", F.col("r.room_type")), ("rooms.notes", F.col("r.notes")[0]), ("rooms.price", F.col("r.paid.price")))])))
+    return top.unionByName(items)
+
+
 @register("audit_constraints", audit_sql())
 def audit_constraints(fx):
     return audit(fx)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from innkeep.operators import aggregates as agg
 from innkeep.operators.filters import contains_ci, is_true, like_ci, min_rating, status_not
 from innkeep.oracle.sqlparts import AGG_CTES, AVG_PRICE, AVG_RATING
-from innkeep.plans.directory import HotelAnswers, newest_first, page, semi
+from innkeep.plans.directory import HotelAnswers, children, newest_hotels, ts_text
 from innkeep.queries.composites import CITY_COUNTRY, HISTORY, PRICE_RATING
 from innkeep.registry import register
 
@@ -18,32 +18,38 @@ MIN_RATING = 3.0
 
 
 # -- 2.1 scans ---------------------------------------------------------------
-# The explicit column list read from each domain table: its key and one
-# descriptive column.
-SCAN_COLUMNS = [
-    ("hotels", "hotel_id", "hotel_name"),
-    ("rooms", "room_id", "room_number"),
-    ("services", "service_id", "service_name"),
-    ("customers", "customer_id", "full_name"),
-    ("employees", "employee_id", "role"),
-    ("bookings", "booking_id", "booking_status"),
-    ("booking_rooms", "booking_room_id", "room_number"),
-    ("bookings_cancelled", "booking_cancel_id", "cancel_reason"),
-    ("reviews", "review_id", "comment"),
-    ("maintenance", "maintenance_id", "maintenance_status"),
-]
+# The column list that is read from each domain table, its key first.
+SCAN_COLUMNS = {
+    "hotels": ("hotel_id", "hotel_name", "city", "country", "total_rooms", "created_at"),
+    "rooms": ("room_id", "hotel_id", "room_number", "room_type", "price_per_night", "is_available"),
+    "services": ("service_id", "hotel_id", "service_name", "service_charge"),
+    "customers": ("customer_id", "full_name", "email", "phone", "city", "country"),
+    "employees": ("employee_id", "hotel_id", "full_name", "role"),
+    "bookings": ("booking_id", "hotel_id", "customer_id", "total_amount", "booking_status", "created_at"),
+    "booking_rooms": ("booking_room_id", "booking_id", "room_number", "check_in", "check_out", "room_amount"),
+    "bookings_cancelled": ("booking_cancel_id", "booking_id", "customer_id", "hotel_id", "total_amount", "cancel_reason"),
+    "reviews": ("review_id", "hotel_id", "customer_id", "rating", "comment", "review_date"),
+    "maintenance": ("maintenance_id", "hotel_id", "room_number", "employee_id", "maintenance_status"),
+}
+
+
+def _cell_sql(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if c == "created_at" else f"CAST({c} AS VARCHAR)"
 
 
 @register("scan_tables", " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, {k} AS id, {c} AS value FROM {t}" for t, k, c in SCAN_COLUMNS))
+    f"SELECT '{t}' AS table_name, {cols[0]} AS id, '{c}' AS column_name, {_cell_sql(c)} AS value FROM {t}"
+    for t, cols in SCAN_COLUMNS.items() for c in cols[1:]))
 def scan_tables(fx):
-    """Every domain table read with an explicit column list: each scan
-    prunes to the columns its projection needs (see ReadSchema)."""
-    parts = [fx.table(t).select(F.lit(t).alias("table_name"), F.col(k).alias("id"),
-                                F.col(c).cast("string").alias("value")) for t, k, c in SCAN_COLUMNS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """Every domain table read with its explicit column list, a row for each
+    cell (name and value): a scan prunes to these columns (see ReadSchema),
+    and each table is read once."""
+    out = None
+    for t, cols in SCAN_COLUMNS.items():
+        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), (ts_text(c) if c == "created_at" else F.col(c).cast("string")).alias("value"))
+                          for c in cols[1:]])
+        part = fx.table(t).select(F.lit(t).alias("table_name"), F.col(cols[0]).alias("id"), F.inline(cells))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -52,6 +58,17 @@ def scan_star(fx):
     return fx.customers()
 
 
+@register("scan_star_hotels", "SELECT * REPLACE (strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at) FROM hotels")
+def scan_star_hotels(fx):
+    return fx.hotels().withColumn("created_at", ts_text("created_at"))
+
+
+@register("scan_star_bookings", "SELECT * REPLACE (strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, "
+                                "CAST(total_amount AS DOUBLE) AS total_amount) FROM bookings")
+def scan_star_bookings(fx):
+    return fx.bookings().withColumn("created_at", ts_text("created_at")).withColumn("total_amount", F.col("total_amount").cast("double"))
+
+
 # -- 2.2 projections and filters ------------------------------------------------
 @register("project_alias", """
 SELECT b.booking_id, b.hotel_id, c.full_name AS customer_name, b.booking_status AS status,
@@ -78,8 +95,7 @@ SELECT hotel_id, room_number, room_type, is_available FROM rooms
 WHERE hotel_id IN (SELECT hotel_id FROM hotels ORDER BY created_at DESC, id LIMIT 10)
 """)
 def filter_in_list(fx):
-    pg = page(fx.hotels(), newest_first(), 1, pos_col=None)
-    return semi(fx.rooms(), pg).select("hotel_id", "room_number", "room_type", "is_available")
+    return children(fx, "rooms", newest_hotels(fx, 1)).select("hotel_id", "room_number", "room_type", "is_available")
 
 
 @register("filter_in_subquery", f"""

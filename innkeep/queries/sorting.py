@@ -13,7 +13,7 @@ from innkeep.operators.ranking import global_rank, page, page_count, rank_within
 from innkeep.oracle.sqlparts import AGG_CTES, AVG_RATING, pages
 from innkeep.oracle.sqlparts import digits as sql_digits
 from innkeep.oracle.sqlparts import unsigned_suffix as sql_suffix
-from innkeep.plans.directory import HotelAnswers, newest_first
+from innkeep.plans.directory import HotelAnswers, newest_first, newest_hotels
 from innkeep.queries.aggregations import LAST_ID_RULES
 from innkeep.queries.composites import CITY_COUNTRY
 from innkeep.registry import register
@@ -93,7 +93,7 @@ FROM hotels ORDER BY created_at DESC, id LIMIT 10 OFFSET {(LIMIT_PAGE - 1) * 10}
 """)
 def limit_offset_page(fx):
     """LIMIT 10 OFFSET (page-1)*10 in newest-first order."""
-    return page(fx.hotels(), newest_first(), LIMIT_PAGE).select("hotel_id", "page_pos")
+    return newest_hotels(fx, LIMIT_PAGE).select("hotel_id", "page_pos")
 
 
 @register("slice_page", f"""

@@ -35,4 +35,4 @@ def register(key: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register keys."""
     from innkeep.queries import (  # noqa: F401
-        composites, scans, joins, aggregations, sorting, functions_q, commands_q, quality_q)
+        composites, scans, joins, aggregations, sorting, functions_q, commands_q, quality_q, children_q, updates_q)

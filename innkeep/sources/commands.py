@@ -19,7 +19,7 @@ sit directly in arrays.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,15 +57,33 @@ def nest(header: DataFrame, items: DataFrame, name: str, key: str = "request_seq
             .withColumn(name, F.coalesce(F.col(name), empty)))
 
 
+def _holds_fields(kind: T.DataType) -> bool:
+    """Whether values of this type hold object fields that are sanitized."""
+    if isinstance(kind, T.ArrayType):
+        return _holds_fields(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return isinstance(kind.valueType, T.StringType) or _holds_fields(kind.valueType)
+    return isinstance(kind, T.StructType) and any(isinstance(f.dataType, T.StringType) or _holds_fields(f.dataType) for f in kind.fields)
+
+
+def _cleaned(value: Column, kind: T.DataType, in_array: bool = False) -> Column:
+    """A value with every string field of every object in it sanitized, at any
+    depth; strings that sit directly in arrays, and all else, stay."""
+    if isinstance(kind, T.StringType):
+        return value if in_array else sanitize_text(value)
+    if not _holds_fields(kind):
+        return value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _cleaned(x, kind.elementType, in_array=True))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: _cleaned(x, kind.valueType))
+    fields = F.struct(*[_cleaned(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    return F.when(value.isNotNull(), fields)
+
+
 def sanitized(df: DataFrame, skip: tuple[str, ...] = ("request_seq", "pos")) -> DataFrame:
-    """Sanitize every top-level string column (object fields)."""
-    cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.StringType) and f.name not in skip:
-            cols.append(sanitize_text(F.col(f.name)).alias(f.name))
-        else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
+    """Sanitize the string fields of each row, and of the objects nested in it."""
+    return df.select(*[F.col(f.name) if f.name in skip else _cleaned(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def booking_commands(fx, clean: bool = True) -> DataFrame:
@@ -101,12 +119,66 @@ def to_json_lines(commands: DataFrame) -> DataFrame:
     return commands.select(F.to_json(F.struct(*commands.columns)).alias("value"))
 
 
-def parse_json_lines(lines: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
+def parse_json_lines(lines: DataFrame, schema: T.StructType, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Parse request bodies with an explicit schema; a body that does not
-    parse keeps its text in ``_corrupt_record`` (and is rejected later)."""
-    full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    parse keeps its text in ``_corrupt_record`` (and is rejected later).
+    ``keep``: columns beside the body, which replace those parsed from it."""
+    full = T.StructType([*[f for f in schema.fields if f.name not in keep], T.StructField("_corrupt_record", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    return lines.select(F.from_json(F.col(column), full, options).alias("c")).select("c.*")
+    return lines.select(*keep, F.from_json(F.col(column), full, options).alias("c")).select(*keep, "c.*")
+
+
+# -- form bodies -----------------------------------------------------------------
+# An array index above this makes the field an object, which the
+# schema refuses; a body holds that many fields at most.
+FORM_MOST_INDEX = 20
+FORM_MOST_FIELDS = 1000
+
+
+def to_form(commands: DataFrame, items: str, key: str = "request_seq") -> DataFrame:
+    """One urlencoded body per request: header fields by name, the fields of
+    the n-th item as ``items[n][field]``; NULLs are left out."""
+    def pair(name: Column, value: Column) -> Column:
+        return F.when(value.isNotNull(), F.concat(F.url_encode(name), F.lit("="), F.url_encode(value.cast("string"))))
+
+    header = [pair(F.lit(f.name), F.col(f.name)) for f in commands.schema.fields if f.name not in (key, items)]
+    fields = [f.name for f in commands.schema[items].dataType.elementType.fields if f.name != "pos"]
+    of_items = F.flatten(F.transform(items, lambda x, i: F.array(*[pair(F.concat(F.lit(f"{items}["), i.cast("string"), F.lit(f"][{f}]")), x[f]) for f in fields])))
+    return commands.select(key, F.array_join(F.array_compact(F.concat(F.array(*header), of_items)), "&").alias("body"))
+
+
+def parse_form(bodies: DataFrame, schema: T.StructType, items: str, key: str = "request_seq") -> DataFrame:
+    """Urlencoded bodies (``key``, ``body``) as rows of ``schema``, the columns
+    that :func:`parse_json_lines` gives: items in index order, numbered from 1.
+
+    A body with a malformed escape, a field given twice, too many fields or too
+    high an index is kept in ``_corrupt_record``, its columns NULL.  All of it
+    is expressions within the request's row; a body is bounded by its size."""
+    def decoded(c: Column) -> Column:
+        return F.try_url_decode(c)
+
+    pairs = F.transform(F.filter(F.split("body", "&"), lambda p: p != ""),
+                        lambda p: F.struct(decoded(F.regexp_extract(p, "^[^=]*", 0)).alias("k"), decoded(F.regexp_replace(p, "^[^=]*=?", "")).alias("v")))
+    at = f"^{items}\\[([0-9]{{1,6}})\\]\\["
+    rows = bodies.select(key, "body", pairs.alias("pairs"))
+    rows = rows.withColumn("names", F.transform("pairs", lambda p: p["k"]))
+    rows = rows.withColumn("at", F.array_sort(F.array_distinct(F.transform(F.filter("names", lambda n: n.rlike(at)), lambda n: F.regexp_extract(n, at, 1).cast("int")))))
+    bad = (F.exists("pairs", lambda p: p["k"].isNull() | p["v"].isNull()) | (F.size(F.array_distinct("names")) < F.size("names"))
+           | (F.size("names") > FORM_MOST_FIELDS) | (F.coalesce(F.array_max("at"), F.lit(0)) > FORM_MOST_INDEX))
+    rows = rows.withColumn("bad", F.coalesce(bad, F.lit(True)))
+    rows = rows.withColumn("m", F.when(~F.col("bad"), F.map_from_entries("pairs")))
+    out = []
+    for f in schema.fields:
+        if f.name == key:
+            out.append(F.col(key))
+        elif f.name == items:
+            parts = [x for x in f.dataType.elementType.fields if x.name != "pos"]
+            made = F.transform("at", lambda i, n: F.struct((n + 1).cast("long").alias("pos"), *[
+                F.col("m")[F.concat(F.lit(f"{items}["), i.cast("string"), F.lit(f"][{x.name}]"))].cast(x.dataType).alias(x.name) for x in parts]))
+            out.append(F.when(~F.col("bad"), made).alias(items))
+        else:
+            out.append(F.col("m")[F.lit(f.name)].cast(f.dataType).alias(f.name))
+    return rows.select(*out, F.when(F.col("bad"), F.col("body")).alias("_corrupt_record"))
 
 
 def read_command_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -87,15 +87,18 @@ class Fixtures:
         )
 
     def rooms(self) -> DataFrame:
+        """Every part is a room; those that would fall to each 25th hotel are
+        an annex (``B`` numbers) of the hotel before, so some have none."""
         n = self.n
         k = F.col("p_partkey")
+        h = k % n
+        annex = h % 25 == 24
         return (self.t.part
-                .where((k % n) % 25 != 24)
                 .select(
                     k.alias("id"),
                     pad5("ROOM", k + 1).alias("room_id"),
-                    pad5("HOT", k % n + 1).alias("hotel_id"),
-                    (100 + _floor_div(k, n)).cast("string").alias("room_number"),
+                    pad5("HOT", h - annex.cast("int") + 1).alias("hotel_id"),
+                    F.concat((100 + _floor_div(k, n)).cast("string"), F.when(annex, "B").otherwise("")).alias("room_number"),
                     _room_type(F.col("p_type")).alias("room_type"),
                     F.when(F.col("p_size") != 50,
                            F.col("p_retailprice").cast("decimal(10,2)")).alias("price_per_night"),
@@ -103,13 +106,22 @@ class Fixtures:
                 ))
 
     def customers(self) -> DataFrame:
+        """Some e-mail addresses are absent, malformed or those of the customer
+        before; some phone numbers are absent or too long."""
         c = self._with_geo(self.t.customer, "c_nationkey")
+        k = F.col("c_custkey")
         return c.select(
             F.col("c_custkey").alias("id"),
             pad5("CUST", F.col("c_custkey") + 1).alias("customer_id"),
             F.col("c_name").alias("full_name"),
             F.col("n_name").alias("city"),
             F.col("r_name").alias("country"),
+            F.when(k % 31 == 30, F.lit(None).cast("string"))
+             .when(k % 29 == 28, F.concat(F.lit("guest "), k.cast("string"), F.lit(" at example.com")))
+             .otherwise(F.concat(F.lit("guest"), (k - (k % 37 == 36).cast("int")).cast("string"), F.lit("@example.com"))).alias("email"),
+            F.when(k % 41 == 40, F.lit(None).cast("string"))
+             .when(k % 43 == 42, F.concat(F.lit("+49 30 1234 5678 9012 "), k.cast("string")))
+             .otherwise(F.concat(F.lit("+49 30 "), (100000 + k).cast("string"))).alias("phone"),
         )
 
     def _bookings_base(self) -> DataFrame:
@@ -164,14 +176,16 @@ class Fixtures:
                 ))
 
     def reviews(self) -> DataFrame:
+        """Every event is a review; each 10th hotel's go to the one before, so
+        some have none."""
         n = self.n
         e = F.col("event_id")
+        h = e % n
         return (self.t.events
-                .where((e % n) % 10 != 9)
                 .select(
                     e.alias("id"),
                     pad5("REV", e + 1).alias("review_id"),
-                    pad5("HOT", e % n + 1).alias("hotel_id"),
+                    pad5("HOT", h - (h % 10 == 9).cast("int") + 1).alias("hotel_id"),
                     F.when(e % 17 == 0, "CUST00000")
                      .otherwise(pad5("CUST", F.col("user_id") + 1)).alias("customer_id"),
                     (1 + F.floor("value").cast("int") % 5).cast("int").alias("rating"),
@@ -204,6 +218,8 @@ class Fixtures:
             F.col("c_name").alias("full_name"),
             F.when(F.col("c_mktsegment") == "BUILDING", "employee")
              .otherwise(F.lower("c_mktsegment")).alias("role"),
+            F.col("c_acctbal").cast("decimal(10,2)").alias("salary"),
+            F.date_add(F.lit("2015-01-01").cast("date"), (k % 3000).cast("int")).alias("hire_date"),
         )
 
     def maintenance(self) -> DataFrame:
@@ -311,6 +327,8 @@ class Fixtures:
             F.when(k % 49 == 0, F.lit("HOT00000")).otherwise(pad5("HOT", k * 2 % self.n + 1)).alias("hotel_id"),
             F.when(k % 4 == 0, F.lit("no"))
              .otherwise(F.concat("o_orderpriority", F.lit(" plans changed"))).alias("cancel_reason"),
+            F.when(k % 23 == 22, F.concat(F.lit("BOOKCANCEL-"), pad5("", k * 1000003 + 1000000000)))
+             .when(k % 3 == 0, pad5("BOOKCANCEL", k)).alias("booking_cancel_id"),
         )
 
     def review_requests(self) -> DataFrame:
@@ -348,6 +366,8 @@ class Fixtures:
                      .otherwise(F.to_date("ts").cast("string")).alias("maintenance_date"),
                     F.when(e % 5 == 0, F.lit(None).cast("string")).when(e % 41 == 0, "Unknown")
                      .otherwise("Completed").alias("maintenance_status"),
+                    F.when(e % 43 == 42, F.concat(F.lit("MAINTENANCE-"), pad5("", e + 1000000000)))
+                     .when(e % 2 == 0, pad5("MAINTAIN", e)).alias("maintenance_id"),
                 ))
 
     def maintenance_updates(self) -> DataFrame:

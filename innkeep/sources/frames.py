@@ -7,6 +7,7 @@ the library takes either."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 # DDL of every table as the plans read it.
 SCHEMAS = {
@@ -14,7 +15,8 @@ SCHEMAS = {
               "total_rooms int, created_at timestamp_ntz",
     "rooms": "id bigint, room_id string, hotel_id string, room_number string, room_type string, "
              "price_per_night decimal(10,2), is_available boolean",
-    "customers": "id bigint, customer_id string, full_name string, city string, country string",
+    "customers": "id bigint, customer_id string, full_name string, city string, country string, "
+                 "email string, phone string",
     "bookings": "id bigint, booking_id string, customer_id string, hotel_id string, total_amount decimal(10,2), "
                 "booking_status string, created_at timestamp_ntz",
     "booking_rooms": "booking_room_id string, booking_id string, room_number string, check_in date, "
@@ -24,7 +26,8 @@ SCHEMAS = {
     "reviews": "id bigint, review_id string, hotel_id string, customer_id string, rating int, comment string, "
                "review_date date",
     "services": "service_id string, hotel_id string, service_name string, service_charge decimal(10,2)",
-    "employees": "employee_id string, hotel_id string, full_name string, role string",
+    "employees": "employee_id string, hotel_id string, full_name string, role string, "
+                 "salary decimal(10,2), hire_date date",
     "maintenance": "maintenance_id string, hotel_id string, room_number string, employee_id string, "
                    "issue_description string, maintenance_date date, maintenance_status string",
     "hotel_requests": "request_seq bigint, hotel_id string, hotel_name string, city string, country string, "
@@ -38,17 +41,24 @@ SCHEMAS = {
     "booking_request_rooms": "request_seq bigint, pos bigint, room_number string, check_in string, "
                              "check_out string, room_amount string",
     "cancel_requests": "request_seq bigint, booking_id string, customer_id string, hotel_id string, "
-                       "cancel_reason string",
+                       "cancel_reason string, booking_cancel_id string",
     "review_requests": "request_seq bigint, hotel_id string, customer_id string, rating string, comment string",
     "maintenance_requests": "request_seq bigint, pos bigint, hotel_id string, employee_id string, "
                             "room_number string, issue_description string, maintenance_date string, "
-                            "maintenance_status string",
+                            "maintenance_status string, maintenance_id string",
     "maintenance_updates": "request_seq bigint, maintenance_id string, hotel_id string, room_number string, "
                            "employee_id string, maintenance_status string",
     "pages": "page_id bigint, url string, html string",
 }
 
 
+def _filled(row, name: str):
+    """A row given without the table's last columns has nulls there."""
+    if not isinstance(row, tuple):
+        return row
+    return row + (None,) * (len(T.StructType.fromDDL(SCHEMAS[name]).fields) - len(row))
+
+
 class FrameSet:
     """Explicit tables; names not given fall back to ``base`` (another table
     provider) or to an empty table of the right schema."""
@@ -62,7 +72,7 @@ class FrameSet:
 
     def set(self, name: str, value: DataFrame | list) -> "FrameSet":
         if not isinstance(value, DataFrame):
-            value = self.spark.createDataFrame(value, SCHEMAS[name])
+            value = self.spark.createDataFrame([_filled(row, name) for row in value], SCHEMAS[name])
         self.frames[name] = value
         return self
 

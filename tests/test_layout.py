@@ -16,7 +16,7 @@ ARGS = dict(city="nation_1", country="", ratings=2.0, sort_availability="high to
 
 
 def test_clustered_layout_answers_the_same(spark, fx):
-    publish_tables(fx, "lodging_clustered", buckets=4)
+    publish_tables(fx, "lodging_clustered", buckets=4, layout="clustered")
     stored = CatalogTables(spark, "lodging_clustered", base=fx)
     a, b = HotelAnswers(fx).hotel_admin_search(**ARGS), HotelAnswers(stored).hotel_admin_search(**ARGS)
     assert _rows(a.columns, a.collect()) == _rows(b.columns, b.collect())
