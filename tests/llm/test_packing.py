@@ -15,7 +15,6 @@ SF = "/root/testdata/sf0.01"
 @pytest.fixture(scope="module")
 def slow():
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     return lambda t: tok.encode(t, add_special_tokens=False).ids
 
 
@@ -65,3 +64,25 @@ def test_both_libraries_agree_where_the_fast_one_is_used(slow):
         t = "".join(rng.choice(chars) for _ in range(rng.randint(0, 50)))
         assert tokenizing.COMMON.search(t) is None
         assert tokenizing.token_ids(t) == slow(t)
+
+
+def test_added_tokens_and_very_long_runs(slow):
+    assert tokenizing.token_ids("hello <|endoftext|> world") == slow("hello <|endoftext|> world") == [31373, 220, 50256, 995]
+    n = tokenizing.LONG_RUN
+    runs = [" " * n, "\n" * (n + 1), "\t \r\n\x0b\x0c\xa0" * n, "\x85" * n]
+    texts = [f"{a}{run}{b}" for run in runs for a in ("", "one", "it's ") for b in ("", "two", "!", "\x1c", "7 ")]
+    texts += [" " * (n - 1) + "x", f"a{' ' * n}b{chr(10) * n}c", f"<|endoftext|>{' ' * n}", "\x1c" * (n + 5), "é" * n]
+    for t in texts:
+        assert tokenizing.token_ids(t) == slow(t)
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "a", "!", "1"])
+def test_five_million_of_one_character(unit, slow):
+    text = "start " + unit * 5_000_000 + " end"
+    assert tokenizing.token_ids(text) == slow(text)
+    assert len(tokenizing.token_ids(text, "byte_bpe_multi_50k.tiktoken")) > 1000
+
+
+def test_one_such_text_does_not_end_a_job(make_docs, slow):
+    rows = [(1, " " * 1_200_000, "en", "a"), (2, "x <|endoftext|> y", "en", "a"), (3, "\n" * 1_000_000 + "w", "en", "a")]
+    check(make_docs(rows), slow)
