@@ -35,8 +35,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from innkeep.llm.common import materialize, row_slices, text_buffer
+from innkeep.llm.common import free_name, materialize, row_slices, text_buffer
 from innkeep.llm.components import min_label_components
 from innkeep.llm.textscan import LOWER, SPACE, mix64, words
 
@@ -118,16 +119,23 @@ def simhashes(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) ->
     return majority_bits(hashes, out_first)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of every row."""
+def with_fingerprints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``rows``, whose last column is a text, with the fingerprint ``fp`` (as a
+    signed long) in its place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
+            data, offsets = text_buffer(batch.column(batch.num_columns - 1))
             for lo, hi in row_slices(offsets, 400_000):
                 fp = simhashes(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                kept = [c.slice(lo, hi - lo) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(fp.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())]))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and fingerprint (as a signed long) of every row."""
+    return with_fingerprints(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), shingle)
 
 
 def fp_hex(fp) -> F.Column:
@@ -227,16 +235,21 @@ def pivot_edges(distinct: DataFrame, max_bits: int = MAX_BITS, cell: int = CELL)
             .mapInArrow(lambda batches: _edges_of_sorted(batches, max_bits), "u long, v long"))
 
 
+def components(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """fp, label (one fingerprint of the group), component_id (the smallest
+    ``first_id`` of it) of ``distinct``, a table of different fingerprints."""
+    labels = min_label_components(pivot_edges(distinct, max_bits))
+    of_fp = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    smallest = of_fp.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    return materialize(of_fp.select("fp", "label").join(smallest, "label").select("fp", "label", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links of at
     most ``max_bits`` differing bits) of every row."""
     rows = materialize(fingerprints(docs, shingle))
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    labels = min_label_components(pivot_edges(distinct, max_bits))
-    of_fp = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    smallest = of_fp.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_fp = materialize(of_fp.select("fp", "label").join(smallest, "label").select("fp", "component_id"))
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(components(distinct, max_bits).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -246,21 +259,32 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_
 
 
 def keep_one_per_group(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their group: the one
-    of smallest doc_id.  Of rows repeating that doc_id, one (the smallest of
-    its columns) stays; a group without any doc_id has one row kept too."""
-    found = near_duplicates(docs, shingle, max_bits)
-    kept = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")))
-    kept = materialize(kept.withColumnRenamed("doc_id", "_kept"))
-    same = F.col("_kept").eqNullSafe(docs["doc_id"].cast("long"))
-    if not kept.filter("_rows > 1").head(1):
-        return docs.join(kept, same, "left_semi")
-    once = docs.join(kept.filter("_rows = 1"), same, "left_semi")
-    many = docs.join(kept.filter("_rows > 1"), same, "left_semi")
-    # nulls have a fingerprint each, so a null id is told apart by its text as well
-    key = [F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))]
-    rest = [c for c in docs.columns if c != "doc_id"]
-    many = (many.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(key)])
-            .agg(F.min(F.struct("doc_id", *rest)).alias("_row")).select("_row.*").select(*docs.columns))
+    """The rows of ``docs``, all columns, that stand for their group: one row
+    a group, of those with its smallest doc_id (null only where the group has
+    no other) the one of smallest text, by hash, and then of smallest hash of
+    all columns; of rows alike in everything one stays.
+
+    Rows are told apart by a hash of all their columns, so nothing is matched
+    by doc_id and no text is copied.  Texts of any length are taken whole;
+    columns of any type and name are kept."""
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
+    others = F.to_json(F.struct(*[v for c, v in quoted.items() if c != "text"])) if len(quoted) > 1 else F.lit("")
+    text = F.col("text").cast("string")
+    same = F.coalesce(F.sha2(text, 256), F.lit(""))
+    mark = F.md5(F.concat(same, others).cast("binary"))
+    thin = materialize(with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), same.alias("same"), mark.alias("mark"), text.alias("text")), shingle))
+    group_of = components(materialize(thin.groupBy("fp").agg(F.min("doc_id").alias("first_id"))), max_bits)
+    # partial aggregates: however many rows a group has, a task passes on one
+    best = thin.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same", "mark")).alias("best"))
+    kept = (best.join(group_of.select("fp", "label"), "fp").groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.mark").alias("mark")))
+    alike = thin.groupBy("mark").agg(F.count(F.lit(1)).alias("rows"))
+    own = free_name("_mark", docs.columns)
+    kept = materialize(kept.join(alike, "mark").select(F.col("mark").alias(own), "rows"))
+    marked = docs.withColumn(own, mark)
+    if not kept.filter("rows > 1").head(1):
+        return marked.join(kept, own, "left_semi").drop(own)
+    once = marked.join(kept.filter("rows = 1"), own, "left_semi").drop(own)
+    row = free_name("_row", [*docs.columns, own])
+    many = (marked.join(kept.filter("rows > 1"), own, "left_semi").groupBy(own).agg(F.first(F.struct(*quoted.values())).alias(row))
+            .select(*[F.col(row)[c].alias(c) for c in docs.columns]))
     return once.unionByName(many)
