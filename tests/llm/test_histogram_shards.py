@@ -43,6 +43,33 @@ def test_hot_text_is_cut_inside(make_docs):
     check(make_docs(rows), piece_bytes=500, even=60)
 
 
+def test_equal_rows_are_cut_by_count(make_docs, monkeypatch):
+    rows = [(None, "the very same text", "en", "a")] * 800 + [(7, "another text alike", "en", "b")] * 500 + [(1000 + i, f"other {i}", "en", "a") for i in range(300)]
+    docs = make_docs(rows)
+    check(docs, even=20)
+    check(docs, shards=3, piece_bytes=500, even=20)
+    check(make_docs([(1, "alike", "en", "a")] * 100), even=6)
+    check(make_docs([(1, "alike", "en", "a")] * 3), even=6)
+    # as if there were more bytes than the driver has cuts for
+    monkeypatch.setattr(H, "MOST_PIECES", 16)
+    check(docs, piece_bytes=300, even=20)
+    check(make_docs([(1, "alike", "en", "a")] * 100), piece_bytes=20, even=6)
+    monkeypatch.setattr(H, "MOST_PIECES", 8)
+    check(docs, piece_bytes=300, even=20)
+    thin = docs.selectExpr("xxhash64(text) h", "xxhash64(doc_id) d", "octet_length(text) + 1L size")
+    assert H.find_cuts(thin, piece_bytes=300).parts > 5
+
+
+def test_parts_are_even(make_docs, monkeypatch):
+    monkeypatch.setattr(H, "MOST_PIECES", 8)
+    docs = make_docs([(i, f"text number {i} " * 3, "en", "a") for i in range(4000)] + [(10_000 + i, "hot", "en", "a") for i in range(2000)])
+    cuts = H.find_cuts(docs.selectExpr("xxhash64(text) h", "xxhash64(doc_id) d", "octet_length(text) + 1L size"), piece_bytes=2000)
+    keyed = docs.selectExpr("xxhash64(text) h", "xxhash64(doc_id) d").withColumn("piece", H._piece_of(cuts.keys)("h", "d"))
+    many = [r["count"] for r in keyed.groupBy("piece", H._part_of(cuts.keys, cuts.parts)("piece", "h", "d").alias("part")).count().collect()]
+    assert cuts.parts > 5 and len(many) > 0.9 * 8 * cuts.parts
+    check(docs, piece_bytes=2000, even=60)
+
+
 def test_edge_cases(make_docs):
     rows = [(1, None, None, None), (2, "", "en", "a"), (None, "", "en", "a"), (None, None, "en", "a"), (3, "ü", "en", "a"), (3, "ü", "en", "a"),
             (4, "x" * 300_000, "en", "a"), (-5, "ü", "en", "a"), ((1 << 63) - 1, "z", "en", "a"), (-(1 << 63), "z", "en", "a")]
