@@ -12,15 +12,18 @@ taken while the middle of a document's stretch of the running sum lies within
 the rest, so a source misses its target by half a document at most.
 
 No source is sorted in one task.  Keys are cut into ranges; range sums are
-added up per source; only the one range in which the rest runs out is sorted,
-and it holds about ``RANGE_ROWS`` documents whatever the source's size.  A
-document is then taken if its key lies below its source's threshold, which
-is one comparison per row against a table of one row per source.
+added up per source; the one range in which the rest runs out is cut into
+ranges again, until it holds ``RANGE_ROWS`` different documents at most, and only
+that one is sorted.  Rows alike in doc_id, size and source are one row with a
+count there.  A document is then taken if its key lies below its source's
+threshold, which is one comparison per row against a table of one row per
+source; of rows alike at the threshold as many are taken as fit, told apart by
+their place in their partition after the counts of earlier ones.
 
 Defined results: a null text has size 0; a null source is a source, last in
-order; a null doc_id takes its random number from its text; rows alike in
-doc_id, size and source are taken or left together; an empty table gives no
-rows; further columns are kept by ``mixed_documents`` and not carried by
+order; a null doc_id takes its random number from its text; of rows alike in
+doc_id, size and source any may be taken and the others left; an empty table
+gives no rows; further columns are kept by ``mixed_documents`` and not carried by
 ``mix``."""
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from innkeep.llm.common import free_name, materialize
 WEIGHTS = (1, 2, 3)          # by source, in code point order, repeating
 MAX_EPOCHS = 3
 RANGE_ROWS = 8192
+PLACES = 1 << 52             # places of a key, cut into ranges
 BROADCAST_SOURCES = 50_000   # rows; above, the source table is joined without a hint
 #: document quality as a sampling weight: labelled good, labelled poor, not labelled (fixed values)
 GOOD, POOR, UNKNOWN = 1.0, 0.25, 0.5
@@ -109,48 +113,85 @@ def _with_key(rows: DataFrame, quality: DataFrame | None) -> DataFrame:
             .withColumn("key", -F.log("u") / F.coalesce("_quality", F.lit(UNKNOWN))).drop("u", "_labelled", "_quality"))
 
 
-def _decide(rows: DataFrame, max_epochs: int) -> tuple[DataFrame, int, int]:
-    """(per source: targets and threshold, number of sources, ranges).  ``rows``
-    is a checkpointed table of doc_id, source, size, key."""
+def _decide(rows: DataFrame, max_epochs: int) -> tuple[DataFrame, int]:
+    """(per source: targets and threshold, number of sources).  ``rows`` is a
+    checkpointed table of doc_id, source, size, key.
+
+    The threshold is the last (key, doc_id, size) that is taken, and how many
+    of the rows alike in it are."""
     per_source = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows")))
     size_of = per_source.agg(F.count(F.lit(1)), F.max("_rows")).first()
     n, ranges = size_of[0], -(-(size_of[1] or 1) // RANGE_ROWS)
     targets = materialize(source_targets(per_source.drop("_rows"), max_epochs))
-    ranged = rows.withColumn("range", key_range(F.col("key"), ranges))
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    running = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
-    last = (_join_sources(sums, targets, n).filter("before <= rest").groupBy("source")
-            .agg(F.max(F.struct("range", "before")).alias("last")).select("source", "last.range", "last.before"))
-    targets = materialize(targets.join(
-        last.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-        .withColumnRenamed("range", "last_range"))
-    inside = _join_sources(ranged, targets, n).filter(F.col("range") == F.col("last_range"))
-    in_order = Window.partitionBy("source").orderBy("key", "doc_id", "size")
-    upto = in_order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    peers = Window.partitionBy("source", "key", "doc_id", "size")
-    middle = F.col("before") + F.sum("size").over(upto) - F.sum("size").over(peers) / 2.0
-    limit = (inside.withColumn("_middle", middle).filter(F.col("_middle") <= F.col("rest")).groupBy("source")
-             .agg(F.max(F.struct("key", "doc_id", "size")).alias("limit")))
-    targets = materialize(targets.drop("before").join(
-        limit.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"))
-    return targets, n, ranges
-
-
-def key_range(key: Column, ranges: int) -> Column:
-    """The range of a key, 0 to ``ranges - 1``, rising with the key and about
-    even for keys of mixed quality."""
-    return F.least(F.lit(ranges - 1), F.floor((F.lit(1.0) - F.exp(key * F.lit(-UNKNOWN))) * ranges)).cast("long")
-
-
-def _chosen(rows: DataFrame, targets: DataFrame, n: int, ranges: int) -> DataFrame:
+    # the stretch of places in which a source's rest runs out, and the words before it
+    bounds = targets.select("source", "rest", F.lit(0).cast("long").alias("lo"), F.lit(PLACES).alias("hi"), F.lit(0).cast("long").alias("before"))
+    place, wide = key_place(F.col("key")), F.ceil((F.col("hi") - F.col("lo")) / F.lit(ranges)).cast("long")
+    while True:
+        ranged = (_join_sources(rows, bounds, n).filter((place >= F.col("lo")) & (place < F.col("hi")))
+                  .withColumn("range", F.floor((place - F.col("lo")) / wide).cast("long")))
+        sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
+        running = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("earlier", F.coalesce(F.sum("words").over(running), F.lit(0)))
+        last = (_join_sources(sums, bounds, n).filter(F.col("before") + F.col("earlier") <= F.col("rest")).groupBy("source")
+                .agg(F.max(F.struct("range", (F.col("before") + F.col("earlier")).alias("before"), "rows", "lo", "hi", "rest")).alias("s")).select("source", "s.*"))
+        bounds = materialize(last.select("source", "rest", (F.col("lo") + wide * F.col("range")).alias("lo"),
+                                         F.least("hi", F.col("lo") + wide * (F.col("range") + 1)).alias("hi"),
+                                         F.col("before").cast("long").alias("before"), "rows"))
+        most = bounds.filter("hi - lo > 1").agg(F.max("rows")).first()[0]
+        if (most or 0) <= RANGE_ROWS:
+            break
+        ranges = max(2, min(1024, -(-most // RANGE_ROWS)))
+        bounds, wide = bounds.drop("rows"), F.ceil((F.col("hi") - F.col("lo")) / F.lit(ranges)).cast("long")
+    spot = key_place(F.col("key"))
+    inside = (_join_sources(rows, bounds.drop("rows"), n).filter((spot >= F.col("lo")) & (spot < F.col("hi")))
+              .groupBy("source", "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("alike"), F.first("before").alias("before"), F.first("rest").alias("rest")))
+    in_order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("alike")).over(in_order), F.lit(0))
+    # the middle of the i-th row alike lies at upto + (i - 1/2) * size
+    fit = F.when(F.col("size") == 0, F.col("alike")).otherwise(F.floor((F.col("rest") - F.col("upto")) / F.col("size") + 0.5))
+    limit = (inside.withColumn("upto", upto).filter(F.col("upto") + F.col("size") / 2.0 <= F.col("rest")).groupBy("source")
+             .agg(F.max(F.struct("key", "doc_id", "size", F.least(F.col("alike"), fit).cast("long").alias("alike"))).alias("limit")))
+    ends = bounds.select(F.col("source").alias("_s"), "lo").join(limit.withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t")), "left").drop("_t")
+    return materialize(targets.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")), n
+
+
+def key_place(key: Column) -> Column:
+    """A key's place, a whole number below ``PLACES`` that rises with the key;
+    about even for keys of documents without a label."""
+    return F.least(F.floor((F.lit(1.0) - F.exp(key * F.lit(-UNKNOWN))) * PLACES), F.lit(PLACES - 1)).cast("long")
+
+
+def _numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` with a number from 1 within their keys, in no stated order: a
+    place among the rows of one partition, after the counts of earlier ones."""
+    pid, mid, before = (free_name(c, [*rows.columns, name]) for c in ("_pid", "_mid", "_before"))
+    fixed = materialize(rows.withColumn(pid, F.spark_partition_id()).withColumn(mid, F.monotonically_increasing_id()))
+    earlier = Window.partitionBy(*keys).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    counts = fixed.groupBy(pid, *keys).agg(F.count(F.lit(1)).alias("n")).withColumn(before, F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    theirs = {c: free_name(f"_of_{c}", [*rows.columns, name, pid, mid, before]) for c in [pid, *keys]}
+    counts = counts.select(*[F.col(c).alias(t) for c, t in theirs.items()], before)
+    same = F.lit(True)
+    for c, t in theirs.items():
+        same &= F.col(c).eqNullSafe(F.col(t))
+    number = F.row_number().over(Window.partitionBy(pid, *keys).orderBy(mid))
+    return (fixed.withColumn(name, number).join(counts, same).withColumn(name, F.col(name) + F.col(before))
+            .select(*[F.col(c) for c in rows.columns], name))
+
+
+def _chosen(rows: DataFrame, targets: DataFrame, n: int) -> DataFrame:
     """``rows`` with source_size, target and copies."""
-    spot = key_range(F.col("key"), ranges)
-    below = (spot < F.col("last_range")) | ((spot == F.col("last_range")) & F.col("limit").isNotNull()
-                                            & (F.struct("key", "doc_id", "size") <= F.col("limit")))
-    return (_join_sources(rows, targets, n)
-            .withColumn("copies", (F.col("epochs") + F.when((F.col("rest") > 0) & F.coalesce(below, F.lit(False)), 1).otherwise(0)).cast("long"))
-            .drop("epochs", "rest", "last_range", "limit"))
+    place = key_place(F.col("key"))
+    own = F.struct("key", "doc_id", "size")
+    limit = F.struct("limit.key", "limit.doc_id", "limit.size")
+    known = F.col("limit").isNotNull()
+    # below the stretch in which the rest runs out, or in it and below the threshold
+    below = F.coalesce((place < F.col("lo")) | known & (own < limit), F.lit(False))
+    at = F.coalesce(known & own.eqNullSafe(limit), F.lit(False))
+    joined = _join_sources(rows, targets, n).withColumn("_below", below).withColumn("_at", at)
+    tied = _numbered(joined.filter("_at"), ["source"], "_number").withColumn("_below", F.col("_number") <= F.col("limit.alike"))
+    both = joined.filter("not _at").unionByName(tied.select(*joined.columns))
+    return (both.withColumn("copies", (F.col("epochs") + F.when((F.col("rest") > 0) & F.col("_below"), 1).otherwise(0)).cast("long"))
+            .drop("epochs", "rest", "lo", "limit", "_below", "_at"))
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -166,25 +207,32 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, max_epoch
     """The mix itself: every row of ``docs``, all its columns, as often as it
     is taken (rows of size 0 are in complete epochs only)."""
     rows = materialize(_keyed(docs, quality))
-    decided = _chosen(rows, *_decide(rows, max_epochs)).select("doc_id", "source", "size", "key", "copies").filter("copies > 0")
-    # equal (doc_id, size, source) rows are decided alike, so one row per id is enough to attach the decision
-    decided = materialize(decided.groupBy("doc_id", "source", "size", "key").agg(F.max("copies").alias("copies")))
-    names = {c: free_name(f"_mix_{c}", docs.columns) for c in ("id", "source", "size", "copies", "u", "of_u")}
-    by_id = decided.select(F.col("doc_id").alias(names["id"]), F.col("source").alias(names["source"]),
-                           F.col("size").alias(names["size"]), F.col("copies").alias(names["copies"]), F.col("key").alias(names["u"]))
+    decided = _chosen(rows, *_decide(rows, max_epochs)).select("doc_id", "source", "size", "key", "copies")
+    # rows alike have one row here: the copies that each has, and how many of them have one more
+    decided = materialize(decided.groupBy("doc_id", "source", "size", "key")
+                          .agg(F.min("copies").alias("copies"), (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias("more")).filter("copies > 0 or more > 0"))
+    names = {c: free_name(f"_mix_{c}", docs.columns) for c in ("id", "source", "size", "copies", "more", "u", "of_u", "number")}
+    by_id = decided.select(F.col("doc_id").alias(names["id"]), F.col("source").alias(names["source"]), F.col("size").alias(names["size"]),
+                           F.col("copies").alias(names["copies"]), F.col("more").alias(names["more"]), F.col("key").alias(names["u"]))
     with_size = docs.withColumn(names["of_u"], word_count(F.col("text")))
     known = F.col("doc_id").cast("long") == F.col(names["id"])
     more = F.col("source").cast("string").eqNullSafe(F.col(names["source"])) & (F.col(names["of_u"]) == F.col(names["size"]))
-    joined = with_size.join(by_id, known & more)
+    columns = [*docs.columns, *(names[c] for c in ("copies", "more", "id", "source", "size", "u"))]
+    joined = with_size.join(by_id, known & more).select(*columns)
     unnamed = docs.filter(F.col("doc_id").isNull())
-    joined = joined.select(*docs.columns, names["copies"])
     if unnamed.head(1):                                      # rows without id: the key tells them apart, by their text
         u = -F.log(uniform(F.col("doc_id"), F.col("text"))) / UNKNOWN
         other = (unnamed.withColumn(names["of_u"], u)
                  .join(by_id.filter(F.col(names["id"]).isNull()),
                        (F.col(names["of_u"]) == F.col(names["u"])) & F.col("source").cast("string").eqNullSafe(F.col(names["source"]))))
-        joined = joined.unionByName(other.select(*docs.columns, names["copies"]))
-    return (joined.withColumn(names["copies"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(names["copies"]))))
+        joined = joined.unionByName(other.select(*columns))
+    some = F.col(names["more"]) > 0
+    if decided.filter("more > 0").head(1):                   # rows alike at a source's threshold, not all of them taken
+        partly = _numbered(joined.filter(some), [names[c] for c in ("id", "source", "size", "u")], names["number"])
+        partly = partly.withColumn(names["copies"], F.col(names["copies"]) + (F.col(names["number"]) <= F.col(names["more"])).cast("long"))
+        joined = joined.filter(~some).unionByName(partly.select(*columns))
+    return (joined.filter(F.col(names["copies"]) > 0)
+            .withColumn(names["copies"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(names["copies"]))))
             .select(*docs.columns))
 
 
@@ -219,10 +267,9 @@ epochs AS (
   SELECT *, CASE WHEN source_size = 0 THEN 0 WHEN stopped THEN 3 ELSE floor(target / source_size::DOUBLE)::BIGINT END AS epochs FROM targets),
 summed AS (
   SELECT r.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
-    sum(r.size) OVER (PARTITION BY r.source ORDER BY r.key, r.doc_id, r.size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-    sum(r.size) OVER (PARTITION BY r.source, r.key, r.doc_id, r.size) AS peers
+    sum(r.size) OVER (PARTITION BY r.source ORDER BY r.key, r.doc_id NULLS FIRST, r.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM rows_ r JOIN epochs e ON r.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target,
-  (size * (epochs + CASE WHEN rest > 0 AND upto - peers / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
+  (size * (epochs + CASE WHEN rest > 0 AND upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM summed
 """

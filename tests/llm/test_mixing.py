@@ -37,9 +37,8 @@ def plain(rows, quality, max_epochs=3):
         epochs = 0 if not size[s] else max_epochs if s not in open_ else math.floor(target[s] / size[s])
         rest, before = target[s] - epochs * size[s], 0
         for r in mine:
-            peers = sum(x[2] for x in mine if (x[3], x[0], x[2]) == (r[3], r[0], r[2]))
-            first = sum(x[2] for x in mine if (x[3], x[0] or 0, x[2]) < (r[3], r[0] or 0, r[2]))
-            take = epochs + (rest > 0 and first + peers / 2 <= rest)
+            take = epochs + (rest > 0 and before + r[2] / 2 <= rest)
+            before += r[2]
             out.append((r[0], r[2], size[s], round(target[s], 6), r[2] * take))
     return sorted(out, key=str), target
 
@@ -70,6 +69,32 @@ def test_edge_cases_and_small_ranges(make_docs, monkeypatch):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
+def test_rows_alike_are_taken_in_part(make_docs, monkeypatch):
+    rows = [(7, "w w w w", "en", "hot")] * 500 + [(None, "v v v", "en", "none")] * 300 + [(i, "x y", "en", "big") for i in range(1000, 2500)]
+    docs = make_docs(rows).withColumn("_mix_more", F.lit("clash")).withColumn("_pid", F.lit(1))
+    want, target = plain([(r[0], r[1], r[3]) for r in rows], {})
+    for n in (8192, 50):
+        monkeypatch.setattr(mixing, "RANGE_ROWS", n)
+        got = mixing.mix(docs).collect()
+        taken = {}
+        for r in got:
+            taken[r.source] = taken.get(r.source, 0) + r.taken
+            assert r.taken <= 3 * r["size"]
+        assert all(abs(taken[s] - target[s]) <= 2 for s in target)
+        assert sorted(((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in got), key=str) == want
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    words = {r[0]: r[1] for r in mixed.groupBy("source").agg(F.sum(mixing.word_count(F.col("text")))).collect()}
+    assert words == taken
+
+
+def test_a_poor_source_is_cut_until_ranges_are_small(make_docs, spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 20)
+    rows = [(i, "w " * (1 + i % 3), "en", "poor" if i < 3000 else "other") for i in range(3400)]
+    quality = spark.createDataFrame([(i, 0.25) for i in range(3000)], "doc_id long, quality double")
+    assert result(mixing.mix(make_docs(rows), quality)) == plain([(r[0], r[1], r[3]) for r in rows], {i: 0.25 for i in range(3000)})[0]
+
+
 def test_quality_draws_better_documents(make_docs, spark):
     docs = make_docs([(i, "w w w w", "en", "big" if i < 900 else "small") for i in range(1000)])
     quality = spark.createDataFrame([(i, 1.0 if i % 2 else 0.25) for i in range(900)], "doc_id long, quality double")
