@@ -10,10 +10,16 @@ that short lines count like long ones, and one that is a link counts its
 characters; lines outside of it weigh what they do on pages without one.
 Two or more lines in a row that are nothing but links are a link list, which
 weighs nothing anywhere and is not kept.  Weights are summed over sliding
-windows of ``WINDOW`` lines.  A surge point is the first line with weight where
-windows rise from zero, the next dive point the last one before they are back
-at zero; all lines from the one to the other, but link lists, are kept if a
-window between them reaches ``SURGE``.
+windows of ``WINDOW`` lines, which end at an article's borders.  A surge point is
+the first line with weight where windows rise from zero, the next dive point the
+last one before they are back at zero; all lines from the one to the other, but
+link lists, are kept if a window between them reaches ``SURGE``.  Beside an
+article that is kept, lines outside of it must surge by themselves: a block
+there runs from the first line that alone weighs ``SURGE`` to the last such one.
+
+A class or id marks an element if the whole of it is one of the words, or if it
+is a compound of such words and of general ones (``comment-list``,
+``sidebar-left``); part of another compound (``discussion-paper``) marks nothing.
 
 Defined results: null or empty html, or one without main text, has an empty
 text; character references are decoded once, after the markup is gone; white
@@ -53,6 +59,12 @@ WORDS = frozenset("""ad ads adsense advert adverts advertisement advertising ads
     share sharing sharebar social related recommended recommendations trending widget widgets comment comments
     commentlist disqus respond replies reply discussion copyright skip tagcloud""".split())
 TALK = frozenset("comment comments commentlist disqus respond replies reply discussion related recommended".split())
+#: words that a compound may have beside those
+GENERAL = frozenset("""area bar bars block blocks body bottom box button buttons cloud col column container content count desktop
+    entry feed first fixed form foot global group head header heading icon icons info inner item items label large last left line link
+    links list lists main message mobile news nav new old outer page pages panel policy popular post posts primary privacy read reader
+    readers right row secondary section site slot small social sticky story tab tabs tag tags text title tool tools top trail unit user
+    users view wrap wrapper article articles""".split())
 HEADS = frozenset("header topheader siteheader pageheader".split())
 NOT_ITSELF = frozenset("has with no not without js is".split())
 
@@ -88,8 +100,10 @@ def _flags(attributes: str) -> tuple[bool, bool, bool, bool]:
             for one in value.split():
                 parts = [w.lower() for w in _WORD.findall(one)]
                 if parts and parts[0] not in NOT_ITSELF:
-                    unwanted |= not WORDS.isdisjoint(parts) or one.lower() in WORDS
-                    talk |= not TALK.isdisjoint(parts)
+                    named = {w for w in parts if len(w) > 1 and not w[0].isdigit()}
+                    if one.lower() in WORDS or named and named <= WORDS | GENERAL:
+                        unwanted |= one.lower() in WORDS or not WORDS.isdisjoint(named)
+                        talk |= one.lower() in TALK or not TALK.isdisjoint(named)
                     head |= parts[-1] in HEADS and not {"article", "entry", "post", "content", "story"} & set(parts)
     return unwanted, talk, head, form
 
@@ -200,32 +214,46 @@ def without_forms(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -
     return [line for line in lines if line.form in ended]
 
 
-def between_surge_and_dive(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[str]:
-    """Texts of the lines from each surge point to its dive point."""
-    lines = [line for line in lines if line.text]
-    linked = [not line.weight for line in lines]
-    listed = [one and (linked[i - 1:i] == [True] or linked[i + 1:i + 2] == [True]) for i, one in enumerate(linked)]
-    weight = [0 if skip else surge + (line.weight or len(line.text)) if line.marked else line.weight
-              for line, skip in zip(lines, listed)]
+def _blocks(weight: list[int], window: int, surge: int, alone: bool) -> list[tuple[int, int]]:
+    """(first, last) line of each block that is kept of one stretch of lines.
+    ``alone``: a block runs between lines that reach ``surge`` by themselves."""
+    out = []
+    i, n = 0, len(weight)
     sums, total = [], 0
-    for i in range(len(lines)):                              # sums[i]: lines i - window + 1 to i
-        total += weight[i] - (weight[i - window] if i >= window else 0)
+    for j in range(n):                                       # sums[j]: lines j - window + 1 to j
+        total += weight[j] - (weight[j - window] if j >= window else 0)
         sums.append(total)
-    kept: list[str] = []
-    i = 0
-    while i < len(lines):
+    while i < n:
         if not sums[i]:
             i += 1
             continue
         start = i
-        while i < len(lines) and sums[i]:
+        while i < n and sums[i]:
             i += 1
         if max(sums[start:i]) >= surge:
-            last = i - 1
-            while not weight[last]:
-                last -= 1
-            kept += [line.text for line, skip in zip(lines[start:last + 1], listed[start:last + 1]) if not skip]
-    return kept
+            heavy = [j for j in range(start, i) if weight[j] >= (surge if alone else 1)]
+            if heavy:
+                out.append((heavy[0], heavy[-1]))
+    return out
+
+
+def between_surge_and_dive(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[str]:
+    """Texts of the lines from each surge point to its dive point."""
+    lines = [line for line in lines if line.text]
+    linked = [not line.weight for line in lines]
+    listed = [one and (linked[i - 1:i] == [True] or linked[i + 1:i + 2] == [True]) for i, one in enumerate(linked)]
+    weight = [0 if skip else surge + (line.weight or len(line.text)) if line.marked else line.weight
+              for line, skip in zip(lines, listed)]
+    stretches: list[tuple[int, int]] = []
+    start = 0
+    for i in range(1, len(lines) + 1):
+        if i == len(lines) or lines[i].marked != lines[start].marked:
+            stretches.append((start, i))
+            start = i
+    found = {a: _blocks(weight[a:b], window, surge, False) for a, b in stretches}
+    if any(found[a] and lines[a].marked for a, _ in stretches):
+        found |= {a: _blocks(weight[a:b], window, surge, True) for a, b in stretches if not lines[a].marked}
+    return [lines[i].text for a, _ in stretches for first, last in found[a] for i in range(a + first, a + last + 1) if not listed[i]]
 
 
 def main_text(page: str | None) -> str:

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from innkeep.llm.html_lines import extract, main_text
+from innkeep.llm.html_lines import Line, between_surge_and_dive, extract, main_text
 
 SENTENCE = "This long sentence stands for a paragraph of the article with a good number of words."
 
@@ -80,3 +82,68 @@ def test_page_in_a_form():
         assert main_text(f"<article><p>{SENTENCE}</p><{name}>Mail {controls}{end}<p>Last</p></article>") == f"{SENTENCE}\nLast"
     assert main_text(f"<article><p>T</p></article><form><article><p>{SENTENCE}</p></article></form>") == f"T\n{SENTENCE}"
     assert main_text(f"<form class=login><p>{SENTENCE}</p></form>") == ""
+
+
+def test_unmarked_lines_beside_an_article():
+    before, after = "<div>Site Name Weekly</div><div>Your daily source</div>", "<div>Copyright 2024 Site Name Weekly, all rights reserved</div><div>Contact us by mail</div>"
+    assert main_text(f"{before}<article><p>{SENTENCE}</p><p>Short.</p></article>{after}") == f"{SENTENCE}\nShort."
+    assert main_text(f"{before}<main><p>Short.</p></main>{after}") == "Short."
+    assert main_text(f"<article><p>Teaser.</p></article><div>Tiny</div><div>{SENTENCE}</div><div>Short.</div><div>{SENTENCE}</div><div>Tiny</div>") \
+        == f"Teaser.\n{SENTENCE}\nShort.\n{SENTENCE}"
+    assert main_text(f"<div>{SENTENCE}</div>{after}").startswith(SENTENCE)
+
+
+def test_words_in_compound_classes():
+    body = f"<p>{SENTENCE}</p>"
+    for name in ("discussion-paper", "social-science-body", "commentary", "alertness", "shared-memory", "menuhin", "replyto-study", "ad-hoc-networks", "sponsored-research-story"):
+        assert main_text(f"<div class='{name}'>{body}</div>") == SENTENCE, name
+        assert main_text(f"<article><div class='{name}'><p>One.</p></div></article>") == "One.", name
+        assert main_text(f"<div id='{name}'><article>{body}</article></div>") == SENTENCE, name
+    for name in ("comments", "comment-list", "post-comments", "commentList", "sidebar-left", "ad-slot-300x250", "cookieBanner", "site-footer", "related-articles", "share-buttons", "newsletter-signup-form"):
+        assert main_text(f"<article>{body}<div class='x {name}'><p>One.</p></div></article>") == SENTENCE, name
+
+
+def plain_rule(lines, window=3, surge=60):
+    """The rule of the module, read line by line."""
+    lines = [x for x in lines if x.text]
+    n = len(lines)
+    listed = [not x.weight and any(0 <= j < n and not lines[j].weight for j in (i - 1, i + 1)) for i, x in enumerate(lines)]
+    weight = [0 if listed[i] else (surge + (x.weight or len(x.text)) if x.marked else x.weight) for i, x in enumerate(lines)]
+    together = lambda i, j: all(lines[k].marked == lines[i].marked for k in range(i, j + 1))
+    total = [sum(weight[j] for j in range(max(0, i - window + 1), i + 1) if together(j, i)) for i in range(n)]
+
+    def block(i):
+        """The lines around i whose windows are not empty, in its stretch."""
+        a = b = i
+        while a > 0 and total[a - 1] and together(a - 1, i):
+            a -= 1
+        while b + 1 < n and total[b + 1] and together(i, b + 1):
+            b += 1
+        return range(a, b + 1)
+
+    surges = [bool(total[i]) and max(total[j] for j in block(i)) >= surge for i in range(n)]
+    beside = any(surges[i] and lines[i].marked for i in range(n))
+    out = []
+    for i, x in enumerate(lines):
+        least = surge if beside and not x.marked else 1
+        if surges[i] and not listed[i] and any(weight[j] >= least for j in block(i) if j <= i) and any(weight[j] >= least for j in block(i) if j >= i):
+            out.append(x.text)
+    return out
+
+
+def test_blocks_against_the_plain_rule():
+    rng = random.Random(8)
+    for _ in range(3000):
+        marked, lines = False, []
+        for i in range(rng.randint(0, 14)):
+            marked ^= rng.random() < 0.2
+            lines.append(Line(rng.choice(["", f"t{i}", f"text{i}"]), rng.choice([0, 0, 0, 5, 20, 59, 60, 100]), marked))
+        assert between_surge_and_dive(lines) == plain_rule(lines), lines
+
+
+def test_all_pages_of_the_table_are_as_by_the_plain_rule(spark):
+    from innkeep.llm import queries
+    from innkeep.llm.html_lines import page_lines
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    got = {r.page_id: r.text for r in queries.QUERIES["op1_line_blocks"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == {i: "\n".join(plain_rule(page_lines(h))) for i, h in pages.items()}
