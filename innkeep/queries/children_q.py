@@ -20,7 +20,18 @@ def _out(df):
                        for c in df.columns])
 
 
+#: pages that need no enrichment, from the page's own order
+_PLAIN_PAGES = {
+    "hotel_directory": "(SELECT ROW_NUMBER() OVER (ORDER BY created_at DESC, id) AS page_pos, hotel_id FROM hotels ORDER BY created_at DESC, id LIMIT 10)",
+    "hotel_search_city_country": "(SELECT ROW_NUMBER() OVER (ORDER BY hotel_id, id) AS page_pos, hotel_id FROM hotels "
+                                 f"WHERE lower(city) LIKE '%{C.CITY_COUNTRY['city']}%' AND lower(country) LIKE '%{C.CITY_COUNTRY['country']}%' "
+                                 "ORDER BY hotel_id, id LIMIT 10)",
+}
+
+
 def _page_sql(answer: str) -> str:
+    if answer in _PLAIN_PAGES:
+        return _PLAIN_PAGES[answer]
     return f"(SELECT page_pos, hotel_id FROM ({ORACLE_RAW[answer].strip()}) answer)"
 
 
@@ -73,9 +84,10 @@ FROM booking_rooms r JOIN {b} b ON b.booking_id = r.booking_id"""
 
 def _booking_cancels(b: str, lead: str) -> str:
     return f"""
-SELECT {lead}, ROW_NUMBER() OVER (PARTITION BY k.booking_id ORDER BY {_CANCEL_NO}, k.booking_cancel_id) AS pos,
-       k.booking_cancel_id, k.cancel_reason
-FROM bookings_cancelled k JOIN {b} b ON b.booking_id = k.booking_id"""
+SELECT {lead}, k.pos, k.booking_cancel_id, k.cancel_reason
+FROM (SELECT booking_id, booking_cancel_id, cancel_reason,
+             ROW_NUMBER() OVER (PARTITION BY booking_id ORDER BY {_CANCEL_NO}, booking_cancel_id) AS pos FROM bookings_cancelled) k
+JOIN {b} b ON b.booking_id = k.booking_id"""
 
 
 _LEAD = "b.page_pos, b.hotel_id, b.booking_pos, b.booking_id"
