@@ -39,10 +39,13 @@ def _slow(name: str):
 
 @functools.cache
 def _added(name: str) -> tuple[str, ...]:
-    """Strings that are tokens of their own."""
+    """Strings that are tokens of their own: the file's list of them, without
+    reading the vocabulary into objects."""
     import public_tokenizers
-    with open(public_tokenizers.path(name), "rb") as f:
-        return tuple(t["content"] for t in json.load(f)["added_tokens"])
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        text = f.read()
+    at = re.search(r'"added_tokens"\s*:\s*', text).end()
+    return tuple(t["content"] for t in json.JSONDecoder().raw_decode(text, at)[0])
 
 
 @functools.cache
