@@ -72,3 +72,40 @@ def test_a_broken_off_batch_is_written_anew(rollup, make_docs):
     assert totals(rollup.totals()) == {("x", "en", "byte_bpe_50k"): (1, 2)}
     with pytest.raises(ValueError):
         rollup.commit("../x", R.deleted(docs))
+
+
+def test_a_delta_reads_the_buckets_it_touches(spark, make_docs):
+    rollup = R.TokenRollup(spark, staging_path(spark, f"test-rollup-{uuid.uuid4()}"), buckets=8)
+    docs = make_docs([(i, "w " * i, "en", "x") for i in range(40)])
+    assert rollup.commit("b1", R.counted(docs, "insert", "byte_bpe_50k"))
+    again = R.TokenRollup(spark, rollup.path, buckets=3)
+    assert again.buckets == 8                                        # as the folder was laid out
+    keys = spark.createDataFrame([("7",)], "key string")
+    bucket = keys.select(F.pmod(F.hash("key"), F.lit(8))).first()[0]
+    old = again.current(keys, [bucket])
+    assert [(r.key, r.documents) for r in old.collect()] == [("7", 1)]
+    plan = old._jdf.queryExecution().toString()
+    assert f"PartitionFilters: [isnotnull(bucket" in plan and f"= {bucket})" in plan
+    assert {f"bucket={b}" for b in range(8)} == {f"bucket={n}" for n in again._names("ledger/batch=b1", "bucket", "")}
+
+
+def test_compaction_keeps_counts_and_commits(spark, rollup, make_docs):
+    text = {i: "w " * i for i in range(30)}
+    assert not rollup.compact()                                      # nothing committed
+    rollup.commit("b1", R.counted(make_docs([(i, text[i], "en", "x") for i in text]), "insert", "byte_bpe_50k"))
+    rollup.commit("b2", R.deleted(make_docs([(i, None, None, None) for i in range(10)])))
+    before = sorted(map(str, rollup.current().collect()))
+    spark.createDataFrame([], R._LEDGER).write.parquet(f"{rollup.path}/compacted/compaction=2")      # broke off before its mark
+    assert rollup.compact() and not rollup.compact()
+    assert sorted(map(str, rollup.current().collect())) == before and len(before) == 20
+    assert rollup._ledger().count() == 20                            # one row a document; signed rows are gone
+    assert not rollup.commit("b1", R.deleted(make_docs([(20, None, None, None)])))
+    change = R.deleted(make_docs([(20, None, None, None), (1, None, None, None)])) \
+        .unionByName(R.counted(make_docs([(2, "new", "en", "x")]), "insert", "byte_bpe_50k")) \
+        .unionByName(R.counted(make_docs([(21, "other", "de", "y")]), "revise", "byte_bpe_50k"))
+    assert rollup.commit("b3", change)
+    want = by_group([("x", "en", "byte_bpe_50k", text[i]) for i in (*range(10, 20), *range(22, 30))]
+                    + [("x", "en", "byte_bpe_50k", "new"), ("y", "de", "byte_bpe_50k", "other")])
+    assert totals(rollup.totals()) == want
+    assert rollup.compact() and totals(rollup.totals()) == want
+    assert rollup.committed() == ["b1", "b2", "b3"] and rollup.current().count() == 20
