@@ -173,11 +173,13 @@ def _employee_checks(df: DataFrame, fx, who: str) -> tuple[DataFrame, list]:
 
 def ingest_maintenance(fx) -> JobResult:
     raw = fx.maintenance_requests()
-    items = sanitized(raw)
+    requests = sanitized(raw)
+    items = requests.where(F.col("pos").isNotNull())
+    first = F.coalesce("pos", F.lit(0))          # an empty list is one row without a position
     header = (raw.groupBy("request_seq")
-              .agg(F.min_by("hotel_id", "pos").alias("hotel_id"),
-                   F.min_by("employee_id", "pos").alias("employee_id")))
-    v = header.join(V.maintenance_errors(fx, items), "request_seq")
+              .agg(F.min_by("hotel_id", first).alias("hotel_id"),
+                   F.min_by("employee_id", first).alias("employee_id")))
+    v = header.join(V.maintenance_errors(fx, requests), "request_seq")
     v, emp_checks = _employee_checks(v, fx, "ADD")
     v = flag(v, fx.hotels(), ["hotel_id"], "_hotel")
     # first item (by position) whose room is not in the request's hotel

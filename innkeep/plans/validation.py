@@ -332,7 +332,7 @@ def hotel_errors(fx, header: DataFrame | None = None, rooms: DataFrame | None =
 def maintenance_errors(fx, items: DataFrame | None = None) -> DataFrame:
     m = items if items is not None else sanitized(fx.maintenance_requests())
     header = m.select("request_seq").distinct()
-    return request_errors(header, [], [ItemPart(m, MAINTENANCE_ITEM, MSG_MAINTENANCE_EMPTY)])
+    return request_errors(header, [], [ItemPart(m.where(F.col("pos").isNotNull()), MAINTENANCE_ITEM, MSG_MAINTENANCE_EMPTY)])
 
 
 def maintenance_update_errors(fx, req: DataFrame | None = None) -> DataFrame:

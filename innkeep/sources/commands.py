@@ -102,15 +102,16 @@ def hotel_commands(fx, clean: bool = True) -> DataFrame:
 
 def maintenance_commands(fx, clean: bool = True) -> DataFrame:
     """One request per request_seq: path parameters (hotel, employee) plus
-    the maintenance item array."""
+    the maintenance item array (empty for a request whose one row has no position)."""
     m = fx.maintenance_requests()
     if clean:
         m = sanitized(m)
+    first = F.coalesce("pos", F.lit(0))
     header = (m.groupBy("request_seq")
-              .agg(F.min_by("hotel_id", "pos").alias("hotel_id"),
-                   F.min_by("employee_id", "pos").alias("employee_id")))
-    items = m.select("request_seq", "pos", "room_number", "issue_description", "maintenance_date",
-                     "maintenance_status")
+              .agg(F.min_by("hotel_id", first).alias("hotel_id"),
+                   F.min_by("employee_id", first).alias("employee_id")))
+    items = m.where(F.col("pos").isNotNull()).select("request_seq", "pos", "room_number", "issue_description",
+                                                     "maintenance_date", "maintenance_status")
     return nest(header, items, "maintenance")
 
 

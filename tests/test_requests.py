@@ -81,3 +81,26 @@ def test_audit_counts_by_hand(spark):
     assert got["bookings", "not_null(customer_id)"] == 1 and got["bookings", "enum(booking_status)"] == 1
     assert got["maintenance", "fk(hotel_id,room_number)->rooms"] == 1 and got["services", "unique(service_id)"] == 0
     assert len(got) == 83
+
+
+def test_empty_maintenance_lists(spark):
+    """A request with an empty list is one row without a position: the
+    employee is looked up first, then the list is refused."""
+    from innkeep.plans.jobs import ingest_maintenance
+    from innkeep.sources.commands import maintenance_commands
+    item = ("101", "leaking tap", "2024-01-01", None, None)
+    none = (None,) * 5
+    w = world(spark, hotels=[hotel(1)], rooms=[room(1, 1, "101")], maintenance=[],
+              employees=[("EMP00001", "HOT00001", "A", "employee", None, None), ("EMP00002", "HOT00001", "B", "admin", None, None)],
+              maintenance_requests=[(1, None, "HOT00001", "EMP00001", *none), (2, None, "HOT00001", "EMP00009", *none),
+                                    (3, None, "HOT00001", "EMP00002", *none), (4, 7, "HOT00001", "EMP00001", *item),
+                                    (4, 8, "HOT00001", "EMP00001", *item), (5, None, "HOT00009", "EMP00001", *none)])
+    job = ingest_maintenance(w)
+    got = {r.request_seq: (r.code, r.message) for r in job.status.collect()}
+    empty = "At least one maintenance record is required"
+    assert got[1][0] == got[5][0] == "VALIDATION" and empty in got[1][1] and empty in got[5][1]
+    assert [got[i][0] for i in (2, 3, 4)] == ["EMPLOYEE_NOT_FOUND", "NOT_AUTHORIZED", "OK"]
+    rows = job.outputs["rows"].orderBy("pos").collect()
+    assert [(r.request_seq, r.pos, r.maintenance_id) for r in rows] == [(4, 7, "MAINTAIN00001"), (4, 8, "MAINTAIN00002")]
+    assert {r.request_seq: (r.employee_id, len(r.maintenance)) for r in maintenance_commands(w).collect()} == {
+        1: ("EMP00001", 0), 2: ("EMP00009", 0), 3: ("EMP00002", 0), 4: ("EMP00001", 2), 5: ("EMP00001", 0)}
