@@ -1,11 +1,18 @@
 """Approximate nearest neighbours by largest inner product.
 
-Rows are dealt by id to shards of about ``SHARD_ROWS``; each shard gets a
-robust-pruned graph of its own (``pruned_graph``), stored as one row of a
-checkpointed table.  Queries come in blocks; every block meets every shard's
-graph in a task of its own, a beam search finds each query's nearest there, and
-the shards' lists are merged.  Scores are inner products of the original
-vectors in double precision.
+Rows are dealt by id to shards; each shard gets a robust-pruned graph of its
+own (``pruned_graph``), stored as one row of a checkpointed table.  Shards have
+about ``SHARD_ROWS`` rows while that makes no more of them than the session has
+cores, and beyond that as many as ``SHARD_BYTES`` of vectors and edges hold: a
+search costs hardly more in a large graph than in a small one.  Queries come in
+blocks of ``BLOCK_QUERIES``; a block meets a shard's graph in a task of its own,
+so a graph is sent once for each block; a beam search finds each query's nearest
+there, and the shards' lists are merged.  Scores are inner products of the
+original vectors in double precision.
+
+Every query has to search every shard: vectors need not lie in clusters, so no
+shard can be left out.  Queries that grow with the rows therefore cost (queries
+x shards) searches, of about 1.5 ms each.
 
 The graphs are built for largest inner product by bringing all vectors to one
 length with one more coordinate.  That works well only for vectors of similar
@@ -18,7 +25,7 @@ order of their ids.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do rows without vec_id; rows repeating a vec_id
-count once (the one of smallest components); vectors meet only vectors of as
+count once (the one of smallest components, found before rows are dealt); vectors meet only vectors of as
 many components; a query without any candidate has no rows; an empty table
 gives no rows; further columns, whatever their names, are not carried."""
 
@@ -33,30 +40,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from innkeep.llm.common import materialize
-from innkeep.llm.pruned_graph import Graph, build
+from innkeep.llm.pruned_graph import DEGREE, SLACK, Graph, build
 
-SHARD_ROWS = 8192
-BLOCK_QUERIES = 2048
-TOP, BEAM = 20, 128
+SHARD_ROWS, SHARD_BYTES = 8192, 32 << 20
+BLOCK_QUERIES = 16_384
+TOP, BEAM = 20, 160
 BAND, MOST_BANDS = 1.5, 12     # the last band holds all that is shorter
 EVERY = 20                   # queries: rows whose vec_id is divisible by this
 
 
-def _usable(ids: pd.Series, vectors: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors in double precision) for each number of components."""
-    by: dict[int, list[tuple[int, tuple[float, ...]]]] = {}
-    for i, v in zip(ids.tolist(), vectors):
-        if v is None or i is None or len(v) == 0:
-            continue
-        x = np.asarray(v, np.float64)
-        if np.isfinite(x).all() and x.any():
-            by.setdefault(len(x), []).append((int(i), x))
-    for rows in by.values():
-        i, x = np.array([r[0] for r in rows], np.int64), np.stack([r[1] for r in rows])
-        order = np.lexsort((*x.T[::-1], i))
-        i, x = i[order], x[order]
-        once = np.append(True, i[1:] != i[:-1])
-        yield i[once], x[once]
+def usable(df: DataFrame) -> DataFrame:
+    """vec_id, embedding (in double precision) of the rows that take part, one
+    a vec_id."""
+    v = F.col("embedding")
+    whole = df.select(F.col("vec_id").cast("long"), v.cast("array<double>")).filter(
+        F.col("vec_id").isNotNull() & F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists(v, lambda x: x != 0))
+    return whole.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+
+
+def _by_width(ids: pd.Series, vectors: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) for each number of components, by id."""
+    ids, width = ids.to_numpy(np.int64), vectors.map(len).to_numpy(np.int64)
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        at = at[np.argsort(ids[at])]
+        yield ids[at], np.stack(vectors.iloc[at].to_list())
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -69,7 +77,7 @@ def shard_graphs(rows: pd.DataFrame) -> pd.DataFrame:
     """The shard's graphs as bytes: one for each number of components and band
     of lengths."""
     out = []
-    for ids, vectors in _usable(rows["vec_id"], rows["embedding"]):
+    for ids, vectors in _by_width(rows["vec_id"], rows["embedding"]):
         length = np.linalg.norm(vectors / np.abs(vectors).max(), axis=1)
         band = np.minimum(np.log(length.max() / np.maximum(length, 1e-300)) / np.log(BAND), MOST_BANDS - 1).astype(int)
         for one in np.unique(band):
@@ -78,13 +86,13 @@ def shard_graphs(rows: pd.DataFrame) -> pd.DataFrame:
             order = np.lexsort((own, group))
             graph = build(distinct)
             out.append((int(rows["shard"].iloc[0]), _pack(
-                vectors=distinct, points=graph.points, edges=graph.edges, entry=np.array(graph.entry), ids=own[order],
+                vectors=distinct, points=graph.points, edges=graph.edges, entries=graph.entries, ids=own[order],
                 first=np.searchsorted(group[order], np.arange(len(distinct) + 1)))))
     return pd.DataFrame(out, columns=["shard", "graph"])
 
 
 def _search_block(graphs: pd.DataFrame, queries: pd.DataFrame, top: int, beam: int) -> pd.DataFrame:
-    asked = {x.shape[1]: (i, x) for i, x in _usable(queries["vec_id"], queries["embedding"])}
+    asked = {x.shape[1]: (i, x) for i, x in _by_width(queries["vec_id"], queries["embedding"])}
     out_q, out_v, out_s = [], [], []
     for raw in graphs["graph"]:
         g = np.load(io.BytesIO(raw))
@@ -92,7 +100,7 @@ def _search_block(graphs: pd.DataFrame, queries: pd.DataFrame, top: int, beam: i
         if vectors.shape[1] not in asked:
             continue
         names, wanted = asked[vectors.shape[1]]
-        graph = Graph(g["points"], g["edges"], int(g["entry"]))
+        graph = Graph(g["points"], g["edges"], g["entries"])
         for lo in range(0, len(names), 256):
             q = wanted[lo:lo + 256]
             scale = np.linalg.norm(q, axis=1, keepdims=True)
@@ -122,16 +130,23 @@ def _search_block(graphs: pd.DataFrame, queries: pd.DataFrame, top: int, beam: i
     return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
 
 
+def shards_for(rows: int, components: int, cores: int, shard_rows: int = SHARD_ROWS) -> int:
+    """The number of shards for so many rows with so many components in all."""
+    held = 12 * components + 4 * (DEGREE + SLACK + 8) * rows         # vectors twice, edges, ids
+    return max(1, min(cores, -(-rows // shard_rows)), -(-held // SHARD_BYTES))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, beam: int = BEAM, shard_rows: int = SHARD_ROWS,
             block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found for each row of
     ``queries`` among the rows of ``vectors`` with another vec_id."""
-    def thin(df: DataFrame) -> DataFrame:
-        return df.filter("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-
-    vectors, queries = thin(vectors), thin(queries)
-    shards = max(1, -(-vectors.count() // shard_rows))
+    if beam <= top:
+        raise ValueError("the beam must be larger than the number of neighbours")
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    size = vectors.agg(F.count("embedding").alias("rows"), F.sum(F.size("embedding")).alias("parts")).first()
+    shards = shards_for(size.rows, size.parts or 0, cores, shard_rows)
     blocks = max(1, -(-queries.count() // block_queries))
+    vectors, queries = usable(vectors), usable(queries)
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     graphs = materialize(dealt.groupBy("shard").applyInPandas(shard_graphs, "shard int, graph binary"))
     pairs_of_shards = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

@@ -89,10 +89,45 @@ def test_pruning_keeps_diverse_edges():
     for p in range(0, 400, 37):
         near = g.edges[p][g.edges[p] >= 0]
         assert len(set(near.tolist())) == len(near) >= 1
-    reached, todo = {g.entry}, [g.entry]
+    reached, todo = set(g.entries.tolist()), g.entries.tolist()
     while todo:
         for q in g.edges[todo.pop()]:
             if q >= 0 and int(q) not in reached:
                 reached.add(int(q))
                 todo.append(int(q))
-    assert len(reached) >= 396
+    assert len(reached) == 400
+
+
+def test_every_point_is_reached_in_tight_clusters():
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(40, 1, 8)) * 50 + rng.normal(size=(40, 100, 8)) * 1e-3).reshape(-1, 8)
+    g = pruned_graph.build(x)
+    reached = np.zeros(len(x), bool)
+    new = g.entries
+    while len(new):
+        reached[new] = True
+        near = np.unique(g.edges[new])
+        new = near[near >= 0][~reached[near[near >= 0]]]
+    assert reached.all()
+    cut = pruned_graph.Graph(g.points[:100], np.full((100, 4), -1, np.int32), np.arange(100, dtype=np.int32))
+    ids, _ = cut.search(cut.points[:3], 100)                  # as many entries as points, no edges
+    assert all(sorted(row) == list(range(100)) for row in ids.tolist())
+    assert [row[0] for row in ids.tolist()] == [0, 1, 2]
+
+
+def test_small_tables_give_all_candidates(spark):
+    rng = np.random.default_rng(6)
+    for n in (2, 15, 21, 150):
+        x = rng.normal(size=(max(1, n // 10), 3)).repeat(10, axis=0)[:n] + rng.normal(size=(min(n, 10 * max(1, n // 10)), 3)) * 1e-4
+        rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+        got = answers(G.nearest_of_every(spark.createDataFrame(rows, SCHEMA)))
+        assert recall(got, plain(rows)) == 1.0
+
+
+def test_shards_follow_cores_then_memory():
+    assert G.shards_for(0, 0, 8) == 1
+    assert G.shards_for(10_000, 640_000, 8) == 2
+    assert G.shards_for(60_000, 64 * 60_000, 8) == 8
+    many = [G.shards_for(n, 64 * n, 8) for n in (1_000_000, 2_000_000)]
+    assert 28 <= many[0] <= 32 and abs(many[1] - 2 * many[0]) <= 1
+    assert G.shards_for(100_000_000, 64 * 100_000_000, 8000) == 8000      # one a core, of 12,500 rows
