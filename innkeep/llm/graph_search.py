@@ -12,7 +12,7 @@ original vectors in double precision.
 
 Every query has to search every shard: vectors need not lie in clusters, so no
 shard can be left out.  Queries that grow with the rows therefore cost (queries
-x shards) searches, of about 1.5 ms each.
+x shards) searches, of about 2 ms each.
 
 The graphs are built for largest inner product by bringing all vectors to one
 length with one more coordinate.  That works well only for vectors of similar
