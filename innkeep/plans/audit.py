@@ -11,9 +11,14 @@ one row a task.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from innkeep.session import materialize
+
+ROWS_A_TASK = 250_000         # table rows for each shuffle partition of the audit
 
 # The constraints of the ten table definitions (UNIQUE, NOT
 # NULL, VARCHAR lengths, CHECK, ENUM, FOREIGN KEY), on the column names the
@@ -155,6 +160,20 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+@contextmanager
+def _more_partitions(spark, rows: int):
+    """Shuffles run in here have a partition per ``ROWS_A_TASK`` of ``rows`` at
+    least, so a task's share does not grow with the tables (small partitions
+    are merged again)."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(before), -(-rows // ROWS_A_TASK))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _key_violations(fx) -> DataFrame:
     """UNIQUE and FOREIGN KEY: each table is read once for all its keys, and
     all keys are counted, and met by the parents' keys, in one join."""
@@ -175,15 +194,18 @@ def _key_violations(fx) -> DataFrame:
 
 
 def audit(fx) -> DataFrame:
-    """(table_name, constraint_name, violations) of every constraint."""
+    """(table_name, constraint_name, violations) of every constraint, computed
+    here with as many shuffle partitions as the tables' rows need."""
+    tables = list(dict.fromkeys(t for t, _, _ in CONSTRAINTS))
     parts = []
-    for t in dict.fromkeys(t for t, _, _ in CONSTRAINTS):
+    for t in tables:
         of_rows = [(k, a) for tt, k, a in CONSTRAINTS if tt == t and k not in ("fk", "unique")]
         row = fx.table(t).agg(*[_violation_expr(k, a).cast("long").alias(f"c{i}") for i, (k, a) in enumerate(of_rows)])
         entries = F.array(*[F.struct(F.lit(constraint_name(k, a)).alias("constraint_name"), F.col(f"c{i}").alias("violations"))
                             for i, (k, a) in enumerate(of_rows)])
         parts.append(row.select(F.lit(t).alias("table_name"), F.inline(entries)))
-    return _union([*parts, _key_violations(fx)])
+    with _more_partitions(fx.spark, sum(fx.table(t).count() for t in tables)):
+        return materialize(_union([*parts, _key_violations(fx)]))
 
 
 def audit_sql() -> str:

@@ -39,3 +39,22 @@ def test_items_of_a_batch_are_read_once(spark):
                    (3, "OK", None), (4, "VALIDATION", V.MSG_BOOKING_ROOMS_EMPTY)]
     assert job.outputs["booking_rooms"].where("request_seq <> 3").count() == 0
     assert seen.value == len(items)
+
+
+def test_audit_has_partitions_for_its_rows(spark, monkeypatch):
+    """A shuffle's tasks share the rows, however few partitions are set."""
+    from innkeep.plans import audit as A
+    name, used = "spark.sql.shuffle.partitions", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(A, "ROWS_A_TASK", 2, raising=False)
+    keys = A._key_violations
+
+    def noted(fx):
+        used.append(int(spark.conf.get(name)))
+        return keys(fx)
+
+    monkeypatch.setattr(A, "_key_violations", noted)
+    fs = world(spark, hotels=[hotel(1)], rooms=[room(i, 1 + i % 2, str(100 + i)) for i in range(20)], customers=[customer(1)])
+    got = {(r.table_name, r.constraint_name): r.violations for r in A.audit(fs).collect()}
+    assert used == [11] and spark.conf.get(name) == before
+    assert got["rooms", "fk(hotel_id)->hotels"] == 10 and got["rooms", "unique(room_id)"] == 0
