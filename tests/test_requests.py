@@ -45,6 +45,32 @@ def test_form_bodies(spark):
     assert got[8].customer_id == "a=b=c" and got[9].booking_rooms[0].pos == 1 and got[10].booking_rooms == []
 
 
+def test_odd_form_bodies(spark):
+    got = parsed(spark, "=x&customer_id=a%26b%3Dc%25", "=x&=y", "a%26b=1&a&b=2", "booking_rooms[007][room_number]=1&booking_rooms[7][check_in]=2&booking_rooms[3][other]=3",
+                 "%62ooking_rooms%5b2%5D%5broom_number]=a+b&&", "booking_rooms[999999][other]=1", "booking_rooms[1000000][other]=1", "customer%5Fid=1&customer_id=2",
+                 "customer_id=%E2%82&hotel_id=%C3%BC%", "customer_id=%FFa\nb==", "&".join(f"booking_rooms[{i}][room_number]={i}" for i in range(20, -1, -1)))
+    assert [i for i in range(11) if got[i]._corrupt_record is not None] == [1, 5, 7, 8]
+    assert all(got[i].customer_id is None and got[i].booking_rooms is None for i in (1, 5, 7, 8))
+    assert got[0].customer_id == "a&b=c%" and got[2].booking_rooms == [] and got[6].booking_rooms == []
+    assert [(r.pos, r.room_number, r.check_in) for r in got[3].booking_rooms] == [(1, None, None), (2, None, "2")]
+    assert [(r.pos, r.room_number) for r in got[4].booking_rooms] == [(1, "a b")] and got[9].customer_id == "\ufffda\nb=="
+    assert [(r.pos, r.room_number) for r in got[10].booking_rooms] == [(i + 1, str(i)) for i in range(21)]
+
+
+def test_form_bodies_keep_the_shuffles_partitions(spark):
+    """Parsing is long for the bytes it reads, so partitions are not merged by
+    size: a task's share of the bodies does not grow with them."""
+    from innkeep.queries.commands_q import read_commands_form
+    w = world(spark, booking_requests=[(i, f"CUST{i:05d}", "HOT00001", "10", None) for i in range(400)],
+              booking_request_rooms=[(i, p, str(p), "2024-01-01", "2024-01-02", "5") for i in range(400) for p in (2, 1)])
+    df = read_commands_form(w)
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.collect()
+    bad = {i for i in range(400) if i % 97 == 5 or i % 101 == 7 or i % 103 == 9}
+    assert {r.request_seq for r in rows if r.code == "BAD_BODY"} == bad and len(rows) == 2 * (400 - len(bad)) + len(bad)
+    assert all((r.pos, r.customer_id) == (int(r.room_number), f"CUST{r.request_seq:05d}") for r in rows if r.code == "OK")
+
+
 def test_both_encodings_give_the_same_requests(spark):
     rows = [(1, "C & 1", "H=1", None, "50% off", [(1, "101", "2024-01-01", None, "10"), (2, "ü+1", None, None, None)]), (2, None, None, None, None, [])]
     cmd = spark.createDataFrame(rows, BOOKING_COMMAND)
